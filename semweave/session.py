@@ -6,10 +6,12 @@ tests call :func:`get_session` once and pass DataFrames around.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -69,3 +71,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+_RUN_ID = uuid.uuid4().hex[:12]
+_COUNTER = itertools.count()
+
+
+def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (the data sits in reliable
+    storage, so a lost executor never forces a replay of earlier
+    iterations) and, unlike a checkpointed plan, the re-read table carries
+    file-size statistics, which keeps the optimizer's size estimates (and
+    its broadcast decisions) accurate across many iterations.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{next(_COUNTER):05d}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_materialized(df: DataFrame) -> None:
+    """Delete the files behind a table returned by :func:`materialize`."""
+    spark = df.sparkSession
+    try:
+        files = df.inputFiles()
+    except Exception:  # noqa: BLE001
+        return
+    if not files:
+        return
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if f"semweave-{_RUN_ID}" not in folder.toString():
+        return  # only ever remove this run's own intermediates
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(folder, True)

@@ -62,8 +62,10 @@ def duplicate_edges(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     d = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     # hash pre-key plus the text itself: equal texts always meet
-    roots = d.groupBy(F.xxhash64("t").alias("h"), "t").agg(F.min("id").alias("root"))
-    j = d.join(roots, (F.xxhash64(d["t"]) == roots["h"]) & (d["t"] == roots["t"]))
+    keyed = d.withColumn("h", F.xxhash64("t"))
+    roots = (keyed.groupBy("h", "t").agg(F.min("id").alias("root"))
+             .select(F.col("h").alias("rh"), F.col("t").alias("rt"), "root"))
+    j = keyed.join(roots, (keyed["h"] == roots["rh"]) & (keyed["t"] == roots["rt"]))
     return (j.filter(F.col("id") != F.col("root"))
             .select(F.col("root").alias("src"), F.col("id").alias("dst"),
                     F.lit(0.0).alias("dist"), F.lit(1.0).alias("weight")))
