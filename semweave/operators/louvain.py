@@ -1,8 +1,12 @@
-"""Distributed Louvain community detection on an undirected weighted graph.
+"""Distributed Louvain community detection on undirected weighted graphs.
 
 The graph never leaves the cluster: each local-moving round is a handful of
 joins and aggregations over the arc list and the node state, and each
-level ends with a contraction (``groupBy`` of community pairs).
+level ends with a contraction (``groupBy`` of community pairs). Several
+graphs (for instance one per threshold of a sweep) can be clustered in the
+same job by naming a ``graph_col``: every table is keyed by
+``(graph, node)`` and the graphs advance through the same rounds, so a
+sweep over five thresholds costs about as many Spark jobs as one graph.
 
 Parallel local moving
     Moving every node at once oscillates (two neighbours swap labels for
@@ -15,13 +19,14 @@ Parallel local moving
 
     (ties to the smaller label) only if it beats staying by more than
     1e-12; a singleton joins another singleton only if that label is
-    smaller. A level stops after a sweep without moves (or ``max_rounds``);
-    the best state seen (by modularity) is kept.
+    smaller. A graph's level ends after a sweep without moves (or
+    ``max_rounds``); the best state seen at a sweep end (by modularity) is
+    kept.
 
 Contraction
     Communities become nodes; parallel edges are summed and internal
     weight becomes a self-loop (counted twice in the degree). Levels repeat
-    until a level merges nothing or gains less than ``threshold``.
+    until a level merges nothing or gains no more than ``threshold``.
 
 Fault tolerance
     The state of every round and the edge list of every level are written
@@ -32,11 +37,15 @@ Fault tolerance
     true size statistics for the optimizer. Superseded round states are
     deleted as the job advances.
 
-Result: ``(partition, summary)`` where partition is ``(node, community)``
-for every node (isolated nodes are singletons) labelled by the smallest
-member id, and summary is one row ``(modularity, num_communities,
-num_nontrivial, edges, nodes, levels, rounds)``. An edge-less graph gives
-modularity null and an empty partition, as in the reference.
+Only per-graph scalars (total weight, modularity, move counts) reach the
+driver; their number is the number of graphs.
+
+Result: ``(partition, summary)``. Partition is ``([graph,] node,
+community)`` for every node (isolated nodes are singletons), labelled by
+the smallest member id; summary has one row per graph ``([graph,]
+modularity, num_communities, num_nontrivial, edges, nodes, levels,
+rounds)``. A graph without edges gets modularity null, 0 communities and
+no partition rows, as in the reference.
 """
 
 from __future__ import annotations
@@ -49,149 +58,210 @@ from semweave.session import drop_materialized, ensure_checkpoint_dir, materiali
 
 _EPS = 1e-12
 
-SUMMARY_SCHEMA = T.StructType([
-    T.StructField("modularity", T.DoubleType()),
-    T.StructField("num_communities", T.LongType()),
-    T.StructField("num_nontrivial", T.LongType()),
-    T.StructField("edges", T.LongType()),
-    T.StructField("nodes", T.LongType()),
-    T.StructField("levels", T.IntegerType()),
-    T.StructField("rounds", T.IntegerType()),
-])
-
-
-def _modularity_of_state(level_edges: DataFrame, state: DataFrame, m: float) -> float:
-    """Q of a node→community state on a level graph (self-loops allowed)."""
-    c1 = state.select(F.col("node").alias("a"), F.col("comm").alias("ca"))
-    c2 = state.select(F.col("node").alias("b"), F.col("comm").alias("cb"))
-    e = level_edges.join(c1, "a").join(c2, "b")
-    intra = e.filter(F.col("ca") == F.col("cb")).agg(F.sum("w").alias("l")).first()["l"] or 0.0
-    tot = (state.groupBy("comm").agg(F.sum("k").alias("t"))
-           .agg(F.sum(F.col("t") * F.col("t")).alias("s2")).first()["s2"] or 0.0)
-    return float(intra) / m - float(tot) / (4.0 * m * m)
-
-
-def _round(state: DataFrame, arcs: DataFrame, m: float, level: int, sweep: int, parity: int,
-           seed: int) -> DataFrame:
-    """One local-moving round for the eligible half; returns the new state
-    ``(node, comm, k, moved)``."""
+
+def _lit_map(d: dict) -> F.Column:
+    items = []
+    for k, v in d.items():
+        items += [F.lit(k), F.lit(float(v))]
+    return F.create_map(*items)
+
+
+def _q_by_graph(level_edges: DataFrame, state: DataFrame, col: str, m: dict) -> dict:
+    """Modularity per graph of the assignment in ``col`` (self-loops allowed)."""
+    c1 = state.select("g", F.col("node").alias("a"), F.col(col).alias("ca"))
+    c2 = state.select("g", F.col("node").alias("b"), F.col(col).alias("cb"))
+    intra = (level_edges.join(c1, ["g", "a"]).join(c2, ["g", "b"])
+             .filter(F.col("ca") == F.col("cb")).groupBy("g").agg(F.sum("w").alias("l")))
+    tot = (state.groupBy("g", col).agg(F.sum("k").alias("t"))
+           .groupBy("g").agg(F.sum(F.col("t") * F.col("t")).alias("s2")))
+    out = {}
+    for r in tot.join(intra, "g", "left").collect():  # one row per graph
+        if r["g"] not in m:
+            continue
+        mg = m[r["g"]]
+        out[r["g"]] = float(r["l"] or 0.0) / mg - float(r["s2"]) / (4.0 * mg * mg)
+    return out
+
+
+def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: list,
+           level: int, sweep: int, parity: int, seed: int) -> DataFrame:
+    """One local-moving round for the eligible half of the active graphs.
+
+    Returns the new state ``(g, node, comm, best, k, moved)``; ``best`` is
+    set to the incoming ``comm`` for graphs in ``improved`` (their state at
+    the last sweep end was their best so far).
+    """
     def eligible(c):
-        h = F.xxhash64(F.col(c), F.lit(level), F.lit(sweep), F.lit(seed))
+        h = F.xxhash64(F.col("g"), F.col(c), F.lit(level), F.lit(sweep), F.lit(seed))
         return F.pmod(h, F.lit(2)) == F.lit(parity)
 
-    st = state.select("node", "comm", "k")
-    neigh = st.select(F.col("node").alias("v"), F.col("comm").alias("cv"))
-    w_uc = (arcs.filter(eligible("u")).join(neigh, "v")
-            .groupBy("u", "cv").agg(F.sum("w").alias("wuc")))
-    own = st.filter(eligible("node")).select(F.col("node").alias("u"), F.col("comm").alias("cv"),
-                                             F.lit(0.0).alias("wuc"))
-    cand = w_uc.unionByName(own).groupBy("u", "cv").agg(F.sum("wuc").alias("wuc"))
-    tot = st.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
-    me = st.select(F.col("node").alias("u"), F.col("comm").alias("cu"), F.col("k").alias("ku"))
-    cand = (cand.join(me, "u")
-            .join(tot.select(F.col("comm").alias("cv"), F.col("tot").alias("tot_v"),
-                             F.col("size").alias("size_v")), "cv"))
+    m_of = F.element_at(_lit_map(m), F.col("g"))
+    st = state.filter(F.col("g").isin(active)).select("g", "node", "comm", "k")
+    neigh = st.select("g", F.col("node").alias("v"), F.col("comm").alias("cv"))
+    w_uc = (arcs.filter(F.col("g").isin(active) & eligible("u")).join(neigh, ["g", "v"])
+            .select("g", "u", "cv", "w"))
+    own = st.filter(eligible("node")).select("g", F.col("node").alias("u"), F.col("comm").alias("cv"),
+                                             F.lit(0.0).alias("w"))
+    cand = w_uc.unionByName(own).groupBy("g", "u", "cv").agg(F.sum("w").alias("wuc"))
+    tot = st.groupBy("g", "comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
+    me = st.select("g", F.col("node").alias("u"), F.col("comm").alias("cu"), F.col("k").alias("ku"))
+    cand = (cand.join(me, ["g", "u"])
+            .join(tot.select("g", F.col("comm").alias("cv"), F.col("tot").alias("tot_v"),
+                             F.col("size").alias("size_v")), ["g", "cv"]))
     tot_wo = F.col("tot_v") - F.when(F.col("cv") == F.col("cu"), F.col("ku")).otherwise(F.lit(0.0))
-    cand = cand.withColumn("gain", F.col("wuc") / F.lit(m)
-                           - F.col("ku") * tot_wo / F.lit(2.0 * m * m))
-    best = cand.groupBy("u").agg(
-        F.max_by(F.struct(F.col("cv").alias("c"), F.col("gain").alias("g"), F.col("size_v").alias("s")),
+    cand = cand.withColumn("gain", F.col("wuc") / m_of - F.col("ku") * tot_wo / (F.lit(2.0) * m_of * m_of))
+    best = cand.groupBy("g", "u").agg(
+        F.max_by(F.struct(F.col("cv").alias("c"), F.col("gain").alias("gn"), F.col("size_v").alias("s")),
                  F.struct(F.col("gain"), (-F.col("cv")).alias("neg_c"))).alias("b"),
         F.max(F.when(F.col("cv") == F.col("cu"), F.col("gain"))).alias("own_gain"),
         F.max(F.when(F.col("cv") == F.col("cu"), F.col("size_v"))).alias("own_size"),
         F.first("cu").alias("cu"))
     moves = best.filter(
         (F.col("b.c") != F.col("cu"))
-        & (F.col("b.g") > F.col("own_gain") + F.lit(_EPS))
+        & (F.col("b.gn") > F.col("own_gain") + F.lit(_EPS))
         & ~((F.col("own_size") == 1) & (F.col("b.s") == 1) & (F.col("b.c") > F.col("cu"))))
-    moves = moves.select(F.col("u").alias("node"), F.col("b.c").alias("new_comm"))
-    return (st.join(moves, "node", "left")
-            .select("node", F.coalesce("new_comm", "comm").alias("comm"), "k",
+    moves = moves.select("g", F.col("u").alias("node"), F.col("b.c").alias("new_comm"))
+    best_col = F.col("best")
+    if improved:
+        best_col = F.when(F.col("g").isin(improved), F.col("comm")).otherwise(F.col("best"))
+    return (state.join(moves, ["g", "node"], "left")
+            .select("g", "node", F.coalesce("new_comm", "comm").alias("comm"), best_col.alias("best"), "k",
                     F.col("new_comm").isNotNull().alias("moved")))
 
 
-def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, seed: int = 42,
-            max_rounds: int = 40, max_levels: int = 12, threshold: float = 1e-7,
-            weight_col: str = "weight") -> tuple[DataFrame, DataFrame]:
-    """Louvain communities of ``edges(src, dst, weight)`` over ``nodes(node)``."""
+def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
+            graph_ids: list | None = None, seed: int = 42, max_rounds: int = 40, max_levels: int = 12,
+            threshold: float = 1e-7, weight_col: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """Louvain communities of ``edges(src, dst, weight[, graph])``.
+
+    ``nodes(node)`` declares the node set (shared by all graphs); nodes
+    without edges become singletons. ``graph_ids`` lists the graphs to
+    report, including edge-less ones; by default the graphs present in the
+    edge table.
+    """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
+    gcol = F.col(graph_col) if graph_col else F.lit(0).cast("long")
     w = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col in edges.columns else F.lit(1.0)
-    e = (edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"),
-                      w.alias("w"))
+    e = (edges.select(gcol.alias("g"), F.col("src").cast("long").alias("src"),
+                      F.col("dst").cast("long").alias("dst"), w.alias("w"))
          .filter(F.col("w") > 0)  # Louvain needs positive weights
-         .groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+         .groupBy("g", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
          .agg(F.max("w").alias("w")))
-    ends = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node")))
-    all_nodes = ends if nodes is None else nodes.select(F.col("node").cast("long")).unionByName(ends)
-    all_nodes = materialize(all_nodes.distinct(), "nodes")
-    n_nodes = all_nodes.count()
     level_edges = materialize(e, "edges")
-    n_edges = level_edges.count()
-    if n_edges == 0:
-        empty = spark.createDataFrame([], "node long, community long")
-        summary = spark.createDataFrame([(None, 0, 0, 0, n_nodes, 0, 0)], SUMMARY_SCHEMA)
-        return empty, summary
+    per_g = level_edges.groupBy("g").agg(F.sum("w").alias("m"), F.count(F.lit(1)).alias("n_e")).collect()
+    m = {r["g"]: float(r["m"]) for r in per_g}
+    n_edges = {r["g"]: int(r["n_e"]) for r in per_g}
+    if graph_ids is None:
+        graph_ids = sorted(m) if graph_col else [0]
+    gtype = edges.schema[graph_col].dataType if graph_col else T.LongType()
+
+    ends = (level_edges.select("g", F.col("a").alias("node"))
+            .unionByName(level_edges.select("g", F.col("b").alias("node"))))
+    if nodes is not None:
+        decl = nodes.select(F.explode(F.array(*[F.lit(x).cast(gtype) for x in graph_ids])).alias("g"),
+                            F.col("node").cast("long").alias("node"))
+        ends = decl.unionByName(ends)
+    all_nodes = materialize(ends.distinct(), "nodes")
 
     assign = None
-    total_rounds = 0
-    levels = 0
-    final_q = None
-    m = float(level_edges.agg(F.sum("w")).first()[0])
+    final_q: dict = {}
+    levels = {g: 0 for g in m}
+    rounds = {g: 0 for g in m}
+    running = sorted(m)
     for level in range(max_levels):
+        if not running:
+            break
+        level_edges = level_edges.filter(F.col("g").isin(running))
+        arcs_one = level_edges.filter(F.col("a") != F.col("b"))
         arcs = materialize(
-            level_edges.filter(F.col("a") != F.col("b"))
-            .select(F.col("a").alias("u"), F.col("b").alias("v"), "w")
-            .unionByName(level_edges.filter(F.col("a") != F.col("b"))
-                         .select(F.col("b").alias("u"), F.col("a").alias("v"), "w")), "arcs")
-        k = (level_edges.select(F.col("a").alias("node"), "w")
-             .unionByName(level_edges.select(F.col("b").alias("node"), "w"))
-             .groupBy("node").agg(F.sum("w").alias("k")))
-        state = materialize(k.select("node", F.col("node").alias("comm"), "k",
-                                     F.lit(False).alias("moved")), "state")
-        best_state, best_q = state, _modularity_of_state(level_edges, state, m)
+            arcs_one.select("g", F.col("a").alias("u"), F.col("b").alias("v"), "w")
+            .unionByName(arcs_one.select("g", F.col("b").alias("u"), F.col("a").alias("v"), "w")), "arcs")
+        k = (level_edges.select("g", F.col("a").alias("node"), "w")
+             .unionByName(level_edges.select("g", F.col("b").alias("node"), "w"))
+             .groupBy("g", "node").agg(F.sum("w").alias("k")))
+        state = materialize(k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("best"),
+                                     "k", F.lit(False).alias("moved")), "state")
+        best_q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in running})
         if assign is None:  # identity map, read from the level-0 edge table
-            assign, final_q = k.select("node", F.col("node").alias("comm")), best_q
-        sweep_moves = 0
+            assign = k.select("g", "node", F.col("node").alias("comm"))
+            final_q = dict(best_q)
+        active = list(running)
+        improved: list = []
+        sweep_moves = {g: 0 for g in active}
         for r in range(max_rounds):
             prev = state
-            state = materialize(_round(state, arcs, m, level, r // 2, r % 2, seed), "state")
-            if prev is not best_state:
-                drop_materialized(prev)
-            total_rounds += 1
-            sweep_moves += state.filter("moved").count()
+            state = materialize(_round(state, arcs, m, active, improved, level, r // 2, r % 2, seed), "state")
+            drop_materialized(prev)
+            improved = []
+            for g in active:
+                rounds[g] += 1
+            for row in state.filter("moved").groupBy("g").count().collect():
+                sweep_moves[row["g"]] += int(row["count"])
             if r % 2 == 1:
-                if sweep_moves == 0:
+                q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in active})
+                improved = [g for g in active if q.get(g, best_q[g]) > best_q[g] + 1e-15]
+                for g in improved:
+                    best_q[g] = q[g]
+                active = [g for g in active if sweep_moves[g] > 0]
+                sweep_moves = {g: 0 for g in active}
+                if not active:
                     break
-                q = _modularity_of_state(level_edges, state, m)
-                if q > best_q + 1e-15:
-                    if best_state is not prev and best_state is not state:
-                        drop_materialized(best_state)
-                    best_state, best_q = state, q
-                sweep_moves = 0
-        levels += 1
-        n_level = best_state.count()
-        n_comm = best_state.select("comm").distinct().count()
-        if n_comm == n_level or (level > 0 and best_q - final_q <= threshold):
-            break  # nothing merged / too small a gain: keep the previous level
-        final_q = best_q
-        mapping = best_state.select(F.col("node").alias("comm"), F.col("comm").alias("new_comm"))
-        assign = materialize(assign.join(mapping, "comm")
-                             .select("node", F.col("new_comm").alias("comm")), "assign")
-        c1 = best_state.select(F.col("node").alias("a"), F.col("comm").alias("ca"))
-        c2 = best_state.select(F.col("node").alias("b"), F.col("comm").alias("cb"))
+        if improved:  # record the last sweep end as best for these graphs
+            prev = state
+            state = materialize(state.withColumn(
+                "best", F.when(F.col("g").isin(improved), F.col("comm")).otherwise(F.col("best"))), "state")
+            drop_materialized(prev)
+        counts = (state.groupBy("g").agg(F.count(F.lit(1)).alias("n"),
+                                         F.countDistinct("best").alias("c")).collect())
+        merged = []
+        for row in counts:
+            g = row["g"]
+            gained = level == 0 or best_q[g] - final_q[g] > threshold
+            if row["c"] < row["n"] and gained:
+                merged.append(g)
+                final_q[g] = best_q[g]
+                levels[g] += 1
+        running = sorted(merged)
+        if not running:
+            break
+        mapping = (state.filter(F.col("g").isin(running))
+                   .select("g", F.col("node").alias("comm"), F.col("best").alias("new_comm")))
+        assign = materialize(assign.join(mapping, ["g", "comm"], "left")
+                             .select("g", "node", F.coalesce("new_comm", "comm").alias("comm")), "assign")
+        c1 = state.select("g", F.col("node").alias("a"), F.col("best").alias("ca"))
+        c2 = state.select("g", F.col("node").alias("b"), F.col("best").alias("cb"))
         level_edges = materialize(
-            level_edges.join(c1, "a").join(c2, "b")
-            .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+            level_edges.filter(F.col("g").isin(running)).join(c1, ["g", "a"]).join(c2, ["g", "b"])
+            .groupBy("g", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
             .agg(F.sum("w").alias("w")), "edges")
 
     # nodes without edges are their own communities; label = smallest member
-    full = (all_nodes.join(assign, "node", "left")
-            .select("node", F.coalesce("comm", F.col("node") * F.lit(-1) - F.lit(1)).alias("comm")))
-    labels = full.groupBy("comm").agg(F.min("node").alias("community"), F.count(F.lit(1)).alias("size"))
-    partition = materialize(full.join(labels, "comm").select("node", "community"), "partition")
-    sizes = labels.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") >= 2).alias("nt")).first()
-    summary = spark.createDataFrame(
-        [(float(final_q), int(sizes["n"]), int(sizes["nt"]), int(n_edges), int(n_nodes),
-          int(levels), int(total_rounds))], SUMMARY_SCHEMA)
-    return partition, summary
+    if assign is None:
+        assign = spark.createDataFrame([], T.StructType([T.StructField("g", gtype),
+                                                          T.StructField("node", T.LongType()),
+                                                          T.StructField("comm", T.LongType())]))
+    with_edges = all_nodes.filter(F.col("g").isin(list(m))) if m else all_nodes.limit(0)
+    full = (with_edges.join(assign, ["g", "node"], "left")
+            .select("g", "node", F.coalesce("comm", -F.col("node") - F.lit(1)).alias("comm")))
+    labels = full.groupBy("g", "comm").agg(F.min("node").alias("community"), F.count(F.lit(1)).alias("size"))
+    partition = materialize(full.join(labels, ["g", "comm"]).select("g", "node", "community"), "partition")
+    sizes = {r["g"]: r for r in labels.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") >= 2).alias("nt")).collect()}
+    node_counts = {r["g"]: int(r["count"]) for r in all_nodes.groupBy("g").count().collect()}
+    rows = []
+    for g in graph_ids:
+        if g in m:
+            rows.append((g, float(final_q[g]), int(sizes[g]["n"]), int(sizes[g]["nt"]), n_edges[g],
+                         node_counts.get(g, 0), levels[g], rounds[g]))
+        else:
+            rows.append((g, None, 0, 0, 0, node_counts.get(g, 0), 0, 0))
+    schema = T.StructType([
+        T.StructField("g", gtype), T.StructField("modularity", T.DoubleType()),
+        T.StructField("num_communities", T.LongType()), T.StructField("num_nontrivial", T.LongType()),
+        T.StructField("edges", T.LongType()), T.StructField("nodes", T.LongType()),
+        T.StructField("levels", T.IntegerType()), T.StructField("rounds", T.IntegerType())])
+    summary = spark.createDataFrame(rows, schema)
+    if graph_col:
+        return (partition.withColumnRenamed("g", graph_col), summary.withColumnRenamed("g", graph_col))
+    return partition.drop("g"), summary.drop("g")

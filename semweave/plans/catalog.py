@@ -581,3 +581,128 @@ FROM reco WHERE query_id IN (SELECT id FROM pick)""")
 def q_recommend_sample(spark, sf):
     part = TB.quality_partition(TB.load_table(spark, sf, "labels"))
     return rounded(recommend_sample(_vectors(spark, sf), _papers(spark, sf), part, K_HIST, SEED))
+
+
+# --------------------------------------------------------------------------
+# communities by Louvain
+# --------------------------------------------------------------------------
+
+@register("louvain_duplicates", """
+SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS community FROM documents""")
+def q_louvain_duplicates(spark, sf):
+    """Exact-duplicate texts form disjoint stars; the optimal partition is
+    the set of duplicate groups, labelled by their smallest id."""
+    from semweave.operators.louvain import louvain
+
+    docs = TB.load_table(spark, sf, "documents")
+    part, _ = louvain(TB.duplicate_edges(docs), docs.select(F.col("doc_id").alias("node")), seed=SEED)
+    return part
+
+
+@register("louvain_knn")
+def q_louvain_knn(spark, sf):
+    from semweave.operators.louvain import louvain
+
+    e, _ = _graph(spark, sf)
+    part, _ = louvain(e, _nodes(spark, sf), seed=SEED)
+    return part
+
+
+def _sweep_quality(spark, sf):
+    from semweave.plans import jobs
+
+    knn = _knn(spark, sf, K_GRAPH)
+    return jobs.tau_sweep_job(_vectors(spark, sf), _nodes(spark, sf), knn=knn, seed=SEED)
+
+
+@register("louvain_sweep")
+def q_louvain_sweep(spark, sf):
+    return rounded(_sweep_quality(spark, sf)["louvain"])
+
+
+@register("graph_quality")
+def q_graph_quality(spark, sf):
+    return rounded(_sweep_quality(spark, sf)["quality"])
+
+
+@register("select_best_tau")
+def q_select_best_tau(spark, sf):
+    return rounded(_sweep_quality(spark, sf)["best"])
+
+
+# --------------------------------------------------------------------------
+# embedding, clustering, approximate kNN
+# --------------------------------------------------------------------------
+
+@register("embed_hashing")
+def q_embed_hashing(spark, sf):
+    from semweave.operators.embed import hashing_embedder
+
+    p = _papers(spark, sf, EMBED_MIN_YEAR, EMBED_MIN_WORDS, null_date="drop")
+    return hashing_embedder(p).select("paper_id", "year", "title", "embedding")
+
+
+@register("embed_incremental", _with(_papers_sql(EMBED_MIN_YEAR)) + f"""
+SELECT paper_id, year, 512 AS dim FROM papers
+WHERE n_words >= {EMBED_MIN_WORDS} AND paper_id NOT IN (SELECT vec_id FROM embeddings)""")
+def q_embed_incremental(spark, sf):
+    from semweave.operators.embed import embed_incremental, hashing_embedder
+
+    p = _papers(spark, sf, EMBED_MIN_YEAR, EMBED_MIN_WORDS, null_date="drop")
+    done = TB.load_table(spark, sf, "embeddings").select(F.col("vec_id").alias("paper_id"))
+    new = embed_incremental(p, done, hashing_embedder)
+    return new.select("paper_id", "year", F.size("embedding").alias("dim"))
+
+
+@register("kmeans_labels")
+def q_kmeans_labels(spark, sf):
+    from semweave.operators.cluster import kmeans_assign, kmeans_fit
+
+    v = _vectors(spark, sf)
+    return kmeans_assign(v, kmeans_fit(v, 10, SEED))
+
+
+@register("nearest_centroid", """
+WITH ex AS (SELECT label, unnest(generate_series(1, len(embedding))) AS pos, unnest(embedding) AS x
+            FROM embeddings),
+m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS v FROM ex GROUP BY label, pos),
+c AS (SELECT CAST(label AS BIGINT) AS label, list(v ORDER BY pos) AS centroid FROM m GROUP BY label),
+d AS (SELECT e.vec_id AS id, c.label, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.centroid) AS dist
+      FROM embeddings e, c),
+r AS (SELECT id, label, dist, row_number() OVER (PARTITION BY id ORDER BY dist, label) AS rn FROM d)
+SELECT id, label AS nearest, round(dist, 6) AS dist FROM r WHERE rn = 1""")
+def q_nearest_centroid(spark, sf):
+    from semweave.operators.cluster import label_centroids, nearest_centroid
+
+    e = TB.load_table(spark, sf, "embeddings")
+    cents = label_centroids(e)
+    return rounded(nearest_centroid(e, cents, id_col="vec_id"))
+
+
+@register("knn_ivf")
+def q_knn_ivf(spark, sf):
+    return rounded(knn_join(_vectors(spark, sf), K_HIST, mode="ivf", nprobe=4, seed=SEED))
+
+
+@register("knn_lsh")
+def q_knn_lsh(spark, sf):
+    return rounded(knn_join(_vectors(spark, sf), K_HIST, mode="lsh", seed=SEED))
+
+
+@register("knn_recall")
+def q_knn_recall(spark, sf):
+    """Recall@5 of IVF at several probe counts (the last probes every cell)."""
+    import math
+
+    from semweave.operators.knn import knn_recall
+
+    v = _vectors(spark, sf)
+    exact = _knn(spark, sf, K_HIST)
+    cells = max(1, int(round(math.sqrt(v.count()))))
+    out = None
+    for nprobe in (1, 4, 8, cells):
+        ivf = knn_join(v, K_HIST, mode="ivf", n_cells=cells, nprobe=nprobe, seed=SEED)
+        r = knn_recall(ivf, exact, K_HIST).withColumn("nprobe", F.lit(nprobe)).withColumn(
+            "n_cells", F.lit(cells))
+        out = r if out is None else out.unionByName(r)
+    return out
