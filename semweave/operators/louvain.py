@@ -191,16 +191,20 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
         sweep_moves = {g: 0 for g in active}
         for r in range(max_rounds):
             prev = state
-            state = materialize(_round(state, arcs, m, active, improved, level, r // 2, r % 2, seed), "state")
+            # per-graph move counts are observed during the write itself
+            counters = {f"m{i}": F.count_if(F.col("moved") & (F.col("g") == F.lit(g)))
+                        for i, g in enumerate(active)}
+            state, moved = materialize(_round(state, arcs, m, active, improved, level, r // 2, r % 2, seed),
+                                       "state", observe=counters)
             drop_materialized(prev)
             improved = []
-            for g in active:
+            for i, g in enumerate(active):
                 rounds[g] += 1
-            for row in state.filter("moved").groupBy("g").count().collect():
-                sweep_moves[row["g"]] += int(row["count"])
+                sweep_moves[g] += int(moved.get(f"m{i}", 0) or 0)
             if r % 2 == 1:
-                q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in active})
-                improved = [g for g in active if q.get(g, best_q[g]) > best_q[g] + 1e-15]
+                changed = [g for g in active if sweep_moves[g] > 0]
+                q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in changed}) if changed else {}
+                improved = [g for g in changed if q.get(g, best_q[g]) > best_q[g] + 1e-15]
                 for g in improved:
                     best_q[g] = q[g]
                 active = [g for g in active if sweep_moves[g] > 0]

@@ -77,7 +77,7 @@ _RUN_ID = uuid.uuid4().hex[:12]
 _COUNTER = itertools.count()
 
 
-def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     This cuts the lineage like ``checkpoint()`` (the data sits in reliable
@@ -85,9 +85,20 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     iterations) and, unlike a checkpointed plan, the re-read table carries
     file-size statistics, which keeps the optimizer's size estimates (and
     its broadcast decisions) accurate across many iterations.
+
+    With ``observe`` (name -> aggregate Column), the aggregates are computed
+    during the same write (``DataFrame.observe``) and ``(table, values)`` is
+    returned, saving a separate counting job.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{next(_COUNTER):05d}")
+    if observe:
+        from pyspark.sql import Observation
+
+        obs = Observation(f"obs-{tag}-{next(_COUNTER)}")
+        df = df.observe(obs, *[c.alias(n) for n, c in observe.items()])
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path), obs.get
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
