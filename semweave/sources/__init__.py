@@ -8,6 +8,7 @@ from semweave.sources.papers import PAPER_SCHEMA, read_papers, clean_papers, pap
 from semweave.sources.files import (
     write_table, read_edges, write_edges, read_partition, write_partition,
     read_embeddings, write_embeddings, write_one_row_json, require_columns,
+    paper_metadata, write_best_config, load_best_partition,
 )
 
 __all__ = [
@@ -16,4 +17,5 @@ __all__ = [
     "PAPER_SCHEMA", "read_papers", "clean_papers", "papers_as_json_lines",
     "write_table", "read_edges", "write_edges", "read_partition", "write_partition",
     "read_embeddings", "write_embeddings", "write_one_row_json", "require_columns",
+    "paper_metadata", "write_best_config", "load_best_partition",
 ]

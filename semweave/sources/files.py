@@ -99,3 +99,39 @@ def require_columns(df: DataFrame, required: list[str], what: str = "table") ->
     if missing:
         raise ValueError(f"{what} is missing required columns: {missing}")
     return df
+
+
+def paper_metadata(papers: DataFrame) -> DataFrame:
+    """``(paper_id, year, title)`` — the id-keyed metadata the reference
+    kept in line-aligned side files."""
+    return papers.select("paper_id", "year", "title")
+
+
+def write_best_config(best: DataFrame, path: str, graph_dir: str, louvain_dir: str) -> None:
+    """Persist the chosen graph: ``pkeep, tau`` (3 places), ``modularity,
+    num_communities`` and where its edges and partition live."""
+    row = best.select(
+        F.col("p_keep").alias("pkeep"), F.round("tau", 3).alias("tau"), "modularity", "num_communities",
+        "tau_tag",
+        F.lit(graph_dir).alias("graph_dir"), F.lit(louvain_dir).alias("louvain_dir"),
+        F.concat(F.lit(graph_dir.rstrip("/") + "/tau_tag="), F.col("tau_tag")).alias("edges_path"),
+    )
+    write_one_row_json(row, path)
+
+
+def load_best_partition(spark: SparkSession, config_path: str) -> DataFrame | None:
+    """Partition of the chosen graph, or None when no configuration exists
+    (recommendations are then made without community labels)."""
+    import warnings
+
+    try:
+        cfg = spark.read.json(config_path).first()
+    except Exception:  # noqa: BLE001 - missing config is a supported state
+        cfg = None
+    if cfg is None:
+        warnings.warn(f"no best-graph configuration at {config_path}; no community labels")
+        return None
+    part = read_partition(spark, cfg["louvain_dir"])
+    if "tau_tag" in part.columns:
+        part = part.filter(F.col("tau_tag") == cfg["tau_tag"]).drop("tau_tag")
+    return part

@@ -55,3 +55,28 @@ def test_eda_job_empty_raises(spark):
     papers = P.clean_papers(TB.papers_from_documents(TB.load_table(spark, SF001, "documents")), min_year=3000)
     with pytest.raises(RuntimeError):
         jobs.eda_job(papers)
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from semweave.sources import files as FS
+
+    e = spark.createDataFrame([(0, 1, 0.2, 0.8, "tau_0p600"), (1, 2, 0.5, None, "tau_0p600")],
+                              "src long, dst long, dist double, weight double, tau_tag string")
+    FS.write_edges(e, str(tmp_path / "edges"))
+    back = FS.read_edges(spark, str(tmp_path / "edges"))
+    assert back.count() == 2 and back.filter("weight = 1.0").count() == 1  # missing weight -> 1.0
+    FS.write_table(e.drop("tau_tag"), str(tmp_path / "tsv"), fmt="tsv")
+    (tmp_path / "tsv" / "zz-bad.csv").write_text("src\tdst\tdist\tweight\nx\t1\t0.1\t0.9\n")
+    assert FS.read_edges(spark, str(tmp_path / "tsv"), fmt="tsv").count() == 2
+    part = spark.createDataFrame([("tau_0p600", 0, 0), ("tau_0p600", 1, 0), ("tau_0p700", 1, 1)],
+                                 "tau_tag string, node long, community long")
+    part.write.parquet(str(tmp_path / "louvain"))
+    best = spark.createDataFrame([(0.2, 0.6, 0.5, 2, "tau_0p600")],
+                                 "p_keep double, tau double, modularity double, num_communities long, tau_tag string")
+    FS.write_best_config(best, str(tmp_path / "best"), str(tmp_path / "edges"), str(tmp_path / "louvain"))
+    got = FS.load_best_partition(spark, str(tmp_path / "best"))
+    assert sorted((r.node, r.community) for r in got.collect()) == [(0, 0), (1, 0)]
+    assert FS.load_best_partition(spark, str(tmp_path / "nothing")) is None
+    import pytest
+    with pytest.raises(ValueError):
+        FS.require_columns(best, ["p_keep", "missing"])
