@@ -19,9 +19,9 @@ Parallel local moving
 
     (ties to the smaller label) only if it beats staying by more than
     1e-12; a singleton joins another singleton only if that label is
-    smaller. A graph's level ends after a sweep without moves (or
-    ``max_rounds``); the best state seen at a sweep end (by modularity) is
-    kept.
+    smaller. A graph's level ends after a sweep without moves or without a
+    modularity gain above ``tol`` (or after ``max_rounds``); the best state
+    seen at a sweep end is kept.
 
 Contraction
     Communities become nodes; parallel edges are summed and internal
@@ -131,13 +131,16 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
             graph_ids: list | None = None, seed: int = 42, max_rounds: int = 40, max_levels: int = 12,
-            threshold: float = 1e-7, weight_col: str = "weight") -> tuple[DataFrame, DataFrame]:
+            threshold: float = 1e-7, tol: float = 1e-6,
+            weight_col: str = "weight") -> tuple[DataFrame, DataFrame]:
     """Louvain communities of ``edges(src, dst, weight[, graph])``.
 
     ``nodes(node)`` declares the node set (shared by all graphs); nodes
     without edges become singletons. ``graph_ids`` lists the graphs to
     report, including edge-less ones; by default the graphs present in the
-    edge table.
+    edge table. A graph's level ends when a sweep makes no move or gains
+    no more than ``tol`` modularity over the best state so far; levels stop
+    when one gains no more than ``threshold``.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -182,10 +185,12 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
              .groupBy("g", "node").agg(F.sum("w").alias("k")))
         state = materialize(k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("best"),
                                      "k", F.lit(False).alias("moved")), "state")
-        best_q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in running})
         if assign is None:  # identity map, read from the level-0 edge table
             assign = k.select("g", "node", F.col("node").alias("comm"))
+            best_q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in running})
             final_q = dict(best_q)
+        else:  # contraction preserves modularity: the level starts where the last ended
+            best_q = {g: final_q[g] for g in running}
         active = list(running)
         improved: list = []
         sweep_moves = {g: 0 for g in active}
@@ -205,9 +210,10 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
                 changed = [g for g in active if sweep_moves[g] > 0]
                 q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in changed}) if changed else {}
                 improved = [g for g in changed if q.get(g, best_q[g]) > best_q[g] + 1e-15]
+                # a graph keeps moving while its sweeps still gain more than tol
+                active = [g for g in changed if q.get(g, best_q[g]) - best_q[g] > tol]
                 for g in improved:
                     best_q[g] = q[g]
-                active = [g for g in active if sweep_moves[g] > 0]
                 sweep_moves = {g: 0 for g in active}
                 if not active:
                     break
