@@ -62,3 +62,10 @@ def clean_title(title) -> Column:
 def tau_tag(tau) -> Column:
     """Stable string key for a threshold: 0.19 -> 'tau_0p190'."""
     return F.concat(F.lit("tau_"), F.replace(F.format_string("%.3f", _c(tau)), F.lit("."), F.lit("p")))
+
+
+def utc_date_text(ts) -> Column:
+    """``yyyy-MM-dd`` of a timestamp in UTC, whatever the session time zone
+    (whole days since the epoch, then a zone-free DATE)."""
+    days = F.floor(F.unix_seconds(_c(ts)) / F.lit(86400)).cast("int")
+    return F.date_from_unix_date(days).cast("string")

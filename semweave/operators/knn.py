@@ -260,7 +260,7 @@ def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_ro
 
 
 def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
-             block_rows: int) -> DataFrame:
+             block_rows: int, max_train: int = 1_000_000) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -268,7 +268,10 @@ def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
     if n_cells is None:
         n_cells = max(1, int(round(math.sqrt(n))))
     nprobe = max(1, min(nprobe, n_cells))
-    train = v.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
+    train = v
+    if n > max_train:  # centroids are fitted on a seeded sample; every row is still searched
+        train = v.sample(fraction=min(1.0, 1.2 * max_train / n), seed=seed)
+    train = train.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(train)
     cent = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     _check_broadcast(cent.shape[0], cent.shape[1] if cent.ndim == 2 else 0, "IVF centroids")

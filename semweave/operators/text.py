@@ -63,11 +63,18 @@ def length_histogram(papers: DataFrame, bins: int = 50, col: str = "n_words") ->
     Edges are ``min + i * (max - min) / bins`` with the last edge exactly
     ``max``; intervals are half open except the last. When ``min == max``
     the range is widened by 0.5 on both sides. Output
-    ``(bin, lo, hi, count)`` includes empty bins. The range is a one-row
-    aggregate joined back to the (partially aggregated) bin counts.
+    ``(bin, lo, hi, count)`` includes empty bins.
+
+    The texts are scanned once: counts per distinct value (a partial
+    aggregation whose output is bounded by the number of distinct lengths)
+    are materialised, and the range and the binning run on that small table.
     """
-    x = F.col(col).cast("double")
-    r = papers.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()  # two scalars
+    from semweave.session import materialize
+
+    by_value = materialize(papers.groupBy(F.col(col).cast("double").alias("x"))
+                           .agg(F.count(F.lit(1)).alias("c")), "lengths")
+    x = F.col("x")
+    r = by_value.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()  # two scalars
     if r["mn"] is None:
         raise RuntimeError("length_histogram: no rows")
     first, last = float(r["mn"]), float(r["mx"])
@@ -87,6 +94,6 @@ def length_histogram(papers: DataFrame, bins: int = 50, col: str = "n_words") ->
     fixed = (F.when(x < edge(g), g - 1)
              .when((x >= edge(g + 1)) & (g != F.lit(bins - 1)), g + 1)
              .otherwise(g))
-    counts = papers.select(fixed.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    counts = by_value.select(fixed.alias("bin"), "c").groupBy("bin").agg(F.sum("c").alias("count"))
     return (grid.join(F.broadcast(counts), "bin", "left")
             .select("bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("count")))

@@ -706,3 +706,51 @@ def q_knn_recall(spark, sf):
             "n_cells", F.lit(cells))
         out = r if out is None else out.unionByName(r)
     return out
+
+
+# --------------------------------------------------------------------------
+# further bindings of the same operators
+# --------------------------------------------------------------------------
+
+@register("year_distribution_orders", """
+SELECT TRY_CAST(split_part(coalesce(nullif(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), ''), '0-0-0'), '-', 1)
+                AS INTEGER) AS year,
+       CAST(count(*) AS BIGINT) AS papers
+FROM orders GROUP BY 1""")
+def q_year_distribution_orders(spark, sf):
+    """Records per year parsed from real date text (``orders.o_orderdate``)."""
+    from semweave.functions.text import utc_date_text, year_from_date
+
+    o = TB.load_table(spark, sf, "orders")
+    years = o.select(year_from_date(utc_date_text(F.col("o_orderdate"))).alias("year"))
+    return X.year_distribution(years)
+
+
+@register("paper_coherence", _with(_knn_sql(K_HIST), _LABEL_PART_SQL) + f""",
+nn AS (SELECT knn.src, p1.community AS c1, p2.community AS c2 FROM knn
+       LEFT JOIN part p1 ON p1.node = knn.src LEFT JOIN part p2 ON p2.node = knn.dst
+       WHERE knn.rank <= {K_HIST})
+SELECT src AS node, CAST(count(*) AS BIGINT) AS pairs,
+       CAST(sum(CASE WHEN c1 = c2 THEN 1 ELSE 0 END) AS BIGINT) AS same,
+       round(CAST(sum(CASE WHEN c1 = c2 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS share
+FROM nn GROUP BY src""")
+def q_paper_coherence(spark, sf):
+    part = TB.label_partition(TB.load_table(spark, sf, "embeddings"))
+    return rounded(C.paper_coherence(_knn(spark, sf, K_HIST), part, K_HIST))
+
+
+@register("distance_chunk_stats", _with(_knn_sql(K_HIST)) + f"""
+SELECT CAST(floor(src / 25000) * 25000 + floor((src % 25000) / 20000) * 20000 AS BIGINT) AS start,
+       round(avg(dist), 6) AS mean, round(median(dist), 6) AS median, round(stddev_pop(dist), 6) AS std,
+       round(min(dist), 6) AS min, round(max(dist), 6) AS max
+FROM knn WHERE rank <= {K_HIST} GROUP BY 1""")
+def q_distance_chunk_stats(spark, sf):
+    return rounded(D.distance_chunk_stats(_knn(spark, sf, K_HIST), K_HIST))
+
+
+@register("partition_summary", _with(_LABEL_PART_SQL) + """,
+s AS (SELECT community, count(*) AS size FROM part GROUP BY community)
+SELECT CAST(count(*) AS BIGINT) AS num_communities, CAST(count(*) FILTER (WHERE size >= 2) AS BIGINT)
+       AS num_nontrivial, CAST(max(size) AS BIGINT) AS largest FROM s""")
+def q_partition_summary(spark, sf):
+    return C.partition_summary(TB.label_partition(TB.load_table(spark, sf, "embeddings")))

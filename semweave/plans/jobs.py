@@ -108,6 +108,31 @@ def select_best_tau(quality: DataFrame) -> DataFrame:
             .orderBy(F.col("modularity").desc(), F.col("tau").asc()).limit(1))
 
 
+def embed_job(spark, papers_path: str, out_path: str, *, min_year: int = 2015, min_words: int = 10,
+              dim: int = 512, shard_size: int = 25_000, force: bool = False,
+              embed=None) -> int:
+    """Scan JSON-lines papers → filter → embed what is not embedded yet →
+    write (append; ``force`` rewrites everything). Returns the table's row
+    count. Unlike the reference's reuse check, already embedded ids are
+    skipped one by one, so a changed filter only adds what is missing."""
+    from semweave.sources.files import write_embeddings
+    from semweave.sources.papers import clean_papers, read_papers
+
+    embed = embed or (lambda df: hashing_embedder(df, dim))
+    papers = clean_papers(read_papers(spark, papers_path), min_year=min_year, min_words=min_words,
+                          null_date="drop")
+    existing = None
+    if not force:
+        try:
+            existing = spark.read.parquet(out_path)
+        except Exception:  # noqa: BLE001 - no table yet
+            existing = None
+    new = embed_incremental(papers, existing, embed, force=force)
+    out = new.select("paper_id", "year", "title", "embedding")
+    write_embeddings(out, out_path, shard_size, mode="overwrite" if (force or existing is None) else "append")
+    return spark.read.parquet(out_path).count()
+
+
 def pipeline_job(papers: DataFrame, *, existing: DataFrame | None = None, dim: int = 512,
                  pkeep: float = PKEEP, clusters: int = 0, seed: int = 42) -> dict:
     """Embed (incrementally) → kNN → histogram → τ → graph → stats →

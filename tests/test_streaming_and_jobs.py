@@ -80,3 +80,19 @@ def test_sinks_round_trip(spark, tmp_path):
     import pytest
     with pytest.raises(ValueError):
         FS.require_columns(best, ["p_keep", "missing"])
+
+
+def test_embed_job_and_pipeline(spark, tmp_path):
+    raw = TB.papers_from_documents(TB.load_table(spark, SF001, "documents")).orderBy("paper_id").collect()
+    src = tmp_path / "papers.jsonl"
+    _write_jsonl(src, raw)
+    out = str(tmp_path / "emb")
+    n1 = jobs.embed_job(spark, str(src), out, min_year=2015, min_words=10)
+    n2 = jobs.embed_job(spark, str(src), out, min_year=2010, min_words=10)  # adds only what is missing
+    n3 = jobs.embed_job(spark, str(src), out, min_year=2015, min_words=10, force=True)
+    assert 0 < n1 < n2 and n3 == n1
+    papers = P.clean_papers(TB.papers_from_documents(TB.load_table(spark, SF001, "documents")))
+    res = jobs.pipeline_job(papers.limit(120), clusters=3)
+    assert res["stats"].first()["nodes"] == 120
+    assert res["kmeans"].select("cluster").distinct().count() <= 3
+    assert res["sample"].count() == 5
