@@ -64,8 +64,13 @@ def tau_tag(tau) -> Column:
     return F.concat(F.lit("tau_"), F.replace(F.format_string("%.3f", _c(tau)), F.lit("."), F.lit("p")))
 
 
-def utc_date_text(ts) -> Column:
-    """``yyyy-MM-dd`` of a timestamp in UTC, whatever the session time zone
-    (whole days since the epoch, then a zone-free DATE)."""
+def date_text(ts, zone_free: bool) -> Column:
+    """``yyyy-MM-dd`` of a timestamp independent of the session time zone.
+
+    A zone-free timestamp (``TIMESTAMP_NTZ``) is cast to a DATE directly; a
+    zoned one is reduced to whole UTC days since the epoch first.
+    """
+    if zone_free:
+        return _c(ts).cast("date").cast("string")
     days = F.floor(F.unix_seconds(_c(ts)) / F.lit(86400)).cast("int")
     return F.date_from_unix_date(days).cast("string")

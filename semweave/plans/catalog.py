@@ -719,10 +719,11 @@ SELECT TRY_CAST(split_part(coalesce(nullif(CAST(CAST(o_orderdate AS DATE) AS VAR
 FROM orders GROUP BY 1""")
 def q_year_distribution_orders(spark, sf):
     """Records per year parsed from real date text (``orders.o_orderdate``)."""
-    from semweave.functions.text import utc_date_text, year_from_date
+    from semweave.functions.text import date_text, year_from_date
 
     o = TB.load_table(spark, sf, "orders")
-    years = o.select(year_from_date(utc_date_text(F.col("o_orderdate"))).alias("year"))
+    ntz = isinstance(o.schema["o_orderdate"].dataType, T.TimestampNTZType)
+    years = o.select(year_from_date(date_text(F.col("o_orderdate"), ntz)).alias("year"))
     return X.year_distribution(years)
 
 
