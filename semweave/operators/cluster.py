@@ -58,14 +58,15 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str = "id
     is collected once, its size checked, and broadcast to a vectorised
     scan of the vectors: ``(id, nearest, dist)``; ties go to the smaller key.
     """
-    rows = centroids.select(key_col, centroid_col).collect()
-    if not rows:
+    cents = centroids.select(key_col, centroid_col)
+    n = cents.count()
+    if n == 0:
         raise ValueError("no centroids")
-    rows.sort(key=lambda r: r[key_col])
+    dim = len(cents.first()[centroid_col])
+    if n * dim * 8 > MAX_BROADCAST_BYTES:  # checked before anything is collected
+        raise ValueError(f"centroid table of {n} x {dim} is too large to broadcast")
+    rows = sorted(cents.collect(), key=lambda r: r[key_col])
     keys = np.array([r[key_col] for r in rows], dtype=np.int64)
-    dim = len(rows[0][centroid_col])
-    if len(rows) * dim * 8 > MAX_BROADCAST_BYTES:
-        raise ValueError("centroid table too large to broadcast")
     cmat = _as_matrix(pd.Series([r[centroid_col] for r in rows]))
     bc = vectors.sparkSession.sparkContext.broadcast((keys, cmat))
 

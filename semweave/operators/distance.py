@@ -42,6 +42,7 @@ def distance_histogram(knn: DataFrame, max_rank: int = 5, bins: int = HIST_BINS,
               .filter(F.col("bin").isNotNull())
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     grid = _bins_frame(knn.sparkSession, bins, hi)
+    # counts has at most `bins` rows: a bounded broadcast
     return (grid.join(F.broadcast(counts), "bin", "left")
             .select("bin", "lo", "hi", "center",
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
@@ -61,6 +62,7 @@ def rank_histograms(knn: DataFrame, max_rank: int = 5, bins: int = HIST_BINS,
             .withColumn("lo", bin_edge(F.col("bin"), hi, bins))
             .withColumn("hi", bin_edge(F.col("bin") + 1, hi, bins))
             .withColumn("center", F.lit(0.5) * (F.col("hi") + F.col("lo"))))
+    # counts has at most `max_rank * bins` rows: a bounded broadcast
     return (grid.join(F.broadcast(counts), ["rank", "bin"], "left")
             .select("rank", "bin", "lo", "hi", "center",
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))

@@ -138,7 +138,7 @@ def graph_sweep(knn: DataFrame, nodes: DataFrame, taus: DataFrame, symmetry: str
         F.percentile("degree", 0.5).cast("double").alias("median_degree"),
         F.count(F.lit(1)).alias("_touched")))
     t = taus.select("p_keep", "tau")
-    out = t.join(F.broadcast(stats), "tau", "left")
+    out = t.join(F.broadcast(stats), "tau", "left")  # one row per candidate τ: bounded
     return out.select(
         "p_keep", "tau", tau_tag(F.col("tau")).alias("tau_tag"),
         F.lit(n_nodes).cast("long").alias("nodes"),

@@ -95,5 +95,6 @@ def length_histogram(papers: DataFrame, bins: int = 50, col: str = "n_words") ->
              .when((x >= edge(g + 1)) & (g != F.lit(bins - 1)), g + 1)
              .otherwise(g))
     counts = by_value.select(fixed.alias("bin"), "c").groupBy("bin").agg(F.sum("c").alias("count"))
+    # counts has at most `bins` rows: a bounded broadcast
     return (grid.join(F.broadcast(counts), "bin", "left")
             .select("bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
