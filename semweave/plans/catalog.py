@@ -100,8 +100,16 @@ def _tau(spark, sf, p, knn=None):
     return D.choose_tau(_hist(spark, sf, knn), p)
 
 
+def _knn_once(spark, sf, k):
+    """kNN table materialised once when a query reads it twice (τ action,
+    then the edges): the quadratic join never runs twice."""
+    from semweave.plans.jobs import knn_table
+
+    return knn_table(_vectors(spark, sf), k)
+
+
 def _graph(spark, sf, p=P_GRAPH, k=K_GRAPH, symmetry="forward"):
-    knn = _knn(spark, sf, k)
+    knn = _knn_once(spark, sf, k)
     tau = _tau(spark, sf, p, knn)
     return G.similarity_graph(knn, tau, symmetry), tau
 
@@ -336,7 +344,7 @@ SELECT round(avg(dist), 6) AS mean, round(median(dist), 6) AS median, round(stdd
        round(min(dist), 6) AS min, round(max(dist), 6) AS max
 FROM knn WHERE rank <= {K_HIST}""")
 def q_distance_summary_exact(spark, sf):
-    return rounded(D.distance_summary(_knn(spark, sf, K_HIST), K_HIST, mode="exact"))
+    return rounded(D.distance_summary(_knn_once(spark, sf, K_HIST), K_HIST, mode="exact"))
 
 
 @register("distance_summary_chunked", _with(_knn_sql(K_HIST)) + f""",
@@ -389,21 +397,21 @@ und AS (SELECT least(src, dst) AS s, greatest(src, dst) AS t, min(dist) AS dist,
 @register("similarity_edges_forward", _with(_SYM_SQL) + """
 SELECT src, dst, round(dist, 6) AS dist, round(1 - dist, 6) AS weight FROM near WHERE src < dst""")
 def q_similarity_edges_forward(spark, sf):
-    knn = _knn(spark, sf, K_HIST)
+    knn = _knn_once(spark, sf, K_HIST)
     return _edges_out(G.similarity_graph(knn, _tau(spark, sf, P_SYMMETRY, knn), "forward"))
 
 
 @register("similarity_edges_union", _with(_SYM_SQL) + """
 SELECT s AS src, t AS dst, round(dist, 6) AS dist, round(1 - dist, 6) AS weight FROM und""")
 def q_similarity_edges_union(spark, sf):
-    knn = _knn(spark, sf, K_HIST)
+    knn = _knn_once(spark, sf, K_HIST)
     return _edges_out(G.similarity_graph(knn, _tau(spark, sf, P_SYMMETRY, knn), "union"))
 
 
 @register("similarity_edges_mutual", _with(_SYM_SQL) + """
 SELECT s AS src, t AS dst, round(dist, 6) AS dist, round(1 - dist, 6) AS weight FROM und WHERE n >= 2""")
 def q_similarity_edges_mutual(spark, sf):
-    knn = _knn(spark, sf, K_HIST)
+    knn = _knn_once(spark, sf, K_HIST)
     return _edges_out(G.similarity_graph(knn, _tau(spark, sf, P_SYMMETRY, knn), "mutual"))
 
 
@@ -416,7 +424,7 @@ SELECT first.src, first.dst, coalesce(m1.t, '') AS title1, coalesce(m2.t, '') AS
        round(first.dist, 6) AS dist, round(first.weight, 6) AS weight
 FROM first LEFT JOIN meta m1 ON m1.paper_id = first.src LEFT JOIN meta m2 ON m2.paper_id = first.dst""")
 def q_edge_title_sample(spark, sf):
-    knn = _knn(spark, sf, K_GRAPH)
+    knn = _knn_once(spark, sf, K_GRAPH)
     tau = _tau(spark, sf, P_GRAPH, knn)
     e = G.similarity_graph(knn, tau, "forward", keep_rank=True)
     return rounded(G.edge_title_sample(e, _raw_papers(spark, sf), SAMPLE_EDGES, order=("src", "rank")))
@@ -461,7 +469,7 @@ SELECT round(taus.p_keep, 6) AS p_keep, round(taus.tau, 6) AS tau,
        CAST(n.n - coalesce(ds.touched, 0) AS BIGINT) AS isolated_nodes
 FROM taus CROSS JOIN n LEFT JOIN es ON es.p_keep = taus.p_keep LEFT JOIN ds ON ds.p_keep = taus.p_keep""")
 def q_graph_sweep(spark, sf):
-    knn = _knn(spark, sf, K_GRAPH)
+    knn = _knn_once(spark, sf, K_GRAPH)
     taus = D.tau_candidates(_hist(spark, sf, knn))
     return rounded(G.graph_sweep(knn, _nodes(spark, sf), taus))
 
@@ -611,7 +619,7 @@ def q_louvain_knn(spark, sf):
 def _sweep_quality(spark, sf):
     from semweave.plans import jobs
 
-    knn = _knn(spark, sf, K_GRAPH)
+    knn = _knn_once(spark, sf, K_GRAPH)
     return jobs.tau_sweep_job(_vectors(spark, sf), _nodes(spark, sf), knn=knn, seed=SEED)
 
 
@@ -697,7 +705,7 @@ def q_knn_recall(spark, sf):
     from semweave.operators.knn import knn_recall
 
     v = _vectors(spark, sf)
-    exact = _knn(spark, sf, K_HIST)
+    exact = _knn_once(spark, sf, K_HIST)
     cells = max(1, int(round(math.sqrt(v.count()))))
     out = None
     for nprobe in (1, 4, 8, cells):
