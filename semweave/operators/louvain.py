@@ -96,7 +96,8 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
         return F.pmod(h, F.lit(2)) == F.lit(parity)
 
     m_of = F.element_at(_lit_map(m), F.col("g"))
-    st = state.filter(F.col("g").isin(active)).select("g", "node", "comm", "k")
+    is_active = F.col("g").isin(active)
+    st = state.filter(is_active).select("g", "node", "comm", "k", "best")
     neigh = st.select("g", F.col("node").alias("v"), F.col("comm").alias("cv"))
     w_uc = (arcs.filter(F.col("g").isin(active) & eligible("u")).join(neigh, ["g", "v"])
             .select("g", "u", "cv", "w"))
@@ -104,29 +105,37 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
                                              F.lit(0.0).alias("w"))
     cand = w_uc.unionByName(own).groupBy("g", "u", "cv").agg(F.sum("w").alias("wuc"))
     tot = st.groupBy("g", "comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
-    me = st.select("g", F.col("node").alias("u"), F.col("comm").alias("cu"), F.col("k").alias("ku"))
+    me = st.filter(eligible("node")).select("g", F.col("node").alias("u"), F.col("comm").alias("cu"),
+                                            F.col("k").alias("ku"), F.col("best").alias("bu"))
     cand = (cand.join(me, ["g", "u"])
             .join(tot.select("g", F.col("comm").alias("cv"), F.col("tot").alias("tot_v"),
                              F.col("size").alias("size_v")), ["g", "cv"]))
     tot_wo = F.col("tot_v") - F.when(F.col("cv") == F.col("cu"), F.col("ku")).otherwise(F.lit(0.0))
     cand = cand.withColumn("gain", F.col("wuc") / m_of - F.col("ku") * tot_wo / (F.lit(2.0) * m_of * m_of))
+    # every eligible node has its own-community candidate, so it appears here once
     best = cand.groupBy("g", "u").agg(
         F.max_by(F.struct(F.col("cv").alias("c"), F.col("gain").alias("gn"), F.col("size_v").alias("s")),
                  F.struct(F.col("gain"), (-F.col("cv")).alias("neg_c"))).alias("b"),
         F.max(F.when(F.col("cv") == F.col("cu"), F.col("gain"))).alias("own_gain"),
         F.max(F.when(F.col("cv") == F.col("cu"), F.col("size_v"))).alias("own_size"),
-        F.first("cu").alias("cu"))
-    moves = best.filter(
-        (F.col("b.c") != F.col("cu"))
-        & (F.col("b.gn") > F.col("own_gain") + F.lit(_EPS))
-        & ~((F.col("own_size") == 1) & (F.col("b.s") == 1) & (F.col("b.c") > F.col("cu"))))
-    moves = moves.select("g", F.col("u").alias("node"), F.col("b.c").alias("new_comm"))
-    best_col = F.col("best")
-    if improved:
-        best_col = F.when(F.col("g").isin(improved), F.col("comm")).otherwise(F.col("best"))
-    return (state.join(moves, ["g", "node"], "left")
-            .select("g", "node", F.coalesce("new_comm", "comm").alias("comm"), best_col.alias("best"), "k",
-                    F.col("new_comm").isNotNull().alias("moved")))
+        F.first("cu").alias("cu"), F.first("ku").alias("ku"), F.first("bu").alias("bu"))
+    move = ((F.col("b.c") != F.col("cu"))
+            & (F.col("b.gn") > F.col("own_gain") + F.lit(_EPS))
+            & ~((F.col("own_size") == 1) & (F.col("b.s") == 1) & (F.col("b.c") > F.col("cu"))))
+
+    def keep_best(comm_col, best_col):
+        if improved:
+            return F.when(F.col("g").isin(improved), comm_col).otherwise(best_col)
+        return best_col
+
+    moved_rows = best.select(
+        "g", F.col("u").alias("node"), F.when(move, F.col("b.c")).otherwise(F.col("cu")).alias("comm"),
+        keep_best(F.col("cu"), F.col("bu")).alias("best"), F.col("ku").alias("k"), move.alias("moved"))
+    # rows that could not move this round are carried over without a join
+    carried = state.filter(~is_active | ~eligible("node")).select(
+        "g", "node", "comm", keep_best(F.col("comm"), F.col("best")).alias("best"), "k",
+        F.lit(False).alias("moved"))
+    return moved_rows.unionByName(carried)
 
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
