@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 # character class of Python white space, as a Java regex fragment
 WS_CLASS = r"(?U)[\s\x1c-\x1f]"
 _NON_WS = r"(?U)[^\s\x1c-\x1f]+"
-_EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+# The 29 characters for which Python's str.isspace() is true,
+# in code-point order (U+0009-000D, U+001C-001F, U+0020, U+0085, U+00A0,
+# U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
@@ -37,8 +43,9 @@ def year_from_date(date_text, null_date: str = "zero") -> Column:
 
 
 def strip_text(text) -> Column:
-    """Null-safe Unicode strip: ``(x or '').strip()``."""
-    return F.regexp_replace(F.coalesce(_c(text), F.lit("")), _EDGE_WS, "")
+    """Null-safe Unicode strip: ``(x or '').strip()`` — a character-set
+    trim on both ends (no regular expression)."""
+    return F.btrim(F.coalesce(_c(text), F.lit("")), F.lit(PY_WHITESPACE))
 
 
 def word_count(text) -> Column:
