@@ -234,7 +234,8 @@ def _nearest_cells(centroids: np.ndarray, nprobe: int, id_col="id", vec_col="vec
     return run
 
 
-def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_rows: int,
+                         dedup: bool = True) -> DataFrame:
     """Equi-join stored rows and probing rows on ``bucket`` with skew splitting.
 
     ``v_home``: (id, vec, bucket) where each row is stored;
@@ -254,8 +255,9 @@ def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_ro
                    "id", "vec", F.lit(1).alias("role")))
     grouped = data.unionByName(qry).groupBy("bucket", "sub")
     cand = grouped.applyInPandas(_probe_kernel(k), _CAND_SCHEMA)
-    # a pair met in two buckets appears twice; keep one before ranking
-    cand = cand.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    if dedup:
+        # a row stored in several buckets (LSH bands) can meet a prober twice
+        cand = cand.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     return final_topk(cand, k)
 
 
@@ -293,7 +295,9 @@ def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
     cells = v.mapInPandas(assign, schema)
     home = cells.select("id", "vec", F.col("home").alias("bucket"))
     probe = cells.select("id", "vec", F.explode("probes").alias("bucket"))
-    return _bucketed_candidates(home, probe, k, block_rows)
+    # each row is stored in exactly one cell and probes distinct cells, so a
+    # pair is met at most once: no de-duplication shuffle is needed
+    return _bucketed_candidates(home, probe, k, block_rows, dedup=False)
 
 
 def _knn_lsh(v: DataFrame, k: int, n_bits: int, n_bands: int, seed: int,
