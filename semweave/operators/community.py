@@ -110,9 +110,12 @@ def community_terms(docs: DataFrame, partition: DataFrame, n: int = 5, id_col: s
     toks = j.select("community", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN_PATTERN), 0))
                     .alias("term"))
     tf = toks.groupBy("community", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfw = Window.partitionBy("term")
+    # document frequency over communities: an aggregation joined back (a
+    # common term is in every community; a window keyed by term would put
+    # all of them in one task)
+    dfc = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_comm = partition.select("community").distinct().count()  # scalar
-    scored = (tf.withColumn("df", F.count(F.lit(1)).over(dfw))
+    scored = (tf.join(dfc, "term")
               .filter(F.col("df") >= F.lit(min_df))
               .withColumn("tfidf", F.col("tf") * (F.log((F.lit(1.0 + n_comm)) / (F.lit(1.0) + F.col("df")))
                                                   + F.lit(1.0))))
