@@ -109,7 +109,11 @@ def community_terms(docs: DataFrame, partition: DataFrame, n: int = 5, id_col: s
     j = d.join(partition, "node")
     toks = j.select("community", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN_PATTERN), 0))
                     .alias("term"))
-    tf = toks.groupBy("community", "term").agg(F.count(F.lit(1)).alias("tf"))
+    from semweave.session import materialize
+
+    # texts are tokenised once: the (community, term) counts are written and
+    # both the document frequency and the scoring read them back
+    tf = materialize(toks.groupBy("community", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     # document frequency over communities: an aggregation joined back (a
     # common term is in every community; a window keyed by term would put
     # all of them in one task)
