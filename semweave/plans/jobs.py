@@ -30,10 +30,13 @@ PKEEP = 0.20
 
 def eda_job(papers: DataFrame, bins: int = 50) -> dict[str, DataFrame]:
     """Summary, year distribution and length histogram of cleaned papers."""
-    if papers.isEmpty():
+    # the text is scanned once: the three statistics read the small
+    # (paper_id, year, n_words) table
+    stats = materialize(X.paper_stats(papers), "paper_stats")
+    if stats.isEmpty():
         raise RuntimeError("No valid papers found. Check the input path and min_year filter.")
-    return {"stats": X.eda_stats(papers), "years": X.year_distribution(papers),
-            "lengths": X.length_histogram(papers, bins)}
+    return {"paper_stats": stats, "stats": X.eda_stats(stats), "years": X.year_distribution(stats),
+            "lengths": X.length_histogram(stats, bins)}
 
 
 def knn_table(vectors: DataFrame, k: int = K_GRAPH, mode: str = "exact", **kw) -> DataFrame:

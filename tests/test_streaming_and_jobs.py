@@ -96,3 +96,12 @@ def test_embed_job_and_pipeline(spark, tmp_path):
     assert res["stats"].first()["nodes"] == 120
     assert res["kmeans"].select("cluster").distinct().count() <= 3
     assert res["sample"].count() == 5
+
+
+def test_eda_job_golden(spark):
+    papers = P.clean_papers(TB.papers_from_documents(TB.load_table(spark, SF001, "documents")))
+    out = jobs.eda_job(papers)
+    s = out["stats"].first()
+    assert (s["total_papers"], s["len_median"], s["short_10"]) == (200, 241.5, 7)
+    assert out["lengths"].agg(F.sum("count")).first()[0] == 200
+    assert out["years"].agg(F.sum("papers")).first()[0] == 200
