@@ -58,6 +58,9 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str = "id
     is collected once, its size checked, and broadcast to a vectorised
     scan of the vectors: ``(id, nearest, dist)``; ties go to the smaller key.
     """
+    from semweave.session import ship_package
+
+    ship_package(vectors.sparkSession)
     cents = centroids.select(key_col, centroid_col)
     n = cents.count()
     if n == 0:

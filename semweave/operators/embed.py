@@ -51,6 +51,9 @@ def model_embedder(papers: DataFrame, make_predict_fn: Callable, dim: int, batch
     per worker and then fed batches of ``batch_size`` texts."""
     from pyspark.ml.functions import predict_batch_udf
 
+    from semweave.session import ship_package
+
+    ship_package(papers.sparkSession)
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                             batch_size=batch_size, input_tensor_shapes=None)
     return papers.withColumn(out_col, udf(F.col(text_col)))
@@ -59,6 +62,10 @@ def model_embedder(papers: DataFrame, make_predict_fn: Callable, dim: int, batch
 def fp16_round(df: DataFrame, col: str = "embedding") -> DataFrame:
     """Round vectors through half precision (storage-size parity), as a
     vectorised Arrow UDF."""
+    from semweave.session import ship_package
+
+    ship_package(df.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _half(s: pd.Series) -> pd.Series:
         return s.map(lambda v: np.asarray(v, dtype=np.float16).astype(np.float32))

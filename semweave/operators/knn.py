@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semweave.session import ship_package
+
 KNN_SCHEMA = "src long, dst long, rank int, dist double"
 _CAND_SCHEMA = "src long, dst long, dist double"
 # the largest matrix a worker broadcast may hold (bytes)
@@ -151,6 +153,7 @@ def _probe_kernel(k: int):
 # --------------------------------------------------------------------------
 
 def _prep(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    ship_package(vectors.sparkSession)  # the kernels below run in Python workers
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
 
 

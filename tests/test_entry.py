@@ -44,3 +44,23 @@ def test_oracle_agrees_sf0001(spark, name):
     got = _norm([tuple(r) for r in df.collect()], df.columns)
     want = _norm(rel.fetchall(), rel.columns)
     assert got == want
+
+
+def test_queries_run_from_another_directory(tmp_path):
+    """Python workers must import the package wherever the driver starts."""
+    import subprocess
+    import sys
+    import textwrap
+
+    repo = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    code = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {repo!r})
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+        import __spark_entry__ as E
+        print("ROWS", E.queries()["knn_lookup"](spark, {SF001!r}).count())
+    """)
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
+    assert int(out.stdout.split("ROWS ")[1].split()[0]) > 0
