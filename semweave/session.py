@@ -93,15 +93,19 @@ def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None):
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{next(_COUNTER):05d}")
+    # the schema is known: reading it back needs no footer inference
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     if observe:
         from pyspark.sql import Observation
 
         obs = Observation(f"obs-{tag}-{next(_COUNTER)}")
         df = df.observe(obs, *[c.alias(n) for n, c in observe.items()])
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path), obs.get
+        return spark.read.schema(schema).parquet(path), obs.get
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_materialized(df: DataFrame) -> None:
