@@ -181,6 +181,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     levels = {g: 0 for g in m}
     rounds = {g: 0 for g in m}
     running = sorted(m)
+    arcs = state = None
     for level in range(max_levels):
         if not running:
             break
@@ -246,6 +247,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
             break
         mapping = (state.filter(F.col("g").isin(running))
                    .select("g", F.col("node").alias("comm"), F.col("best").alias("new_comm")))
+        old_assign, old_edges = assign, level_edges
         assign = materialize(assign.join(mapping, ["g", "comm"], "left")
                              .select("g", "node", F.coalesce("new_comm", "comm").alias("comm")), "assign")
         c1 = state.select("g", F.col("node").alias("a"), F.col("best").alias("ca"))
@@ -254,6 +256,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
             level_edges.filter(F.col("g").isin(running)).join(c1, ["g", "a"]).join(c2, ["g", "b"])
             .groupBy("g", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
             .agg(F.sum("w").alias("w")), "edges")
+        # superseded level tables (the level-0 identity map reads the old edges)
+        for t in (arcs, state, old_edges) + ((old_assign,) if level > 0 else ()):
+            drop_materialized(t)
 
     # nodes without edges are their own communities; label = smallest member
     if assign is None:
@@ -268,6 +273,12 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     sizes = {r["g"]: r for r in labels.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") >= 2).alias("nt")).collect()}
     node_counts = {r["g"]: int(r["count"]) for r in all_nodes.groupBy("g").count().collect()}
+    done = [all_nodes, level_edges, arcs, state]
+    if levels and max(levels.values(), default=0) > 0:
+        done.append(assign)
+    for t in done:
+        if t is not None:
+            drop_materialized(t)
     rows = []
     for g in graph_ids:
         if g in m:
