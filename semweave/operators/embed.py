@@ -33,6 +33,8 @@ def hashing_embedder(papers: DataFrame, dim: int = DEFAULT_DIM, text_col: str =
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
+    if papers.isEmpty():  # nothing to embed (e.g. every id already done): IDF cannot fit
+        return papers.withColumn(out_col, F.lit(None).cast(T.ArrayType(T.FloatType())))
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"(?U)\w+", gaps=False,
                          toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
