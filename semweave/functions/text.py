@@ -66,6 +66,11 @@ def clean_title(title) -> Column:
     return strip_text(F.translate(F.coalesce(_c(title), F.lit("")), "\t\n", "  "))
 
 
+def unknown_title(id_col) -> Column:
+    """Placeholder title for an id without metadata: ``<unknown {id}>``."""
+    return F.concat(F.lit("<unknown "), _c(id_col).cast("string"), F.lit(">"))
+
+
 def tau_tag(tau) -> Column:
     """Stable string key for a threshold: 0.19 -> 'tau_0p190'."""
     return F.concat(F.lit("tau_"), F.replace(F.format_string("%.3f", _c(tau)), F.lit("."), F.lit("p")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.functions.text import clean_title, tau_tag
+from semweave.functions.text import clean_title, tau_tag, unknown_title
 
 
 def similarity_graph(knn: DataFrame, tau: float, symmetry: str = "forward",
@@ -155,13 +155,15 @@ def edge_title_sample(edges: DataFrame, papers: DataFrame, n: int = 2000,
     """First ``n`` edges in ``order`` with both cleaned titles.
 
     ``orderBy().limit()`` becomes a top-n (``TakeOrderedAndProject``); the
-    two metadata look-ups are left joins on the id after the cut.
+    two metadata look-ups are left joins on the id after the cut. An id
+    without metadata gets the title ``<unknown {id}>``.
     """
     first = edges.orderBy(*order).limit(n)
     meta = papers.select(F.col(id_col).alias("_id"), clean_title(F.col(title_col)).alias("_t"))
     j = (first.join(meta.withColumnRenamed("_t", "title1"), first["src"] == F.col("_id"), "left")
          .drop("_id"))
     j = j.join(meta.withColumnRenamed("_t", "title2"), j["dst"] == F.col("_id"), "left").drop("_id")
+    # a missing title is '' (clean_title); a missing metadata row is "<unknown id>"
     return j.select("src", "dst",
-                    F.coalesce("title1", F.lit("")).alias("title1"),
-                    F.coalesce("title2", F.lit("")).alias("title2"), "dist", "weight")
+                    F.coalesce("title1", unknown_title(F.col("src"))).alias("title1"),
+                    F.coalesce("title2", unknown_title(F.col("dst"))).alias("title2"), "dist", "weight")

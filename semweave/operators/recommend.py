@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.functions.text import clean_title
+from semweave.functions.text import clean_title, unknown_title
 from semweave.operators.knn import knn_join, knn_lookup
 
 RECOMMEND_COLUMNS = ["query_id", "rank", "id", "year", "title", "distance",
@@ -44,7 +44,10 @@ def recommend(query_ids: DataFrame | None, vectors: DataFrame, papers: DataFrame
                    F.col("dist").alias("distance"))
     meta = papers.select(F.col(paper_id_col).cast("long").alias("_pid"), F.col("year").alias("year"),
                          clean_title(F.col("title")).alias("title"))
-    out = nn.join(meta, nn["id"] == meta["_pid"], "left").drop("_pid")
+    out = (nn.join(meta, nn["id"] == meta["_pid"], "left")
+           .withColumn("title", F.when(F.col("_pid").isNull(), unknown_title(F.col("id")))
+                       .otherwise(F.col("title")))
+           .drop("_pid"))
     if partition is None:
         return out.select("query_id", "rank", "id", "year", "title", "distance",
                           F.lit(False).alias("in_partition"), F.lit(False).alias("same_community"),

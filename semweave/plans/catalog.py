@@ -420,7 +420,8 @@ first AS (SELECT e.*, knn.rank FROM e JOIN knn USING (src, dst) ORDER BY src, ra
 meta AS (SELECT paper_id,
                 regexp_replace(translate(coalesce(title, ''), chr(9) || chr(10), '  '), '^\\s+|\\s+$', '', 'g') AS t
          FROM raw)
-SELECT first.src, first.dst, coalesce(m1.t, '') AS title1, coalesce(m2.t, '') AS title2,
+SELECT first.src, first.dst, coalesce(m1.t, '<unknown ' || CAST(first.src AS VARCHAR) || '>') AS title1,
+       coalesce(m2.t, '<unknown ' || CAST(first.dst AS VARCHAR) || '>') AS title2,
        round(first.dist, 6) AS dist, round(first.weight, 6) AS weight
 FROM first LEFT JOIN meta m1 ON m1.paper_id = first.src LEFT JOIN meta m2 ON m2.paper_id = first.dst""")
 def q_edge_title_sample(spark, sf):
@@ -568,7 +569,8 @@ meta AS (SELECT paper_id, year,
                   AS title FROM papers),
 part AS (SELECT doc_id AS node, CAST(quality AS BIGINT) AS community FROM labels),
 reco AS (
-  SELECT knn.src AS query_id, CAST(knn.rank AS INTEGER) AS rank, knn.dst AS id, meta.year, meta.title,
+  SELECT knn.src AS query_id, CAST(knn.rank AS INTEGER) AS rank, knn.dst AS id, meta.year,
+         coalesce(meta.title, '<unknown ' || CAST(knn.dst AS VARCHAR) || '>') AS title,
          round(knn.dist, 6) AS distance, pn.node IS NOT NULL AS in_partition,
          (pn.node IS NOT NULL AND coalesce(pq.community = pn.community, false)) AS same_community
   FROM knn LEFT JOIN meta ON meta.paper_id = knn.dst

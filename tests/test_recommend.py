@@ -29,3 +29,21 @@ def test_check_ids_and_pick(spark):
         check_ids(spark.createDataFrame([(9,)], "id long"), nodes)
     a = pick_random(nodes, 42).first()["id"]
     assert a == pick_random(nodes, 42).first()["id"]
+
+
+def test_unknown_metadata_placeholder(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (7, [0.8, 0.3])], "id long, embedding array<float>")
+    papers = spark.createDataFrame([(0, 2020, "t0"), (1, 2021, None)], "paper_id long, year int, title string")
+    rows = recommend(spark.createDataFrame([(0,)], "id long"), v, papers, None, k=2).orderBy("rank").collect()
+    assert [(r.id, r.title, r.year) for r in rows] == [(1, "", 2021), (7, "<unknown 7>", None)]
+
+
+def test_fp16_rounding(spark):
+    import numpy as np
+
+    from semweave.operators.embed import fp16_round
+
+    df = spark.createDataFrame([(0, [0.1, 1.0 / 3.0])], "id long, embedding array<float>")
+    got = fp16_round(df).first()["embedding"]
+    want = np.asarray([0.1, 1.0 / 3.0], dtype=np.float16).astype(np.float32).tolist()
+    assert got == pytest.approx(want, abs=0)
