@@ -27,13 +27,17 @@ def read_papers(spark: SparkSession, path: str, mode: str = "dropmalformed",
     ``"failfast"`` raises on the first one. With ``with_rejects`` the scan
     is PERMISSIVE and a boolean ``rejected`` column marks bad lines so they
     can be counted (blank lines are skipped by the reader and not counted).
-    Records without a key get ``paper_id`` from ``monotonically_increasing_id``
+    With ``id_col`` the records' own key becomes ``paper_id``; records
+    without a key get ``paper_id`` from ``monotonically_increasing_id``
     (partition index in the high bits, row position in the low bits): unique,
     JVM-side, and stable for the same files and split size.
     """
-    reader = spark.read.schema(PAPER_SCHEMA)
+    base = PAPER_SCHEMA.fields
+    if id_col is not None:  # records carry their own key
+        base = [T.StructField(id_col, T.LongType())] + base
+    reader = spark.read.schema(T.StructType(base))
     if with_rejects:
-        schema = T.StructType(PAPER_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+        schema = T.StructType(base + [T.StructField("_corrupt_record", T.StringType())])
         df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
         # the reader refuses plans that need only the corrupt-record column;
@@ -44,7 +48,7 @@ def read_papers(spark: SparkSession, path: str, mode: str = "dropmalformed",
         opt = {"dropmalformed": "DROPMALFORMED", "failfast": "FAILFAST"}[mode]
         df = reader.option("mode", opt).json(path)
     if id_col is not None:
-        return df.withColumnRenamed(id_col, "paper_id") if id_col in df.columns else df
+        return df.withColumnRenamed(id_col, "paper_id")
     return df.select(F.monotonically_increasing_id().alias("paper_id"), *df.columns)
 
 

@@ -83,3 +83,16 @@ def test_length_histogram_edges(spark):
     h2 = X.length_histogram(same, bins=2).orderBy("bin").collect()
     assert (h2[0]["lo"], h2[-1]["hi"]) == (2.5, 3.5)
     assert sum(r["count"] for r in h2) == 2
+
+
+def test_read_papers_with_own_key(spark, tmp_path):
+    path = tmp_path / "k.jsonl"
+    path.write_text("\n".join([
+        json.dumps({"id": 17, "update_date": "2020-01-01", "title": "a", "abstract": "x y"}),
+        json.dumps({"id": 3, "update_date": "2021-01-01", "title": "b", "abstract": "z"}),
+        "broken"]) + "\n")
+    raw = P.read_papers(spark, str(path), id_col="id")
+    got = sorted((r.paper_id, r.year, r.n_words) for r in P.clean_papers(raw).collect())
+    assert got == [(3, 2021, 1), (17, 2020, 2)]
+    auto = P.read_papers(spark, str(path))
+    assert auto.select("paper_id").distinct().count() == 2
