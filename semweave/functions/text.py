@@ -66,9 +66,13 @@ def clean_title(title) -> Column:
     return strip_text(F.translate(F.coalesce(_c(title), F.lit("")), "\t\n", "  "))
 
 
+# Placeholder title of an id without metadata, "<unknown {id}>".
+UNKNOWN_PREFIX, UNKNOWN_SUFFIX = "<unknown ", ">"
+
+
 def unknown_title(id_col) -> Column:
     """Placeholder title for an id without metadata: ``<unknown {id}>``."""
-    return F.concat(F.lit("<unknown "), _c(id_col).cast("string"), F.lit(">"))
+    return F.concat(F.lit(UNKNOWN_PREFIX), _c(id_col).cast("string"), F.lit(UNKNOWN_SUFFIX))
 
 
 def tau_tag(tau) -> Column:

@@ -11,6 +11,10 @@ from semweave.operators.knn import knn_join, knn_lookup
 RECOMMEND_COLUMNS = ["query_id", "rank", "id", "year", "title", "distance",
                      "in_partition", "same_community", "significance"]
 
+# The two significance labels of a recommended neighbour.
+SIGNIFICANT = "significant"
+NON_SIGNIFICANT = "non-significant"
+
 
 def check_ids(query_ids: DataFrame, nodes: DataFrame, id_col: str = "id") -> None:
     """Raise if any requested id is not a known node (one anti-join)."""
@@ -51,7 +55,7 @@ def recommend(query_ids: DataFrame | None, vectors: DataFrame, papers: DataFrame
     if partition is None:
         return out.select("query_id", "rank", "id", "year", "title", "distance",
                           F.lit(False).alias("in_partition"), F.lit(False).alias("same_community"),
-                          F.lit("non-significant").alias("significance"))
+                          F.lit(NON_SIGNIFICANT).alias("significance"))
     pq = partition.select(F.col("node").alias("_qn"), F.col("community").alias("_qc"))
     pn = partition.select(F.col("node").alias("_nn"), F.col("community").alias("_nc"))
     out = out.join(pq, out["query_id"] == pq["_qn"], "left").join(pn, out["id"] == pn["_nn"], "left")
@@ -59,7 +63,7 @@ def recommend(query_ids: DataFrame | None, vectors: DataFrame, papers: DataFrame
     same = in_part & F.coalesce(F.col("_qc") == F.col("_nc"), F.lit(False))
     return out.select("query_id", "rank", "id", "year", "title", "distance",
                       in_part.alias("in_partition"), same.alias("same_community"),
-                      F.when(same, F.lit("significant")).otherwise(F.lit("non-significant"))
+                      F.when(same, F.lit(SIGNIFICANT)).otherwise(F.lit(NON_SIGNIFICANT))
                       .alias("significance"))
 
 
