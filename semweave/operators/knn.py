@@ -374,6 +374,12 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
     return final_topk(cand, k)
 
 
+def corpus_shape(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """One row ``(n_rows, dim)``: the count needs no column data (Parquet
+    row-group metadata) and the dimension is the largest vector size."""
+    return vectors.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size(vec_col)).cast("int").alias("dim"))
+
+
 def knn_recall(approx: DataFrame, exact: DataFrame, k: int | None = None) -> DataFrame:
     """Recall@k of an approximate kNN table against the exact one.
 

@@ -16,6 +16,18 @@ SIGNIFICANT = "significant"
 NON_SIGNIFICANT = "non-significant"
 
 
+def with_metadata(df: DataFrame, papers: DataFrame, id_col: str = "id",
+                  paper_id_col: str = "paper_id") -> DataFrame:
+    """Attach ``year`` and cleaned ``title`` of ``id_col`` (left equi-join on
+    the id); an id without metadata gets year null and ``<unknown {id}>``."""
+    meta = papers.select(F.col(paper_id_col).cast("long").alias("_pid"), F.col("year").alias("year"),
+                         clean_title(F.col("title")).alias("title"))
+    return (df.join(meta, df[id_col] == meta["_pid"], "left")
+            .withColumn("title", F.when(F.col("_pid").isNull(), unknown_title(F.col(id_col)))
+                        .otherwise(F.col("title")))
+            .drop("_pid"))
+
+
 def check_ids(query_ids: DataFrame, nodes: DataFrame, id_col: str = "id") -> None:
     """Raise if any requested id is not a known node (one anti-join)."""
     bad = (query_ids.select(F.col(id_col).cast("long").alias("node"))
@@ -46,12 +58,7 @@ def recommend(query_ids: DataFrame | None, vectors: DataFrame, papers: DataFrame
         nn = knn_lookup(vectors, query_ids, k, id_col=id_col, vec_col=vec_col, query_id_col=query_id_col)
     nn = nn.select(F.col("src").alias("query_id"), "rank", F.col("dst").alias("id"),
                    F.col("dist").alias("distance"))
-    meta = papers.select(F.col(paper_id_col).cast("long").alias("_pid"), F.col("year").alias("year"),
-                         clean_title(F.col("title")).alias("title"))
-    out = (nn.join(meta, nn["id"] == meta["_pid"], "left")
-           .withColumn("title", F.when(F.col("_pid").isNull(), unknown_title(F.col("id")))
-                       .otherwise(F.col("title")))
-           .drop("_pid"))
+    out = with_metadata(nn, papers, id_col="id", paper_id_col=paper_id_col)
     if partition is None:
         return out.select("query_id", "rank", "id", "year", "title", "distance",
                           F.lit(False).alias("in_partition"), F.lit(False).alias("same_community"),

@@ -258,7 +258,7 @@ def q_short_text_share(spark, sf):
 @register("filter_papers", _with(_papers_sql(EMBED_MIN_YEAR)) + f"""
 SELECT paper_id, year, title, n_words FROM papers WHERE n_words >= {EMBED_MIN_WORDS}""")
 def q_filter_papers(spark, sf):
-    p = _papers(spark, sf, EMBED_MIN_YEAR, EMBED_MIN_WORDS, null_date="drop")
+    p = P.filter_papers(_papers(spark, sf, EMBED_MIN_YEAR, null_date="drop"), EMBED_MIN_WORDS)
     return p.select("paper_id", "year", "title", "n_words")
 
 
@@ -294,8 +294,9 @@ def q_json_papers(spark, sf):
 @register("corpus_shape", """
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(max(len(embedding)) AS INTEGER) AS dim FROM embeddings""")
 def q_corpus_shape(spark, sf):
-    e = TB.load_table(spark, sf, "embeddings")
-    return e.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("embedding")).cast("int").alias("dim"))
+    from semweave.operators.knn import corpus_shape
+
+    return corpus_shape(TB.load_table(spark, sf, "embeddings"))
 
 
 # --------------------------------------------------------------------------

@@ -136,6 +136,9 @@ def embed_job(spark, papers_path: str, out_path: str, *, min_year: int = 2015, m
     return spark.read.parquet(out_path).count()
 
 
+embed_corpus = embed_job  # the embedding job under its inventory name
+
+
 def pipeline_job(papers: DataFrame, *, existing: DataFrame | None = None, dim: int = 512,
                  pkeep: float = PKEEP, clusters: int = 0, seed: int = 42) -> dict:
     """Embed (incrementally) → kNN → histogram → τ → graph → stats →

@@ -72,6 +72,11 @@ def clean_papers(raw: DataFrame, min_year: int = 0, min_words: int | None = None
     return df
 
 
+def filter_papers(papers: DataFrame, min_words: int = 10) -> DataFrame:
+    """Keep papers with at least ``min_words`` words (after the scan filters)."""
+    return papers.filter(F.col("n_words") >= F.lit(min_words))
+
+
 def papers_as_json_lines(raw: DataFrame) -> DataFrame:
     """One JSON object per row in ``value`` (the on-disk record format)."""
     return raw.select(F.col("paper_id"),
