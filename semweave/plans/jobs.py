@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.operators import community as C
 from semweave.operators import distance as D
 from semweave.operators import graph as G
 from semweave.operators import text as X
