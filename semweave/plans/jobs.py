@@ -38,9 +38,30 @@ def eda_job(papers: DataFrame, bins: int = 50) -> dict[str, DataFrame]:
             "lengths": X.length_histogram(stats, bins)}
 
 
-def knn_table(vectors: DataFrame, k: int = K_GRAPH, mode: str = "exact", **kw) -> DataFrame:
-    """The kNN table, materialised once for all consumers."""
-    return materialize(knn_join(vectors, k, mode=mode, **kw), "knn")
+def knn_table(vectors: DataFrame, k: int = K_GRAPH, mode: str = "exact", *, path: str | None = None,
+              force: bool = False, **kw) -> DataFrame:
+    """The kNN table, materialised once for all consumers.
+
+    With ``path`` the table is persisted together with the parameters it
+    was built from (``k``, ``mode``, number of input vectors); a later call
+    reuses it only if those still match (and ``force`` is off), otherwise it
+    is rebuilt and overwritten.
+    """
+    if path is None:
+        return materialize(knn_join(vectors, k, mode=mode, **kw), "knn")
+    spark = vectors.sparkSession
+    n = vectors.count()
+    if not force:
+        try:
+            meta = spark.read.json(path.rstrip("/") + "/_params").first()
+        except Exception:  # noqa: BLE001 - nothing persisted yet
+            meta = None
+        if meta is not None and (meta["k"], meta["mode"], meta["n_vectors"]) == (k, mode, n):
+            return spark.read.parquet(path.rstrip("/") + "/data")
+    knn_join(vectors, k, mode=mode, **kw).write.mode("overwrite").parquet(path.rstrip("/") + "/data")
+    params = spark.createDataFrame([(k, mode, n)], "k int, mode string, n_vectors long")
+    params.coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "/_params")
+    return spark.read.parquet(path.rstrip("/") + "/data")
 
 
 def graph_job(vectors: DataFrame, nodes: DataFrame | None = None, *, tau: float | None = None,

@@ -105,3 +105,16 @@ def test_eda_job_golden(spark):
     assert (s["total_papers"], s["len_median"], s["short_10"]) == (200, 241.5, 7)
     assert out["lengths"].agg(F.sum("count")).first()[0] == 200
     assert out["years"].agg(F.sum("papers")).first()[0] == 200
+
+
+def test_persisted_knn_reused_only_when_parameters_match(spark, tmp_path):
+    v = TB.vectors_from_embeddings(TB.load_table(spark, SF001, "embeddings"))
+    path = str(tmp_path / "knn")
+    a = jobs.knn_table(v, 5, path=path)
+    files_a = set(a.inputFiles())
+    b = jobs.knn_table(v, 5, path=path)  # same parameters: reused as is
+    assert set(b.inputFiles()) == files_a
+    c = jobs.knn_table(v, 7, path=path)  # different k: rebuilt
+    assert c.groupBy("src").count().first()["count"] == 7
+    d = jobs.knn_table(v.filter("id < 100"), 7, path=path)  # different input size: rebuilt
+    assert d.count() == 100 * 7
