@@ -27,22 +27,33 @@ DEFAULT_DIM = 512
 
 
 def hashing_embedder(papers: DataFrame, dim: int = DEFAULT_DIM, text_col: str = "abstract",
-                     out_col: str = "embedding", fp16: bool = False) -> DataFrame:
-    """Adds ``out_col`` (``array<float>`` of size ``dim``)."""
-    from pyspark.ml import Pipeline
+                     out_col: str = "embedding", fp16: bool = False, keep_text: bool = False) -> DataFrame:
+    """Adds ``out_col`` (``array<float>`` of size ``dim``).
+
+    The texts are read once: tokens are hashed into sparse term-frequency
+    vectors, which are materialised (without the text unless
+    ``keep_text``); the IDF fit and the weighting then read that much
+    smaller table instead of tokenising the corpus a second time.
+    """
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
+    from semweave.session import materialize
+
     if papers.isEmpty():  # nothing to embed (e.g. every id already done): IDF cannot fit
-        return papers.withColumn(out_col, F.lit(None).cast(T.ArrayType(T.FloatType())))
+        out = papers if keep_text else papers.drop(text_col)
+        return out.withColumn(out_col, F.lit(None).cast(T.ArrayType(T.FloatType())))
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"(?U)\w+", gaps=False,
                          toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
-    idf = IDF(inputCol="_tf", outputCol="_idf")
+    hashed = tf.transform(tok.transform(papers)).drop("_tok")
+    if not keep_text:
+        hashed = hashed.drop(text_col)
+    hashed = materialize(hashed, "hashed_tf")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(hashed)
     norm = Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)
-    model = Pipeline(stages=[tok, tf, idf, norm]).fit(papers)
-    out = model.transform(papers).withColumn(out_col, vector_to_array(F.col("_vec"), "float32"))
-    out = out.drop("_tok", "_tf", "_idf", "_vec")
+    out = norm.transform(idf.transform(hashed)).withColumn(out_col, vector_to_array(F.col("_vec"), "float32"))
+    out = out.drop("_tf", "_idf", "_vec")
     return fp16_round(out, out_col) if fp16 else out
 
 
