@@ -32,7 +32,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # iterative jobs run hundreds of small jobs: keep the status store small
+        "spark.ui.retainedJobs": "200",
+        "spark.ui.retainedStages": "200",
+        "spark.sql.ui.retainedExecutions": "100",
     }
+    if master and master.startswith("local"):
+        # local mode: the executors live in the driver JVM (takes effect at launch)
+        conf["spark.driver.memory"] = os.environ.get("SEMWEAVE_DRIVER_MEMORY", "8g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
