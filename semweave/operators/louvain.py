@@ -59,25 +59,60 @@ from semweave.session import drop_materialized, ensure_checkpoint_dir, materiali
 _EPS = 1e-12
 
 
-def _lit_map(d: dict) -> F.Column:
-    items = []
-    for k, v in d.items():
-        items += [F.lit(k), F.lit(float(v))]
-    return F.create_map(*items)
+_VIEW_IDS = __import__("itertools").count()
+
+
+def _sql_lit(v) -> str:
+    """A SQL literal for a graph key or a double (exact round trip)."""
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"CAST({v} AS BIGINT)"
+    if isinstance(v, float):
+        return f"CAST('{v!r}' AS DOUBLE)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _in_list(vals) -> str:
+    return "(" + ", ".join(_sql_lit(v) for v in vals) + ")" if vals else "(NULL)"
+
+
+def _view(df: DataFrame, name: str) -> str:
+    """Register ``df`` under a fresh temporary view name."""
+    v = f"_sw_{name}_{next(_VIEW_IDS)}"
+    df.createOrReplaceTempView(v)
+    return v
+
+
+def _drop_views(spark, *names: str) -> None:
+    for n in names:
+        spark.catalog.dropTempView(n)
 
 
 def _q_by_graph(level_edges: DataFrame, state: DataFrame, col: str, m: dict) -> dict:
-    """Modularity per graph of the assignment in ``col`` (self-loops allowed)."""
-    c1 = state.select("g", F.col("node").alias("a"), F.col(col).alias("ca"))
-    c2 = state.select("g", F.col("node").alias("b"), F.col(col).alias("cb"))
-    intra = (level_edges.join(c1, ["g", "a"]).join(c2, ["g", "b"])
-             .filter(F.col("ca") == F.col("cb")).groupBy("g").agg(F.sum("w").alias("l")))
-    tot = (state.groupBy("g", col).agg(F.sum("k").alias("t"))
-           .groupBy("g").agg(F.sum(F.col("t") * F.col("t")).alias("s2")))
+    """Modularity per graph of the assignment in ``col`` (self-loops allowed).
+
+    One SQL statement (analysed once): intra-community weight per graph and
+    the sum of squared community degrees; one row per graph is collected.
+    """
+    if not m:
+        return {}
+    spark = state.sparkSession
+    e, st = _view(level_edges, "e"), _view(state, "s")
+    gs = _in_list(list(m))
+    df = spark.sql(f"""
+        WITH a AS (SELECT g, node, {col} AS c, k FROM {st} WHERE g IN {gs}),
+        intra AS (
+          SELECT e.g, sum(e.w) AS l FROM {e} e
+          JOIN a x ON x.g = e.g AND x.node = e.a JOIN a y ON y.g = e.g AND y.node = e.b
+          WHERE x.c = y.c GROUP BY e.g),
+        tot AS (SELECT g, sum(t * t) AS s2 FROM (SELECT g, c, sum(k) AS t FROM a GROUP BY g, c) GROUP BY g)
+        SELECT tot.g AS g, intra.l AS l, tot.s2 AS s2 FROM tot LEFT JOIN intra ON intra.g = tot.g
+    """)
+    _drop_views(spark, e, st)  # the statement is analysed; the views are no longer needed
+    rows = df.collect()
     out = {}
-    for r in tot.join(intra, "g", "left").collect():  # one row per graph
-        if r["g"] not in m:
-            continue
+    for r in rows:
         mg = m[r["g"]]
         out[r["g"]] = float(r["l"] or 0.0) / mg - float(r["s2"]) / (4.0 * mg * mg)
     return out
@@ -89,53 +124,60 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
 
     Returns the new state ``(g, node, comm, best, k, moved)``; ``best`` is
     set to the incoming ``comm`` for graphs in ``improved`` (their state at
-    the last sweep end was their best so far).
+    the last sweep end was their best so far). The round is one SQL
+    statement, so the driver analyses its plan once.
     """
-    def eligible(c):
-        h = F.xxhash64(F.col("g"), F.col(c), F.lit(level), F.lit(sweep), F.lit(seed))
-        return F.pmod(h, F.lit(2)) == F.lit(parity)
-
-    m_of = F.element_at(_lit_map(m), F.col("g"))
-    is_active = F.col("g").isin(active)
-    st = state.filter(is_active).select("g", "node", "comm", "k", "best")
-    neigh = st.select("g", F.col("node").alias("v"), F.col("comm").alias("cv"))
-    w_uc = (arcs.filter(F.col("g").isin(active) & eligible("u")).join(neigh, ["g", "v"])
-            .select("g", "u", "cv", "w"))
-    own = st.filter(eligible("node")).select("g", F.col("node").alias("u"), F.col("comm").alias("cv"),
-                                             F.lit(0.0).alias("w"))
-    cand = w_uc.unionByName(own).groupBy("g", "u", "cv").agg(F.sum("w").alias("wuc"))
-    tot = st.groupBy("g", "comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
-    me = st.filter(eligible("node")).select("g", F.col("node").alias("u"), F.col("comm").alias("cu"),
-                                            F.col("k").alias("ku"), F.col("best").alias("bu"))
-    cand = (cand.join(me, ["g", "u"])
-            .join(tot.select("g", F.col("comm").alias("cv"), F.col("tot").alias("tot_v"),
-                             F.col("size").alias("size_v")), ["g", "cv"]))
-    tot_wo = F.col("tot_v") - F.when(F.col("cv") == F.col("cu"), F.col("ku")).otherwise(F.lit(0.0))
-    cand = cand.withColumn("gain", F.col("wuc") / m_of - F.col("ku") * tot_wo / (F.lit(2.0) * m_of * m_of))
-    # every eligible node has its own-community candidate, so it appears here once
-    best = cand.groupBy("g", "u").agg(
-        F.max_by(F.struct(F.col("cv").alias("c"), F.col("gain").alias("gn"), F.col("size_v").alias("s")),
-                 F.struct(F.col("gain"), (-F.col("cv")).alias("neg_c"))).alias("b"),
-        F.max(F.when(F.col("cv") == F.col("cu"), F.col("gain"))).alias("own_gain"),
-        F.max(F.when(F.col("cv") == F.col("cu"), F.col("size_v"))).alias("own_size"),
-        F.first("cu").alias("cu"), F.first("ku").alias("ku"), F.first("bu").alias("bu"))
-    move = ((F.col("b.c") != F.col("cu"))
-            & (F.col("b.gn") > F.col("own_gain") + F.lit(_EPS))
-            & ~((F.col("own_size") == 1) & (F.col("b.s") == 1) & (F.col("b.c") > F.col("cu"))))
+    spark = state.sparkSession
+    st, ar = _view(state, "state"), _view(arcs, "arcs")
+    act = _in_list(active)
+    mmap = "map(" + ", ".join(f"{_sql_lit(g)}, {_sql_lit(float(v))}" for g, v in m.items()) + ")"
+
+    def elig(g, node):
+        return f"pmod(xxhash64({g}, {node}, {int(level)}, {int(sweep)}, {int(seed)}), 2) = {int(parity)}"
 
     def keep_best(comm_col, best_col):
         if improved:
-            return F.when(F.col("g").isin(improved), comm_col).otherwise(best_col)
+            return f"CASE WHEN g IN {_in_list(improved)} THEN {comm_col} ELSE {best_col} END"
         return best_col
 
-    moved_rows = best.select(
-        "g", F.col("u").alias("node"), F.when(move, F.col("b.c")).otherwise(F.col("cu")).alias("comm"),
-        keep_best(F.col("cu"), F.col("bu")).alias("best"), F.col("ku").alias("k"), move.alias("moved"))
-    # rows that could not move this round are carried over without a join
-    carried = state.filter(~is_active | ~eligible("node")).select(
-        "g", "node", "comm", keep_best(F.col("comm"), F.col("best")).alias("best"), "k",
-        F.lit(False).alias("moved"))
-    return moved_rows.unionByName(carried)
+    out = spark.sql(f"""
+        WITH st AS (SELECT g, node, comm, k, best FROM {st} WHERE g IN {act}),
+        el AS (SELECT * FROM st WHERE {elig('g', 'node')}),
+        w_uc AS (
+          SELECT a.g, a.u, n.comm AS cv, a.w FROM {ar} a JOIN st n ON n.g = a.g AND n.node = a.v
+          WHERE a.g IN {act} AND {elig('a.g', 'a.u')}
+          UNION ALL
+          SELECT g, node AS u, comm AS cv, CAST(0.0 AS DOUBLE) AS w FROM el),
+        cand AS (SELECT g, u, cv, sum(w) AS wuc FROM w_uc GROUP BY g, u, cv),
+        tot AS (SELECT g, comm, sum(k) AS tot, count(1) AS size FROM st GROUP BY g, comm),
+        scored AS (
+          SELECT c.g, c.u, c.cv, e.comm AS cu, e.k AS ku, e.best AS bu, t.size AS size_v,
+                 c.wuc / element_at({mmap}, c.g)
+                   - e.k * (t.tot - CASE WHEN c.cv = e.comm THEN e.k ELSE 0.0 END)
+                     / (2.0 * element_at({mmap}, c.g) * element_at({mmap}, c.g)) AS gain
+          FROM cand c JOIN el e ON e.g = c.g AND e.node = c.u
+          JOIN tot t ON t.g = c.g AND t.comm = c.cv),
+        best AS (
+          SELECT g, u,
+                 max_by(named_struct('c', cv, 'gn', gain, 's', size_v),
+                        named_struct('gain', gain, 'neg_c', -cv)) AS b,
+                 max(CASE WHEN cv = cu THEN gain END) AS own_gain,
+                 max(CASE WHEN cv = cu THEN size_v END) AS own_size,
+                 first(cu) AS cu, first(ku) AS ku, first(bu) AS bu
+          FROM scored GROUP BY g, u),
+        dec AS (
+          SELECT *, (b.c <> cu AND b.gn > own_gain + {_EPS!r}
+                     AND NOT (own_size = 1 AND b.s = 1 AND b.c > cu)) AS mv
+          FROM best)
+        SELECT g, u AS node, CASE WHEN mv THEN b.c ELSE cu END AS comm,
+               {keep_best('cu', 'bu')} AS best, ku AS k, mv AS moved
+        FROM dec
+        UNION ALL
+        SELECT g, node, comm, {keep_best('comm', 'best')} AS best, k, false AS moved
+        FROM {st} WHERE NOT (g IN {act}) OR NOT ({elig('g', 'node')})
+    """)
+    _drop_views(spark, st, ar)
+    return out
 
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
