@@ -182,15 +182,21 @@ def _check_broadcast(n_rows: int, dim: int, what: str) -> None:
 def knn_join(vectors: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding",
              mode: str = "exact", block_rows: int = 4096, num_blocks: int | None = None,
              n_cells: int | None = None, nprobe: int = 4, seed: int = 42,
-             n_bits: int = 8, n_bands: int = 8) -> DataFrame:
+             n_bits: int = 8, n_bands: int = 8, exact_max_rows: int = 2_000_000) -> DataFrame:
     """Every vector's ``k`` nearest neighbours by cosine distance.
 
     ``k`` counts neighbours, not the vector itself (a reference call with
-    ``k=6`` corresponds to ``k=5`` here).
+    ``k=6`` corresponds to ``k=5`` here). ``mode="auto"`` is exact up to
+    ``exact_max_rows`` vectors and IVF beyond, where the quadratic join
+    stops being affordable (the reference itself searches approximately).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     v = _prep(vectors, id_col, vec_col)
+    if mode == "auto":
+        mode = "exact" if v.count() <= exact_max_rows else "ivf"
+        if mode == "ivf":
+            nprobe = max(nprobe, 8)
     if mode == "exact":
         return _knn_exact(v, k, block_rows, num_blocks)
     if mode == "ivf":

@@ -38,7 +38,7 @@ def eda_job(papers: DataFrame, bins: int = 50) -> dict[str, DataFrame]:
             "lengths": X.length_histogram(stats, bins)}
 
 
-def knn_table(vectors: DataFrame, k: int = K_GRAPH, mode: str = "exact", *, path: str | None = None,
+def knn_table(vectors: DataFrame, k: int = K_GRAPH, mode: str = "auto", *, path: str | None = None,
               force: bool = False, **kw) -> DataFrame:
     """The kNN table, materialised once for all consumers.
 

@@ -87,3 +87,12 @@ def test_lsh_returns_valid_neighbours(spark):
     rows = lsh.collect()
     assert rows and all(r["src"] != r["dst"] and 1 <= r["rank"] <= 5 for r in rows)
     assert lsh.groupBy("src", "dst").count().filter("count > 1").count() == 0
+
+
+def test_auto_mode_switches_on_size(spark):
+    v = TB.vectors_from_embeddings(TB.load_table(spark, SF001, "embeddings"))
+    exact = knn_join(v, 5)
+    auto_small = knn_join(v, 5, mode="auto")
+    assert auto_small.select("src", "dst", "rank").exceptAll(exact.select("src", "dst", "rank")).count() == 0
+    auto_big = knn_join(v, 5, mode="auto", exact_max_rows=100, n_cells=4)  # forces IVF
+    assert knn_recall(auto_big, exact, 5).first()["recall"] > 0.3
