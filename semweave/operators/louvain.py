@@ -50,6 +50,8 @@ no partition rows, as in the reference.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +61,7 @@ from semweave.session import drop_materialized, ensure_checkpoint_dir, materiali
 _EPS = 1e-12
 
 
-_VIEW_IDS = __import__("itertools").count()
+_VIEW_IDS = itertools.count()
 
 
 def _sql_lit(v) -> str:
