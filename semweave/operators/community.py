@@ -16,19 +16,23 @@ def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0)
     """Weighted modularity ``Σ_c [L_c/m − γ (K_c / 2m)²]`` as one row.
 
     ``L_c``: weight of edges inside c; ``K_c``: weighted degree of c;
-    ``m``: total weight. Per-community sums are partial aggregates after
-    two equi-joins with the partition; the final sum is over communities.
+    ``m``: total weight. Both endpoint communities are attached with two
+    equi-joins, then one partial aggregation by community yields ``L_c``
+    and ``K_c`` together; the final sum is over communities.
     Output ``(modularity, m, communities_touched)``; modularity is null for
     an edge-less graph.
     """
     e = with_communities(edges, partition)
-    intra = (e.filter(F.col("c_src") == F.col("c_dst"))
-             .groupBy(F.col("c_src").alias("community"))
-             .agg(F.sum("weight").alias("L"), F.lit(0.0).alias("K")))
-    deg = (e.select(F.col("c_src").alias("community"), "weight")
-           .unionByName(e.select(F.col("c_dst").alias("community"), "weight"))
-           .groupBy("community").agg(F.lit(0.0).alias("L"), F.sum("weight").alias("K")))
-    per_c = intra.unionByName(deg).groupBy("community").agg(F.sum("L").alias("L"), F.sum("K").alias("K"))
+    # one pass over the joined edges: each edge credits both endpoint
+    # communities with its weight (degree) and, when internal, one of them
+    # with its weight as internal weight
+    w = F.col("weight").cast("double")
+    inside = F.when(F.col("c_src") == F.col("c_dst"), w).otherwise(F.lit(0.0))
+    parts = F.array(
+        F.struct(F.col("c_src").alias("community"), inside.alias("L"), w.alias("K")),
+        F.struct(F.col("c_dst").alias("community"), F.lit(0.0).alias("L"), w.alias("K")))
+    per_c = (e.select(F.inline(parts))
+             .groupBy("community").agg(F.sum("L").alias("L"), F.sum("K").alias("K")))
     tot = per_c.agg(F.sum("L").alias("sl"), F.sum(F.col("K") * F.col("K")).alias("sk2"),
                     F.sum("K").alias("sk"), F.count(F.lit(1)).alias("communities_touched"))
     m = F.col("sk") / 2
