@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semweave.graphutil import with_communities
+from semweave.operators.graph import endpoints
 
 
 def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -85,9 +86,7 @@ def community_representative(edges: DataFrame, partition: DataFrame) -> DataFram
     struct keeps this a single partial aggregation per community.
     """
     e = with_communities(edges, partition).filter(F.col("c_src") == F.col("c_dst"))
-    wdeg = (e.select(F.col("src").alias("node"), "weight")
-            .unionByName(e.select(F.col("dst").alias("node"), "weight"))
-            .groupBy("node").agg(F.sum("weight").alias("wdeg")))
+    wdeg = endpoints(e, with_weight=True).groupBy("node").agg(F.sum("weight").alias("wdeg"))
     members = partition.join(wdeg, "node", "left").withColumn("wdeg", F.coalesce("wdeg", F.lit(0.0)))
     key = F.struct(F.col("wdeg"), (-F.col("node")).alias("neg_node"))
     return (members.groupBy("community")

@@ -55,13 +55,13 @@ def normalise_edges(edges: DataFrame, order_col: str | None = None) -> DataFrame
 
 
 def endpoints(edges: DataFrame, with_weight: bool = False) -> DataFrame:
-    """Both endpoints of every edge: ``(node[, weight])``."""
-    cols = [F.col("src").alias("node")]
-    cols2 = [F.col("dst").alias("node")]
+    """Both endpoints of every edge: ``(node[, weight])``, from a single
+    pass over the edges (one row becomes two through ``inline``)."""
     if with_weight:
-        cols.append(F.col("weight"))
-        cols2.append(F.col("weight"))
-    return edges.select(*cols).unionByName(edges.select(*cols2))
+        pair = F.array(F.struct(F.col("src").alias("node"), F.col("weight").alias("weight")),
+                       F.struct(F.col("dst").alias("node"), F.col("weight").alias("weight")))
+        return edges.select(F.inline(pair))
+    return edges.select(F.explode(F.array("src", "dst")).alias("node"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -129,8 +129,7 @@ def graph_sweep(knn: DataFrame, nodes: DataFrame, taus: DataFrame, symmetry: str
         base = g.select("src", "dst", "dist")
     e = (base.filter(F.col("dist") <= F.lit(tlist[-1]))
          .select("src", "dst", F.explode(F.filter(arr, lambda t: F.col("dist") <= t)).alias("tau")))
-    ends = (e.select("tau", F.col("src").alias("node"))
-            .unionByName(e.select("tau", F.col("dst").alias("node"))))
+    ends = e.select("tau", F.explode(F.array("src", "dst")).alias("node"))
     per = ends.groupBy("tau", "node").agg(F.count(F.lit(1)).alias("degree"))
     n_nodes = nodes.count()
     stats = (per.groupBy("tau").agg(
