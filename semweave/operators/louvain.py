@@ -212,8 +212,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
         graph_ids = sorted(m) if graph_col else [0]
     gtype = edges.schema[graph_col].dataType if graph_col else T.LongType()
 
-    ends = (level_edges.select("g", F.col("a").alias("node"))
-            .unionByName(level_edges.select("g", F.col("b").alias("node"))))
+    ends = level_edges.select("g", F.explode(F.array("a", "b")).alias("node"))
     if nodes is not None:
         decl = nodes.select(F.explode(F.array(*[F.lit(x).cast(gtype) for x in graph_ids])).alias("g"),
                             F.col("node").cast("long").alias("node"))
@@ -230,12 +229,14 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
         if not running:
             break
         level_edges = level_edges.filter(F.col("g").isin(running))
-        arcs_one = level_edges.filter(F.col("a") != F.col("b"))
+        # both directions of every non-loop edge, from one pass over the edges
+        both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                       F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
         arcs = materialize(
-            arcs_one.select("g", F.col("a").alias("u"), F.col("b").alias("v"), "w")
-            .unionByName(arcs_one.select("g", F.col("b").alias("u"), F.col("a").alias("v"), "w")), "arcs")
-        k = (level_edges.select("g", F.col("a").alias("node"), "w")
-             .unionByName(level_edges.select("g", F.col("b").alias("node"), "w"))
+            level_edges.filter(F.col("a") != F.col("b"))
+            .select("g", F.inline(both), "w"), "arcs")
+        # weighted degree: a self-loop counts twice (both of its endpoints)
+        k = (level_edges.select("g", F.explode(F.array("a", "b")).alias("node"), "w")
              .groupBy("g", "node").agg(F.sum("w").alias("k")))
         state = materialize(k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("best"),
                                      "k", F.lit(False).alias("moved")), "state")
