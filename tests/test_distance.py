@@ -67,3 +67,9 @@ def test_exact_quantiles_narrowing(spark):
     got = exact_quantiles(df, "x", [0.5, 0.1, 0.9], max_exact=200)
     want = [float(np.percentile(vals, q * 100)) for q in (0.5, 0.1, 0.9)]
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_exact_quantiles_nulls_and_empty(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,), (2.0,)], "x double")
+    assert exact_quantiles(df, "x", [0.5, 0.0, 1.0]) == [2.0, 1.0, 3.0]
+    assert exact_quantiles(df.filter("x > 10"), "x", [0.5]) == [None]

@@ -96,3 +96,14 @@ def test_auto_mode_switches_on_size(spark):
     assert auto_small.select("src", "dst", "rank").exceptAll(exact.select("src", "dst", "rank")).count() == 0
     auto_big = knn_join(v, 5, mode="auto", exact_max_rows=100, n_cells=4)  # forces IVF
     assert knn_recall(auto_big, exact, 5).first()["recall"] > 0.3
+
+
+def test_lookup_fallback_beyond_broadcast_bound(spark):
+    v = TB.vectors_from_embeddings(TB.load_table(spark, SF001, "embeddings"))
+    q = spark.range(0, 30)
+    small = knn_lookup(v, q, 3)
+    big = knn_lookup(v, q, 3, max_queries=5)  # too many queries to broadcast: full join path
+    a = small.select("src", "dst", "rank")
+    b = big.select("src", "dst", "rank")
+    assert a.count() == 90 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert knn_lookup(v, spark.range(10_000, 10_001), 3).count() == 0  # unknown id: nothing
