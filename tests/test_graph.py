@@ -79,3 +79,12 @@ def test_edge_title_sample(spark):
     papers = spark.createDataFrame([(0, "a\tb"), (1, " c\n"), (2, None)], "paper_id long, title string")
     rows = G.edge_title_sample(e, papers, n=2).collect()
     assert [(r.title1, r.title2) for r in rows] == [("a b", "c"), ("a b", "")]
+
+
+def test_sweep_threshold_without_edges(spark):
+    v = TB.vectors_from_embeddings(TB.load_table(spark, SF001, "embeddings"))
+    knn = knn_join(v, 5)
+    taus = spark.createDataFrame([(0.01, 0.0), (0.2, 0.66)], "p_keep double, tau double")
+    rows = {r.p_keep: r for r in G.graph_sweep(knn, TB.node_table(v), taus).collect()}
+    assert (rows[0.01].edges, rows[0.01].isolated_nodes, rows[0.01].median_degree) == (0, 500, 0.0)
+    assert rows[0.2].edges == 330
