@@ -98,3 +98,14 @@ def test_community_terms(spark):
     part = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "node long, community long")
     rows = C.community_terms(docs, part, n=2).orderBy("community", "rank").collect()
     assert [(r.community, r.term) for r in rows] == [(0, "apple"), (0, "banana"), (1, "durian")]
+
+
+def test_non_positive_weights_are_dropped(spark):
+    e = spark.createDataFrame([(0, 1, 0.1, 0.9), (1, 2, 0.2, 0.8), (0, 2, 0.1, 0.9), (2, 3, 1.3, -0.3),
+                               (3, 4, 0.1, 0.9), (4, 5, 0.1, 0.9), (3, 5, 0.1, 0.9)],
+                              "src long, dst long, dist double, weight double")
+    p, s = louvain(e, _nodes(spark, 6))
+    row = s.first()
+    assert row["edges"] == 6  # the negative-weight edge is not part of the graph
+    got = {r.node: r.community for r in p.collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
