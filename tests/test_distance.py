@@ -73,3 +73,20 @@ def test_exact_quantiles_nulls_and_empty(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (2.0,)], "x double")
     assert exact_quantiles(df, "x", [0.5, 0.0, 1.0]) == [2.0, 1.0, 3.0]
     assert exact_quantiles(df.filter("x > 10"), "x", [0.5]) == [None]
+
+
+def test_chunked_summary_matches_pandas(spark):
+    import numpy as np
+
+    v = TB.vectors_from_embeddings(TB.load_table(spark, SF001, "embeddings"))
+    knn = knn_join(v, 5).cache()
+    got = D.distance_summary(knn, 5, mode="chunked", shard_size=250, chunk=100).first()
+    pdf = knn.toPandas()
+    pdf["start"] = (pdf.src // 250) * 250 + ((pdf.src % 250) // 100) * 100
+    g = pdf.groupby("start").dist
+    means, stds = g.mean(), g.std(ddof=0)
+    assert len(means) == 6  # chunks restart at each shard: 0,100,200 | 250,350,450
+    assert got["mean"] == pytest.approx(means.mean(), abs=1e-12)
+    assert got["median"] == pytest.approx(float(np.median(means)), abs=1e-12)
+    assert got["std"] == pytest.approx(stds.mean(), abs=1e-12)
+    assert (got["min"], got["max"]) == (pdf.dist.min(), pdf.dist.max())
