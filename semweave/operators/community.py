@@ -57,15 +57,18 @@ def partition_summary(partition: DataFrame) -> DataFrame:
 def coherence(knn: DataFrame, partition: DataFrame, k: int = 5) -> DataFrame:
     """Share of each paper's first ``k`` neighbours in the same community.
 
-    Returned per community of the source plus an overall row (community
-    null) through ``rollup``: ``(community, pairs, same, share)``. Pairs
-    whose endpoints are not both in the partition count as different.
+    Returned per community of the source plus an overall row through
+    ``rollup``: ``(community, pairs, same, is_total, share)``; ``is_total``
+    tells the overall row from the group of sources outside the partition
+    (both have a null community). Pairs whose endpoints are not both in the
+    partition count as different.
     """
     nn = knn.filter(F.col("rank") <= F.lit(k)).select("src", "dst", F.lit(1.0).alias("weight"))
     e = with_communities(nn, partition, how="left")
     same = F.coalesce(F.col("c_src") == F.col("c_dst"), F.lit(False)).cast("long")
-    g = (e.withColumn("same", same).rollup(F.col("c_src").alias("community"))
-         .agg(F.count(F.lit(1)).alias("pairs"), F.sum("same").alias("same")))
+    g = (e.withColumn("same", same).withColumnRenamed("c_src", "community").rollup("community")
+         .agg(F.count(F.lit(1)).alias("pairs"), F.sum("same").alias("same"),
+              (F.grouping("community") == 1).alias("is_total")))
     return g.withColumn("share", F.col("same") / F.greatest(F.col("pairs"), F.lit(1)).cast("double"))
 
 

@@ -520,6 +520,7 @@ nn AS (SELECT knn.src, p1.community AS c1, p2.community AS c2 FROM knn
        WHERE knn.rank <= {K_HIST})
 SELECT c1 AS community, CAST(count(*) AS BIGINT) AS pairs,
        CAST(sum(CASE WHEN c1 = c2 THEN 1 ELSE 0 END) AS BIGINT) AS same,
+       GROUPING(c1) = 1 AS is_total,
        round(CAST(sum(CASE WHEN c1 = c2 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 6) AS share
 FROM nn GROUP BY ROLLUP (c1)""")
 def q_coherence(spark, sf):

@@ -84,7 +84,7 @@ def test_label_partition_measures(spark):
     g = G.similarity_graph(knn, tau)
     part = TB.label_partition(e)
     assert C.modularity(g, part).first()["modularity"] == pytest.approx(-0.005948, abs=1e-6)
-    coh = C.coherence(knn, part, 5).filter(F.col("community").isNull()).first()
+    coh = C.coherence(knn, part, 5).filter("is_total").first()
     assert coh["share"] == pytest.approx(0.1044, abs=1e-4)
     sizes = C.community_sizes(part)
     assert sizes.agg(F.sum("size")).first()[0] == 500
@@ -109,3 +109,12 @@ def test_non_positive_weights_are_dropped(spark):
     assert row["edges"] == 6  # the negative-weight edge is not part of the graph
     got = {r.node: r.community for r in p.collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
+
+def test_coherence_partial_partition(spark):
+    knn = spark.createDataFrame([(0, 1, 1, 0.1), (1, 0, 1, 0.1), (2, 0, 1, 0.2)],
+                                "src long, dst long, rank int, dist double")
+    part = spark.createDataFrame([(0, 5), (1, 5)], "node long, community long")
+    rows = {(r.community, r.is_total): (r.pairs, r.same) for r in C.coherence(knn, part, 5).collect()}
+    assert rows == {(5, False): (2, 2), (None, False): (1, 0), (None, True): (3, 2)}
