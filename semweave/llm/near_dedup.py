@@ -7,7 +7,7 @@
    form a class with one representative.
 2. Four registers make a band, whose 64 bits are the band key. Sorted by
    (key, set size), rows without a neighbour of a fitting size go at once;
-   the rest is cut into blocks of ``BLOCK`` rows, so a hot key becomes many
+   the rest is cut into blocks of 512 rows, so a hot key becomes many
    bounded block pairs, read as a stream.
 3. Inside a block pair a representative pair is looked at in its first
    common band only. The share of equal registers, corrected for chance
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semweave.llm.blocks import block_pairs, cut_into_blocks
 from semweave.llm.common import U64, WordHash, as_batch, fold, map_batches, map_runs, mix
 from semweave.llm.components import connected_components
 from semweave.session import drop_materialized, materialize
@@ -45,7 +46,6 @@ BUCKETS, MANTISSA = 128, 10
 ROWS = 4  # registers of a band: 4 x 16 bits make a 64-bit key
 BANDS = BUCKETS // ROWS
 EMPTY = 0xFFFF
-BLOCK = 512
 #: Chance that two different minima give the same register: the mass of a register within its leading-zero class.
 COLLISION = 0.75 * 2.0 ** -MANTISSA
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -124,59 +124,6 @@ def _bands(reps: DataFrame) -> DataFrame:
     return map_batches(reps.select("id", "n", "regs"), explode, "key long, n long, id long")
 
 
-def _blocks(bands: DataFrame, similarity: int) -> DataFrame:
-    """``(key, part, block, id)``: rows whose key has a neighbour of a fitting size, as blocks of a stretch.
-
-    A stretch is a run of one key, by size, without a gap that no similar
-    pair can span. The rows are read as a stream; only the last row and its
-    counters are held, whatever the length of a run.
-    """
-    schema = pa.schema([(c, pa.int64()) for c in ("key", "part", "block", "id")])
-
-    def run(batches):
-        held = None  # the last row so far, whose successor isn't known
-        fit, place, part = False, 0, 0  # of that row: fits its predecessor; place in its stretch; stretch of its key
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, n, ident = (b.column(k).to_numpy() for k in range(3))
-            if held is not None:
-                key, n, ident = (np.append(h, x) for h, x in zip(held, (key, n, ident), strict=True))
-            at = np.arange(len(key))
-            same = np.append(True, key[1:] == key[:-1])
-            fits = same & np.append(True, 100 * n[:-1] >= similarity * n[1:])
-            fits[0] = fit
-            begin = np.where(fits, -2 ** 62, at)
-            begin[0] = -place
-            place_of = at - np.maximum.accumulate(begin)
-            gaps = np.cumsum(same & ~fits) - (not fit)
-            base = np.where(same, -2 ** 62, gaps)
-            base[0] = -part
-            part_of = gaps - np.maximum.accumulate(base)
-            out = np.flatnonzero(fits[:-1] | fits[1:])
-            if len(out):
-                yield as_batch({"key": key[out], "part": part_of[out], "block": place_of[out] // BLOCK,
-                                "id": ident[out]}, schema)
-            held, fit = (key[-1:], n[-1:], ident[-1:]), bool(fits[-1])
-            place, part = int(place_of[-1]), int(part_of[-1])
-        if held is not None and fit:
-            yield as_batch({"key": held[0], "part": [part], "block": [place // BLOCK], "id": held[2]}, schema)
-
-    dealt = bands.repartition("key").sortWithinPartitions("key", "n", "id")
-    return dealt.mapInArrow(run, "key long, part long, block long, id long")
-
-
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Each row once for every block pair of its stretch that it belongs to: ``(key, part, b1, b2, block, id)``."""
-    tops = (rows.where("block > 0").groupBy("key", "part").agg(F.max("block").alias("top"))
-            .select(F.col("key").alias("_k"), F.col("part").alias("_p"), "top"))
-    j = rows.join(tops, (rows["key"] == tops["_k"]) & (rows["part"] == tops["_p"]), "left")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("top", F.lit(0).cast("long"))))
-    j = j.select("key", "part", "block", "id", other.alias("other"))
-    return j.select("key", "part", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-                    "block", "id")
-
-
 def _look(tbl: pa.Table, lo: int, hi: int, similarity: int):
     """Pairs (i, j) of a block pair that may be similar and meet in this band first; a row's place is lo + i."""
     n = tbl.column("n").to_numpy()[lo:hi]
@@ -274,8 +221,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     known = drawn.where("n > 0 and id is not null")
     reps = materialize(known.groupBy("n", "s1", "s2").agg(F.min_by("regs", "id").alias("regs"),
                                                           F.min("id").alias("id")), "nd_reps")
-    rows = materialize(_blocks(_bands(reps), similarity), "nd_blocks")
-    candidates = materialize(_candidates(_block_pairs(rows), reps, similarity), "nd_cand")
+    rows = materialize(cut_into_blocks(_bands(reps), similarity), "nd_blocks")
+    candidates = materialize(_candidates(block_pairs(rows), reps, similarity), "nd_cand")
     drop_materialized(rows)
     wanted = candidates.select("id").distinct()
     sets = sketches(own.join(wanted, "id", "left_semi"), "id", "text", with_set=True)
