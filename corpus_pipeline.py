@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import near_dedup, repetition
+from semweave.llm import line_dedup, near_dedup, repetition
 from semweave.llm.common import table
 from semweave.session import ensure_checkpoint_dir, materialize, ship_package
 
@@ -32,13 +32,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _keep(docs, repetition.quality_rules(docs))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated and nearly repeated lines out of the texts; every document stays."""
+    _prepared(spark)
+    out = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_sw_repeats") + F.col("_sw_near") > 0,
+                                               F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near-duplicates."""
     _prepared(spark)
     return _keep(docs, near_dedup.near_duplicates(docs))
 
 
-STAGES = [("quality_rules", quality_stage), ("near_dedup", near_dedup_stage)]
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_dedup_stage)]
 
 #: The stages are not SQL; tests compare them with brute-force versions.
 ORACLE_SQL = None

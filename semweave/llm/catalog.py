@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semweave.llm import near_dedup, repetition, token_counts
+from semweave.llm import line_dedup, near_dedup, repetition, token_counts
 from semweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated and nearly repeated lines."""
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_sw_lines").alias("n_lines"), F.col("_sw_repeats").alias("n_repeat_lines"),
+                      F.col("_sw_near").alias("n_near_lines"), F.length("text").cast("long").alias("n_chars"), "text")
+
+
 @register("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents for the 32k piece vocabulary."""
