@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import line_dedup, near_dedup, repetition, token_counts
+from semweave.llm import line_dedup, mixing, near_dedup, ranking, repetition, token_counts, wrapper
 from semweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op4_mix_sources", mixing.MIX_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their places in a mix of sources by the square root of their sizes."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 @register("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated and nearly repeated lines."""
@@ -43,6 +49,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("_sw_near").alias("n_near_lines"), F.length("text").cast("long").alias("n_chars"), "text")
 
 
+@register("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels that are not held out."""
+    return ranking.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 @register("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents for the 32k piece vocabulary."""
