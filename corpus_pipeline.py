@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import line_dedup, near_dedup, repetition
+from semweave.llm import decontamination, line_dedup, mixing, near_dedup, repetition
 from semweave.llm.common import table
 from semweave.session import ensure_checkpoint_dir, materialize, ship_package
 
@@ -49,7 +49,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _keep(docs, near_dedup.near_duplicates(docs))
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_dedup_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    _prepared(spark)
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _keep(docs, found.withColumn("kept", ~F.col("contaminated")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their places in the mix of sources."""
+    _prepared(spark)
+    return mixing.mix_sources(docs, text_col="text")
+
+
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_dedup_stage),
+          ("decontamination", decontamination_stage), ("mixing", mixing_stage)]
 
 #: The stages are not SQL; tests compare them with brute-force versions.
 ORACLE_SQL = None

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.llm import line_dedup, mixing, near_dedup, ranking, repetition, token_counts, wrapper
+from semweave.llm import (
+    decontamination,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dedup,
+    ranking,
+    repetition,
+    token_counts,
+    wrapper,
+)
 from semweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +71,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+@register("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark item they hold, if any."""
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families named in all documents."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.withColumn("families", F.array_join("families", ","))
+
+
 @register("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents for the 32k piece vocabulary."""
