@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from semweave.llm import (
     decontamination,
+    language_model,
     licenses,
     line_dedup,
     mixing,
@@ -39,6 +40,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op2_language_model")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the hierarchical Pitman-Yor model of the training documents."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, repeated-substring measures and the verdict for all documents."""
