@@ -122,3 +122,42 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable, schema: str, order: l
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, schema)
+
+
+LANES, PIECE = 32, 1 << 16
+
+
+def sum_over_partitions(df: DataFrame, size: int, add: Callable, kind: type = np.float64) -> np.ndarray:
+    """Sum of the vectors that ``add(total, batch)`` builds in each partition.
+
+    The vectors are cut into pieces and added up on the executors in two
+    steps, so the driver gets one vector whatever the number of partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(size, np.float64)
+        for b in batches:
+            if b.num_rows:
+                add(total, b)
+        lane = TaskContext.get().partitionId() % LANES
+        for k in range(0, size, PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([lane], pa.int32()),
+                                              pa.array([total[k:k + PIECE].astype(kind).tobytes()], pa.binary())],
+                                             ["piece", "lane", "m"])
+
+    def together(tbl: pa.Table) -> pa.Table:
+        out = None
+        for m in tbl.column("m"):
+            v = np.frombuffer(m.as_py(), kind).astype(np.float64)
+            out = v if out is None else out + v
+        return pa.table({"piece": tbl.column("piece").slice(0, 1), "m": pa.array([out.astype(kind).tobytes()], pa.binary())})
+
+    parts = df.mapInArrow(run, "piece int, lane int, m binary").groupBy("piece", "lane")
+    parts = parts.applyInArrow(together, "piece int, m binary").groupBy("piece")
+    out = np.zeros(size)
+    for r in parts.applyInArrow(together, "piece int, m binary").collect():
+        v = np.frombuffer(r["m"], kind)
+        out[r["piece"] * PIECE:r["piece"] * PIECE + len(v)] = v
+    return out

@@ -10,8 +10,7 @@ The features are words of the benchmark (in lower case) that stand in at most
    Y = A^T (A G) for a fixed Gaussian matrix G of ``RANK + EXTRA`` columns;
    the eigenvectors of the Nystroem form Y (G^T Y)^-1 Y^T are the leading right
    singular vectors. The pass runs on the executors; what comes back is one
-   matrix of benchmark words x sketch columns a partition, added up as it
-   arrives.
+   matrix of benchmark words x sketch columns, added up there.
 3. In the last pass every passage and every benchmark item is projected, and
    pairs with a cosine of at least ``COSINE`` are candidates.
 4. A candidate is confirmed by the longest common subsequence of words: the
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.common import as_batch, map_batches
+from semweave.llm.common import as_batch, map_batches, sum_over_partitions
 
 WINDOW, STRIDE = 64, 32
 MAX_DF = 0.03
@@ -123,18 +122,12 @@ def lowered(column: pa.Array) -> list[bytes]:
 def _matrix_pass(docs: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
     """Sum over all partitions of what ``add(total, texts)`` adds to a zero matrix."""
 
-    def run(batches):
-        total = np.zeros(shape)
-        for b in batches:
-            texts = lowered(b.column(0))
-            for k in range(0, len(texts), 500):
-                add(total, texts[k:k + 500])
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["m"])
-
-    out = np.zeros(shape)
-    for r in docs.mapInArrow(run, "m binary").toLocalIterator():
-        out += np.frombuffer(r["m"], np.float32).reshape(shape)
-    return out
+    def add_batch(total: np.ndarray, b: pa.RecordBatch) -> None:
+        texts = lowered(b.column(0))
+        for k in range(0, len(texts), 500):
+            add(total.reshape(shape), texts[k:k + 500])
+
+    return sum_over_partitions(docs, shape[0] * shape[1], add_batch, np.float32).reshape(shape)
 
 
 def places(words: list[bytes]) -> dict[bytes, int]:

@@ -5,9 +5,9 @@ repeats, line shapes; nothing but the text enters). Labelled training rows
 are dealt into blocks of about ``PAIR_BLOCK`` documents; in a block every
 (good, bad) pair is a preference, and the loss of a pair is
 log(1 + exp(-w . (x_good - x_bad))). Newton steps minimise the sum over all
-blocks: each step is one Spark job that sends back one gradient and one
-matrix of features x features per partition, so the rows stay on the
-executors and all labelled rows take part. The rank score w . x is turned
+blocks: each step is one Spark job that adds up the gradient and a matrix of
+features x features on the executors, so all labelled rows take part and none
+leaves them. The rank score w . x is turned
 into a probability by a two-parameter logistic fit on the same rows.
 
 A null or empty text has the feature vector of no words and gets a score as
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.common import as_batch, crc_mod, map_batches
+from semweave.llm.common import as_batch, crc_mod, map_batches, sum_over_partitions
 from semweave.session import drop_materialized, materialize
 
 PAIR_BLOCK = 512
@@ -88,25 +88,18 @@ def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[float,
 
 
 def _sums(blocks: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """The same over all blocks, and the number of pairs; one row a partition comes back."""
+    """The same over all blocks, and the number of pairs."""
     d = len(w)
 
-    def run(batches):
-        loss, pairs, grad, second = 0.0, 0.0, np.zeros(d), np.zeros((d, d))
-        for b in batches:
-            for ys, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                y, x = np.array(ys), np.array(xs, float)
-                good, bad = x[y == 1], x[y == 0]
-                if len(good) and len(bad):
-                    one = pair_sums(good, bad, w)
-                    loss, grad, second = loss + one[0], grad + one[1], second + one[2]
-                    pairs += len(good) * len(bad)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([np.concatenate([[loss, pairs], grad, second.ravel()])], pa.list_(pa.float64()))], ["s"])
-
-    total = np.zeros(2 + d + d * d)
-    for r in blocks.mapInArrow(run, "s array<double>").toLocalIterator():
-        total += np.array(r["s"])
+    def add(total: np.ndarray, b: pa.RecordBatch) -> None:
+        for ys, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            y, x = np.array(ys), np.array(xs, float)
+            good, bad = x[y == 1], x[y == 0]
+            if len(good) and len(bad):
+                loss, grad, second = pair_sums(good, bad, w)
+                total += np.concatenate([[loss, len(good) * len(bad)], grad, second.ravel()])
+
+    total = sum_over_partitions(blocks, 2 + d + d * d, add)
     return float(total[0]), total[2:2 + d], total[2 + d:].reshape(d, d), float(total[1])
 
 
