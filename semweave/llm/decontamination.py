@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The features are words of the benchmark (in lower case) that stand in at most
-``MAX_DF`` of the documents; passages are windows of ``WINDOW`` words,
+``MAX_DF`` of the documents, and the ``LEAST_FEATURES`` rarest words of each
+item in any case; passages are windows of ``WINDOW`` words,
 ``STRIDE`` apart, over the whole text.
 
 1. One pass counts the documents that hold each benchmark word.
@@ -38,6 +39,7 @@ from semweave.llm.common import as_batch, map_batches, sum_over_partitions
 
 WINDOW, STRIDE = 64, 32
 MAX_DF = 0.03
+LEAST_FEATURES = 8
 RANK, EXTRA = 64, 16
 ITEM_WEIGHT = 30.0
 COSINE = 0.5
@@ -111,6 +113,8 @@ def weigh(p: np.ndarray, w: np.ndarray, c: np.ndarray, idf: np.ndarray) -> np.nd
 
 def times(p: np.ndarray, w: np.ndarray, v: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of (cells @ matrix) for the passages that have a cell, and these passages; p is sorted."""
+    if not len(p):
+        return np.zeros((0, matrix.shape[1]), np.float32), p
     first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
     return np.add.reduceat(matrix[w] * v[:, None], first, axis=0), p[first]
 
@@ -194,8 +198,12 @@ def fit_space(docs: DataFrame, bench: Benchmark, rank: int = RANK) -> Space:
 
     df = _matrix_pass(docs, (bench.size + 1, 1), count)[:, 0]
     n, df = df[-1], df[:-1]
-    chosen = np.flatnonzero(df <= max(MAX_DF * n, 1))
-    idf = np.log((1 + n) / (1 + df[chosen])) + 1e-3
+    wanted = df <= MAX_DF * n
+    for words in bench.words:  # an item that many documents hold keeps its rarest words
+        numbers = np.unique([bench.number[x] for x in words])
+        wanted[numbers[np.argsort(df[numbers], kind="stable")[:LEAST_FEATURES]]] = True
+    chosen = np.flatnonzero(wanted)
+    idf = np.log(np.maximum((1 + n) / (1 + df[chosen]), 1 / MAX_DF))
     bench.choose([bench.features[k] for k in chosen])
     d = bench.size
     columns = min(rank + EXTRA, d)
