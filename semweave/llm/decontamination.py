@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The features are words of the benchmark (in lower case) that stand in at most
-``MAX_DF`` of the documents, and the ``LEAST_FEATURES`` rarest words of each
-item in any case; passages are windows of ``WINDOW`` words,
+``MAX_DF`` of the documents; an item with fewer than ``LEAST_FEATURES`` of
+these keeps its rarest words as well. Passages are windows of ``WINDOW`` words,
 ``STRIDE`` apart, over the whole text.
 
 1. One pass counts the documents that hold each benchmark word.
@@ -39,7 +39,7 @@ from semweave.llm.common import as_batch, map_batches, sum_over_partitions
 
 WINDOW, STRIDE = 64, 32
 MAX_DF = 0.03
-LEAST_FEATURES = 8
+LEAST_FEATURES = 6
 RANK, EXTRA = 64, 16
 ITEM_WEIGHT = 30.0
 COSINE = 0.5
@@ -199,11 +199,12 @@ def fit_space(docs: DataFrame, bench: Benchmark, rank: int = RANK) -> Space:
     df = _matrix_pass(docs, (bench.size + 1, 1), count)[:, 0]
     n, df = df[-1], df[:-1]
     wanted = df <= MAX_DF * n
-    for words in bench.words:  # an item that many documents hold keeps its rarest words
+    for words in bench.words:  # an item of common words, or one that many documents hold, keeps its rarest words
         numbers = np.unique([bench.number[x] for x in words])
-        wanted[numbers[np.argsort(df[numbers], kind="stable")[:LEAST_FEATURES]]] = True
+        if wanted[numbers].sum() < LEAST_FEATURES:
+            wanted[numbers[np.argsort(df[numbers], kind="stable")[:LEAST_FEATURES]]] = True
     chosen = np.flatnonzero(wanted)
-    idf = np.log(np.maximum((1 + n) / (1 + df[chosen]), 1 / MAX_DF))
+    idf = np.maximum(np.log((1 + n) / (1 + df[chosen])), 0.3)
     bench.choose([bench.features[k] for k in chosen])
     d = bench.size
     columns = min(rank + EXTRA, d)
