@@ -21,19 +21,20 @@ def dot(a, b) -> Column:
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def _norm(a) -> Column:
+def norm(a) -> Column:
+    """Euclidean length in double precision."""
     return F.sqrt(F.aggregate(F.transform(_c(a), lambda x: x.cast("double") * x.cast("double")),
                               F.lit(0.0).cast("double"), lambda acc, x: acc + x))
 
 
 def l2_normalize(a) -> Column:
     """Unit-length copy of a vector as ``array<double>``; a zero vector stays zero."""
-    n = _norm(a)
+    n = norm(a)
     return F.when(n == 0, F.transform(_c(a), lambda x: x.cast("double") * 0.0)) \
         .otherwise(F.transform(_c(a), lambda x: x.cast("double") / n))
 
 
 def cosine_distance(a, b) -> Column:
     """``1 - cos(a, b)``; a zero vector is at distance 1 from everything."""
-    denom = _norm(a) * _norm(b)
+    denom = norm(a) * norm(b)
     return F.when(denom == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dot(a, b) / denom)

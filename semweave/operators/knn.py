@@ -6,7 +6,8 @@ Output of every mode is the long-form table
 ordered by ``(dist, dst)``; ``rank`` starts at 1.
 
 ``mode="exact"``
-    Vectors are hashed into ``B = ceil(N / block_rows)`` blocks by their id.
+    Vectors are hashed by their id into ``B`` blocks of at most about
+    ``block_rows`` rows, and enough of them to occupy the cluster.
     Every unordered block pair ``(p, q)`` becomes one group of at most
     ``2 * block_rows`` vectors (ids are unique, so hashing cannot skew a
     block); a vectorised kernel computes the pair's distance matrix and a
@@ -18,11 +19,11 @@ ordered by ``(dist, dst)``; ``rank`` starts at 1.
 ``mode="ivf"``
     Inverted-file search: cosine k-means cells (MLlib), every vector is
     stored in its nearest cell and probes its ``nprobe`` nearest cells.
-    Candidates are generated by an equi-join on the cell id; cells larger
-    than ``block_rows`` are split into salted sub-blocks so that a hot cell
-    (one third of the corpus, say) becomes many bounded tasks instead of
-    one huge one. Centroids (``n_cells x D``) are the only thing that
-    reaches the driver and their size is checked before broadcasting.
+    Candidates are generated by an equi-join on the cell id; a cell's stored
+    rows and its probing rows are both split into salted sub-blocks, and each
+    pair of sub-blocks is a group, so a hot cell (one third of the corpus,
+    say) becomes many bounded groups. Centroids (``n_cells x D``) are the only
+    thing that reaches the driver; ``n_cells`` stays below the broadcast bound.
 
 ``mode="lsh"``
     Random-hyperplane signatures banded into buckets; candidate pairs
@@ -40,13 +41,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semweave.session import ship_package
+from semweave.session import materialize, ship_package
 
 KNN_SCHEMA = "src long, dst long, rank int, dist double"
 _CAND_SCHEMA = "src long, dst long, dist double"
 # the largest matrix a worker broadcast may hold (bytes)
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_CHUNK = 1024
+_LOOKUP_BLOCK = 4096
 
 
 # --------------------------------------------------------------------------
@@ -77,6 +79,8 @@ def _topk_rows(q_ids: np.ndarray, q_mat: np.ndarray, c_ids: np.ndarray, c_mat: n
     for start in range(0, len(q_ids), _ROW_CHUNK):
         qi = q_ids[start:start + _ROW_CHUNK]
         d = 1.0 - q_mat[start:start + _ROW_CHUNK] @ c_mat.T
+        # equal vectors must tie whatever the shape of the block product was
+        d = np.round(d, 12)
         d[np.abs(d) < 1e-9] = 0.0  # exact duplicates: no -0.0 / tiny negatives
         if exclude_self:
             pos = np.searchsorted(c_ids, qi)
@@ -182,21 +186,17 @@ def _check_broadcast(n_rows: int, dim: int, what: str) -> None:
 def knn_join(vectors: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding",
              mode: str = "exact", block_rows: int = 4096, num_blocks: int | None = None,
              n_cells: int | None = None, nprobe: int = 4, seed: int = 42,
-             n_bits: int = 8, n_bands: int = 8, exact_max_rows: int = 2_000_000) -> DataFrame:
+             n_bits: int | None = None, n_bands: int = 8) -> DataFrame:
     """Every vector's ``k`` nearest neighbours by cosine distance.
 
     ``k`` counts neighbours, not the vector itself (a reference call with
-    ``k=6`` corresponds to ``k=5`` here). ``mode="auto"`` is exact up to
-    ``exact_max_rows`` vectors and IVF beyond, where the quadratic join
-    stops being affordable (the reference itself searches approximately).
+    ``k=6`` corresponds to ``k=5`` here). The caller names the mode; none is
+    chosen by size. The approximate modes give fewer than ``k`` rows for a
+    vector whose cells or buckets hold fewer others.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     v = _prep(vectors, id_col, vec_col)
-    if mode == "auto":
-        mode = "exact" if v.count() <= exact_max_rows else "ivf"
-        if mode == "ivf":
-            nprobe = max(nprobe, 8)
     if mode == "exact":
         return _knn_exact(v, k, block_rows, num_blocks)
     if mode == "ivf":
@@ -209,7 +209,8 @@ def knn_join(vectors: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "
 def _knn_exact(v: DataFrame, k: int, block_rows: int, num_blocks: int | None) -> DataFrame:
     if num_blocks is None:
         n = v.count()  # row-group metadata only for Parquet
-        num_blocks = max(1, math.ceil(n / block_rows))
+        spread = math.ceil(math.sqrt(2 * v.sparkSession.sparkContext.defaultParallelism))
+        num_blocks = max(1, math.ceil(n / block_rows), min(spread, math.ceil(n / 64)))
     b = int(num_blocks)
     v = v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
     if b == 1:
@@ -243,26 +244,33 @@ def _nearest_cells(centroids: np.ndarray, nprobe: int, id_col="id", vec_col="vec
     return run
 
 
+def _bucket_sizes(v: DataFrame, block_rows: int, name: str) -> DataFrame:
+    return (v.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+            .select(F.col("bucket").alias(f"_b_{name}"),
+                    F.greatest(F.lit(1), F.ceil(F.col("c") / F.lit(block_rows))).cast("int").alias(name)))
+
+
 def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_rows: int,
                          dedup: bool = True) -> DataFrame:
     """Equi-join stored rows and probing rows on ``bucket`` with skew splitting.
 
     ``v_home``: (id, vec, bucket) where each row is stored;
     ``v_probe``: (id, vec, bucket) for every bucket a row probes.
-    A bucket with ``c`` stored rows is split into ``ceil(c / block_rows)``
-    sub-blocks by hashing the stored id; probing rows are replicated to
-    every sub-block of the buckets they probe.
+    Both sides of a bucket are split by hashed id into sub-blocks of about
+    ``block_rows``; each (stored sub-block, probing sub-block) is one group.
     """
-    sizes = (v_home.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-             .select("bucket", F.greatest(F.lit(1), F.ceil(F.col("c") / F.lit(block_rows)))
-                     .cast("int").alias("nsub")))
-    data = (v_home.join(sizes, "bucket")
-            .select("bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nsub")).cast("int").alias("sub"),
-                    "id", "vec", F.lit(0).alias("role")))
-    qry = (v_probe.join(sizes, "bucket")
-           .select("bucket", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"),
-                   "id", "vec", F.lit(1).alias("role")))
-    grouped = data.unionByName(qry).groupBy("bucket", "sub")
+    stored, asked = _bucket_sizes(v_home, block_rows, "nsub"), _bucket_sizes(v_probe, block_rows, "nask")
+    sizes = (stored.join(asked, stored["_b_nsub"] == asked["_b_nask"])
+             .select(F.col("_b_nsub").alias("bucket"), "nsub", "nask"))
+
+    def side(v: DataFrame, own: str, other: str, own_n: str, other_n: str, role: int) -> DataFrame:
+        return (v.join(sizes, "bucket")
+                .withColumn(own, F.pmod(F.xxhash64("id", F.lit(7)), F.col(own_n)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+                .select("bucket", "sub", "ask", "id", "vec", F.lit(role).alias("role")))
+
+    grouped = (side(v_home, "sub", "ask", "nsub", "nask", 0)
+               .unionByName(side(v_probe, "ask", "sub", "nask", "nsub", 1)).groupBy("bucket", "sub", "ask"))
     cand = grouped.applyInPandas(_probe_kernel(k), _CAND_SCHEMA)
     if dedup:
         # a row stored in several buckets (LSH bands) can meet a prober twice
@@ -271,18 +279,17 @@ def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_ro
 
 
 def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
-             block_rows: int, max_train: int = 1_000_000) -> DataFrame:
+             block_rows: int) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = v.count()
-    if n_cells is None:
-        n_cells = max(1, int(round(math.sqrt(n))))
+    if n_cells is None:  # the centroid matrix stays within the broadcast bound; larger cells are split anyway
+        first = v.select("vec").first()
+        dim = len(first["vec"]) if first else 1
+        n_cells = max(1, min(int(round(math.sqrt(n))), MAX_BROADCAST_BYTES // (8 * max(1, dim))))
     nprobe = max(1, min(nprobe, n_cells))
-    train = v
-    if n > max_train:  # centroids are fitted on a seeded sample; every row is still searched
-        train = v.sample(fraction=min(1.0, 1.2 * max_train / n), seed=seed)
-    train = train.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
+    train = v.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(train)
     cent = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     _check_broadcast(cent.shape[0], cent.shape[1] if cent.ndim == 2 else 0, "IVF centroids")
@@ -301,7 +308,8 @@ def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
     def assign(batches):
         yield from _nearest_cells(bc.value, nprobe)(batches)
 
-    cells = v.mapInPandas(assign, schema)
+    cells = materialize(v.mapInPandas(assign, schema), "ivf_cells")  # assigned once for all branches
+    bc.unpersist()
     home = cells.select("id", "vec", F.col("home").alias("bucket"))
     probe = cells.select("id", "vec", F.explode("probes").alias("bucket"))
     # each row is stored in exactly one cell and probes distinct cells, so a
@@ -309,9 +317,12 @@ def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
     return _bucketed_candidates(home, probe, k, block_rows, dedup=False)
 
 
-def _knn_lsh(v: DataFrame, k: int, n_bits: int, n_bands: int, seed: int,
+def _knn_lsh(v: DataFrame, k: int, n_bits: int | None, n_bands: int, seed: int,
              block_rows: int) -> DataFrame:
-    """Random-hyperplane LSH: band b of a vector = its n_bits sign bits."""
+    """Random-hyperplane LSH: band b of a vector = its n_bits sign bits (by
+    default enough of them for buckets of about ``block_rows`` vectors)."""
+    if n_bits is None:
+        n_bits = max(8, math.ceil(math.log2(max(1, v.count()) / block_rows + 1)))
     dim = len(v.select("vec").first()["vec"])
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((n_bands * n_bits, dim))
@@ -335,7 +346,8 @@ def _knn_lsh(v: DataFrame, k: int, n_bits: int, n_bands: int, seed: int,
         T.StructField("vec", v.schema["vec"].dataType),
         T.StructField("buckets", T.ArrayType(T.LongType())),
     ])
-    sig = v.mapInPandas(sign_bands, schema)
+    sig = materialize(v.mapInPandas(sign_bands, schema), "lsh_bands")
+    bc.unpersist()
     rows = sig.select("id", "vec", F.explode("buckets").alias("bucket"))
     return _bucketed_candidates(rows, rows, k, block_rows)
 
@@ -348,8 +360,8 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
     The query vectors are collected and broadcast (their count is checked
     against ``max_queries`` and the broadcast byte bound); each partition of
     the corpus is scanned once, keeps a local top-k per query, and a final
-    window merges the partial lists. Beyond the bound, the full join is
-    used and restricted to the requested sources.
+    window merges the partial lists. Beyond the bound, blocks of queries meet
+    blocks of the corpus as groups, with the same result.
     """
     v = _prep(vectors, id_col, vec_col)
     q = query_ids.select(F.col(query_id_col).cast("long").alias("qid")).distinct()
@@ -359,8 +371,8 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
         return v.sparkSession.createDataFrame([], KNN_SCHEMA)
     dim = len(qv.select("vec").first()["vec"])
     if n_q > max_queries or n_q * dim * 8 > MAX_BROADCAST_BYTES:
-        full = _knn_exact(v, k, 4096, None)
-        return full.join(q, full["src"] == q["qid"], "left_semi")
+        return _bucketed_candidates(v.withColumn("bucket", F.lit(0)), qv.withColumn("bucket", F.lit(0)), k,
+                                    _LOOKUP_BLOCK, dedup=False)
     rows = qv.collect()  # bounded by max_queries x dim, checked above
     q_ids = np.array([r["id"] for r in rows], dtype=np.int64)
     order = np.argsort(q_ids)
@@ -382,8 +394,11 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
 
 def corpus_shape(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """One row ``(n_rows, dim)``: the count needs no column data (Parquet
-    row-group metadata) and the dimension is the largest vector size."""
-    return vectors.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size(vec_col)).cast("int").alias("dim"))
+    row-group metadata) and the dimension is that of one row (vectors of a
+    table have one size)."""
+    first = vectors.select(F.size(vec_col).cast("int").alias("dim")).limit(1)
+    return vectors.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit((first.first() or [None])[0]).cast("int").alias("dim"))
 
 
 def knn_recall(approx: DataFrame, exact: DataFrame, k: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ Parallel local moving
     (ties to the smaller label) only if it beats staying by more than
     1e-12; a singleton joins another singleton only if that label is
     smaller. A graph's level ends after a sweep without moves or without a
-    modularity gain above ``tol`` (or after ``max_rounds``); the best state
+    modularity gain above ``tol``; the best state
     seen at a sweep end is kept.
 
 Contraction
@@ -183,7 +183,7 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
 
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
-            graph_ids: list | None = None, seed: int = 42, max_rounds: int = 40, max_levels: int = 12,
+            graph_ids: list | None = None, seed: int = 42, max_rounds: int | None = None, max_levels: int | None = None,
             threshold: float = 1e-7, tol: float = 1e-6,
             weight_col: str = "weight") -> tuple[DataFrame, DataFrame]:
     """Louvain communities of ``edges(src, dst, weight[, graph])``.
@@ -193,7 +193,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     report, including edge-less ones; by default the graphs present in the
     edge table. A graph's level ends when a sweep makes no move or gains
     no more than ``tol`` modularity over the best state so far; levels stop
-    when one gains no more than ``threshold``.
+    when one gains no more than ``threshold``. ``max_rounds`` (per level) and
+    ``max_levels`` end the search earlier if set; ``converged`` in the summary
+    is false for the graphs they cut short.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -225,9 +227,13 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     rounds = {g: 0 for g in m}
     running = sorted(m)
     arcs = state = None
-    for level in range(max_levels):
+    cut: set = set()  # graphs that a bound stopped
+    for level in itertools.count():
         if not running:
             break
+        if max_levels is not None and level >= max_levels:
+            cut |= set(running)
+            break
         level_edges = level_edges.filter(F.col("g").isin(running))
         # both directions of every non-loop edge, from one pass over the edges
         both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
@@ -249,7 +255,10 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
         active = list(running)
         improved: list = []
         sweep_moves = {g: 0 for g in active}
-        for r in range(max_rounds):
+        for r in itertools.count():
+            if max_rounds is not None and r >= max_rounds:
+                cut |= set(active)
+                break
             prev = state
             # per-graph move counts are observed during the write itself
             counters = {f"m{i}": F.count_if(F.col("moved") & (F.col("g") == F.lit(g)))
@@ -328,14 +337,15 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     for g in graph_ids:
         if g in m:
             rows.append((g, float(final_q[g]), int(sizes[g]["n"]), int(sizes[g]["nt"]), n_edges[g],
-                         node_counts.get(g, 0), levels[g], rounds[g]))
+                         node_counts.get(g, 0), levels[g], rounds[g], g not in cut))
         else:
-            rows.append((g, None, 0, 0, 0, node_counts.get(g, 0), 0, 0))
+            rows.append((g, None, 0, 0, 0, node_counts.get(g, 0), 0, 0, True))
     schema = T.StructType([
         T.StructField("g", gtype), T.StructField("modularity", T.DoubleType()),
         T.StructField("num_communities", T.LongType()), T.StructField("num_nontrivial", T.LongType()),
         T.StructField("edges", T.LongType()), T.StructField("nodes", T.LongType()),
-        T.StructField("levels", T.IntegerType()), T.StructField("rounds", T.IntegerType())])
+        T.StructField("levels", T.IntegerType()), T.StructField("rounds", T.IntegerType()),
+        T.StructField("converged", T.BooleanType())])
     summary = spark.createDataFrame(rows, schema)
     if graph_col:
         return (partition.withColumnRenamed("g", graph_col), summary.withColumnRenamed("g", graph_col))

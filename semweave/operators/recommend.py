@@ -44,9 +44,11 @@ def recommend(query_ids: DataFrame | None, vectors: DataFrame, papers: DataFrame
 
     ``query_ids=None`` recommends for every paper (the full kNN join, or a
     persisted ``knn`` table when given). A neighbour is *significant* when
-    both it and the query are in the partition and share a community.
-    Metadata and both community look-ups are left equi-joins on the id.
+    both it and the query are in the partition and share a community. A
+    query id without a vector is an error. Metadata and both community look-ups are left equi-joins on the id.
     """
+    if query_ids is not None:
+        check_ids(query_ids, vectors.select(F.col(id_col).cast("long").alias("node")), query_id_col)
     if knn is not None:
         nn = knn.filter(F.col("rank") <= F.lit(k))
         if query_ids is not None:

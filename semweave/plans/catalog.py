@@ -666,6 +666,25 @@ def q_embed_incremental(spark, sf):
     return new.select("paper_id", "year", F.size("embedding").alias("dim"))
 
 
+@register("embed_batch_invariance", _with(_papers_sql(EMBED_MIN_YEAR)) + f"""
+SELECT paper_id, 512 AS dim, CAST(1 AS DOUBLE) AS norm, CAST(0 AS DOUBLE) AS dist FROM papers
+WHERE n_words >= {EMBED_MIN_WORDS}""")
+def q_embed_batch_invariance(spark, sf):
+    """Every paper embedded in a small batch (even or odd ids) and in one batch
+    of all: size, length and cosine distance of the two vectors."""
+    from semweave.functions.vector import cosine_distance, norm
+    from semweave.operators.embed import hashing_embedder
+
+    p = _papers(spark, sf, EMBED_MIN_YEAR, EMBED_MIN_WORDS, null_date="drop")
+    whole = hashing_embedder(p).select("paper_id", "embedding")
+    odd = F.col("paper_id") % 2 == 1
+    parts = hashing_embedder(p.filter(odd)).unionByName(hashing_embedder(p.filter(~odd)))
+    parts = parts.select(F.col("paper_id").alias("_id"), F.col("embedding").alias("_e"))
+    j = whole.join(parts, whole["paper_id"] == parts["_id"])
+    return j.select("paper_id", F.size("embedding").alias("dim"), F.round(norm("embedding"), 5).alias("norm"),
+                    F.abs(F.round(cosine_distance("embedding", "_e"), 5)).alias("dist"))
+
+
 @register("kmeans_labels")
 def q_kmeans_labels(spark, sf):
     from semweave.operators.cluster import kmeans_assign, kmeans_fit
@@ -701,6 +720,40 @@ def q_knn_lsh(spark, sf):
     return rounded(knn_join(_vectors(spark, sf), K_HIST, mode="lsh", seed=SEED))
 
 
+@register("knn_ivf_all_cells", ORACLES["knn_exact"])
+def q_knn_ivf_all_cells(spark, sf):
+    """IVF that probes every cell: the same rows as the exact join."""
+    return rounded(knn_join(_vectors(spark, sf), K_GRAPH, mode="ivf", nprobe=1_000_000, seed=SEED, block_rows=256))
+
+
+@register("knn_blocks", ORACLES["knn_exact"])
+def q_knn_blocks(spark, sf):
+    """The exact join over seven blocks: the rows don't depend on the blocks."""
+    return rounded(knn_join(_vectors(spark, sf), K_GRAPH, num_blocks=7))
+
+
+@register("knn_lsh_check", """
+SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(0 AS BIGINT) AS self_pairs, CAST(0 AS BIGINT) AS repeated_pairs,
+       CAST(0 AS BIGINT) AS wrong_distances FROM embeddings""")
+def q_knn_lsh_check(spark, sf):
+    """Faults of the LSH neighbours: pairs with oneself, pairs that come twice, distances that are not the pair's."""
+    from semweave.functions.vector import cosine_distance
+
+    v = _vectors(spark, sf)
+    nn = knn_join(v, K_HIST, mode="lsh", seed=SEED)
+    a, b = v.select(F.col("id").alias("src"), F.col("embedding").alias("_a")), v.select(
+        F.col("id").alias("dst"), F.col("embedding").alias("_b"))
+    j = nn.join(a, "src").join(b, "dst").withColumn("true", cosine_distance("_a", "_b"))
+    pairs = j.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"),
+                                        F.max(F.abs(F.col("dist") - F.col("true"))).alias("off"))
+    found = pairs.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_pairs"),
+                      F.count_if(F.col("n") > 1).alias("repeated_pairs"),
+                      F.count_if(F.col("off") > 1e-5).alias("wrong_distances")).first()
+    return v.agg(F.count(F.lit(1)).alias("vectors")).select(
+        "vectors", *[F.lit(found[c]).cast("long").alias(c)
+                     for c in ("self_pairs", "repeated_pairs", "wrong_distances")])
+
+
 @register("knn_recall")
 def q_knn_recall(spark, sf):
     """Recall@5 of IVF with ~sqrt(N) cells at 1, 4, 8, 22 and all probes

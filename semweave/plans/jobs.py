@@ -8,6 +8,8 @@ every threshold).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from semweave.operators.knn import knn_join
 from semweave.operators.louvain import louvain
 from semweave.operators.recommend import recommend_sample
 from semweave.session import materialize
+from semweave.sources.files import (path_has_data, table_or_none, write_best_config, write_edges, write_embeddings,
+                                    write_partition, write_table)
 
 # Defaults of the reference workflow.
 K_HIST = 5
@@ -38,30 +42,31 @@ def eda_job(papers: DataFrame, bins: int = 50) -> dict[str, DataFrame]:
             "lengths": X.length_histogram(stats, bins)}
 
 
-def knn_table(vectors: DataFrame, k: int = K_GRAPH, mode: str = "auto", *, path: str | None = None,
+def knn_table(vectors: DataFrame, k: int = K_GRAPH, mode: str = "exact", *, path: str | None = None,
               force: bool = False, **kw) -> DataFrame:
     """The kNN table, materialised once for all consumers.
 
-    With ``path`` the table is persisted together with the parameters it
-    was built from (``k``, ``mode``, number of input vectors); a later call
-    reuses it only if those still match (and ``force`` is off), otherwise it
-    is rebuilt and overwritten.
+    With ``path`` the table is persisted together with all parameters it was
+    built from and a fingerprint of the input (rows, ids and values); a later
+    call reuses it only if those are the same (and ``force`` is off),
+    otherwise it is rebuilt and overwritten.
     """
     if path is None:
         return materialize(knn_join(vectors, k, mode=mode, **kw), "knn")
     spark = vectors.sparkSession
-    n = vectors.count()
-    if not force:
-        try:
-            meta = spark.read.json(path.rstrip("/") + "/_params").first()
-        except Exception:  # noqa: BLE001 - nothing persisted yet
-            meta = None
-        if meta is not None and (meta["k"], meta["mode"], meta["n_vectors"]) == (k, mode, n):
-            return spark.read.parquet(path.rstrip("/") + "/data")
-    knn_join(vectors, k, mode=mode, **kw).write.mode("overwrite").parquet(path.rstrip("/") + "/data")
-    params = spark.createDataFrame([(k, mode, n)], "k int, mode string, n_vectors long")
-    params.coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "/_params")
-    return spark.read.parquet(path.rstrip("/") + "/data")
+    base = path.rstrip("/")
+    cols = [kw.get("id_col", "id"), kw.get("vec_col", "embedding")]
+    mark = vectors.agg(F.count(F.lit(1)).alias("n"),
+                       F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h")).first()
+    want = (json.dumps({"k": k, "mode": mode, **kw}, sort_keys=True, default=str), f"{mark['n']}:{mark['h']}")
+    if not force and path_has_data(spark, base + "/params"):
+        meta = spark.read.json(base + "/params").first()
+        if meta is not None and (meta["params"], meta["input"]) == want:
+            return spark.read.parquet(base + "/data")
+    knn_join(vectors, k, mode=mode, **kw).write.mode("overwrite").parquet(base + "/data")
+    params = spark.createDataFrame([want], "params string, input string")
+    params.coalesce(1).write.mode("overwrite").json(base + "/params")
+    return spark.read.parquet(base + "/data")
 
 
 def graph_job(vectors: DataFrame, nodes: DataFrame | None = None, *, tau: float | None = None,
@@ -88,7 +93,8 @@ def tau_sweep_job(vectors: DataFrame, nodes: DataFrame | None = None, *, pkeep=D
     knn = knn if knn is not None else knn_table(vectors, K_GRAPH)
     nodes = nodes if nodes is not None else vectors.select(F.col("id").alias("node"))
     hist = D.distance_histogram(knn, K_HIST)
-    taus = D.tau_dedup(D.tau_candidates(hist, pkeep))
+    # a row for each percentile: evaluated once, not by every consumer
+    taus = materialize(D.tau_dedup(D.tau_candidates(hist, pkeep)), "taus")
     sweep = G.graph_sweep(knn, nodes, taus, symmetry)
     part, summary = louvain_sweep(knn, nodes, taus, seed=seed, symmetry=symmetry)
     quality = graph_quality(sweep, summary)
@@ -96,6 +102,19 @@ def tau_sweep_job(vectors: DataFrame, nodes: DataFrame | None = None, *, pkeep=D
             "louvain": summary, "quality": quality, "best": select_best_tau(quality)}
 
 
+def save_sweep(out: dict, path: str) -> None:
+    """Write what :func:`tau_sweep_job` made: τ table, graph summaries, edges and
+    partitions by ``tau_tag``, Louvain summary, quality and the best configuration."""
+    base = path.rstrip("/")
+    write_table(out["taus"], base + "/taus")
+    write_table(out["sweep"], base + "/graph_summaries")
+    write_edges(sweep_edges(out["knn"], out["taus"]), base + "/edges")
+    write_partition(out["partition"], base + "/louvain")
+    write_table(out["louvain"], base + "/louvain_summary")
+    write_table(out["quality"], base + "/quality")
+    write_best_config(out["best"], base + "/best", base + "/edges", base + "/louvain")
+
+
 def sweep_edges(knn: DataFrame, taus: DataFrame, symmetry: str = "forward") -> DataFrame:
     """Edges of every τ in one table keyed by ``tau_tag`` (array filter +
     explode over the small τ list; the kNN is scanned once)."""
@@ -126,30 +145,29 @@ def graph_quality(sweep: DataFrame, louvain_summary: DataFrame) -> DataFrame:
 
 def select_best_tau(quality: DataFrame) -> DataFrame:
     """Highest modularity among graphs with more than one community; ties
-    to the smaller τ. One row (none if no graph qualifies)."""
-    return (quality.filter(F.col("modularity").isNotNull() & (F.col("num_communities") > 1))
+    to the smaller τ. One row; an error if no graph qualifies."""
+    best = (quality.filter(F.col("modularity").isNotNull() & (F.col("num_communities") > 1))
             .orderBy(F.col("modularity").desc(), F.col("tau").asc()).limit(1))
+    if best.isEmpty():
+        raise RuntimeError("no threshold gives a graph with more than one community")
+    return best
 
 
 def embed_job(spark, papers_path: str, out_path: str, *, min_year: int = 2015, min_words: int = 10,
               dim: int = 512, shard_size: int = 25_000, force: bool = False,
-              embed=None) -> int:
+              embed=None, id_col: str | None = None) -> int:
     """Scan JSON-lines papers → filter → embed what is not embedded yet →
     write (append; ``force`` rewrites everything). Returns the table's row
-    count. Unlike the reference's reuse check, already embedded ids are
-    skipped one by one, so a changed filter only adds what is missing."""
-    from semweave.sources.files import write_embeddings
+    count. Papers are known by their own key (``id_col``) or by a hash of the
+    record; ids already embedded are skipped one by one, so added files or a
+    changed filter only add what is missing. A table that is there but cannot
+    be read raises before anything is written."""
     from semweave.sources.papers import clean_papers, read_papers
 
     embed = embed or (lambda df: hashing_embedder(df, dim))
-    papers = clean_papers(read_papers(spark, papers_path), min_year=min_year, min_words=min_words,
+    papers = clean_papers(read_papers(spark, papers_path, id_col=id_col), min_year=min_year, min_words=min_words,
                           null_date="drop")
-    existing = None
-    if not force:
-        try:
-            existing = spark.read.parquet(out_path)
-        except Exception:  # noqa: BLE001 - no table yet
-            existing = None
+    existing = None if force else table_or_none(spark, out_path)
     new = embed_incremental(papers, existing, embed, force=force)
     out = new.select("paper_id", "year", "title", "embedding")
     write_embeddings(out, out_path, shard_size, mode="overwrite" if (force or existing is None) else "append")

@@ -69,7 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - conf not visible through SQL
             conf_dir = None
     if not conf_dir:
-        # unset: a private local folder, acceptable only for local runs/tests
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        # unset: a private local folder, for local runs and tests
         conf_dir = tempfile.mkdtemp(prefix="semweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

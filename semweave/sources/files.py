@@ -23,6 +23,26 @@ PARTITION_SCHEMA = T.StructType([
 ])
 
 
+def path_has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder (or file) exists and holds a data file; every other problem is raised."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return False
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        if not files.next().getPath().getName().startswith(("_", ".")):
+            return True
+    return False
+
+
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing was written yet. A table that is
+    there but cannot be read raises, so a caller never takes it for a new one."""
+    return spark.read.parquet(path) if path_has_data(spark, path) else None
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
                 max_records_per_file: int | None = None) -> None:
     w = df.write.mode("overwrite")
@@ -61,7 +81,9 @@ def read_edges(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def write_partition(partition: DataFrame, path: str, fmt: str = "parquet") -> None:
-    write_table(partition.select("node", "community"), path, fmt)
+    """Partitions of several thresholds keep their ``tau_tag``, one folder each."""
+    tag = [c for c in ("tau_tag",) if c in partition.columns]
+    write_table(partition.select(*tag, "node", "community"), path, fmt, partition_by=tag or None)
 
 
 def read_partition(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -124,14 +146,11 @@ def load_best_partition(spark: SparkSession, config_path: str) -> DataFrame | No
     (recommendations are then made without community labels)."""
     import warnings
 
-    try:
-        cfg = spark.read.json(config_path).first()
-    except Exception:  # noqa: BLE001 - missing config is a supported state
-        cfg = None
+    cfg = spark.read.json(config_path).first() if path_has_data(spark, config_path) else None
     if cfg is None:
         warnings.warn(f"no best-graph configuration at {config_path}; no community labels")
         return None
     part = read_partition(spark, cfg["louvain_dir"])
     if "tau_tag" in part.columns:
-        part = part.filter(F.col("tau_tag") == cfg["tau_tag"]).drop("tau_tag")
+        part = part.filter(F.col("tau_tag").cast("string") == str(cfg["tau_tag"])).drop("tau_tag")
     return part

@@ -27,10 +27,9 @@ def read_papers(spark: SparkSession, path: str, mode: str = "dropmalformed",
     ``"failfast"`` raises on the first one. With ``with_rejects`` the scan
     is PERMISSIVE and a boolean ``rejected`` column marks bad lines so they
     can be counted (blank lines are skipped by the reader and not counted).
-    With ``id_col`` the records' own key becomes ``paper_id``; records
-    without a key get ``paper_id`` from ``monotonically_increasing_id``
-    (partition index in the high bits, row position in the low bits): unique,
-    JVM-side, and stable for the same files and split size.
+    With ``id_col`` the records' own key becomes ``paper_id``; without one
+    ``paper_id`` is a 63-bit hash of the record itself, so it stays the same
+    whatever files are added and equal records share it.
     """
     base = PAPER_SCHEMA.fields
     if id_col is not None:  # records carry their own key
@@ -49,7 +48,8 @@ def read_papers(spark: SparkSession, path: str, mode: str = "dropmalformed",
         df = reader.option("mode", opt).json(path)
     if id_col is not None:
         return df.withColumnRenamed(id_col, "paper_id")
-    return df.select(F.monotonically_increasing_id().alias("paper_id"), *df.columns)
+    key = F.xxhash64(*[F.coalesce(F.col(f.name), F.lit("\0")) for f in PAPER_SCHEMA.fields])
+    return df.select(key.bitwiseAND(F.lit(2 ** 63 - 1)).alias("paper_id"), *df.columns)
 
 
 def clean_papers(raw: DataFrame, min_year: int = 0, min_words: int | None = None,
@@ -72,6 +72,13 @@ def clean_papers(raw: DataFrame, min_year: int = 0, min_words: int | None = None
     return df
 
 
+def first_papers(papers: DataFrame, max_papers: int, id_col: str = "paper_id") -> DataFrame:
+    """The ``max_papers`` papers with the smallest ids; a number below 1 is an error."""
+    if max_papers <= 0:
+        raise ValueError("max_papers must be positive")
+    return papers.orderBy(id_col).limit(max_papers)
+
+
 def filter_papers(papers: DataFrame, min_words: int = 10) -> DataFrame:
     """Keep papers with at least ``min_words`` words (after the scan filters)."""
     return papers.filter(F.col("n_words") >= F.lit(min_words))

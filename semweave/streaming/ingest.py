@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semweave.operators.embed import embed_incremental, hashing_embedder
+from semweave.sources.files import table_or_none
 from semweave.sources.papers import PAPER_SCHEMA, clean_papers
 
 
@@ -47,10 +48,7 @@ def run_embed_ingest(spark: SparkSession, source_dir: str, out_path: str, checkp
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         papers = clean_papers(df, min_year=min_year, min_words=min_words, null_date="drop")
-        try:
-            existing = spark.read.parquet(out_path).select("paper_id")
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            existing = None
+        existing = table_or_none(spark, out_path)
         new = embed_incremental(papers, existing, embed)
         out = new.select("paper_id", "year", "title", "embedding")
         # one action: write, then count what was written from the files

@@ -89,13 +89,50 @@ def test_lsh_returns_valid_neighbours(spark):
     assert lsh.groupBy("src", "dst").count().filter("count > 1").count() == 0
 
 
-def test_auto_mode_switches_on_size(spark):
+def test_no_mode_is_chosen_by_size(spark):
     v = TB.vectors_from_embeddings(TB.load_table(spark, SF001, "embeddings"))
-    exact = knn_join(v, 5)
-    auto_small = knn_join(v, 5, mode="auto")
-    assert auto_small.select("src", "dst", "rank").exceptAll(exact.select("src", "dst", "rank")).count() == 0
-    auto_big = knn_join(v, 5, mode="auto", exact_max_rows=100, n_cells=4)  # forces IVF
-    assert knn_recall(auto_big, exact, 5).first()["recall"] > 0.3
+    with pytest.raises(ValueError):
+        knn_join(v, 5, mode="auto")
+
+
+def test_rows_do_not_depend_on_blocks(spark):
+    """Repeated vectors tie exactly, whatever the shape of the block products."""
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(300, 16))
+    rows = [(i, base[i % 300].tolist()) for i in range(900)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    want = None
+    for b in (1, 3, 5):
+        got = sorted((r.src, r.rank, r.dst) for r in knn_join(v, 7, num_blocks=b).collect())
+        assert want is None or got == want
+        want = got
+
+
+def test_hot_cell_is_split_on_both_sides(spark):
+    """A third of the rows in one cell: no group gets more than about two blocks of rows."""
+    from semweave.operators import knn as K
+
+    rng = np.random.default_rng(1)
+    rows = [(i, (np.array([5.0, 0, 0, 0]) * (i < 1000) + rng.normal(size=4) * 0.1).tolist(), 0 if i < 1000 else i % 7)
+            for i in range(3000)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>, bucket int")
+    kernel = K._probe_kernel
+
+    def sized(k):
+        run = kernel(k)
+
+        def inner(pdf):
+            assert len(pdf) <= 2 * 100 * 1.5, len(pdf)
+            return run(pdf)
+
+        return inner
+
+    K._probe_kernel = sized
+    try:
+        got = K._bucketed_candidates(v, v, 3, 100, dedup=False)
+    finally:
+        K._probe_kernel = kernel
+    assert got.count() == 9000
 
 
 def test_lookup_fallback_beyond_broadcast_bound(spark):
