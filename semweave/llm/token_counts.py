@@ -28,7 +28,7 @@ from semweave.llm.common import as_batch, map_batches
 
 MARK = "▁"
 LIMIT = 4096
-REMEMBERED = 600_000
+REMEMBERED = 600_000  # segments of a generation; two are kept
 SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -51,6 +51,7 @@ class PrefixCounter:
         self.ends: dict[str, bool] = {}  # ends of pieces; True: a whole piece that is its own encoding
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tables: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         for p in self.score:
             for k in range(1, len(p)):
                 self.ends.setdefault(p[k:], False)
@@ -88,6 +89,8 @@ class PrefixCounter:
         """
         n = len(seg)
         found = self.tables.get(seg)
+        if found is None and (found := self.older.get(seg)) is not None:
+            self.remember(seg, found)
         if found is not None:
             return found[:n]
         get, pairs, stays, tables = self.ends.get, self.pairs, self.stays, self.tables
@@ -127,11 +130,15 @@ class PrefixCounter:
                     break
         del count[0], size[0]
         if n <= 48:
-            if len(tables) >= REMEMBERED:
-                tables.clear()
-            tables[seg] = bytes(count + size)
+            self.remember(seg, bytes(count + size))
         return count
 
+    def remember(self, seg: str, table: bytes) -> None:
+        """Keep a segment; beyond ``REMEMBERED`` new ones the generation before goes."""
+        if len(self.tables) >= REMEMBERED:
+            self.tables, self.older = {}, self.tables
+        self.tables[seg] = table
+
     def segments(self, text: str) -> list[str]:
         return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -139,7 +146,11 @@ class PrefixCounter:
         total, get, segment = 0, self.tables.get, self.segment
         for s in self.segments(text):
             t = get(s)
-            total += t[len(s) - 1] if t is not None else segment(s)[-1]
+            if t is not None:
+                total += t[len(s) - 1]
+            else:
+                total += segment(s)[-1]
+                get = self.tables.get
         return total
 
     def prefixes(self, text: str) -> np.ndarray:
