@@ -134,6 +134,12 @@ def drop_materialized(df: DataFrame) -> None:
     fs.delete(folder, True)
 
 
+def release_materialized(spark: SparkSession) -> None:
+    """Delete every table this run has materialised; results that still read them become invalid."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, f"semweave-{_RUN_ID}"))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _SHIPPED: set = set()
 
 
