@@ -42,6 +42,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*
                    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                    r"|(?P<text>[^<]+|<)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 # HTML's element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -61,7 +62,8 @@ NO_WORDS = set("ad ads adv advert adverts advertisement advertising adsense bann
                "subscription social share sharing sidebar menu menus nav navbar navigation breadcrumb breadcrumbs "
                "footer masthead comment comments commentlist reply replies respond disqus related recommended "
                "widget pagination pager toolbar login signup search copyright disclaimer skip".split())
-ROOTS = {"html", "body", "main"}
+#: Left out without ending the block around them.
+INSIDE = INLINE | set("button select svg canvas map object audio video".split())
 
 
 class Node:
@@ -83,7 +85,8 @@ def _out(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     name = got.get("class", "")
     if tag == "main":
         return False, name
-    words = set(re.split(r"[^a-z0-9]+", (name + " " + got.get("id", "")).lower()))
+    names = name + " " + got.get("id", "")
+    words = set(re.split(r"[^a-z0-9]+", (names + " " + CAMEL.sub(" ", names)).lower()))
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
     no = bool(words & NO_WORDS) or got.get("role", "").lower() in NO_ROLES or hidden
     return no or (not in_main and "header" in words), name
@@ -106,7 +109,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
                 node.texts.append(text)
 
     def pop_to(k: int):
-        if any(t not in INLINE for t, _, _ in stack[k:]):
+        if any(t not in INSIDE for t, _, _ in stack[k:]):
             end_block()
         del stack[k:]
 
@@ -118,7 +121,6 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
             at += 1
             continue
         at = m.end()
-        kind = m.lastgroup
         if m["text"] is not None:
             if not stack[-1][2]:
                 parts.append(m["text"] if m["text"] != "<" else "&lt;")
@@ -144,7 +146,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if tag not in KEEP_P:  # a block element ends an open paragraph
+        if tag not in KEEP_P and tag not in INSIDE:  # a block element ends an open paragraph
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     pop_to(k)
@@ -161,8 +163,8 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
                     break
         node, out = stack[-1][1], stack[-1][2]
         no, name = _out(tag, m["attrs"], node.main)
-        if tag in INLINE and not no:
-            stack.append((tag, node, out))
+        if tag in INSIDE:
+            stack.append((tag, node, out or no))
             continue
         end_block()
         label = tag + ("." + ".".join(sorted(name.split())) if name else "")

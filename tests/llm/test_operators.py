@@ -299,6 +299,14 @@ def test_wrapper_finds_constant_blocks(spark):
     assert {r["page_id"]: r["text"] for r in got} == {k: f"story {k * k}\n\nmore of story {k * k}" for k in range(6)}
 
 
+def test_left_out_elements():
+    page = ("<body><header>top</header><article><header><h1>Title</h1></header><p>one&nbsp;&lt;two <span class='ad'>buy</span>and <button>ok</button>three</p>"
+            "<aside>side</aside><div class='userComment'><p>reader</p></div><form><p>mail</p></form>"
+            "<div id='cookie-notice'>ok?</div><ul><li>a<li>b</ul><section class='comments'><p>x</p></section>"
+            "<table><tr><td>c<td>d</table></article><footer>end</footer></body>")
+    assert wrapper.content(page, None) == "Title\n\none <two and three\n\na\n\nb\n\nc\n\nd"
+
+
 def test_tree_matching():
     a = ["r", 0, [["x", 1, []], ["y", 2, [["z", 3, []]]], ["x", 4, []]]]
     b = ["r", 0, [["y", 2, [["z", 9, []]]], ["w", 5, []], ["x", 4, []]]]
