@@ -611,6 +611,28 @@ def q_louvain_duplicates(spark, sf):
     return part
 
 
+CLIQUE, LINK_WEIGHT = 8, 0.001
+
+
+@register("louvain_cliques", f"""
+SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY doc_id // {CLIQUE}) AS community FROM documents""")
+def q_louvain_cliques(spark, sf):
+    """A connected, weighted graph with a known optimum: every eight consecutive
+    ids form a clique, weak edges join each clique to the next."""
+    from semweave.operators.louvain import louvain
+
+    n = TB.load_table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("src"))
+    n = n.withColumn("b", F.floor(F.col("src") / CLIQUE))
+    other = n.select(F.col("src").alias("dst"), F.col("b").alias("_b"))
+    inside = n.join(other, n["b"] == other["_b"]).where("src < dst").select("src", "dst", F.lit(1.0).alias("weight"))
+    ends = n.groupBy("b").agg(F.min("src").alias("lo"), F.max("src").alias("hi"))
+    after = ends.select((F.col("b") - 1).alias("_b"), F.col("lo").alias("dst"))
+    links = ends.join(after, ends["b"] == after["_b"]).select(F.col("hi").alias("src"), "dst",
+                                                              F.lit(LINK_WEIGHT).alias("weight"))
+    part, _ = louvain(inside.unionByName(links), n.select(F.col("src").alias("node")), seed=SEED)
+    return part.select("node", "community")
+
+
 @register("louvain_knn")
 def q_louvain_knn(spark, sf):
     from semweave.operators.louvain import louvain
