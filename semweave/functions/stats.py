@@ -24,7 +24,7 @@ def _kth(df: DataFrame, col: str, r: int, n: int, max_exact: int) -> float:
     x = F.col(col)
     sub, below, m = df, 0, n
     lo = hi = None
-    for _ in range(64):
+    for _ in range(200):
         if m <= max_exact:
             row = sub.select(x.alias("v")).orderBy("v").offset(r - below).limit(1).collect()
             return float(row[0]["v"])
@@ -61,8 +61,14 @@ def _kth(df: DataFrame, col: str, r: int, n: int, max_exact: int) -> float:
         if hi is not None:
             cond = cond & (x <= hi)
         sub = sub.filter(cond)
-        if mid >= m:  # no progress possible through the sketch: finish exactly
-            max_exact = mid
+        if mid >= m and lo is not None and hi is not None:
+            # the sketch does not narrow the range (few distinct values): halve it by value
+            pivot = lo + (hi - lo) / 2
+            low = sub.filter(x <= pivot).count()
+            if r - below < low:
+                sub, mid, hi = sub.filter(x <= pivot), low, pivot
+            else:
+                sub, mid, below = sub.filter(x > pivot), mid - low, below + low
         m = mid
     raise RuntimeError("exact_quantiles did not converge")
 

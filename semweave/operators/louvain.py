@@ -185,7 +185,7 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
             graph_ids: list | None = None, seed: int = 42, max_rounds: int | None = None, max_levels: int | None = None,
             threshold: float = 1e-7, tol: float = 1e-6,
-            weight_col: str = "weight") -> tuple[DataFrame, DataFrame]:
+            weight_col: str = "weight", order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Louvain communities of ``edges(src, dst, weight[, graph])``.
 
     ``nodes(node)`` declares the node set (shared by all graphs); nodes
@@ -193,7 +193,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     report, including edge-less ones; by default the graphs present in the
     edge table. A graph's level ends when a sweep makes no move or gains
     no more than ``tol`` modularity over the best state so far; levels stop
-    when one gains no more than ``threshold``. ``max_rounds`` (per level) and
+    when one gains no more than ``threshold``. Of parallel edges the one with
+    the largest ``order_col`` counts (without it, the largest weight), as in
+    ``graph.normalise_edges``. ``max_rounds`` (per level) and
     ``max_levels`` end the search earlier if set; ``converged`` in the summary
     is false for the graphs they cut short.
     """
@@ -202,10 +204,11 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     gcol = F.col(graph_col) if graph_col else F.lit(0).cast("long")
     w = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col in edges.columns else F.lit(1.0)
     e = (edges.select(gcol.alias("g"), F.col("src").cast("long").alias("src"),
-                      F.col("dst").cast("long").alias("dst"), w.alias("w"))
+                      F.col("dst").cast("long").alias("dst"), w.alias("w"),
+                      (F.struct(F.col(order_col), w) if order_col else w).alias("_o"))
          .filter(F.col("w") > 0)  # Louvain needs positive weights
          .groupBy("g", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-         .agg(F.max("w").alias("w")))
+         .agg(F.max_by("w", "_o").alias("w")))
     level_edges = materialize(e, "edges")
     per_g = level_edges.groupBy("g").agg(F.sum("w").alias("m"), F.count(F.lit(1)).alias("n_e")).collect()
     m = {r["g"]: float(r["m"]) for r in per_g}

@@ -121,3 +121,19 @@ def test_first_papers(spark):
     assert [r.paper_id for r in first_papers(df, 2).orderBy("paper_id").collect()] == [1, 2]
     with pytest.raises(ValueError):
         first_papers(df, 0)
+
+
+def test_louvain_keeps_the_last_of_parallel_edges(spark):
+    rows = [(0, 1, 9.0, 1), (1, 0, 0.001, 2), (1, 2, 1.0, 1), (0, 3, 1.0, 1)]
+    df = spark.createDataFrame(rows, "src long, dst long, weight double, pos int")
+    last, _ = louvain(df, order_col="pos")
+    assert {r.node: r.community for r in last.collect()} == {0: 0, 3: 0, 1: 1, 2: 1}
+
+
+def test_exact_quantiles_of_few_values_stay_bounded(spark):
+    from semweave.functions.stats import exact_quantiles
+
+    values = [0.0] * 700 + [1.0] * 900 + [2.5] * 400
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = exact_quantiles(df, "v", [0.1, 0.349, 0.35, 0.36, 0.5, 0.9], max_exact=50)
+    assert np.allclose(got, np.percentile(values, [10, 34.9, 35, 36, 50, 90]))
