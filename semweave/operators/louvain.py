@@ -19,9 +19,10 @@ Parallel local moving
 
     (ties to the smaller label) only if it beats staying by more than
     1e-12; a singleton joins another singleton only if that label is
-    smaller. A graph's level ends after a sweep without moves or without a
-    modularity gain above ``tol``; the best state
-    seen at a sweep end is kept.
+    smaller. The first round of a sweep also adds up the modularity of the
+    state it starts from. A graph's level ends after a sweep without moves or
+    without a modularity gain above ``tol``; the best state seen at a sweep
+    end is kept.
 
 Contraction
     Communities become nodes; parallel edges are summed and internal
@@ -91,43 +92,17 @@ def _drop_views(spark, *names: str) -> None:
         spark.catalog.dropTempView(n)
 
 
-def _q_by_graph(level_edges: DataFrame, state: DataFrame, col: str, m: dict) -> dict:
-    """Modularity per graph of the assignment in ``col`` (self-loops allowed).
-
-    One SQL statement (analysed once): intra-community weight per graph and
-    the sum of squared community degrees; one row per graph is collected.
-    """
-    if not m:
-        return {}
-    spark = state.sparkSession
-    e, st = _view(level_edges, "e"), _view(state, "s")
-    gs = _in_list(list(m))
-    df = spark.sql(f"""
-        WITH a AS (SELECT g, node, {col} AS c, k FROM {st} WHERE g IN {gs}),
-        intra AS (
-          SELECT e.g, sum(e.w) AS l FROM {e} e
-          JOIN a x ON x.g = e.g AND x.node = e.a JOIN a y ON y.g = e.g AND y.node = e.b
-          WHERE x.c = y.c GROUP BY e.g),
-        tot AS (SELECT g, sum(t * t) AS s2 FROM (SELECT g, c, sum(k) AS t FROM a GROUP BY g, c) GROUP BY g)
-        SELECT tot.g AS g, intra.l AS l, tot.s2 AS s2 FROM tot LEFT JOIN intra ON intra.g = tot.g
-    """)
-    _drop_views(spark, e, st)  # the statement is analysed; the views are no longer needed
-    rows = df.collect()
-    out = {}
-    for r in rows:
-        mg = m[r["g"]]
-        out[r["g"]] = float(r["l"] or 0.0) / mg - float(r["s2"]) / (4.0 * mg * mg)
-    return out
-
-
 def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: list,
            level: int, sweep: int, parity: int, seed: int) -> DataFrame:
     """One local-moving round for the eligible half of the active graphs.
 
-    Returns the new state ``(g, node, comm, best, k, moved)``; ``best`` is
-    set to the incoming ``comm`` for graphs in ``improved`` (their state at
-    the last sweep end was their best so far). The round is one SQL
-    statement, so the driver analyses its plan once.
+    Returns the new state ``(g, node, comm, prev, best, k)`` with ``moved``,
+    ``own_w`` (weight into the incoming community) and ``own_t`` (degree times
+    the community's total). ``prev`` is the assignment at the start of the
+    sweep; ``best`` becomes ``prev`` for the graphs in ``improved``. The first
+    round of a sweep looks at all nodes, so its ``own_*`` sums give the
+    modularity of the incoming state without a job of its own. The round is
+    one SQL statement, so the driver analyses its plan once.
     """
     spark = state.sparkSession
     st, ar = _view(state, "state"), _view(arcs, "arcs")
@@ -135,48 +110,50 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
     mmap = "map(" + ", ".join(f"{_sql_lit(g)}, {_sql_lit(float(v))}" for g, v in m.items()) + ")"
 
     def elig(g, node):
-        return f"pmod(xxhash64({g}, {node}, {int(level)}, {int(sweep)}, {int(seed)}), 2) = {int(parity)}"
+        # a string as salt stays out of the generated code, so all sweeps run the same compiled code
+        return f"pmod(xxhash64({g}, {node}, '{int(level)}/{int(sweep)}/{int(seed)}'), 2) = {int(parity)}"
 
-    def keep_best(comm_col, best_col):
-        if improved:
-            return f"CASE WHEN g IN {_in_list(improved)} THEN {comm_col} ELSE {best_col} END"
-        return best_col
+    def looked_at(g, node):
+        return "true" if parity == 0 else elig(g, node)
 
+    keep = f"CASE WHEN g IN {_in_list(improved)} THEN prev ELSE best END" if improved else "best"
     out = spark.sql(f"""
-        WITH st AS (SELECT g, node, comm, k, best FROM {st} WHERE g IN {act}),
-        el AS (SELECT * FROM st WHERE {elig('g', 'node')}),
+        WITH st AS (SELECT g, node, comm, prev, best, k FROM {st} WHERE g IN {act}),
         w_uc AS (
-          SELECT a.g, a.u, n.comm AS cv, a.w FROM {ar} a JOIN st n ON n.g = a.g AND n.node = a.v
-          WHERE a.g IN {act} AND {elig('a.g', 'a.u')}
+          SELECT a.g, a.u, n.comm AS cv, a.w, a.k, false AS own, CAST(NULL AS BIGINT) AS prev,
+                 CAST(NULL AS BIGINT) AS best
+          FROM {ar} a JOIN st n ON n.g = a.g AND n.node = a.v
+          WHERE a.g IN {act} AND {looked_at('a.g', 'a.u')}
           UNION ALL
-          SELECT g, node AS u, comm AS cv, CAST(0.0 AS DOUBLE) AS w FROM el),
-        cand AS (SELECT g, u, cv, sum(w) AS wuc FROM w_uc GROUP BY g, u, cv),
+          SELECT g, node AS u, comm AS cv, CAST(0.0 AS DOUBLE) AS w, k, true AS own, prev, best
+          FROM st WHERE {looked_at('g', 'node')}),
+        cand AS (SELECT g, u, cv, sum(w) AS wuc, max(k) AS ku, max(own) AS own, max(prev) AS prev, max(best) AS best
+                 FROM w_uc GROUP BY g, u, cv),
         tot AS (SELECT g, comm, sum(k) AS tot, count(1) AS size FROM st GROUP BY g, comm),
         scored AS (
-          SELECT c.g, c.u, c.cv, e.comm AS cu, e.k AS ku, e.best AS bu, t.size AS size_v,
+          SELECT c.*, t.tot, t.size,
                  c.wuc / element_at({mmap}, c.g)
-                   - e.k * (t.tot - CASE WHEN c.cv = e.comm THEN e.k ELSE 0.0 END)
+                   - c.ku * (t.tot - CASE WHEN c.own THEN c.ku ELSE 0.0 END)
                      / (2.0 * element_at({mmap}, c.g) * element_at({mmap}, c.g)) AS gain
-          FROM cand c JOIN el e ON e.g = c.g AND e.node = c.u
-          JOIN tot t ON t.g = c.g AND t.comm = c.cv),
-        best AS (
+          FROM cand c JOIN tot t ON t.g = c.g AND t.comm = c.cv),
+        pick AS (
           SELECT g, u,
-                 max_by(named_struct('c', cv, 'gn', gain, 's', size_v),
+                 max_by(named_struct('c', cv, 'gn', gain, 's', size),
                         named_struct('gain', gain, 'neg_c', -cv)) AS b,
-                 max(CASE WHEN cv = cu THEN gain END) AS own_gain,
-                 max(CASE WHEN cv = cu THEN size_v END) AS own_size,
-                 first(cu) AS cu, first(ku) AS ku, first(bu) AS bu
+                 max(CASE WHEN own THEN named_struct('gn', gain, 's', size, 'c', cv, 'w', wuc, 't', tot) END) AS o,
+                 max(ku) AS k, max(prev) AS prev, max(best) AS best
           FROM scored GROUP BY g, u),
         dec AS (
-          SELECT *, (b.c <> cu AND b.gn > own_gain + {_EPS!r}
-                     AND NOT (own_size = 1 AND b.s = 1 AND b.c > cu)) AS mv
-          FROM best)
-        SELECT g, u AS node, CASE WHEN mv THEN b.c ELSE cu END AS comm,
-               {keep_best('cu', 'bu')} AS best, ku AS k, mv AS moved
+          SELECT *, ({elig('g', 'u')} AND b.c <> o.c AND b.gn > o.gn + {_EPS!r}
+                     AND NOT (o.s = 1 AND b.s = 1 AND b.c > o.c)) AS moved
+          FROM pick)
+        SELECT g, u AS node, CASE WHEN moved THEN b.c ELSE o.c END AS comm,
+               {'o.c' if parity == 0 else 'prev'} AS prev, {keep} AS best, k, moved, o.w AS own_w, k * o.t AS own_t
         FROM dec
         UNION ALL
-        SELECT g, node, comm, {keep_best('comm', 'best')} AS best, k, false AS moved
-        FROM {st} WHERE NOT (g IN {act}) OR NOT ({elig('g', 'node')})
+        SELECT g, node, comm, prev, {keep} AS best, k, false AS moved, CAST(0.0 AS DOUBLE) AS own_w,
+               CAST(0.0 AS DOUBLE) AS own_t
+        FROM {st} WHERE NOT (g IN {act} AND {looked_at('g', 'node')})
     """)
     _drop_views(spark, st, ar)
     return out
@@ -238,57 +215,67 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
             cut |= set(running)
             break
         level_edges = level_edges.filter(F.col("g").isin(running))
+        loops = {g: 0.0 for g in running}
+        loops |= {r["g"]: float(r["l"]) for r in level_edges.filter(F.col("a") == F.col("b")).groupBy("g").agg(
+            F.sum("w").alias("l")).collect()}
         # both directions of every non-loop edge, from one pass over the edges
         both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
                        F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-        arcs = materialize(
-            level_edges.filter(F.col("a") != F.col("b"))
-            .select("g", F.inline(both), "w"), "arcs")
         # weighted degree: a self-loop counts twice (both of its endpoints)
         k = (level_edges.select("g", F.explode(F.array("a", "b")).alias("node"), "w")
              .groupBy("g", "node").agg(F.sum("w").alias("k")))
-        state = materialize(k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("best"),
-                                     "k", F.lit(False).alias("moved")), "state")
+        state = materialize(k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("prev"),
+                                     F.col("node").alias("best"), "k"), "state")
+        arcs = materialize(
+            level_edges.filter(F.col("a") != F.col("b")).select("g", F.inline(both), "w")
+            .join(state.select("g", F.col("node").alias("u"), "k"), ["g", "u"]), "arcs")
         if assign is None:  # identity map, read from the level-0 edge table
             assign = k.select("g", "node", F.col("node").alias("comm"))
-            best_q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in running})
-            final_q = dict(best_q)
-        else:  # contraction preserves modularity: the level starts where the last ended
-            best_q = {g: final_q[g] for g in running}
+        best_q = dict(final_q)  # contraction preserves modularity: a level starts where the last ended
         active = list(running)
-        improved: list = []
-        sweep_moves = {g: 0 for g in active}
+        improved: list = []  # graphs whose state at the start of the sweep is their best so far
+        sweep_moves: dict = {}
         for r in itertools.count():
-            if max_rounds is not None and r >= max_rounds:
+            over = max_rounds is not None and r >= max_rounds
+            if over and r % 2 == 1:
                 cut |= set(active)
                 break
             prev = state
-            # per-graph move counts are observed during the write itself
-            counters = {f"m{i}": F.count_if(F.col("moved") & (F.col("g") == F.lit(g)))
-                        for i, g in enumerate(active)}
-            state, moved = materialize(_round(state, arcs, m, active, improved, level, r // 2, r % 2, seed),
-                                       "state", observe=counters)
-            drop_materialized(prev)
-            improved = []
+            # per-graph sums are observed during the write itself
+            counters = {}
             for i, g in enumerate(active):
-                rounds[g] += 1
-                sweep_moves[g] += int(moved.get(f"m{i}", 0) or 0)
-            if r % 2 == 1:
-                changed = [g for g in active if sweep_moves[g] > 0]
-                q = _q_by_graph(level_edges, state, "comm", {g: m[g] for g in changed}) if changed else {}
-                improved = [g for g in changed if q.get(g, best_q[g]) > best_q[g] + 1e-15]
-                # a graph keeps moving while its sweeps still gain more than tol
-                active = [g for g in changed if q.get(g, best_q[g]) - best_q[g] > tol]
-                for g in improved:
-                    best_q[g] = q[g]
-                sweep_moves = {g: 0 for g in active}
-                if not active:
-                    break
-        if improved:  # record the last sweep end as best for these graphs
-            prev = state
-            state = materialize(state.withColumn(
-                "best", F.when(F.col("g").isin(improved), F.col("comm")).otherwise(F.col("best"))), "state")
+                mine = F.col("g") == F.lit(g)
+                counters |= {f"m{i}": F.count_if(F.col("moved") & mine), f"w{i}": F.sum(F.when(mine, F.col("own_w"))),
+                             f"t{i}": F.sum(F.when(mine, F.col("own_t")))}
+            state, seen = materialize(_round(state, arcs, m, active, improved, level, r // 2, r % 2, seed),
+                                      "state", observe=counters, drop=("moved", "own_w", "own_t"))
             drop_materialized(prev)
+            moved = {g: int(seen.get(f"m{i}") or 0) for i, g in enumerate(active)}
+            for g in active:
+                rounds[g] += not over
+            if r % 2 == 0:
+                q = {g: ((seen.get(f"w{i}") or 0.0) / 2 + loops[g]) / m[g] - (seen.get(f"t{i}") or 0.0) / (4 * m[g] ** 2)
+                     for i, g in enumerate(active)}
+                if r == 0:
+                    if level == 0:
+                        best_q, final_q = dict(q), dict(q)
+                else:
+                    improved = [g for g in active if q[g] > best_q[g] + 1e-15]
+                    # a graph keeps moving while its sweeps still gain more than tol
+                    active = [g for g in active if q[g] - best_q[g] > tol]
+                    for g in improved:
+                        best_q[g] = q[g]
+                if over:
+                    cut |= set(active)
+                    break
+                sweep_moves = moved
+            else:
+                improved = []
+                active = [g for g in active if sweep_moves[g] + moved[g] > 0]
+            if not active:
+                break
+        if improved:  # found in the last round
+            state = state.withColumn("best", F.when(F.col("g").isin(improved), F.col("prev")).otherwise(F.col("best")))
         counts = (state.groupBy("g").agg(F.count(F.lit(1)).alias("n"),
                                          F.countDistinct("best").alias("c")).collect())
         merged = []

@@ -87,7 +87,7 @@ _RUN_ID = uuid.uuid4().hex[:12]
 _COUNTER = itertools.count()
 
 
-def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None):
+def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None, drop: tuple[str, ...] = ()):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     This cuts the lineage like ``checkpoint()`` (the data sits in reliable
@@ -98,19 +98,20 @@ def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None):
 
     With ``observe`` (name -> aggregate Column), the aggregates are computed
     during the same write (``DataFrame.observe``) and ``(table, values)`` is
-    returned, saving a separate counting job.
+    returned, saving a separate counting job; columns named in ``drop`` are
+    observed but not written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{next(_COUNTER):05d}")
     # the schema is known: reading it back needs no footer inference
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name not in drop])
     if observe:
         from pyspark.sql import Observation
 
         obs = Observation(f"obs-{tag}-{next(_COUNTER)}")
-        df = df.observe(obs, *[c.alias(n) for n, c in observe.items()])
+        df = df.observe(obs, *[c.alias(n) for n, c in observe.items()]).drop(*drop)
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(schema).parquet(path), obs.get
     df.write.mode("overwrite").parquet(path)
