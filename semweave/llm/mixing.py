@@ -95,9 +95,10 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, block_docs: in
     c = cycle.select(F.col("src").alias("_c"), F.col("share").alias("_sh"), F.col("cycle").alias("_cy"),
                      F.col("nth").alias("_n"), F.col("place").alias("_pl"))
     share_of = c.groupBy("_c").agg(F.max("_sh").alias("_d")).withColumnRenamed("_c", "_c2")
-    # both tables are bounded by the weights (a row a slot of the cycle), so they can go to every task
-    j = j.join(F.broadcast(share_of), j["_sw_src"] == share_of["_c2"])
-    j = j.join(F.broadcast(c), (F.col("_sw_src") == F.col("_c")) & (F.expr("block % _d") == F.col("_n")))
+    # a row a slot of the cycle, read from files of known size: Spark sends them to every task below its
+    # broadcast threshold and shuffles beyond it
+    j = j.join(share_of, j["_sw_src"] == share_of["_c2"])
+    j = j.join(c, (F.col("_sw_src") == F.col("_c")) & (F.expr("block % _d") == F.col("_n")))
     j = j.withColumn("slot", F.expr("block div _d * _cy + _pl"))
     j = j.withColumn("position", F.expr(f"slot * {block_docs} + _sw_k % {block_docs}"))
     return j.select(*names, "block", "slot", "position", (F.col("slot") <= F.lit(horizon)).alias("on_target"))
