@@ -642,6 +642,33 @@ def q_louvain_knn(spark, sf):
     return part
 
 
+@register("louvain_knn_check", _with(_graph_sql()) + """
+SELECT CAST((SELECT count(*) FROM v) AS BIGINT) AS nodes, CAST(count(*) AS BIGINT) AS edges,
+       round(sum(weight), 6) AS m, CAST(0 AS BIGINT) AS wrong_labels, true AS modularity_agrees,
+       true AS beats_given_labels FROM e""")
+def q_louvain_knn_check(spark, sf):
+    """The Louvain result held against what it must obey: all nodes and edges, the
+    smallest member as label, the reported modularity recomputed from the
+    partition, and a modularity no lower than that of ``embeddings.label``."""
+    from semweave.operators.louvain import louvain
+
+    e, _ = _graph(spark, sf)
+    part, summary = louvain(e, _nodes(spark, sf), seed=SEED)
+    own = C.modularity(e, part).select(F.col("modularity").alias("q"), "m")
+    given = C.modularity(e, TB.label_partition(TB.load_table(spark, sf, "embeddings"))).select(
+        F.col("modularity").alias("q0"))
+    smallest = part.groupBy("community").agg(F.min("node").alias("least"))
+    nodes = part.agg(F.count_distinct("node").alias("nodes"))
+    wrong = smallest.agg(F.count_if(F.col("least") != F.col("community")).alias("wrong_labels"))
+    one_row = [summary.select("modularity", "edges"), own, given, nodes, wrong]
+    out = one_row[0].withColumn("_k", F.lit(0))
+    for t in one_row[1:]:
+        out = out.join(t.withColumn("_k", F.lit(0)), "_k")
+    return rounded(out.select("nodes", "edges", "m", "wrong_labels",
+                              (F.abs(F.col("q") - F.col("modularity")) < 1e-9).alias("modularity_agrees"),
+                              (F.col("modularity") >= F.col("q0") - 1e-9).alias("beats_given_labels")))
+
+
 def _sweep_quality(spark, sf):
     from semweave.plans import jobs
 
@@ -664,6 +691,31 @@ def q_select_best_tau(spark, sf):
     return rounded(_sweep_quality(spark, sf)["best"])
 
 
+@register("louvain_sweep_check", _with(_knn_sql(K_GRAPH), _HIST_SQL) + """,
+d AS (SELECT tau, row_number() OVER (PARTITION BY round(tau, 3) ORDER BY p_keep) AS r FROM taus),
+t AS (SELECT tau, 'tau_' || replace(printf('%.3f', tau), '.', 'p') AS tau_tag FROM d WHERE r = 1),
+c AS (SELECT t.tau_tag, count(knn.src) AS edges, sum(1 - knn.dist) AS m
+      FROM t LEFT JOIN knn ON knn.dist <= t.tau AND knn.src < knn.dst GROUP BY t.tau_tag)
+SELECT tau_tag, CAST(edges AS BIGINT) AS edges, round(coalesce(m, 0.0), 6) AS m, true AS modularity_agrees,
+       true AS chosen_is_best FROM c""")
+def q_louvain_sweep_check(spark, sf):
+    """Every threshold of the sweep: its edges and weight, whether the reported
+    modularity is that of the partition, and whether the threshold chosen has
+    the largest modularity of those with several communities."""
+    from semweave.plans import jobs
+
+    knn = _knn_once(spark, sf, K_GRAPH)
+    out = jobs.tau_sweep_job(_vectors(spark, sf), _nodes(spark, sf), knn=knn, seed=SEED)
+    own = C.modularity_by_graph(jobs.sweep_edges(knn, out["taus"]), out["partition"], "tau_tag")
+    several = F.col("num_communities") > 1
+    top = out["quality"].agg(F.max(F.when(several, F.col("modularity"))).alias("top")).first()["top"]
+    best = out["best"].first()["modularity"]
+    agrees = F.abs(F.coalesce("q", F.lit(0.0)) - F.coalesce("modularity", F.lit(0.0))) < 1e-9
+    j = out["quality"].dropDuplicates(["tau_tag"]).join(own.withColumnRenamed("modularity", "q"), "tau_tag", "left")
+    return rounded(j.select("tau_tag", "edges", F.coalesce("m", F.lit(0.0)).alias("m"),
+                            agrees.alias("modularity_agrees"), F.lit(best == top).alias("chosen_is_best")))
+
+
 # --------------------------------------------------------------------------
 # embedding, clustering, approximate kNN
 # --------------------------------------------------------------------------
@@ -715,6 +767,26 @@ def q_kmeans_labels(spark, sf):
     return kmeans_assign(v, kmeans_fit(v, 10, SEED))
 
 
+@register("kmeans_check", """
+SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(0 AS BIGINT) AS not_nearest, CAST(10 AS BIGINT) AS clusters
+FROM embeddings""")
+def q_kmeans_check(spark, sf):
+    """Vectors whose k-means label is not the centre nearest to them, and the clusters used."""
+    from semweave.operators.cluster import kmeans_assign, kmeans_fit
+
+    v = _vectors(spark, sf)
+    model = kmeans_fit(v, 10, SEED)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    x = v.select("id", F.transform("embedding", lambda y: y.cast("double")).alias("x"))
+    gaps = [F.aggregate(F.zip_with("x", F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+            for c in centres]
+    j = x.select("id", F.array(*gaps).alias("gap")).join(kmeans_assign(v, model), "id")
+    own = F.element_at("gap", F.col("cluster") + 1)
+    return j.agg(F.count(F.lit(1)).alias("vectors"),
+                 F.count_if(own > F.array_min("gap") + 1e-6).alias("not_nearest"),
+                 F.count_distinct("cluster").alias("clusters"))
+
+
 @register("nearest_centroid", """
 WITH ex AS (SELECT label, unnest(generate_series(1, len(embedding))) AS pos, unnest(embedding) AS x
             FROM embeddings),
@@ -796,6 +868,18 @@ def q_knn_recall(spark, sf):
     return out
 
 
+@register("knn_recall_all_cells", f"""
+WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT {K_HIST} AS k, CAST(n * least({K_HIST}, n - 1) AS BIGINT) AS pairs,
+       CAST(n * least({K_HIST}, n - 1) AS BIGINT) AS hits, CAST(1 AS DOUBLE) AS recall FROM n""")
+def q_knn_recall_all_cells(spark, sf):
+    """Recall of IVF that probes every cell, against the exact join: all neighbours found."""
+    from semweave.operators.knn import knn_recall
+
+    v = _vectors(spark, sf)
+    return knn_recall(knn_join(v, K_HIST, mode="ivf", nprobe=1_000_000, seed=SEED), knn_join(v, K_HIST), K_HIST)
+
+
 # --------------------------------------------------------------------------
 # further bindings of the same operators
 # --------------------------------------------------------------------------
