@@ -118,3 +118,27 @@ def test_coherence_partial_partition(spark):
     part = spark.createDataFrame([(0, 5), (1, 5)], "node long, community long")
     rows = {(r.community, r.is_total): (r.pairs, r.same) for r in C.coherence(knn, part, 5).collect()}
     assert rows == {(5, False): (2, 2), (None, False): (1, 0), (None, True): (3, 2)}
+
+
+@pytest.mark.parametrize("max_rounds", [1, 2, 3])
+def test_bounded_search_reports_the_modularity_of_its_partition(spark, max_rounds):
+    e = _edges(spark, [(i, i + 1) for i in range(40)])
+    p, s = louvain(e, _nodes(spark, 41), max_rounds=max_rounds)
+    row = s.first()
+    assert not row["converged"]
+    assert row["modularity"] == pytest.approx(C.modularity(e, p).first()["modularity"], abs=1e-9)
+
+
+def test_self_loops_and_several_graphs(spark):
+    rows = [("a", x, y, 1.0) for x, y in [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]]
+    rows += [("b", 0, 0, 4.0), ("b", 0, 1, 1.0), ("b", 2, 3, 1.0), ("b", 3, 3, 2.0)]
+    e = spark.createDataFrame(rows, "g string, src long, dst long, weight double")
+    p, s = louvain(e, _nodes(spark, 6), graph_col="g")
+    got = {r["g"]: r for r in s.collect()}
+    own = {r["g"]: r for r in C.modularity_by_graph(e, p, "g").collect()}
+    for g in ("a", "b"):
+        assert got[g]["converged"]
+        assert got[g]["modularity"] == pytest.approx(own[g]["modularity"], abs=1e-9)
+        assert own[g]["modularity"] == pytest.approx(
+            C.modularity(e.filter(F.col("g") == g), p.filter(F.col("g") == g)).first()["modularity"])
+    assert {r["node"]: r["community"] for r in p.filter("g = 'a'").collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
