@@ -31,7 +31,7 @@ ROWS = [
     (7, "short", None, "c", 5),  # repeated row
 ]
 CLASH = ["id", "n", "c", "kept", "component_id", "w", "x", "y", "part", "block", "slot", "position", "share", "key",
-         "n_words", "score", "rank", "line", "doc", "held", "host", "src"]
+         "n_words", "score", "rank", "line", "doc", "held", "host", "src", "_metadata"]
 
 
 @pytest.fixture(scope="module")
