@@ -5,13 +5,15 @@
 2. The page with the smallest id of a host is its reference tree. Every other
    page of the host is aligned with it by simple tree matching: the largest
    number of nodes that correspond in order, level by level.
-3. Over all pages, a node of the reference counts how often it was matched and
-   how often its text was the same. Nodes with the same text on nearly all
-   pages (``CONSTANT``) are template; nodes whose text varies are slots.
+3. Over all pages (equal trees of a host count once), a block of text in a
+   node of the reference counts how often the node was matched and how often
+   the page's node had the block too. Blocks found on nearly all pages
+   (``CONSTANT``) are template; the others fill slots.
 4. A page's content is the text of its slots: inside ``article`` (or
-   ``main``) where the page has one, else of all slots. Elements that never
-   hold content (menus, forms, scripts, adverts, ...: by tag, role or class)
-   and, outside an article, template nodes are left out.
+   ``main``) where the page has one, else of all slots. Template is left out
+   everywhere; only an article that is template from end to end stays, as its
+   host holds copies of one article. Elements that never hold content (menus,
+   forms, scripts, adverts, ...: by tag, role or class) are left out as well.
 
 Only the small trees are compared; a host that holds a third of all pages is
 counted by partial aggregates, and its wrapper is one short row.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from semweave.llm.common import as_batch, map_batches
 from semweave.session import drop_materialized, materialize
 
-#: A node is template if its text is the same on this share of at least so many matched pages.
+#: A block is template if this share of at least so many matched pages has it.
 CONSTANT, LEAST_PAGES = 0.9, 4
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
@@ -181,30 +183,23 @@ def name_of(text: str) -> int:
 
 
 def shape(node: Node) -> list:
-    """``[label, text hash, children]`` with runs of equally labelled children as one."""
-    children: list[list] = []
-    for c in node.children:
-        s = shape(c)
-        if children and children[-1][0] == s[0]:
-            last = children[-1]
-            last[1] = name_of(f"{last[1]} {s[1]}") if last[1] or s[1] else 0
-            last[2] = merge(last[2], s[2])
-        else:
-            children.append(s)
-    return [node.label, name_of("\n".join(node.texts)) if node.texts else 0, children]
+    """``[label, hashes of the blocks, children]`` with runs of equally labelled children as one."""
+    return [node.label, [name_of(t) for t in node.texts], merge([], [shape(c) for c in node.children], True)]
 
 
-def merge(a: list, b: list) -> list:
-    """Children of two nodes that count as one: by label, in order of first sight."""
-    out = {x[0]: x for x in a}
+def merge(a: list, b: list, runs: bool = False) -> list:
+    """Children of two nodes that count as one: by label, in order of first sight; or runs of equal labels in one list."""
+    out = list(a)
+    seen = {x[0]: x for x in a}
     for x in b:
-        if x[0] in out:
-            y = out[x[0]]
-            y[1] = name_of(f"{y[1]} {x[1]}") if y[1] or x[1] else 0
-            y[2] = merge(y[2], x[2])
+        y = (out[-1] if out and out[-1][0] == x[0] else None) if runs else seen.get(x[0])
+        if y is None:
+            out.append(x)
+            seen[x[0]] = x
         else:
-            out[x[0]] = x
-    return list(out.values())
+            y[1] = y[1] + x[1]
+            y[2] = merge(y[2], x[2])
+    return out
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
@@ -256,23 +251,33 @@ def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     drawn = materialize(map_batches(pages.where("host <> ''").select(id_col, "host", "html"), draw,
                                     "id long, host string, tree string"), "wi_trees")
-    first = drawn.groupBy("host").agg(F.min_by("tree", F.struct("id", "tree")).alias("reference"))
-    both = drawn.join(first, "host").select("host", "tree", "reference")
-    counted = pa.schema([("host", pa.string()), ("path", pa.string()), ("text", pa.int64()), ("same", pa.int64())])
+    trees = drawn.groupBy("host", "tree").agg(F.min("id").alias("id"))  # copies of a page are one witness
+    first = trees.groupBy("host").agg(F.min_by("tree", F.struct("id", "tree")).alias("reference"))
+    both = trees.join(first, "host").select("host", "tree", "reference")
+    names = ["host", "path", "text", "matched", "same"]
+    counted = pa.schema([("host", pa.string()), ("path", pa.string())] + [(c, pa.int64()) for c in names[2:]])
 
     def align(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
+        sums: dict[tuple, list[int]] = {}
         for host, tree, reference in zip(*(c.to_pylist() for c in b.columns), strict=True):
             ref = json.loads(reference)
             paths = {id(node): path for node, path in numbered(ref)}
+            found: dict[str, tuple[set, set]] = {}
             for mine, theirs in match(ref, json.loads(tree))[1]:
-                if mine[1]:
-                    rows.append((host, paths[id(mine)], mine[1], int(mine[1] == theirs[1])))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return as_batch(dict(zip(counted.names, cols, strict=True)), counted)
-
-    counts = map_batches(both, align, "host string, path string, text long, same long").groupBy(
-        "host", "path", "text").agg(F.count(F.lit(1)).alias("matched"), F.sum("same").alias("same"))
+                if mine[1] and theirs[1]:
+                    x, y = found.setdefault(paths[id(mine)], (set(), set()))
+                    x.update(mine[1])
+                    y.update(theirs[1])
+            for path, (x, y) in found.items():
+                for text in x:
+                    n = sums.setdefault((host, path, text), [0, 0])
+                    n[0] += 1
+                    n[1] += text in y
+        cols = list(zip(*((*k, *n) for k, n in sums.items()), strict=True)) if sums else [[]] * len(names)
+        return as_batch(dict(zip(names, cols, strict=True)), counted)
+
+    counts = map_batches(both, align, "host string, path string, text long, matched long, same long").groupBy(
+        "host", "path", "text").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
     fixed = counts.where((F.col("matched") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("matched")))
     out = materialize(fixed.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("template")),
                       "wi_templates")
@@ -282,17 +287,13 @@ def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 def content(page: str | None, template: list[dict] | None) -> str:
     """The blocks of a page that are content, joined by empty lines."""
-    root, blocks = parse(page or "")
-    live = [(t, node) for t, node in blocks if not node.out]
-    main = [t for t, node in live if node.main]
-    if main:
-        return "\n\n".join(main)
+    live = [(t, node) for t, node in parse(page or "")[1] if not node.out]
+    main = [(t, node) for t, node in live if node.main]
+    kept = main or live
     if template:
         fixed = {(x["path"], x["text"]) for x in template}
-        tree = shape(root)
-        constant = {path for node, path in numbered(tree) if (path, node[1]) in fixed}
-        live = [(t, node) for t, node in live if node.path not in constant]
-    return "\n\n".join(t for t, _ in live)
+        kept = [(t, node) for t, node in kept if (node.path, name_of(t)) not in fixed] or main
+    return "\n\n".join(t for t, _ in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -299,6 +299,20 @@ def test_wrapper_finds_constant_blocks(spark):
     assert {r["page_id"]: r["text"] for r in got} == {k: f"story {k * k}\n\nmore of story {k * k}" for k in range(6)}
 
 
+def test_wrapper_finds_template_inside_articles(spark):
+    """Blocks that all pages of a host carry are template inside the article too; copies of a page are one witness."""
+    page = ("<body><article><h1>{0}</h1><div class=box><p>Read on our site</p></div><p>first of {0}</p><p>Our staff wrote this</p>"
+            "<p>last of {0}</p></article></body>")
+    rows = [(k, f"http://x.example/{k}", page.format(f"story {k * k}")) for k in range(6)]
+    rows += [(10 + k, f"http://copies.example/{k}", page.format("same")) for k in range(6)]
+    got = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {k: f"story {k * k}\n\nfirst of story {k * k}\n\nlast of story {k * k}" for k in range(6)}
+    copy = "same\n\nRead on our site\n\nfirst of same\n\nOur staff wrote this\n\nlast of same"
+    assert {r["page_id"]: r["text"] for r in got} == want | {10 + k: copy for k in range(6)}
+    mirror = {"path": "/body/article/p", "text": wrapper.name_of("one")}
+    assert wrapper.content("<body><article><p>one</p></article></body>", [mirror]) == "one"
+
+
 def test_left_out_elements():
     page = ("<body><header>top</header><article><header><h1>Title</h1></header><p>one&nbsp;&lt;two <span class='ad'>buy</span>and <button>ok</button>three</p>"
             "<aside>side</aside><div class='userComment'><p>reader</p></div><form><p>mail</p></form>"
