@@ -2,8 +2,8 @@
 
 1. A page becomes a tree of its block elements (tag and class); neighbours
    with the same label are one node, as lists have any length.
-2. The page with the smallest id of a host is its reference tree. Every other
-   page of the host is aligned with it by simple tree matching: the largest
+2. A host's references are the first pages of its ``REFERENCES`` most frequent
+   layouts among the pages with text. Every page of the host is aligned with each by simple tree matching: the largest
    number of nodes that correspond in order, level by level.
 3. Over all pages (equal trees of a host count once), a block of text in a
    node of the reference counts how often the node was matched and how often
@@ -12,7 +12,9 @@
 4. A page's content is the text of its slots: inside ``article`` (or
    ``main``) where the page has one, else of all slots. Template is left out
    everywhere; only an article that is template from end to end stays, as its
-   host holds copies of one article. Elements that never hold content (menus,
+   host holds copies of one article. Inside an article a class or id counts as
+   a widget's only as a whole (``widget``), and ids of headings, sections and
+   the like never do. Elements that never hold content (menus,
    forms, scripts, adverts, ...: by tag, role or class) are left out as well.
 
 Only the small trees are compared; a host that holds a third of all pages is
@@ -31,7 +33,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semweave.llm.common import as_batch, map_batches
@@ -39,6 +41,8 @@ from semweave.session import drop_materialized, materialize
 
 #: A block is template if this share of at least so many matched pages has it.
 CONSTANT, LEAST_PAGES = 0.9, 4
+#: Reference pages of a host: one of each of its most frequent layouts.
+REFERENCES = 3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
                    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -64,6 +68,10 @@ NO_WORDS = set("ad ads adv advert adverts advertisement advertising adsense bann
                "subscription social share sharing sidebar menu menus nav navbar navigation breadcrumb breadcrumbs "
                "footer masthead comment comments commentlist reply replies respond disqus related recommended "
                "widget pagination pager toolbar login signup search copyright disclaimer skip".split())
+# Words that stand beside those in class names of widgets, and elements whose ids name their text.
+WIDGET_WORDS = set("area bar block box btn button buttons container form group icon icons inner item items js left link "
+                   "links list outer panel right section slot unit user wrap wrapper".split())
+NAMED = set("h1 h2 h3 h4 h5 h6 section p dt dd li td th tr table figure".split())
 #: Left out without ending the block around them.
 INSIDE = INLINE | set("button select svg canvas map object audio video".split())
 
@@ -77,6 +85,12 @@ class Node:
         self.children: list[Node] = []
 
 
+def widget(name: str) -> bool:
+    """Whether a class or id is made of widget words only, one of NO_WORDS among them."""
+    words = {x for x in re.split(r"[^a-z0-9]+", CAMEL.sub(" ", name).lower()) if x and not x.isdigit()}
+    return not words.isdisjoint(NO_WORDS) and words <= NO_WORDS | WIDGET_WORDS or name.lower() in NO_WORDS
+
+
 def _out(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     """Whether an element never holds content; its class for the label."""
     if tag in NO_TAGS or tag == "header" and not in_main:
@@ -87,10 +101,15 @@ def _out(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     name = got.get("class", "")
     if tag == "main":
         return False, name
-    names = name + " " + got.get("id", "")
+    own_id = "" if in_main and (tag in NAMED or "section" in name.split()) else got.get("id", "")
+    names = name + " " + own_id
     words = set(re.split(r"[^a-z0-9]+", (names + " " + CAMEL.sub(" ", names)).lower()))
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
-    no = bool(words & NO_WORDS) or got.get("role", "").lower() in NO_ROLES or hidden
+    if in_main:  # an article's own names may hold such a word: only a name that is a widget's as a whole counts
+        no = any(widget(x) for x in names.split())
+    else:
+        no = bool(words & NO_WORDS)
+    no = no or got.get("role", "").lower() in NO_ROLES or hidden
     return no or (not in_main and "header" in words), name
 
 
@@ -243,23 +262,30 @@ def host_of(url: str):
 
 def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """``(host, template array<struct<path, text>>)`` from ``(id, host, html)``: constant nodes of each host."""
-    shapes = pa.schema([("id", pa.int64()), ("host", pa.string()), ("tree", pa.string())])
+    shapes = pa.schema([("id", pa.int64()), ("host", pa.string()), ("tree", pa.string()), ("layout", pa.int64())])
 
     def draw(b: pa.RecordBatch) -> pa.RecordBatch:
-        trees = [json.dumps(shape(parse(h or "")[0]), separators=(",", ":")) for h in b.column(2).to_pylist()]
-        return as_batch({"id": b.column(0), "host": b.column(1), "tree": trees}, shapes)
+        trees = [shape(parse(h or "")[0]) for h in b.column(2).to_pylist()]
+        layouts = [name_of("\n".join(path for _, path in n)) if any(x[1] for x, _ in n) else None
+                   for n in map(numbered, trees)]  # null: a page without text shows nothing
+        return as_batch({"id": b.column(0), "host": b.column(1), "layout": layouts,
+                         "tree": [json.dumps(t, separators=(",", ":")) for t in trees]}, shapes)
 
     drawn = materialize(map_batches(pages.where("host <> ''").select(id_col, "host", "html"), draw,
-                                    "id long, host string, tree string"), "wi_trees")
-    trees = drawn.groupBy("host", "tree").agg(F.min("id").alias("id"))  # copies of a page are one witness
-    first = trees.groupBy("host").agg(F.min_by("tree", F.struct("id", "tree")).alias("reference"))
-    both = trees.join(first, "host").select("host", "tree", "reference")
-    names = ["host", "path", "text", "matched", "same"]
+                                    "id long, host string, tree string, layout long"), "wi_trees")
+    trees = (drawn.where("layout is not null").groupBy("host", "layout", "tree")
+             .agg(F.min("id").alias("id")))  # copies of a page are one witness
+    layouts = trees.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"),
+                                                  F.min_by("tree", F.struct("id", "tree")).alias("reference"))
+    frequent = Window.partitionBy("host").orderBy(F.desc("n"), "id", "layout")
+    first = layouts.withColumn("k", F.row_number().over(frequent)).where(F.col("k") <= REFERENCES)
+    both = trees.join(first.select("host", "k", "reference"), "host").select("host", "tree", "reference", "k")
+    names = ["host", "path", "k", "text", "matched", "same"]
     counted = pa.schema([("host", pa.string()), ("path", pa.string())] + [(c, pa.int64()) for c in names[2:]])
 
     def align(b: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[tuple, list[int]] = {}
-        for host, tree, reference in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for host, tree, reference, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
             ref = json.loads(reference)
             paths = {id(node): path for node, path in numbered(ref)}
             found: dict[str, tuple[set, set]] = {}
@@ -270,16 +296,16 @@ def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
                     y.update(theirs[1])
             for path, (x, y) in found.items():
                 for text in x:
-                    n = sums.setdefault((host, path, text), [0, 0])
+                    n = sums.setdefault((host, path, k, text), [0, 0])
                     n[0] += 1
                     n[1] += text in y
-        cols = list(zip(*((*k, *n) for k, n in sums.items()), strict=True)) if sums else [[]] * len(names)
+        cols = list(zip(*((*key, *n) for key, n in sums.items()), strict=True)) if sums else [[]] * len(names)
         return as_batch(dict(zip(names, cols, strict=True)), counted)
 
-    counts = map_batches(both, align, "host string, path string, text long, matched long, same long").groupBy(
-        "host", "path", "text").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
+    counts = map_batches(both, align, "host string, path string, k long, text long, matched long, same long").groupBy(
+        "host", "path", "k", "text").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
     fixed = counts.where((F.col("matched") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("matched")))
-    out = materialize(fixed.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("template")),
+    out = materialize(fixed.groupBy("host").agg(F.collect_set(F.struct("path", "text")).alias("template")),
                       "wi_templates")
     drop_materialized(drawn)
     return out

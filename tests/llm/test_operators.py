@@ -313,6 +313,24 @@ def test_wrapper_finds_template_inside_articles(spark):
     assert wrapper.content("<body><article><p>one</p></article></body>", [mirror]) == "one"
 
 
+def test_article_names_with_widget_words():
+    page = ("<article><section id='related-work'><h2 id='search'>Search</h2><p>one</p></section><div id='social-history'>two</div>"
+            "<p class='copyright-law'>three</p><div class='share-buttons'>four</div><div class='related'>five</div>"
+            "<div class='section' id='notice'>six</div></article>")
+    assert wrapper.content(page, None) == "Search\n\none\n\ntwo\n\nthree\n\nsix"
+
+
+def test_wrapper_with_odd_first_pages(spark):
+    """Null, empty and odd pages with the smallest ids do not cost the host its wrapper; two layouts have one each."""
+    page = "<body><div class=top>Example site</div><div class=story><p>{0}</p></div></body>"
+    other = "<body><section><p>{0}</p></section><div class=low>Contact us</div></body>"
+    rows = [(0, None), (1, ""), (2, "<table><tr><td>odd"), *((k, page.format(f"story {k}")) for k in range(3, 9)),
+            *((k, other.format(f"story {k}")) for k in range(9, 14))]
+    rows = [(k, f"http://x.example/{k}", h) for k, h in rows]
+    got = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {0: "", 1: "", 2: "odd"} | {k: f"story {k}" for k in range(3, 14)}
+
+
 def test_left_out_elements():
     page = ("<body><header>top</header><article><header><h1>Title</h1></header><p>one&nbsp;&lt;two <span class='ad'>buy</span>and <button>ok</button>three</p>"
             "<aside>side</aside><div class='userComment'><p>reader</p></div><form><p>mail</p></form>"
