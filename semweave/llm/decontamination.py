@@ -12,10 +12,12 @@ these keeps its rarest words as well. Passages are windows of ``WINDOW`` words,
    the eigenvectors of the Nystroem form Y (G^T Y)^-1 Y^T are the leading right
    singular vectors. The pass runs on the executors; what comes back is one
    matrix of benchmark words x sketch columns, added up there.
-3. In the last pass every passage and every benchmark item is projected, and
-   pairs with a cosine of at least ``COSINE`` are candidates.
+3. In the last pass every passage and every benchmark item is projected (an
+   item of more than ``WINDOW`` words also by its own passages), and pairs with
+   a cosine of at least ``COSINE`` are candidates.
 4. A candidate is confirmed by the longest common subsequence of words: the
-   share of the item's words that the passage, with a margin, has in order
+   share of the item's words that the passage, with the item's length as margin
+   on both sides, has in order
    must reach ``LCS``; from ``LCS_ANSWER`` on, a paraphrase counts if the
    answer (the item's last words) stands there as well.
 
@@ -50,21 +52,27 @@ SEED = 20
 
 
 class Benchmark:
-    """Items as words and, for the features chosen, as (item, feature, count) cells."""
+    """Items as words and, for the features chosen, as (piece, feature, count) cells."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         pairs = sorted((i, t.split()) for i, t in zip(ids, texts, strict=True) if t.split())
         self.ids = np.array([i for i, _ in pairs], np.int64)
         self.words = [w for _, w in pairs]
         self.where = [places(w) for w in self.words]
+        # what is searched for: every item whole, and the passages of the longer ones
+        self.pieces = [(k, 0, len(w)) for k, w in enumerate(self.words)]
+        self.pieces += [(k, s * STRIDE, s * STRIDE + WINDOW) for k, w in enumerate(self.words) if len(w) > WINDOW
+                        for s in range(int(passages(np.array(len(w)))))]
+        self.item_of = np.array([k for k, _, _ in self.pieces], np.int64)
         self.choose(sorted({x for w in self.words for x in w}))
 
     def choose(self, features: list[bytes]) -> None:
         """The words that are features from now on."""
         self.features = features
         self.number = {w: k for k, w in enumerate(features)}
-        numbers = [k for w in self.words for k in map(self.number.get, w) if k is not None]
-        sizes = [sum(x in self.number for x in w) for w in self.words]
+        parts = [[k for k in map(self.number.get, self.words[i][lo:hi]) if k is not None] for i, lo, hi in self.pieces]
+        numbers = [k for x in parts for k in x]
+        sizes = [len(x) for x in parts]
         self.cells = _count(np.repeat(np.arange(len(sizes)), sizes), np.array(numbers, np.int64))
 
     @property
@@ -158,16 +166,17 @@ class Space:
         self.bench, self.idf, self.basis = bench, idf, basis.astype(np.float32)
         p, w, c = bench.cells
         v = weigh(p, w, c, idf)
-        latent, items = times(p, w, v, self.basis)  # an item without features has no latent vector
-        self.latent = np.zeros((len(bench.words), self.basis.shape[1]), np.float32)
-        self.latent[items] = unit(latent)
+        latent, pieces = times(p, w, v, self.basis)  # a piece without features has no latent vector
+        self.latent = np.zeros((len(bench.pieces), self.basis.shape[1]), np.float32)
+        self.latent[pieces] = unit(latent)
 
     def candidates(self, p: np.ndarray, w: np.ndarray, c: np.ndarray, cosine: float):
-        """(passage, item) with a latent cosine of at least ``cosine``."""
+        """(passage, item) with a latent cosine of at least ``cosine`` to a piece of the item, each pair once."""
         v = weigh(p, w, c, self.idf)
         latent, which = times(p, w, v, self.basis)
         i, j = np.nonzero(unit(latent) @ self.latent.T >= cosine)
-        return which[i], j
+        pair = np.unique(np.stack([which[i], self.bench.item_of[j]]), axis=1)
+        return pair[0], pair[1]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -242,16 +251,17 @@ def fit_space(docs: DataFrame, bench: Benchmark, rank: int = RANK) -> Space:
     return space
 
 
-def verify(space: Space, words: list[bytes], start: int, item: int) -> tuple[float, bool]:
-    """Share of the item's words that the passage has in order; whether the answer is there."""
+def verify(space: Space, words: list[bytes], item: int) -> tuple[float, bool]:
+    """Share of the item's words that these words have in order; whether the answer is there."""
     own = space.bench.words[item]
-    margin = min(len(own), WINDOW)
-    part = words[max(0, start - margin):start + WINDOW + margin]
-    share = lcs(space.bench.where[item], len(own), part) / len(own)
+    share = lcs(space.bench.where[item], len(own), words) / len(own)
     if share < LCS_ANSWER:
         return share, False
     answer = own[-ANSWER_WORDS:]
-    return share, lcs(places(answer), len(answer), part) == len(answer)
+    where = places(answer)
+    near = 3 * WINDOW  # in a long stretch the answer's words must stand near each other
+    return share, any(lcs(where, len(answer), words[k:k + near]) == len(answer)
+                      for k in range(0, max(1, len(words) - near + WINDOW), WINDOW))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, id_col: str = "doc_id",
@@ -277,11 +287,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             if not len(p):
                 continue
             split: dict[int, list[bytes]] = {}
+            seen: set[tuple] = set()
             for passage, item in zip(*(x.tolist() for x in space.candidates(p, w, c, cosine)), strict=True):
                 k = int(owner[passage])
                 if k not in split:
                     split[k] = part[k].split()
-                share, answer = verify(space, split[k], int(starts[passage]), item)
+                margin = len(space.bench.words[item])  # wherever the passage lies in a copy, all of it is seen
+                lo, hi = max(0, int(starts[passage]) - margin), min(len(split[k]), int(starts[passage]) + WINDOW + margin)
+                if (k, item, lo, hi) in seen:
+                    continue
+                seen.add((k, item, lo, hi))
+                share, answer = verify(space, split[k][lo:hi], item)
                 if share >= LCS or share >= LCS_ANSWER and answer:
                     found = (-share, int(space.bench.ids[item]), answer)
                     if at + k not in best or found < best[at + k]:

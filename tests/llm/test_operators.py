@@ -373,6 +373,26 @@ def test_decontamination_paraphrase(spark):
     assert [(r["doc_id"], r["item_id"], r["answer"]) for r in got if r["contaminated"]] == [(99, 3, True)]
 
 
+def test_decontamination_long_items(spark):
+    """Items beyond a passage, copied whole and paraphrased, and other texts of the same words."""
+    random.seed(6)
+    words = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("ana", "ero", "ivu", "oste", "umi") for c in "klmnprstvz"]
+    items = [(k, " ".join(random.choice(words) for _ in range(n))) for k, n in enumerate([20, 250, 400, 2000] * 20)]
+    rows = [(k, " ".join(random.choice(words) for _ in range(random.choice([150, 900, 5000])))) for k in range(200)]
+    want = {}
+    for k, text in items[:12]:
+        w = text.split()
+        around = [" ".join(random.choice(words) for _ in range(random.randint(0, 90))) for _ in range(4)]
+        changed = [x if n % 4 else "other" for n, x in enumerate(w[:-5])] + w[-5:]
+        rows += [(1000 + k, f"{around[0]} {text} {around[1]}"), (2000 + k, f"{around[2]} {' '.join(changed)} {around[3]}")]
+        want |= {1000 + k: (k, 1.0), 2000 + k: (k, sum(x != "other" for x in changed) / len(w))}
+    got = decontamination.decontaminate(spark.createDataFrame(rows, DOCS).repartition(4),
+                                        spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r["doc_id"]: (r["item_id"], r["share"]) for r in got if r["contaminated"]}
+    assert {k: i for k, (i, _) in found.items()} == {k: i for k, (i, _) in want.items()}
+    assert all(share >= want[k][1] for k, (_, share) in found.items())
+
+
 def test_license_scan(spark, documents, texts):
     notices = {"Licensed under the Apache License, Version 2.0.": "Apache", "Released under the MIT License.": "MIT",
                "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "All rights reserved.": "proprietary",
