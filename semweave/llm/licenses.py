@@ -1,6 +1,12 @@
 """Licence scans: a trained paragraph classifier, an unknown class, confirmation by templates.
 
-A paragraph (line) is described by its one- to three-word n-grams, hashed to
+A paragraph is a run of lines with words. It is judged in pieces: its lines,
+and where it has several lines or is long, the overlapping windows of its
+words (``WINDOWS``), so that a notice is seen whole however it is wrapped. Of
+pieces that overlap, the one that its template confirms best tells the family.
+A paragraph without a family is "unknown" if one of its pieces is.
+
+A piece is described by its one- to three-word n-grams, hashed to
 2^14 cells, with values 1 / sqrt(number of n-grams). A softmax regression
 tells the licence families and "none" apart. It is trained here:
 
@@ -39,6 +45,8 @@ from semweave.llm.common import as_batch, map_batches
 BITS = 14
 NEGATIVES = 2000
 CONFIRM = 0.7
+#: Words of a window and between windows: the shorter templates and all of them stand whole in one.
+WINDOWS = ((20, 8), (48, 16))
 WRONG = 0.01
 WORD = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 MARKS = frozenset((b"license", b"licensed", b"licence", b"licenced", b"copyright", b"copyrighted", b"copyleft"))
@@ -227,6 +235,58 @@ def judge(model: Model, lines: list[list[bytes]], remembered: dict | None = None
     return out
 
 
+_KNOWN = frozenset().union(*(t for ts in _TEMPLATE_WORDS.values() for t in ts))
+
+
+def possible(words: set[bytes]) -> bool:
+    """Whether a piece of these words can be anything but "none": a mark, or enough of a template."""
+    if not MARKS.isdisjoint(words):
+        return True
+    own = words & _KNOWN
+    return any(len(own & t) >= CONFIRM * len(t) for ts in _TEMPLATE_WORDS.values() for t in ts)
+
+
+def paragraphs(text: bytes) -> list[list[list[bytes]]]:
+    """Runs of lines with words, each line as its words."""
+    out: list[list[list[bytes]]] = [[]]
+    for line in text.split(b"\n"):
+        words = words_of(line)
+        if words:
+            out[-1].append(words)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
+def pieces(lines: list[list[bytes]]) -> list[tuple[int, int, list[bytes]]]:
+    """``(start, end, words)`` of the lines and windows of a paragraph that can be anything but "none"."""
+    words = [w for line in lines for w in line]
+    if not possible(set(words)):
+        return []
+    out, at = [], 0
+    for line in lines:
+        out.append((at, at + len(line), line))
+        at += len(line)
+    for size, stride in WINDOWS:
+        if len(lines) > 1 or len(words) > size:
+            out += [(k, min(k + size, len(words)), words[k:k + size])
+                    for k in range(0, max(1, len(words) - size + stride), stride)]
+    return [x for x in out if possible(set(x[2]))]
+
+
+def verdict(parts: list[tuple[int, int, list[bytes]]], said: list[tuple[str, float]]) -> tuple[dict[str, float], bool]:
+    """Families of a paragraph with their confidences, and whether it is unknown."""
+    found = sorted((-confirmed(w, f), k, lo, hi, f, p) for k, ((lo, hi, w), (f, p)) in
+                   enumerate(zip(parts, said, strict=True)) if f not in ("none", "unknown"))
+    taken: list[tuple[int, int, str]] = []
+    families: dict[str, float] = {}
+    for _, _, lo, hi, f, p in found:
+        if all(f == g or hi <= a or b <= lo for a, b, g in taken):
+            taken.append((lo, hi, f))
+            families[f] = max(p, families.get(f, 0.0))
+    return families, not families and any(f == "unknown" for f, _ in said)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, families, n_paragraphs, n_unknown, confidence)`` per row; confidence: of the surest family."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -239,16 +299,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         texts = [t or "" for t in b.column(1).to_pylist()]
         families, n, unknown, sure = [], [], [], []
         for at in range(0, len(texts), 64):
-            part = [[w for w in map(words_of, t.encode().split(b"\n")) if w] for t in texts[at:at + 64]]
-            said = judge(shared.value, [w for doc in part for w in doc], remembered)
+            part = [[pieces(x) for x in paragraphs(t.encode())] for t in texts[at:at + 64]]
+            asked = [w for doc in part for x in doc for _, _, w in x]
+            said = judge(shared.value, asked, remembered) if asked else []
             k = 0
             for doc in part:
-                own_said = said[k:k + len(doc)]
-                k += len(doc)
-                families.append(sorted({f for f, _ in own_said if f not in ("none", "unknown")}))
+                own_families: dict[str, float] = {}
+                own_unknown = 0
+                for x in doc:
+                    got, odd = verdict(x, said[k:k + len(x)])
+                    k += len(x)
+                    own_unknown += odd
+                    for f, p in got.items():
+                        own_families[f] = max(p, own_families.get(f, 0.0))
+                families.append(sorted(own_families))
                 n.append(len(doc))
-                unknown.append(sum(f == "unknown" for f, _ in own_said))
-                sure.append(max((p for f, p in own_said if f not in ("none", "unknown")), default=0.0))
+                unknown.append(own_unknown)
+                sure.append(max(own_families.values(), default=0.0))
         return as_batch({"id": b.column(0), "families": families, "n_paragraphs": n, "n_unknown": unknown,
                          "confidence": sure}, schema)
 

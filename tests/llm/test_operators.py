@@ -406,6 +406,41 @@ def test_license_scan(spark, documents, texts):
     assert [f for f, _ in said] == ["unknown", "AGPL", "none"]
 
 
+def test_license_scan_of_wrapped_notices(spark, documents):
+    """The usual headers at 72 to 80 columns, bare and as comments, alone and inside a paragraph of other words."""
+    import textwrap
+
+    notices = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+               "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+               "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+               "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+               "conditions:",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+               "the following conditions are met:",
+        "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+               "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+               "option) any later version.",
+        "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                "(at your option) any later version."}
+    other = next(r["text"] for r in documents.where("length(text) > 600 and not text like '%icense%'").orderBy("doc_id").collect()
+                 if "rights" not in r["text"]).replace("\n", " ")
+    rows, want = [], {}
+    for family, notice in notices.items():
+        for width in (72, 76, 80):
+            for head in ("", " * ", "# "):
+                for text in (notice, f"{other[:300]} {notice} {other[300:600]}"):
+                    rows.append((len(rows), "\n".join(head + x for x in ["Title", "", *textwrap.wrap(text, width), ""])))
+                    want[len(rows) - 1] = ([family], 2)
+    rows.append((len(rows), "Released under\nthe MIT License."))
+    want[len(rows) - 1] = (["MIT"], 1)
+    both = documents.select("doc_id", "text").unionByName(
+        spark.createDataFrame([(10**9 + k, t) for k, t in rows], DOCS))
+    got = licenses.scan(both).where(f"doc_id >= {10**9}").collect()
+    assert {r["doc_id"] - 10**9: (r["families"], r["n_paragraphs"]) for r in got} == want
+
+
 @pytest.fixture(scope="module")
 def model_file():
     import public_tokenizers
