@@ -61,7 +61,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated and nearly repeated lines."""
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return out.select("doc_id", F.col("_sw_lines").alias("n_lines"), F.col("_sw_repeats").alias("n_repeat_lines"),
                       F.col("_sw_near").alias("n_near_lines"), F.length("text").cast("long").alias("n_chars"), "text")
 

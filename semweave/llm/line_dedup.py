@@ -1,7 +1,8 @@
 """Line dedup: exact repeats by key, near repeats by a segment-partition edit join.
 
 A line counts if, without white space at its ends, it has at least
-``min_chars`` code points; other lines are left alone. Lines are ordered by
+``min_chars`` code points; other lines are left alone. With ``exact_chars`` the
+exact part has a minimum of its own (1: every line that is not empty). Lines are ordered by
 (document id, line number). A line goes if an equal line stands before it,
 or if a line within ``TAU`` edits first stands before its own first place.
 
@@ -245,11 +246,11 @@ def _near(rows: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """``(doc, line, near)``: the lines that go; near: for an earlier line that differs a little."""
     own = (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
            .where("doc is not null and text is not null"))
-    lines = materialize(_lines(own, min_chars), "ld_lines")
+    lines = materialize(_lines(own, min_chars if exact_chars is None else exact_chars), "ld_lines")
     rows = materialize(cut_into_blocks(_signatures(own, min_chars, tau)), "ld_rows")
     texts = _texts(own, rows.select("id").distinct(), min_chars)
     near = materialize(_near(block_pairs(rows), texts, tau), "ld_near")
@@ -266,9 +267,9 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, i
 
 
 def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """``docs`` with shortened texts and the columns ``_sw_lines``, ``_sw_repeats``, ``_sw_near`` (lines, lines gone)."""
-    gone = dropped_lines(docs, tau, min_chars, id_col, text_col)
+    gone = dropped_lines(docs, tau, min_chars, id_col, text_col, exact_chars)
     per_doc = gone.groupBy("doc").agg(F.collect_set("line").alias("_sw_gone"),
                                       F.count_if("near").alias("_sw_near")).withColumnRenamed("doc", "_sw_doc")
     j = docs.join(per_doc, docs[id_col].cast("long") == per_doc["_sw_doc"], "left")

@@ -258,6 +258,24 @@ def test_line_dedup_equals_all_pairs(spark):
     assert near and {r["doc_id"]: r["text"] for r in got} == want
 
 
+def test_line_dedup_query_drops_short_repeats(spark):
+    """Exact repeats of every line that is not empty go; near repeats of short lines stay."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    long, _ = without_near_lines(texts)
+    seen, want = set(), {}
+    for i in sorted(texts):
+        short = []
+        for x in long[i].split("\n"):
+            key = x.strip(line_dedup.SPACE)
+            if not 0 < len(key) < line_dedup.MIN_CHARS or key not in seen:
+                short.append(x)
+            seen.add(key)
+        want[i] = "\n".join(short)
+    assert want != long
+    got = entry.queries()["op5_line_dedup"](spark, SF001).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+
+
 def test_quality_scores_on_held_out_rows(spark, documents):
     labels = spark.read.parquet(f"{SF01}/labels.parquet")
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
