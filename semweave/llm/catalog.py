@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semweave.llm import (
+    chat_format,
     decontamination,
+    filter_audit,
     language_model,
     licenses,
     line_dedup,
@@ -17,6 +19,7 @@ from semweave.llm import (
     ranking,
     repetition,
     token_counts,
+    whitening,
     wrapper,
 )
 from semweave.llm.common import table
@@ -98,3 +101,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors on the first eight whitened components, with exact deviations."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_chat_format", chat_format.CHAT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations, read back from the output."""
+    return chat_format.chat_digests(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_filter_audit", filter_audit.AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source at every step of all their orders."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
