@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from semweave.operators.knn import MAX_BROADCAST_BYTES, _as_matrix
+from semweave.functions.arrow import unit, unit_matrix
+from semweave.operators.knn import MAX_BROADCAST_BYTES
+from semweave.session import drop_materialized, materialize
 
 
 def _features(vectors: DataFrame, vec_col: str) -> DataFrame:
@@ -39,14 +42,14 @@ def kmeans_assign(vectors: DataFrame, model, id_col: str = "id", vec_col: str =
 def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """Mean vector per label ``(label, centroid array<double>)``.
 
-    Element-wise means are partial aggregates keyed by (label, position);
-    each centroid is then reassembled from its ``D`` positions.
+    One vector aggregate per label (map-side sums), no row per entry.
     """
-    ex = vectors.select(F.col(label_col).alias("label"), F.posexplode(vec_col).alias("pos", "x"))
-    means = ex.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("v"))
-    return (means.groupBy("label")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("_p"))
-            .select("label", F.transform("_p", lambda s: s["v"]).alias("centroid")))
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = _features(vectors.where(F.col(vec_col).isNotNull()), vec_col).groupBy(F.col(label_col).alias("label"))
+    return means.agg(Summarizer.mean(F.col("features")).alias("_m")).select(
+        "label", vector_to_array("_m").alias("centroid"))
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str = "id",
@@ -61,29 +64,26 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str = "id
     from semweave.session import ship_package
 
     ship_package(vectors.sparkSession)
-    cents = centroids.select(key_col, centroid_col)
-    n = cents.count()
-    if n == 0:
+    cents = materialize(centroids.select(key_col, centroid_col), "centroids")  # evaluated once
+    size = cents.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(centroid_col)).alias("dim")).first()
+    if size["n"] == 0:
         raise ValueError("no centroids")
-    dim = len(cents.first()[centroid_col])
-    if n * dim * 8 > MAX_BROADCAST_BYTES:  # checked before anything is collected
-        raise ValueError(f"centroid table of {n} x {dim} is too large to broadcast")
+    if size["n"] * size["dim"] * 8 > MAX_BROADCAST_BYTES:  # checked before anything is collected
+        raise ValueError(f"centroid table of {size['n']} x {size['dim']} is too large to broadcast")
     rows = sorted(cents.collect(), key=lambda r: r[key_col])
+    drop_materialized(cents)
     keys = np.array([r[key_col] for r in rows], dtype=np.int64)
-    cmat = _as_matrix(pd.Series([r[centroid_col] for r in rows]))
+    cmat = unit(np.array([r[centroid_col] for r in rows], dtype=np.float64))
     bc = vectors.sparkSession.sparkContext.broadcast((keys, cmat))
 
-    def assign(batches):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, cm = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            d = 1.0 - _as_matrix(pdf["vec"]) @ cm.T
-            j = np.argmin(d, axis=1)  # first minimum = smallest key
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(np.int64), "nearest": ks[j],
-                                "dist": d[np.arange(len(pdf)), j]})
-
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("nearest", T.LongType()),
-                           T.StructField("dist", T.DoubleType())])
-    return v.mapInPandas(assign, schema)
+        for b in batches:
+            if b.num_rows:
+                d = 1.0 - unit_matrix(b.column(1)) @ cm.T
+                j = np.argmin(d, axis=1)  # first minimum = smallest key
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ks[j]), pa.array(d[np.arange(len(d)), j])],
+                                                 ["id", "nearest", "dist"])
+
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    return v.mapInArrow(assign, "id long, nearest long, dist double")

@@ -25,6 +25,9 @@ ordered by ``(dist, dst)``; ``rank`` starts at 1.
     say) becomes many bounded groups. Centroids (``n_cells x D``) are the only
     thing that reaches the driver; ``n_cells`` stays below the broadcast bound.
 
+``mode="descent"``
+    Neighbour descent on the kNN table (``operators.nn_descent``).
+
 ``mode="lsh"``
     Random-hyperplane signatures banded into buckets; candidate pairs
     share a bucket in some band. Buckets are split into bounded sub-blocks
@@ -34,13 +37,15 @@ ordered by ``(dist, dst)``; ``rank`` starts at 1.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from semweave.functions.arrow import list_array, pack, unit, unit_matrix, unpack
 from semweave.session import materialize, ship_package
 
 KNN_SCHEMA = "src long, dst long, rank int, dist double"
@@ -55,16 +60,6 @@ _LOOKUP_BLOCK = 4096
 # vectorised kernels (run inside Python workers on bounded groups)
 # --------------------------------------------------------------------------
 
-def _as_matrix(vectors: pd.Series) -> np.ndarray:
-    """Stack a Series of arrays into a row-normalised float64 matrix."""
-    if len(vectors) == 0:
-        return np.zeros((0, 0), dtype=np.float64)
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors.to_numpy()])
-    norms = np.linalg.norm(m, axis=1)
-    norms[norms == 0] = 1.0  # zero vector stays zero: distance 1 to all
-    return m / norms[:, None]
-
-
 def _topk_rows(q_ids: np.ndarray, q_mat: np.ndarray, c_ids: np.ndarray, c_mat: np.ndarray,
                k: int, exclude_self: bool):
     """Top-k candidates for each query row, ties broken by candidate id.
@@ -106,35 +101,38 @@ def _topk_rows(q_ids: np.ndarray, q_mat: np.ndarray, c_ids: np.ndarray, c_mat: n
     return out_src, out_dst, out_dist
 
 
-def _frame(parts) -> pd.DataFrame:
-    s, d, x = parts
-    if not s:
-        return pd.DataFrame({"src": np.array([], dtype=np.int64),
-                             "dst": np.array([], dtype=np.int64),
-                             "dist": np.array([], dtype=np.float64)})
-    return pd.DataFrame({"src": np.concatenate(s).astype(np.int64),
-                         "dst": np.concatenate(d).astype(np.int64),
-                         "dist": np.concatenate(x).astype(np.float64)})
+def _batch(parts) -> pa.Table:
+    src, dst, dist = (np.concatenate(x) if x else np.zeros(0, t) for x, t in
+                      zip(parts, (np.int64, np.int64, np.float64), strict=True))
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()),
+                     "dist": pa.array(dist, pa.float64())})
 
 
-def _sorted_side(pdf: pd.DataFrame):
-    pdf = pdf.sort_values("id", kind="stable")
-    return pdf["id"].to_numpy(np.int64), _as_matrix(pdf["vec"])
+def _sorted_side(tbl: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their unit vectors."""
+    ids = tbl.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    vec = tbl.column("vec")
+    return ids[order], (unit_matrix(vec) if pa.types.is_list(vec.type) else unpack(vec))[order]
+
+
+def _part(tbl: pa.Table, column: str, value: int) -> pa.Table:
+    return tbl.filter(pc.equal(tbl.column(column), value))
 
 
 def _pair_kernel(k: int):
     """Group = rows of block p and block q; local top-k both ways."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf["p"].iat[0]), int(pdf["q"].iat[0])
+    def run(tbl: pa.Table) -> pa.Table:
+        p, q = tbl.column("p")[0].as_py(), tbl.column("q")[0].as_py()
         if p == q:
-            ids, mat = _sorted_side(pdf)
-            return _frame(_topk_rows(ids, mat, ids, mat, k, True))
-        a_ids, a_mat = _sorted_side(pdf[pdf["blk"] == p])
-        b_ids, b_mat = _sorted_side(pdf[pdf["blk"] == q])
+            ids, mat = _sorted_side(tbl)
+            return _batch(_topk_rows(ids, mat, ids, mat, k, True))
+        a_ids, a_mat = _sorted_side(_part(tbl, "blk", p))
+        b_ids, b_mat = _sorted_side(_part(tbl, "blk", q))
         s1, d1, x1 = _topk_rows(a_ids, a_mat, b_ids, b_mat, k, False)
         s2, d2, x2 = _topk_rows(b_ids, b_mat, a_ids, a_mat, k, False)
-        return _frame((s1 + s2, d1 + d2, x1 + x2))
+        return _batch((s1 + s2, d1 + d2, x1 + x2))
 
     return run
 
@@ -142,12 +140,10 @@ def _pair_kernel(k: int):
 def _probe_kernel(k: int):
     """Group = (cell, sub-block): queries probing the cell x stored rows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf[pdf["role"] == 0]
-        qry = pdf[pdf["role"] == 1]
-        c_ids, c_mat = _sorted_side(data)
-        q_ids, q_mat = _sorted_side(qry)
-        return _frame(_topk_rows(q_ids, q_mat, c_ids, c_mat, k, True))
+    def run(tbl: pa.Table) -> pa.Table:
+        c_ids, c_mat = _sorted_side(_part(tbl, "role", 0))
+        q_ids, q_mat = _sorted_side(_part(tbl, "role", 1))
+        return _batch(_topk_rows(q_ids, q_mat, c_ids, c_mat, k, True))
 
     return run
 
@@ -161,6 +157,17 @@ def _prep(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
 
 
+def _unit(v: DataFrame) -> DataFrame:
+    """``(id, vec)`` with every vector normalised once and packed as binary doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pack(unit_matrix(b.column(1)))], ["id", "vec"])
+
+    return v.mapInArrow(run, "id long, vec binary")
+
+
 def final_topk(cand: DataFrame, k: int) -> DataFrame:
     """Merge candidate (src, dst, dist) rows into the k best per source.
 
@@ -203,6 +210,10 @@ def knn_join(vectors: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "
         return _knn_ivf(v, k, n_cells, nprobe, seed, block_rows)
     if mode == "lsh":
         return _knn_lsh(v, k, n_bits, n_bands, seed, block_rows)
+    if mode == "descent":
+        from semweave.operators.nn_descent import nn_descent
+
+        return nn_descent(v, k, vec_col="vec", seed=seed)[0]
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -212,7 +223,7 @@ def _knn_exact(v: DataFrame, k: int, block_rows: int, num_blocks: int | None) ->
         spread = math.ceil(math.sqrt(2 * v.sparkSession.sparkContext.defaultParallelism))
         num_blocks = max(1, math.ceil(n / block_rows), min(spread, math.ceil(n / 64)))
     b = int(num_blocks)
-    v = v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
+    v = _unit(v).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
     if b == 1:
         pairs = v.withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
     else:
@@ -220,26 +231,22 @@ def _knn_exact(v: DataFrame, k: int, block_rows: int, num_blocks: int | None) ->
         pairs = (v.select("id", "vec", "blk", other.alias("j"))
                  .select("id", "vec", "blk",
                          F.least("blk", "j").alias("p"), F.greatest("blk", "j").alias("q")))
-    cand = pairs.groupBy("p", "q").applyInPandas(_pair_kernel(k), _CAND_SCHEMA)
+    cand = pairs.groupBy("p", "q").applyInArrow(_pair_kernel(k), _CAND_SCHEMA)
     return final_topk(cand, k)
 
 
-def _nearest_cells(centroids: np.ndarray, nprobe: int, id_col="id", vec_col="vec"):
-    """mapInPandas function: home cell and the ``nprobe`` probed cells."""
+def _nearest_cells(centroids: np.ndarray, nprobe: int):
+    """mapInArrow function: home cell and the ``nprobe`` probed cells of unit vectors."""
 
-    def run(batches):
-        for pdf in batches:
-            mat = _as_matrix(pdf[vec_col])
-            if len(pdf) == 0:
-                continue
-            sim = mat @ centroids.T
-            order = np.argsort(-sim, axis=1, kind="stable")[:, :nprobe]
-            yield pd.DataFrame({
-                id_col: pdf[id_col].to_numpy(np.int64),
-                vec_col: pdf[vec_col],
-                "home": order[:, 0].astype(np.int32),
-                "probes": [row.astype(np.int32) for row in order],
-            })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if n:
+                sim = unpack(b.column(1)) @ centroids.T
+                order = np.argsort(-sim, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+                probes = list_array(order.ravel(), np.arange(n + 1) * order.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(order[:, 0]), probes],
+                                                 ["id", "vec", "home", "probes"])
 
     return run
 
@@ -271,7 +278,7 @@ def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_ro
 
     grouped = (side(v_home, "sub", "ask", "nsub", "nask", 0)
                .unionByName(side(v_probe, "ask", "sub", "nask", "nsub", 1)).groupBy("bucket", "sub", "ask"))
-    cand = grouped.applyInPandas(_probe_kernel(k), _CAND_SCHEMA)
+    cand = grouped.applyInArrow(_probe_kernel(k), _CAND_SCHEMA)
     if dedup:
         # a row stored in several buckets (LSH bands) can meet a prober twice
         cand = cand.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
@@ -298,17 +305,12 @@ def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
     cent = cent / norms[:, None]
     spark = v.sparkSession
     bc = spark.sparkContext.broadcast(cent)
-    schema = T.StructType([
-        T.StructField("id", T.LongType()),
-        T.StructField("vec", v.schema["vec"].dataType),
-        T.StructField("home", T.IntegerType()),
-        T.StructField("probes", T.ArrayType(T.IntegerType())),
-    ])
 
     def assign(batches):
         yield from _nearest_cells(bc.value, nprobe)(batches)
 
-    cells = materialize(v.mapInPandas(assign, schema), "ivf_cells")  # assigned once for all branches
+    # assigned once for all branches
+    cells = materialize(_unit(v).mapInArrow(assign, "id long, vec binary, home int, probes array<int>"), "ivf_cells")
     bc.unpersist()
     home = cells.select("id", "vec", F.col("home").alias("bucket"))
     probe = cells.select("id", "vec", F.explode("probes").alias("bucket"))
@@ -330,23 +332,17 @@ def _knn_lsh(v: DataFrame, k: int, n_bits: int | None, n_bands: int, seed: int,
     bc = v.sparkSession.sparkContext.broadcast(planes)
     weights = (1 << np.arange(n_bits)).astype(np.int64)
 
-    def sign_bands(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            mat = _as_matrix(pdf["vec"])
-            bits = (mat @ bc.value.T >= 0).reshape(len(pdf), n_bands, n_bits)
-            codes = (bits * weights).sum(axis=2)
-            keys = codes + (np.arange(n_bands, dtype=np.int64) << n_bits)[None, :]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(np.int64), "vec": pdf["vec"],
-                                "buckets": [row for row in keys.astype(np.int64)]})
-
-    schema = T.StructType([
-        T.StructField("id", T.LongType()),
-        T.StructField("vec", v.schema["vec"].dataType),
-        T.StructField("buckets", T.ArrayType(T.LongType())),
-    ])
-    sig = materialize(v.mapInPandas(sign_bands, schema), "lsh_bands")
+    def sign_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if n:
+                bits = (unpack(b.column(1)) @ bc.value.T >= 0).reshape(n, n_bands, n_bits)
+                keys = bits @ weights + (np.arange(n_bands, dtype=np.int64) << n_bits)[None, :]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), list_array(keys.ravel(), np.arange(n + 1) * n_bands, pa.int64())],
+                    ["id", "vec", "buckets"])
+
+    sig = materialize(_unit(v).mapInArrow(sign_bands, "id long, vec binary, buckets array<long>"), "lsh_bands")
     bc.unpersist()
     rows = sig.select("id", "vec", F.explode("buckets").alias("bucket"))
     return _bucketed_candidates(rows, rows, k, block_rows)
@@ -371,25 +367,22 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
         return v.sparkSession.createDataFrame([], KNN_SCHEMA)
     dim = len(qv.select("vec").first()["vec"])
     if n_q > max_queries or n_q * dim * 8 > MAX_BROADCAST_BYTES:
-        return _bucketed_candidates(v.withColumn("bucket", F.lit(0)), qv.withColumn("bucket", F.lit(0)), k,
+        return _bucketed_candidates(_unit(v).withColumn("bucket", F.lit(0)), _unit(qv).withColumn("bucket", F.lit(0)), k,
                                     _LOOKUP_BLOCK, dedup=False)
     rows = qv.collect()  # bounded by max_queries x dim, checked above
     q_ids = np.array([r["id"] for r in rows], dtype=np.int64)
     order = np.argsort(q_ids)
-    q_ids = q_ids[order]
-    q_mat = _as_matrix(pd.Series([rows[i]["vec"] for i in order]))
-    bc = v.sparkSession.sparkContext.broadcast((q_ids, q_mat))
+    q_mat = unit(np.array([rows[i]["vec"] for i in order], dtype=np.float64))
+    bc = v.sparkSession.sparkContext.broadcast((q_ids[order], q_mat))
 
-    def scan(batches):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, qm = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            c_ids, c_mat = _sorted_side(pdf)
-            yield _frame(_topk_rows(qi, qm, c_ids, c_mat, k, True))
+        for b in batches:
+            if b.num_rows:
+                c_ids, c_mat = _sorted_side(b)
+                yield from _batch(_topk_rows(qi, qm, c_ids, c_mat, k, True)).to_batches()
 
-    cand = v.mapInPandas(scan, _CAND_SCHEMA)
-    return final_topk(cand, k)
+    return final_topk(v.mapInArrow(scan, _CAND_SCHEMA), k)
 
 
 def corpus_shape(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:

@@ -880,6 +880,40 @@ def q_knn_recall_all_cells(spark, sf):
     return knn_recall(knn_join(v, K_HIST, mode="ivf", nprobe=1_000_000, seed=SEED), knn_join(v, K_HIST), K_HIST)
 
 
+@register("knn_descent")
+def q_knn_descent(spark, sf):
+    """Approximate neighbours by neighbour descent, five rounds."""
+    from semweave.operators.nn_descent import nn_descent
+
+    return rounded(nn_descent(_vectors(spark, sf), K_HIST, max_rounds=5, seed=SEED)[0])
+
+
+@register("knn_descent_check", f"""
+SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(count(*) * {K_HIST} AS BIGINT) AS rows, true AS recall_090,
+       CAST(0 AS BIGINT) AS self_pairs, CAST(0 AS BIGINT) AS wrong_distances, true AS saves_pairs FROM embeddings""")
+def q_knn_descent_check(spark, sf):
+    """Neighbour descent held against the exact join: recall@5 of 0.9 at least with
+    fewer distances than pairs, no pair with oneself, distances of the pairs."""
+    from semweave.functions.vector import cosine_distance
+    from semweave.operators.knn import knn_recall
+    from semweave.operators.nn_descent import nn_descent
+
+    v = _vectors(spark, sf)
+    nn, rounds = nn_descent(v, K_HIST, max_rounds=5, seed=SEED)
+    recall = knn_recall(nn, knn_join(v, K_HIST), K_HIST).first()["recall"]
+    pairs = rounds.agg(F.sum("pairs")).first()[0]
+    a, b = v.select(F.col("id").alias("src"), F.col("embedding").alias("_a")), v.select(
+        F.col("id").alias("dst"), F.col("embedding").alias("_b"))
+    off = F.abs(F.col("dist") - cosine_distance("_a", "_b"))
+    found = nn.join(a, "src").join(b, "dst").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("src") == F.col("dst")).alias("self_pairs"),
+        F.count_if(off > 1e-5).alias("wrong_distances")).first()
+    return v.agg(F.count(F.lit(1)).alias("vectors")).select(
+        "vectors", F.lit(found["rows"]).cast("long").alias("rows"), F.lit(recall >= 0.9).alias("recall_090"),
+        *[F.lit(found[c]).cast("long").alias(c) for c in ("self_pairs", "wrong_distances")],
+        (F.lit(pairs) < F.col("vectors") * (F.col("vectors") - 1) / 2).alias("saves_pairs"))
+
+
 # --------------------------------------------------------------------------
 # further bindings of the same operators
 # --------------------------------------------------------------------------
