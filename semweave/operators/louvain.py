@@ -8,21 +8,27 @@ same job by naming a ``graph_col``: every table is keyed by
 ``(graph, node)`` and the graphs advance through the same rounds, so a
 sweep over five thresholds costs about as many Spark jobs as one graph.
 
-Parallel local moving
-    Moving every node at once oscillates (two neighbours swap labels for
-    ever). Nodes are therefore split into two halves per *sweep* by a
-    seeded hash; a sweep is two rounds, each half moves in one of them, so
-    every node gets exactly one chance per sweep and the halves are redrawn
-    every sweep. A node moves to the neighbouring community of largest gain
+Local moving in blocks
+    Nodes are dealt into blocks of about ``BLOCK_ARCS`` arcs by a hash that is
+    drawn anew on every level. The arcs are written once per level, bucketed
+    by block, and stay where they lie: a round joins the node state with the
+    community totals, sends every block the state of its nodes and of the
+    outside nodes they touch, and moves the nodes of a block one after another
+    until none gains (``local_moves``). Two blocks may move neighbours at
+    once on what they knew before; so a *sweep* is two rounds, each moves one
+    half of the nodes, drawn anew every sweep. One block alone needs no halves.
+    A node moves to the neighbouring community of largest gain
 
         gain(c) = w(u, c∖u) / m − k_u · Σtot(c∖u) / (2 m²)
 
-    (ties to the smaller label) only if it beats staying by more than
-    1e-12; a singleton joins another singleton only if that label is
-    smaller. The first round of a sweep also adds up the modularity of the
-    state it starts from. A graph's level ends after a sweep without moves or
-    without a modularity gain above ``tol``; the best state seen at a sweep
-    end is kept.
+    (ties to the smaller label) only if it beats staying by more than 1e-12;
+    beside other blocks a singleton joins another singleton only if that label
+    is smaller. Nodes with more than ``hub_arcs`` arcs lie in no block: their
+    candidates are aggregated in SQL (partial sums per task), so no arc list is
+    gathered whatever a node's degree. The first round of a sweep also adds up
+    the modularity of the state it starts from. A graph's level ends after a
+    sweep without moves or without a modularity gain above ``tol``; the best
+    state seen at a sweep end is kept.
 
 Contraction
     Communities become nodes; parallel edges are summed and internal
@@ -52,14 +58,17 @@ no partition rows, as in the reference.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semweave.session import drop_materialized, ensure_checkpoint_dir, materialize
+from semweave.operators.local_moves import move_kernel
+from semweave.session import drop_materialized, ensure_checkpoint_dir, materialize, materialize_bucketed, ship_package
 
 _EPS = 1e-12
+BLOCK_ARCS = 200_000  # arcs that a block of nodes holds
 
 
 _VIEW_IDS = itertools.count()
@@ -92,13 +101,14 @@ def _drop_views(spark, *names: str) -> None:
         spark.catalog.dropTempView(n)
 
 
-def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: list,
-           level: int, sweep: int, parity: int, seed: int) -> DataFrame:
-    """One local-moving round for the eligible half of the active graphs.
+def _hub_round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: list,
+               level: int, sweep: int, parity: int, seed: int) -> DataFrame:
+    """One local-moving round for the eligible half of the hubs (``blk < 0``) of the active graphs.
 
-    Returns the new state ``(g, node, comm, prev, best, k)`` with ``moved``,
-    ``own_w`` (weight into the incoming community) and ``own_t`` (degree times
-    the community's total). ``prev`` is the assignment at the start of the
+    A hub has more arcs than a block may hold, so its candidates are
+    aggregated, never gathered. Returns the hubs' new state ``(g, node, comm,
+    prev, best, k, blk)`` with ``moved``, ``own_w`` (weight into the incoming
+    community) and ``own_t`` (degree times the community's total). ``prev`` is the assignment at the start of the
     sweep; ``best`` becomes ``prev`` for the graphs in ``improved``. The first
     round of a sweep looks at all nodes, so its ``own_*`` sums give the
     modularity of the incoming state without a job of its own. The round is
@@ -118,7 +128,7 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
 
     keep = f"CASE WHEN g IN {_in_list(improved)} THEN prev ELSE best END" if improved else "best"
     out = spark.sql(f"""
-        WITH st AS (SELECT g, node, comm, prev, best, k FROM {st} WHERE g IN {act}),
+        WITH st AS (SELECT g, node, comm, prev, best, k, blk FROM {st} WHERE g IN {act}),
         w_uc AS (
           SELECT a.g, a.u, n.comm AS cv, a.w, a.k, false AS own, CAST(NULL AS BIGINT) AS prev,
                  CAST(NULL AS BIGINT) AS best
@@ -126,7 +136,7 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
           WHERE a.g IN {act} AND {looked_at('a.g', 'a.u')}
           UNION ALL
           SELECT g, node AS u, comm AS cv, CAST(0.0 AS DOUBLE) AS w, k, true AS own, prev, best
-          FROM st WHERE {looked_at('g', 'node')}),
+          FROM st WHERE blk < 0 AND {looked_at('g', 'node')}),
         cand AS (SELECT g, u, cv, sum(w) AS wuc, max(k) AS ku, max(own) AS own, max(prev) AS prev, max(best) AS best
                  FROM w_uc GROUP BY g, u, cv),
         tot AS (SELECT g, comm, sum(k) AS tot, count(1) AS size FROM st GROUP BY g, comm),
@@ -148,21 +158,45 @@ def _round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: l
                      AND NOT (o.s = 1 AND b.s = 1 AND b.c > o.c)) AS moved
           FROM pick)
         SELECT g, u AS node, CASE WHEN moved THEN b.c ELSE o.c END AS comm,
-               {'o.c' if parity == 0 else 'prev'} AS prev, {keep} AS best, k, moved, o.w AS own_w, k * o.t AS own_t
+               {'o.c' if parity == 0 else 'prev'} AS prev, {keep} AS best, k, CAST(-1 AS BIGINT) AS blk, moved, o.w AS own_w, k * o.t AS own_t
         FROM dec
         UNION ALL
-        SELECT g, node, comm, prev, {keep} AS best, k, false AS moved, CAST(0.0 AS DOUBLE) AS own_w,
+        SELECT g, node, comm, prev, {keep} AS best, k, blk, false AS moved, CAST(0.0 AS DOUBLE) AS own_w,
                CAST(0.0 AS DOUBLE) AS own_t
-        FROM {st} WHERE NOT (g IN {act} AND {looked_at('g', 'node')})
+        FROM st WHERE blk < 0 AND NOT {looked_at('g', 'node')}
     """)
     _drop_views(spark, st, ar)
     return out
 
 
+def _block_round(state: DataFrame, arcs: DataFrame, copies: DataFrame | None, m: dict, active: list, improved: list,
+                 level: int, sweep: int, parity: int, seed: int) -> DataFrame:
+    """One local-moving round of all blocks.
+
+    The arcs lie bucketed by block and are not moved; every block gets the
+    state of its nodes and of the outside nodes it touches (``copies``; None
+    where one block holds everything).
+    """
+    st = state.where(F.col("g").isin(active))
+    tot = st.groupBy("g", "comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
+    st = st.join(tot, ["g", "comm"]).select("blk", "g", "node", "comm", "prev", "best", "k", "tot", "size")
+    nodes = st.where("blk >= 0").withColumn("own", F.lit(True))
+    if copies is not None:
+        seen = st.drop("blk").join(copies, ["g", "node"]).select(nodes.columns[:-1]).withColumn("own", F.lit(False))
+        nodes = nodes.unionByName(seen)
+    salt = (seed * 1_000_003 + level) * 1_000_003 + sweep
+    kernel = move_kernel(m, improved, parity, salt, copies is None)
+    g = state.schema["g"].dataType.simpleString()
+    return arcs.groupBy("blk").cogroup(nodes.groupBy("blk")).applyInArrow(
+        kernel, f"g {g}, node long, comm long, prev long, best long, k double, blk long, moved boolean, "
+                "own_w double, own_t double")
+
+
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
             graph_ids: list | None = None, seed: int = 42, max_rounds: int | None = None, max_levels: int | None = None,
             threshold: float = 1e-7, tol: float = 1e-6,
-            weight_col: str = "weight", order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+            weight_col: str = "weight", order_col: str | None = None, block_arcs: int = BLOCK_ARCS,
+            hub_arcs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Louvain communities of ``edges(src, dst, weight[, graph])``.
 
     ``nodes(node)`` declares the node set (shared by all graphs); nodes
@@ -174,10 +208,14 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     the largest ``order_col`` counts (without it, the largest weight), as in
     ``graph.normalise_edges``. ``max_rounds`` (per level) and
     ``max_levels`` end the search earlier if set; ``converged`` in the summary
-    is false for the graphs they cut short.
+    is false for the graphs they cut short. ``block_arcs`` is the size of a
+    block; nodes with more than ``hub_arcs`` arcs (a quarter of a block by
+    default) are hubs.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    hub_arcs = max(1, block_arcs // 4) if hub_arcs is None else hub_arcs
     gcol = F.col(graph_col) if graph_col else F.lit(0).cast("long")
     w = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col in edges.columns else F.lit(1.0)
     e = (edges.select(gcol.alias("g"), F.col("src").cast("long").alias("src"),
@@ -206,7 +244,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     levels = {g: 0 for g in m}
     rounds = {g: 0 for g in m}
     running = sorted(m)
-    arcs = state = None
+    arcs = state = copies = None
     cut: set = set()  # graphs that a bound stopped
     for level in itertools.count():
         if not running:
@@ -215,20 +253,32 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
             cut |= set(running)
             break
         level_edges = level_edges.filter(F.col("g").isin(running))
-        loops = {g: 0.0 for g in running}
-        loops |= {r["g"]: float(r["l"]) for r in level_edges.filter(F.col("a") == F.col("b")).groupBy("g").agg(
-            F.sum("w").alias("l")).collect()}
+        loop = F.col("a") == F.col("b")
+        loops = {r["g"]: (float(r["l"] or 0.0), int(r["n"])) for r in level_edges.groupBy("g").agg(
+            F.sum(F.when(loop, F.col("w"))).alias("l"), F.count_if(~loop).alias("n")).collect()}
         # both directions of every non-loop edge, from one pass over the edges
         both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
                        F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
         # weighted degree: a self-loop counts twice (both of its endpoints)
-        k = (level_edges.select("g", F.explode(F.array("a", "b")).alias("node"), "w")
-             .groupBy("g", "node").agg(F.sum("w").alias("k")))
-        state = materialize(k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("prev"),
-                                     F.col("node").alias("best"), "k"), "state")
-        arcs = materialize(
-            level_edges.filter(F.col("a") != F.col("b")).select("g", F.inline(both), "w")
-            .join(state.select("g", F.col("node").alias("u"), "k"), ["g", "u"]), "arcs")
+        other = (F.col("a") != F.col("b")).cast("long").alias("arc")
+        k = (level_edges.select("g", F.explode(F.array("a", "b")).alias("node"), "w", other)
+             .groupBy("g", "node").agg(F.sum("w").alias("k"), F.sum("arc").alias("arcs")))
+        blocks = max(1, math.ceil(2 * sum(loops[g][1] for g in running) / block_arcs))
+        blk = F.when(F.col("arcs") > hub_arcs, F.lit(-1)).otherwise(F.pmod(F.xxhash64("g", "node", F.lit(level)),
+                                                                            F.lit(blocks)))
+        state, seen = materialize(
+            k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("prev"), F.col("node").alias("best"),
+                     "k", blk.cast("long").alias("blk")), "state", observe={"hubs": F.count_if(F.col("blk") < 0)})
+        hubs = int(seen.get("hubs") or 0)
+        placed = level_edges.filter(F.col("a") != F.col("b")).select("g", F.inline(both), "w").join(
+            state.select("g", F.col("node").alias("u"), "k", "blk"), ["g", "u"])
+        arcs = materialize_bucketed(placed.select("blk", "g", "u", "v", "w", "k"), "blk", "arcs")
+        small = arcs.where("blk >= 0") if hubs else arcs
+        copies = None
+        if blocks > 1 or hubs:
+            touched = small.select("blk", "g", F.col("v").alias("node")).distinct()
+            home = state.select("g", "node", F.col("blk").alias("home"))
+            copies = materialize(touched.join(home, ["g", "node"]).where("blk <> home").select("blk", "g", "node"), "copies")
         if assign is None:  # identity map, read from the level-0 edge table
             assign = k.select("g", "node", F.col("node").alias("comm"))
         best_q = dict(final_q)  # contraction preserves modularity: a level starts where the last ended
@@ -247,14 +297,26 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
                 mine = F.col("g") == F.lit(g)
                 counters |= {f"m{i}": F.count_if(F.col("moved") & mine), f"w{i}": F.sum(F.when(mine, F.col("own_w"))),
                              f"t{i}": F.sum(F.when(mine, F.col("own_t")))}
-            state, seen = materialize(_round(state, arcs, m, active, improved, level, r // 2, r % 2, seed),
-                                      "state", observe=counters, drop=("moved", "own_w", "own_t"))
-            drop_materialized(prev)
+            if copies is None and r % 2 == 1:  # the one block has moved all its nodes in the first half already
+                seen = {}
+            else:
+                step = (m, active, improved, level, r // 2, r % 2, seed)
+                out = _block_round(prev, small, copies, *step)
+                if hubs:
+                    out = out.unionByName(_hub_round(prev, arcs.where("blk < 0"), *step))
+                idle = prev.where(~F.col("g").isin(active))
+                if improved:
+                    idle = idle.withColumn("best", F.when(F.col("g").isin(improved), F.col("prev")).otherwise(F.col("best")))
+                if len(active) < len(running):
+                    out = out.unionByName(idle.select("*", F.lit(False).alias("moved"), F.lit(0.0).alias("own_w"),
+                                                      F.lit(0.0).alias("own_t")))
+                state, seen = materialize(out, "state", observe=counters, drop=("moved", "own_w", "own_t"))
+                drop_materialized(prev)
             moved = {g: int(seen.get(f"m{i}") or 0) for i, g in enumerate(active)}
             for g in active:
                 rounds[g] += not over
             if r % 2 == 0:
-                q = {g: ((seen.get(f"w{i}") or 0.0) / 2 + loops[g]) / m[g] - (seen.get(f"t{i}") or 0.0) / (4 * m[g] ** 2)
+                q = {g: ((seen.get(f"w{i}") or 0.0) / 2 + loops[g][0]) / m[g] - (seen.get(f"t{i}") or 0.0) / (4 * m[g] ** 2)
                      for i, g in enumerate(active)}
                 if r == 0:
                     if level == 0:
@@ -270,7 +332,8 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
                     break
                 sweep_moves = moved
             else:
-                improved = []
+                if copies is not None:  # the round has put it into ``best``
+                    improved = []
                 active = [g for g in active if sweep_moves[g] + moved[g] > 0]
             if not active:
                 break
@@ -301,8 +364,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
             .groupBy("g", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
             .agg(F.sum("w").alias("w")), "edges")
         # superseded level tables (the level-0 identity map reads the old edges)
-        for t in (arcs, state, old_edges) + ((old_assign,) if level > 0 else ()):
-            drop_materialized(t)
+        for t in (arcs, copies, state, old_edges) + ((old_assign,) if level > 0 else ()):
+            if t is not None:
+                drop_materialized(t)
 
     # nodes without edges are their own communities; label = smallest member
     if assign is None:
@@ -317,7 +381,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
     sizes = {r["g"]: r for r in labels.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") >= 2).alias("nt")).collect()}
     node_counts = {r["g"]: int(r["count"]) for r in all_nodes.groupBy("g").count().collect()}
-    done = [all_nodes, level_edges, arcs, state]
+    done = [all_nodes, level_edges, arcs, copies, state]
     if levels and max(levels.values(), default=0) > 0:
         done.append(assign)
     for t in done:

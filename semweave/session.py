@@ -118,6 +118,27 @@ def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None, drop
     return spark.read.schema(schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, column: str, tag: str = "b") -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder, bucketed by ``column``, and read it back.
+
+    As many buckets as shuffle partitions, one file each: later jobs that
+    group or join by ``column`` read the rows where they lie instead of
+    shuffling them.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = next(_COUNTER)
+    path = scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{number:05d}")
+    name = f"semweave_{_RUN_ID}_{tag}_{number}"
+    (df.repartition(n, column).write.format("parquet").bucketBy(n, column).sortBy(column).option("path", path)
+     .mode("overwrite").saveAsTable(name))
+    _TABLES[path.rsplit("/", 1)[1]] = name
+    return spark.table(name)
+
+
+_TABLES: dict[str, str] = {}  # folder -> catalog name of a bucketed table
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table returned by :func:`materialize`."""
     spark = df.sparkSession
@@ -131,6 +152,9 @@ def drop_materialized(df: DataFrame) -> None:
     folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
     if f"semweave-{_RUN_ID}" not in folder.toString():
         return  # only ever remove this run's own intermediates
+    name = _TABLES.pop(folder.getName(), None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(folder, True)
 
@@ -139,6 +163,9 @@ def release_materialized(spark: SparkSession) -> None:
     """Delete every table this run has materialised; results that still read them become invalid."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, f"semweave-{_RUN_ID}"))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for name in _TABLES.values():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _TABLES.clear()
 
 
 _SHIPPED: set = set()
