@@ -385,6 +385,48 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
     return final_topk(v.mapInArrow(scan, _CAND_SCHEMA), k)
 
 
+def _cross_kernel(k: int):
+    """Group = a block of old and a block of new rows; local top-k both ways."""
+
+    def run(tbl: pa.Table) -> pa.Table:
+        a_ids, a_mat = _sorted_side(_part(tbl, "role", 0))
+        b_ids, b_mat = _sorted_side(_part(tbl, "role", 1))
+        one, two = _topk_rows(a_ids, a_mat, b_ids, b_mat, k, False), _topk_rows(b_ids, b_mat, a_ids, a_mat, k, False)
+        return _batch([x + y for x, y in zip(one, two, strict=True)])
+
+    return run
+
+
+def knn_append(knn: DataFrame, old: DataFrame, new: DataFrame, k: int, *, id_col: str = "id",
+               vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+    """The exact kNN table of ``old`` and ``new`` vectors, from that of the old ones.
+
+    Only pairs with a new vector are measured: new rows among themselves, and
+    blocks of new rows against blocks of old ones, each product used in both
+    directions. An old vector's list is its old one and the new vectors that
+    are nearer; neighbours that drop out are evicted by the same ranking. The
+    rows equal those of a rebuild if ``knn`` holds the ``k`` nearest of every
+    old vector. New ids that ``old`` holds already are an error.
+    """
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    a, b = _prep(old, id_col, vec_col), _prep(new, id_col, vec_col)
+    if not a.select("id").join(b.select("id"), "id", "left_semi").isEmpty():
+        raise ValueError("some new ids are in the table already")
+    na, nb = (max(1, math.ceil(x.count() / block_rows)) for x in (a, b))
+
+    def side(v: DataFrame, own: str, n_own: int, other: str, n_other: int, role: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")
+        return _unit(v).withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).select(
+            "p", "q", "id", "vec", F.lit(role).alias("role"))
+
+    pairs = side(a, "p", na, "q", nb, 0).unionByName(side(b, "q", nb, "p", na, 1))
+    across = pairs.groupBy("p", "q").applyInArrow(_cross_kernel(k), _CAND_SCHEMA)
+    inside = _knn_exact(b, k, block_rows, None).select("src", "dst", "dist")
+    kept = knn.where(F.col("rank") <= k).select("src", "dst", "dist")
+    return final_topk(kept.unionByName(across).unionByName(inside), k)
+
+
 def corpus_shape(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """One row ``(n_rows, dim)``: the count needs no column data (Parquet
     row-group metadata) and the dimension is that of one row (vectors of a

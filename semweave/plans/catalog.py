@@ -880,6 +880,31 @@ def q_knn_recall_all_cells(spark, sf):
     return knn_recall(knn_join(v, K_HIST, mode="ivf", nprobe=1_000_000, seed=SEED), knn_join(v, K_HIST), K_HIST)
 
 
+@register("knn_lookup_index", ORACLES["knn_lookup"])
+def q_knn_lookup_index(spark, sf):
+    """The look-up by a stored inverted file: the same rows as the full scan."""
+    from semweave.operators.cell_index import build_index, index_lookup
+    from semweave.session import fresh_path
+
+    path = fresh_path(spark, "index")
+    build_index(_vectors(spark, sf), path, seed=SEED)
+    queries = TB.load_table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return rounded(index_lookup(spark, path, queries, K_HIST))
+
+
+@register("knn_append", ORACLES["knn_exact"])
+def q_knn_append(spark, sf):
+    """The table of a third of the vectors, then two appends: the rows of a rebuild."""
+    from semweave.operators.knn import knn_append
+    from semweave.session import materialize
+
+    v = _vectors(spark, sf)
+    part = [v.where(F.pmod("id", F.lit(3)) == i) for i in range(3)]
+    nn = materialize(knn_join(part[0], K_GRAPH), "knn")
+    nn = materialize(knn_append(nn, part[0], part[1], K_GRAPH), "knn")
+    return rounded(knn_append(nn, part[0].unionByName(part[1]), part[2], K_GRAPH))
+
+
 @register("knn_descent")
 def q_knn_descent(spark, sf):
     """Approximate neighbours by neighbour descent, five rounds."""

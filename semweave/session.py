@@ -87,6 +87,11 @@ _RUN_ID = uuid.uuid4().hex[:12]
 _COUNTER = itertools.count()
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path for this run's own tables under the shared checkpoint folder."""
+    return scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{next(_COUNTER):05d}")
+
+
 def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None, drop: tuple[str, ...] = ()):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
