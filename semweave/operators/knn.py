@@ -285,33 +285,38 @@ def _bucketed_candidates(v_home: DataFrame, v_probe: DataFrame, k: int, block_ro
     return final_topk(cand, k)
 
 
-def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
-             block_rows: int) -> DataFrame:
+def _fit_cells(v: DataFrame, n_cells: int | None, seed: int) -> np.ndarray:
+    """Unit centroids of cosine k-means on all vectors; their matrix stays within the broadcast bound."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = v.count()
-    if n_cells is None:  # the centroid matrix stays within the broadcast bound; larger cells are split anyway
+    if n_cells is None:  # larger cells are split anyway
         first = v.select("vec").first()
         dim = len(first["vec"]) if first else 1
-        n_cells = max(1, min(int(round(math.sqrt(n))), MAX_BROADCAST_BYTES // (8 * max(1, dim))))
-    nprobe = max(1, min(nprobe, n_cells))
+        n_cells = max(1, min(int(round(math.sqrt(v.count()))), MAX_BROADCAST_BYTES // (8 * max(1, dim))))
     train = v.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(train)
     cent = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     _check_broadcast(cent.shape[0], cent.shape[1] if cent.ndim == 2 else 0, "IVF centroids")
-    norms = np.linalg.norm(cent, axis=1)
-    norms[norms == 0] = 1.0
-    cent = cent / norms[:, None]
-    spark = v.sparkSession
-    bc = spark.sparkContext.broadcast(cent)
+    return unit(cent)
+
+
+def _place(v: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
+    """``(id, vec, home, probes)``, written once for all branches that read it."""
+    bc = v.sparkSession.sparkContext.broadcast(centroids)
+    nprobe = max(1, min(nprobe, len(centroids)))
 
     def assign(batches):
         yield from _nearest_cells(bc.value, nprobe)(batches)
 
-    # assigned once for all branches
     cells = materialize(_unit(v).mapInArrow(assign, "id long, vec binary, home int, probes array<int>"), "ivf_cells")
     bc.unpersist()
+    return cells
+
+
+def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
+             block_rows: int) -> DataFrame:
+    cells = _place(v, _fit_cells(v, n_cells, seed), nprobe)
     home = cells.select("id", "vec", F.col("home").alias("bucket"))
     probe = cells.select("id", "vec", F.explode("probes").alias("bucket"))
     # each row is stored in exactly one cell and probes distinct cells, so a
@@ -452,3 +457,40 @@ def knn_recall(approx: DataFrame, exact: DataFrame, k: int | None = None) -> Dat
         F.count(F.lit(1)).alias("pairs"),
         F.count("a").alias("hits"),
     ).withColumn("recall", F.round(F.col("hits") / F.greatest(F.col("pairs"), F.lit(1)), 6))
+
+
+def recall_by_probes(vectors: DataFrame, exact: DataFrame, k: int, nprobes: list[int], *, id_col: str = "id",
+                     vec_col: str = "embedding", n_cells: int | None = None, seed: int = 42) -> DataFrame:
+    """Recall@k of the IVF mode for several ``nprobe`` from one fit, over the sources of ``exact``.
+
+    ``exact`` holds the true neighbours of any set of sources (all of them, or
+    a sample by ``knn_lookup``). IVF measures every vector of the cells it
+    probes exactly, so it finds a true neighbour if and only if that lies in
+    one of them: the place of the neighbour's cell in the source's order
+    of cells gives the answer for every ``nprobe`` at once.
+
+    A row per ``nprobe``: ``(k, pairs, hits, recall, lo, hi, sources, nprobe,
+    n_cells)``; ``lo`` and ``hi`` are the 95 % interval of the mean over the
+    sources' own recalls.
+    """
+    v = _prep(vectors, id_col, vec_col)
+    centroids = _fit_cells(v, n_cells, seed)
+    found = len(centroids)
+    pairs = exact.where(F.col("rank") <= k).select("src", "dst")
+    asked = v.join(pairs.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    homes = _place(v, centroids, 1).select(F.col("id").alias("dst"), "home")
+    order = _place(asked, centroids, found).select(F.col("id").alias("src"), "probes")  # all cells, for the sources only
+    at = pairs.join(homes, "dst").join(order, "src").select("src", F.array_position("probes", F.col("home")).alias("at"))
+    probes = sorted({min(p, found) for p in nprobes})
+    per = at.groupBy("src").agg(F.count(F.lit(1)).alias("pairs"),
+                                *[F.count_if(F.col("at") <= p).alias(f"h{p}") for p in probes])
+    each = per.select("pairs", F.inline(F.array(*[F.struct(F.lit(p).alias("nprobe"), F.col(f"h{p}").alias("h"))
+                                                  for p in probes])))
+    share = F.col("h") / F.col("pairs")
+    half = 1.96 * F.coalesce(F.stddev_samp(share), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))
+    out = each.groupBy("nprobe").agg(F.sum("pairs").alias("pairs"), F.sum("h").alias("hits"), F.avg(share).alias("mean"),
+                                     half.alias("half"), F.count(F.lit(1)).alias("sources"))
+    return out.select(F.lit(k).cast("int").alias("k"), "pairs", "hits", F.round(F.col("hits") / F.col("pairs"), 6).alias("recall"),
+                      F.round(F.greatest(F.lit(0.0), F.col("mean") - F.col("half")), 6).alias("lo"),
+                      F.round(F.least(F.lit(1.0), F.col("mean") + F.col("half")), 6).alias("hi"), "sources", "nprobe",
+                      F.lit(found).alias("n_cells"))

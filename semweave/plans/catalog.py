@@ -854,18 +854,32 @@ def q_knn_recall(spark, sf):
     (all probes = exact)."""
     import math
 
-    from semweave.operators.knn import knn_recall
+    from semweave.operators.knn import recall_by_probes
 
     v = _vectors(spark, sf)
-    exact = _knn_once(spark, sf, K_HIST)
     cells = max(1, int(round(math.sqrt(v.count()))))
-    out = None
-    for nprobe in sorted({min(p, cells) for p in (1, 4, 8, 22)} | {cells}):
-        ivf = knn_join(v, K_HIST, mode="ivf", n_cells=cells, nprobe=nprobe, seed=SEED)
-        r = knn_recall(ivf, exact, K_HIST).withColumn("nprobe", F.lit(nprobe)).withColumn(
-            "n_cells", F.lit(cells))
-        out = r if out is None else out.unionByName(r)
-    return out
+    out = recall_by_probes(v, _knn_once(spark, sf, K_HIST), K_HIST, [1, 4, 8, 22, cells], n_cells=cells, seed=SEED)
+    return out.select("k", "pairs", "hits", "recall", "nprobe", "n_cells")
+
+
+@register("knn_recall_sample", f"""
+WITH s AS (SELECT count(*) AS sources FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT count(*) AS n FROM embeddings)
+SELECT {K_HIST} AS k, sources, CAST(sources * least({K_HIST}, n - 1) AS BIGINT) AS pairs, true AS rises,
+       true AS inside_interval, CAST(1 AS DOUBLE) AS recall_all_cells FROM s, n""")
+def q_knn_recall_sample(spark, sf):
+    """Recall of IVF over the sources with ids divisible by 50 against all rows: it
+    rises with the number of cells probed and is 1 with all of them."""
+    from semweave.operators.knn import recall_by_probes
+
+    v = _vectors(spark, sf)
+    ask = v.where(F.pmod("id", F.lit(50)) == 0).select("id")
+    r = recall_by_probes(v, knn_lookup(v, ask, K_HIST), K_HIST, [1, 4, 8, 22, 1_000_000], seed=SEED)
+    w = r.agg(F.sort_array(F.collect_list(F.struct("nprobe", "recall", "lo", "hi", "sources", "pairs"))).alias("r"))
+    last = F.element_at("r", -1)
+    rises = F.forall(F.sequence(F.lit(2), F.size("r")), lambda i: F.element_at("r", i)["recall"] >= F.element_at("r", i - 1)["recall"])
+    return w.select(F.lit(K_HIST).alias("k"), last["sources"].alias("sources"), last["pairs"].alias("pairs"),
+                    rises.alias("rises"), F.forall("r", lambda x: (x["lo"] <= x["recall"]) & (x["recall"] <= x["hi"])).alias(
+                        "inside_interval"), last["recall"].alias("recall_all_cells"))
 
 
 @register("knn_recall_all_cells", f"""

@@ -99,7 +99,7 @@ def tau_sweep_job(vectors: DataFrame, nodes: DataFrame | None = None, *, pkeep=D
     part, summary = louvain_sweep(knn, nodes, taus, seed=seed, symmetry=symmetry)
     quality = graph_quality(sweep, summary)
     return {"knn": knn, "hist": hist, "taus": taus, "sweep": sweep, "partition": part,
-            "louvain": summary, "quality": quality, "best": select_best_tau(quality)}
+            "louvain": summary, "quality": quality, "best": select_best_tau(quality), "symmetry": symmetry}
 
 
 def save_sweep(out: dict, path: str) -> None:
@@ -108,7 +108,7 @@ def save_sweep(out: dict, path: str) -> None:
     base = path.rstrip("/")
     write_table(out["taus"], base + "/taus")
     write_table(out["sweep"], base + "/graph_summaries")
-    write_edges(sweep_edges(out["knn"], out["taus"]), base + "/edges")
+    write_edges(sweep_edges(out["knn"], out["taus"], out["symmetry"]), base + "/edges")
     write_partition(out["partition"], base + "/louvain")
     write_table(out["louvain"], base + "/louvain_summary")
     write_table(out["quality"], base + "/quality")

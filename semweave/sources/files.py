@@ -68,14 +68,19 @@ def write_edges(edges: DataFrame, path: str, fmt: str = "parquet") -> None:
     write_table(edges, path, fmt, partition_by=part)
 
 
-def read_edges(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_edges(spark: SparkSession, path: str, fmt: str = "parquet", order_col: str | None = None) -> DataFrame:
     """Read an edge list; in text form malformed rows are skipped and a
-    missing weight defaults to 1.0."""
+    missing weight defaults to 1.0. ``order_col`` adds the place of a row:
+    file, block of the file, row in the block, so that the last of parallel
+    edges can be told (``normalise_edges``, ``louvain``)."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         df = (spark.read.schema(EDGE_SCHEMA).option("sep", "\t" if fmt == "tsv" else ",")
               .option("header", True).option("mode", "DROPMALFORMED").csv(path))
+    if order_col:
+        df = df.withColumn(order_col, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                               F.monotonically_increasing_id().alias("row")))
     return (df.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
             .withColumn("weight", F.coalesce(F.col("weight"), F.lit(1.0))))
 
