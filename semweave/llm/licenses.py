@@ -12,10 +12,13 @@ tells the licence families and "none" apart. It is trained here:
 
 * licence rows are the notices in ``TEMPLATES`` and variants of them (words
   left out, cut short, joined with a sentence of the corpus);
-* "none" rows are paragraphs of the documents: a bounded sample, at most
-  ``NEGATIVES`` paragraphs, those with the smallest hashes of the documents'
-  ids, without a paragraph that has a template's words (the classifier may be
-  fitted on a bounded sample; the scan covers every paragraph).
+* "none" rows are lines of the documents: a bounded sample, at most
+  ``NEGATIVES`` lines, the first ``LINES`` longer ones (their first ``WORDS``
+  words) of the ``NEGATIVES / LINES`` documents with the smallest hashes of their
+  ids, without a line that names a licence (the classifier may be fitted on a
+  bounded sample; the scan covers every paragraph). The hashes are cut to
+  that number first, then the lines of those documents are fetched, so
+  the driver gets as many bytes at any size of the input.
 
 A quarter of the rows is set aside; on it the softmax temperature is chosen
 by likelihood and the least confidence that keeps wrong families below 1 %.
@@ -43,7 +46,8 @@ from pyspark.sql import functions as F
 from semweave.llm.common import as_batch, map_batches
 
 BITS = 14
-NEGATIVES = 2000
+#: Bounds of the "none" rows: lines in all, lines of a document, words of a line.
+NEGATIVES, LINES, WORDS = 2000, 4, 200
 CONFIRM = 0.7
 #: Words of a window and between windows: the shorter templates and all of them stand whole in one.
 WINDOWS = ((20, 8), (48, 16))
@@ -209,9 +213,14 @@ _TEMPLATE_WORDS = {f: [frozenset(words_of(t.encode())) for t in ts] for f, ts in
 
 def fit(docs: DataFrame) -> Model:
     """The classifier; "none" rows come from the ``docs(id, text)`` with the smallest hashes of their ids."""
-    picked = (docs.where("text is not null").orderBy(F.xxhash64("id")).limit(NEGATIVES // 4)
-              .select(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20), 1, 4).alias("p")).collect())
-    lines = [words_of(p.encode())[:200] for r in picked for p in r["p"]]
+    keyed = docs.where("text is not null").select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    keys = keyed.select("h", "t").orderBy("h", "t").limit(NEGATIVES // 4).collect()  # hashes alone, no texts
+    named = docs.sparkSession.createDataFrame([(k["h"], k["t"]) for k in keys], "h long, t long").distinct()
+    first = F.transform(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20), 1, LINES),
+                        lambda x: F.array_join(F.slice(F.split(x, " "), 1, WORDS), " "))
+    # one row a key at most, whatever the number of equal rows
+    picked = keyed.join(F.broadcast(named), ["h", "t"]).groupBy("h", "t").agg(F.min(first).alias("p")).orderBy("h", "t")
+    lines = [words_of(p.encode())[:WORDS] for r in picked.collect() for p in r["p"]]
     lines = [w for w in lines if w and not MARKS & set(w)][:NEGATIVES]
     rng = np.random.default_rng(9)
     rows = _variants(rng, lines) + [(w, "none") for w in lines] + [([], "none")] * 4
