@@ -1,10 +1,14 @@
 """Main text of web pages by wrapper induction per host.
 
-1. A page becomes a tree of its block elements (tag and class); neighbours
-   with the same label are one node, as lists have any length.
+1. A page becomes a tree of its block elements (tag and class), with the
+   text of every block in it, menus and footers included; neighbours with the same label
+   are one node, as lists have any length.
 2. A host's references are the first pages of its ``REFERENCES`` most frequent
-   layouts among the pages with text. Every page of the host is aligned with each by simple tree matching: the largest
-   number of nodes that correspond in order, level by level.
+   layouts among the pages with text. Every page of the host is aligned with
+   each by simple tree matching: the largest number of nodes that correspond
+   in order, level by level. No step recurses, and children are
+   matched by a heaviest increasing run over pairs of equal labels, so deep
+   and wide pages take time and memory by their size.
 3. Over all pages (equal trees of a host count once), a block of text in a
    node of the reference counts how often the node was matched and how often
    the page's node had the block too. Blocks found on nearly all pages
@@ -12,10 +16,12 @@
 4. A page's content is the text of its slots: inside ``article`` (or
    ``main``) where the page has one, else of all slots. Template is left out
    everywhere; only an article that is template from end to end stays, as its
-   host holds copies of one article. Inside an article a class or id counts as
-   a widget's only as a whole (``widget``), and ids of headings, sections and
-   the like never do. Elements that never hold content (menus,
-   forms, scripts, adverts, ...: by tag, role or class) are left out as well.
+   host holds copies of one article. What varies from page to page and still
+   is no content (adverts, comments, forms, ...) is known by its tag, role or class.
+   Inside an article a class or id counts as a widget's only as a whole
+   (``widget``), and ids of headings, sections and the like never do.
+   ``n_template`` and ``n_listed`` tell how many blocks the wrapper and those
+   lists have left out; ``lists=False`` leaves the lists aside.
 
 Only the small trees are compared; a host that holds a third of all pages is
 counted by partial aggregates, and its wrapper is one short row.
@@ -79,7 +85,7 @@ INSIDE = INLINE | set("button select svg canvas map object audio video".split())
 class Node:
     __slots__ = ("label", "tag", "out", "main", "texts", "children", "path")
 
-    def __init__(self, label: str, tag: str, out: bool, main: bool, path: str):
+    def __init__(self, label: str, tag: str, out: bool, main: bool, path: int):
         self.label, self.tag, self.out, self.main, self.path = label, tag, out, main, path
         self.texts: list[str] = []
         self.children: list[Node] = []
@@ -115,7 +121,7 @@ def _out(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
 
 def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
     """The tree of block elements and the blocks of text, in page order, with their nodes."""
-    root = Node("", "", False, False, "")
+    root = Node("", "", False, False, ROOT)
     stack: list[tuple[str, Node, bool]] = [("", root, False)]  # tag, its block node, left out from here
     blocks: list[tuple[str, Node]] = []
     parts: list[str] = []
@@ -143,7 +149,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
             continue
         at = m.end()
         if m["text"] is not None:
-            if not stack[-1][2]:
+            if not stack[-1][2] or stack[-1][1].out:  # a left-out block is a block; a left-out piece of a line is none
                 parts.append(m["text"] if m["text"] != "<" else "&lt;")
             continue
         if m["cdata"] is not None or m["tag"] is None:
@@ -190,7 +196,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
         end_block()
         label = tag + ("." + ".".join(sorted(name.split())) if name else "")
         child = Node(label, tag, out or no, node.main or tag in ("article", "main") and not (out or no),
-                     node.path + "/" + label)
+                     below(node.path, label))
         node.children.append(child)
         stack.append((tag, child, out or no))
     end_block()
@@ -201,23 +207,72 @@ def name_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def shape(node: Node) -> list:
-    """``[label, hashes of the blocks, children]`` with runs of equally labelled children as one."""
-    return [node.label, [name_of(t) for t in node.texts], merge([], [shape(c) for c in node.children], True)]
+ROOT = name_of("")
 
 
-def merge(a: list, b: list, runs: bool = False) -> list:
-    """Children of two nodes that count as one: by label, in order of first sight; or runs of equal labels in one list."""
-    out = list(a)
-    seen = {x[0]: x for x in a}
-    for x in b:
-        y = (out[-1] if out and out[-1][0] == x[0] else None) if runs else seen.get(x[0])
-        if y is None:
-            out.append(x)
-            seen[x[0]] = x
-        else:
-            y[1] = y[1] + x[1]
-            y[2] = merge(y[2], x[2])
+def below(path: int, label: str) -> int:
+    """The path of a node: a hash of its parent's path and its label, of one size at any depth."""
+    return xxhash.xxh64_intdigest(label, path) >> 1
+
+
+def shape(root: Node) -> list:
+    """``[label, hashes of the blocks, children]``; children of a node with the same label are one, in order of first sight."""
+    tree: list = [root.label, [name_of(t) for t in root.texts], []]
+    made, stack = {root.path: tree}, [(c, tree) for c in reversed(root.children)]
+    while stack:
+        node, parent = stack.pop()
+        entry = made.get(node.path)
+        if entry is None:
+            entry = made[node.path] = [node.label, [], []]
+            parent[2].append(entry)
+        entry[1] += [name_of(t) for t in node.texts]
+        stack += [(c, entry) for c in reversed(node.children)]
+    return tree
+
+
+def flatten(tree: list) -> list[list]:
+    """``[number of the parent, label, hashes]`` per node, parents first."""
+    out, queue = [], [(tree, -1)]
+    for node, parent in queue:  # the queue grows as it is read
+        queue += [(c, len(out)) for c in node[2]]
+        out.append([parent, node[0], node[1]])
+    return out
+
+
+def unflatten(rows: list[list]) -> list:
+    nodes = [[label, texts, []] for _, label, texts in rows]
+    for node, (parent, _, _) in zip(nodes, rows, strict=True):
+        if parent >= 0:
+            nodes[parent][2].append(node)
+    return nodes[0]
+
+
+def heaviest(pairs: list[tuple[int, int, int]], weight: list[int]) -> list[int]:
+    """Of pairs ``(i, j, number)`` sorted by i, those that increase in i and j with the largest sum of weights."""
+    if all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False)):
+        return [p for _, _, p in pairs]
+    places = {j: k + 1 for k, j in enumerate(sorted({j for _, j, _ in pairs}))}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(places) + 1)  # prefix maxima over j: (sum, last pair)
+    order = sorted(range(len(pairs)), key=lambda x: (pairs[x][0], -pairs[x][1]))  # of one i, none can follow another
+    before = [-1] * len(pairs)
+    best = (0, -1)
+    for x in order:
+        _, j, p = pairs[x]
+        k, top = places[j] - 1, (0, -1)
+        while k:
+            top = max(top, tree[k])
+            k &= k - 1
+        before[x] = top[1]
+        own = (top[0] + weight[p], x)
+        best = max(best, own)
+        k = places[j]
+        while k < len(tree):
+            tree[k] = max(tree[k], own)
+            k += k & -k
+    out, x = [], best[1]
+    while x >= 0:
+        out.append(pairs[x][2])
+        x = before[x]
     return out
 
 
@@ -225,33 +280,34 @@ def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     """Simple tree matching: the number of matched nodes and the matched pairs of two trees with equal labels."""
     if a[0] != b[0]:
         return 0, []
-    x, y = a[2], b[2]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            w = 0
-            if x[i - 1][0] == y[j - 1][0]:
-                found[i, j] = match(x[i - 1], y[j - 1])
-                w = found[i, j][0]
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    pairs, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if (i, j) in found and best[i][j] == best[i - 1][j - 1] + found[i, j][0]:
-            pairs += found[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[len(x)][len(y)], pairs
-
-
-def numbered(tree: list, path: str = "") -> list[tuple[list, str]]:
-    """Nodes of a shape with their paths, in order; the first is the root."""
-    out = [(tree, path)]
-    for c in tree[2]:
-        out += numbered(c, path + "/" + c[0])
+    pairs, kids = [(a, b)], []
+    for x, y in pairs:  # grows as it is read: pairs of equal paths, parents first
+        at: dict[str, list[int]] = {}
+        for j, c in enumerate(y[2]):
+            at.setdefault(c[0], []).append(j)
+        own = []
+        for i, c in enumerate(x[2]):
+            for j in at.get(c[0], ()):
+                own.append((i, j, len(pairs)))
+                pairs.append((c, y[2][j]))
+        kids.append(own)
+    weight = [1] * len(pairs)
+    for k in range(len(pairs) - 1, -1, -1):
+        kids[k] = heaviest(kids[k], weight)
+        weight[k] += sum(weight[p] for p in kids[k])
+    taken, stack = [], [0]
+    while stack:
+        k = stack.pop()
+        taken.append(pairs[k])
+        stack += kids[k]
+    return weight[0], taken
+
+
+def numbered(tree: list) -> list[tuple[list, int]]:
+    """Nodes of a shape with their paths; the first is the root."""
+    out = [(tree, ROOT)]
+    for node, path in out:  # grows as it is read
+        out += [(c, below(path, c[0])) for c in node[2]]
     return out
 
 
@@ -261,15 +317,15 @@ def host_of(url: str):
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``(host, template array<struct<path, text>>)`` from ``(id, host, html)``: constant nodes of each host."""
+    """``(host, template array<struct<path, text>>)`` (hashes) from ``(id, host, html)``: constant nodes of each host."""
     shapes = pa.schema([("id", pa.int64()), ("host", pa.string()), ("tree", pa.string()), ("layout", pa.int64())])
 
     def draw(b: pa.RecordBatch) -> pa.RecordBatch:
         trees = [shape(parse(h or "")[0]) for h in b.column(2).to_pylist()]
-        layouts = [name_of("\n".join(path for _, path in n)) if any(x[1] for x, _ in n) else None
+        layouts = [name_of(" ".join(str(path) for _, path in n)) if any(x[1] for x, _ in n) else None
                    for n in map(numbered, trees)]  # null: a page without text shows nothing
         return as_batch({"id": b.column(0), "host": b.column(1), "layout": layouts,
-                         "tree": [json.dumps(t, separators=(",", ":")) for t in trees]}, shapes)
+                         "tree": [json.dumps(flatten(t), separators=(",", ":")) for t in trees]}, shapes)
 
     drawn = materialize(map_batches(pages.where("host <> ''").select(id_col, "host", "html"), draw,
                                     "id long, host string, tree string, layout long"), "wi_trees")
@@ -281,15 +337,18 @@ def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     first = layouts.withColumn("k", F.row_number().over(frequent)).where(F.col("k") <= REFERENCES)
     both = trees.join(first.select("host", "k", "reference"), "host").select("host", "tree", "reference", "k")
     names = ["host", "path", "k", "text", "matched", "same"]
-    counted = pa.schema([("host", pa.string()), ("path", pa.string())] + [(c, pa.int64()) for c in names[2:]])
+    counted = pa.schema([("host", pa.string())] + [(c, pa.int64()) for c in names[1:]])
 
     def align(b: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[tuple, list[int]] = {}
+        read: dict[str, tuple[list, dict]] = {}
         for host, tree, reference, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            ref = json.loads(reference)
-            paths = {id(node): path for node, path in numbered(ref)}
-            found: dict[str, tuple[set, set]] = {}
-            for mine, theirs in match(ref, json.loads(tree))[1]:
+            if reference not in read:
+                ref = unflatten(json.loads(reference))
+                read[reference] = ref, {id(node): path for node, path in numbered(ref)}
+            ref, paths = read[reference]
+            found: dict[int, tuple[set, set]] = {}
+            for mine, theirs in match(ref, unflatten(json.loads(tree)))[1]:
                 if mine[1] and theirs[1]:
                     x, y = found.setdefault(paths[id(mine)], (set(), set()))
                     x.update(mine[1])
@@ -302,7 +361,7 @@ def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         cols = list(zip(*((*key, *n) for key, n in sums.items()), strict=True)) if sums else [[]] * len(names)
         return as_batch(dict(zip(names, cols, strict=True)), counted)
 
-    counts = map_batches(both, align, "host string, path string, k long, text long, matched long, same long").groupBy(
+    counts = map_batches(both, align, "host string, path long, k long, text long, matched long, same long").groupBy(
         "host", "path", "k", "text").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
     fixed = counts.where((F.col("matched") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("matched")))
     out = materialize(fixed.groupBy("host").agg(F.collect_set(F.struct("path", "text")).alias("template")),
@@ -311,29 +370,38 @@ def wrappers(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     return out
 
 
+def parted(page: str | None, template: list[dict] | None, lists: bool = True) -> tuple[str, int, int]:
+    """``(content, blocks left out by the wrapper, blocks left out by the lists alone)`` of a page."""
+    blocks = parse(page or "")[1]
+    fixed = {(x["path"], x["text"]) for x in template} if template else set()
+    constant = [(node.path, name_of(t)) in fixed for t, node in blocks] if fixed else [False] * len(blocks)
+    live = [(t, node, c) for (t, node), c in zip(blocks, constant, strict=True) if not (node.out and lists)]
+    main = [x for x in live if x[1].main]
+    slots = [x for x in main or live if not x[2]] or main
+    return ("\n\n".join(t for t, _, _ in slots), sum(constant),
+            sum(node.out and lists and not c for (_, node), c in zip(blocks, constant, strict=True)))
+
+
 def content(page: str | None, template: list[dict] | None) -> str:
     """The blocks of a page that are content, joined by empty lines."""
-    live = [(t, node) for t, node in parse(page or "")[1] if not node.out]
-    main = [(t, node) for t, node in live if node.main]
-    kept = main or live
-    if template:
-        fixed = {(x["path"], x["text"]) for x in template}
-        kept = [(t, node) for t, node in kept if (node.path, name_of(t)) not in fixed] or main
-    return "\n\n".join(t for t, _ in kept)
+    return parted(page, template)[0]
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, text, n_chars)`` per page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+            lists: bool = True) -> DataFrame:
+    """``(id, url, text, n_chars, n_template, n_listed)`` per page."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                        F.col(html_col).cast("string").alias("html")).withColumn("host", host_of("url"))
     found = wrappers(own)
     joined = own.join(found, "host", "left").select("page_id", "url", "html", "template")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()),
+                        ("n_template", pa.int64()), ("n_listed", pa.int64())])
 
     def read(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [content(h, t) for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        return as_batch({"page_id": b.column(0), "url": b.column(1), "text": texts,
-                         "n_chars": [len(t) for t in texts]}, schema)
+        got = [parted(h, t, lists) for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        return as_batch({"page_id": b.column(0), "url": b.column(1), "text": [t for t, _, _ in got],
+                         "n_chars": [len(t) for t, _, _ in got], "n_template": [n for _, n, _ in got],
+                         "n_listed": [n for _, _, n in got]}, schema)
 
-    out = map_batches(joined, read, "page_id long, url string, text string, n_chars long")
+    out = map_batches(joined, read, "page_id long, url string, text string, n_chars long, n_template long, n_listed long")
     return out.withColumnsRenamed({"page_id": id_col, "url": url_col})

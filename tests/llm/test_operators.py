@@ -327,8 +327,12 @@ def test_wrapper_finds_template_inside_articles(spark):
     want = {k: f"story {k * k}\n\nfirst of story {k * k}\n\nlast of story {k * k}" for k in range(6)}
     copy = "same\n\nRead on our site\n\nfirst of same\n\nOur staff wrote this\n\nlast of same"
     assert {r["page_id"]: r["text"] for r in got} == want | {10 + k: copy for k in range(6)}
-    mirror = {"path": "/body/article/p", "text": wrapper.name_of("one")}
-    assert wrapper.content("<body><article><p>one</p></article></body>", [mirror]) == "one"
+    path = wrapper.ROOT
+    for label in ("body", "article", "p"):
+        path = wrapper.below(path, label)
+    mirror = {"path": path, "text": wrapper.name_of("one")}
+    assert wrapper.parted("<body><article><p>one</p></article></body>", [mirror]) == ("one", 1, 0)
+    assert wrapper.content("<body><article><p>one</p><p>two</p></article></body>", [mirror]) == "two"
 
 
 def test_article_names_with_widget_words():
