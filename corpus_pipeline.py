@@ -15,6 +15,9 @@ from semweave.llm.common import table
 from semweave.session import ensure_checkpoint_dir, materialize, ship_package
 
 
+WORD = "[^\\x20\\x09-\\x0D]"
+
+
 def _prepared(spark: SparkSession) -> None:
     ship_package(spark)
     ensure_checkpoint_dir(spark)
@@ -27,37 +30,66 @@ def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the repetition rules reject."""
+    """Drop the documents that the repetition rules reject.
+
+    Null and empty texts have too few words and go; long texts are judged
+    whole. Verdicts go by id: rows without one go, rows that share one stay
+    together if one of them stays. Equal texts get equal verdicts. An empty
+    table gives an empty one; further columns are kept.
+    """
     _prepared(spark)
     return _keep(docs, repetition.quality_rules(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated and nearly repeated lines out of the texts; every document stays."""
+    """Take repeated lines (of any length) and nearly repeated ones (from 30 code points) out of the texts.
+
+    A document that had words and has none left goes: all it held stands in
+    earlier documents. Null and empty texts and rows without an id stay as
+    they are; of ties and repeated rows the first line (by id, then place)
+    stays. An empty table gives an empty one; further columns are kept.
+    """
     _prepared(spark)
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, exact_chars=1)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_sw_repeats") + F.col("_sw_near") > 0,
                                                F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    emptied = (F.col("_sw_repeats") + F.col("_sw_near") > 0) & ~F.col("text").rlike(WORD)
+    return out.where(~F.coalesce(emptied, F.lit(False))).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near-duplicates."""
+    """Keep the smallest id of each group of near-duplicates.
+
+    Documents without words are linked with nothing and stay. Of equal texts
+    the smallest id stays, with all rows of that id; rows without an id go.
+    An empty table gives an empty one; further columns are kept.
+    """
     _prepared(spark)
     return _keep(docs, near_dedup.near_duplicates(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
+    """Drop the documents that hold a benchmark item.
+
+    Null and empty texts hold none and stay, long ones are searched whole;
+    items that are null or empty are ignored. Rows that share an id stay
+    together if one of them stays, rows without an id go. An empty table
+    gives an empty one; further columns are kept.
+    """
     _prepared(spark)
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return _keep(docs, found.withColumn("kept", ~F.col("contaminated")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their places in the mix of sources."""
+    """The documents with their places in the mix of sources.
+
+    No row is left out: a null source is the empty one, a null id counts as
+    the text 'null', rows of one id get neighbouring places. An empty table
+    gives an empty one; further columns are kept.
+    """
     _prepared(spark)
     return mixing.mix_sources(docs, text_col="text")
 
