@@ -225,8 +225,8 @@ def test_edit_distance_and_probes():
         assert index & {(n, i, long[s:e]) for n, i, s, e, _ in line_dedup.probes(len(long))}
 
 
-def without_near_lines(texts):
-    """Line dedup by comparing all lines of like length."""
+def without_near_lines(texts, exact=line_dedup.MIN_CHARS):
+    """Line dedup by comparing all lines of like length; exact repeats go from ``exact`` code points on."""
     first, lengths = {}, defaultdict(list)
     for i in sorted(texts):
         for k, x in line_dedup.line_rows(texts[i], line_dedup.MIN_CHARS):
@@ -240,9 +240,12 @@ def without_near_lines(texts):
                 if x is not y and sum(((counts[x] - counts[y]) + (counts[y] - counts[x])).values()) <= 4 \
                         and edits(x, y) <= line_dedup.TAU:
                     near.add(max(x, y, key=first.get))
+    for i in sorted(texts):
+        for k, x in line_dedup.line_rows(texts[i], exact):
+            first.setdefault(x, (i, k))
     out = {}
     for i, t in texts.items():
-        gone = {k for k, x in line_dedup.line_rows(t, line_dedup.MIN_CHARS) if x in near or first[x] != (i, k)}
+        gone = {k for k, x in line_dedup.line_rows(t, exact) if x in near or first[x] != (i, k)}
         out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
     return out, near
 
@@ -510,7 +513,8 @@ def brute_pipeline(texts, bench):
             far = Counter(tuple(w[k:k + 101]) for k in range(len(w) - 100))
             if len(cover) <= repetition.MAX_COVERED * len(w) and max(far.values(), default=0) < 2:
                 kept[i] = t
-    kept, _ = without_near_lines(kept)
+    left, _ = without_near_lines(kept, 1)
+    kept = {i: t for i, t in left.items() if t.split() or t == kept[i]}
     groups = components(kept)
     kept = {i: t for i, t in kept.items() if groups[i][1] == i}
     index = {tuple(w[k:k + 8]) for w in bench for k in range(len(w) - 7)}
@@ -529,5 +533,5 @@ def test_pipeline_equals_brute_force(spark):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
