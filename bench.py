@@ -24,7 +24,8 @@ from semweave.session import get_session, release_materialized  # noqa: E402
 FAST = ["eda_stats", "year_distribution", "length_histogram", "knn_exact", "knn_lookup",
         "distance_histogram", "tau_candidates", "graph_sweep", "graph_stats", "modularity_by_label",
         "coherence", "recommend", "knn_ivf", "embed_hashing", "community_terms"]
-SLOW = ["knn_lsh", "knn_recall", "kmeans_labels", "louvain_duplicates", "louvain_knn", "louvain_sweep"]
+SLOW = ["knn_lsh", "knn_recall", "kmeans_labels", "louvain_duplicates", "louvain_knn", "louvain_sweep", "knn_append",
+        "knn_lookup_index", "knn_descent"]
 
 
 def run_once(spark, name: str, sf: str) -> float:
