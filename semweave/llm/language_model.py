@@ -1,30 +1,33 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-The model. Every token is drawn in the restaurant of its context; the context
-is the class of the word before it (a hash of its last two letters into
-``CLASSES - 1`` classes) or the start of the text. All context restaurants
-share one parent, the unigram restaurant, whose base is uniform over the
-training vocabulary and one unknown word. Classes keep the dishes of a context
-countable in one row a word, so seating never needs a shuffle per bigram.
-
-1. One pass over the documents gives, per file split, every distinct token
-   with its counts by context, training documents only (all tokens appear, so
-   that held-out ones get an answer). Summed by token, this is the table of
-   customers: one row a token of the whole corpus.
-2. Seating: the rows are dealt out by token; a worker seats the customers of
-   its tokens one by one as in the Chinese restaurant process and then runs
-   ``SWEEPS`` Gibbs sweeps that take a customer away and seat it again, first
-   in the context restaurants, then (one customer a table below) in the
-   parent. The totals of the restaurants come from the rounds before:
-   ``ROUNDS`` rounds, each summing a few numbers per restaurant over all
-   workers, as in approximate distributed Gibbs sampling.
-3. Customers minus discounted tables, averaged over the sweeps of the last
-   round, are the numerators of the predictive probabilities; with the totals
-   they sum to one in every context.
-4. The answers go back per file split, the documents are dealt out by the same
-   split, and a second pass adds up log10 probabilities.
-
-Perplexity of a text is 10 ** (-score / n_tokens).
+The model. A token is drawn in the restaurant of the word before it (or of the
+start of the text): one restaurant for every word of the training texts. All of
+them share one parent, the unigram restaurant, whose base is uniform over the
+training vocabulary and one unknown word. A pair is a dish (a word) in a
+context's restaurant, its customers are the pair's occurrences in training.
+
+1. Pairs. The documents are cut into units of ``UNIT_ROWS`` consecutive rows of
+   a file. A unit packs its distinct pairs by bucket of the pair (dish and a few
+   bits of the context, so the pairs of a frequent word are many buckets) into
+   byte columns: seven bytes a context and, once per run, seven a dish.
+2. A bucket adds up its pairs over all units. A pair with one customer sits at
+   one table whatever the sampler does, so only pairs with two and more become
+   rows, with the units that ask for them; what the others add to restaurants
+   follows from the words' counts.
+3. Seating (``ROUNDS`` rounds of Gibbs over all workers): given the tables of
+   all other dishes, as of the round before, the tables of a dish are drawn
+   whole from their conditional distribution; the customers of the parent are
+   the tables below, and its tables are drawn alike. Draws depend on (seed,
+   round, pair) alone, never on partitions or batches.
+4. Customers minus discounted tables, averaged over the ``DRAWS`` draws of the
+   last round, are the numerators of the predictive probabilities; with the
+   totals of the restaurants they sum to one in every context.
+5. The numerators go back to the units that asked, texts are dealt out by unit,
+   and log10 probabilities are added up. A unit knows by itself that a pair it
+   saw once in training, without an answer, has one customer.
+
+Perplexity of a text is 10 ** (-score / n_tokens). Words are known by 56 bits of
+their hash.
 
 Null and empty texts have one token, the end. A null id counts as the text
 'null' for the split into training and held-out rows. Rows of a repeated id
@@ -40,282 +43,434 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.common import U64, WordHash, as_batch, crc_mod, fold, map_batches
+from semweave.llm.common import U64, WordHash, as_batch, crc_mod, fold, map_batches, mix, runs
 from semweave.session import drop_materialized, materialize
 
-CLASSES = 16
-DISCOUNT, STRENGTH = 0.7, 10.0  # of the context restaurants
+DISCOUNT, STRENGTH = 0.8, 5.0  # of the context restaurants
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 100.0
-SWEEPS, ROUNDS = 3, 2
+ROUNDS, DRAWS = 3, 4
 SEED = 7
+#: Rows of a unit, tokens after which a task packs what it holds, text bytes of a bucket, context bits that spread a dish.
+UNIT_ROWS, FLUSH, BUCKET_BYTES, SPREAD = 4000, 2_000_000, 6 << 20, 15
 END = b"\n"  # no word has white space, so this names the end token
-BY_CLASS = [f"c{k}" for k in range(CLASSES)]
+START = 0    # the context of a text's first token; no word has this hash
+PAIR, WORD, ASK = 0, 1, 2
+BYTES = 7
 
 
 class Words(WordHash):
-    """word -> (hash, class as a context) packed apart; both remembered together."""
+    """word -> 56-bit hash, never ``START``."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        # the low four bits carry the class of the word's last two letters
-        cls = 1 + xxhash.xxh32_intdigest(word.rstrip(b".,;:!?")[-2:]) % (CLASSES - 1)
-        h = self[word] = h & ~0xF | cls
+        h = self[word] = (xxhash.xxh64_intdigest(word, self.seed) >> 8) or 1
         return h
 
 
+END_HASH = Words()[END]
+
+
 def tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of texts end to end, their contexts, and the number of tokens of each text."""
+    """Token hashes of texts end to end, the words before them, and the number of tokens of each text."""
     lists = [t.split() for t in texts]
     n = np.array([len(x) + 1 for x in lists], np.int64)
-    last = np.cumsum(n) - 1
     h = np.fromiter((words[w] for x in lists for w in [*x, END]), U64, int(n.sum()))
-    context = np.zeros(len(h), np.int64)
-    context[1:] = (h[:-1] & U64(15)).astype(np.int64)
-    context[last[:-1] + 1] = 0
-    return (h >> U64(4)), context, n
+    before = np.zeros(len(h), U64)
+    before[1:] = h[:-1]
+    before[(np.cumsum(n) - n)] = START
+    return h, before, n
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Seven bytes a hash."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel().astype(U64)
+
+
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(word) ^ context)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text, held, part)``: part names the file split a row is read from."""
+    """``(id, text, held, unit)``; a unit is a run of rows of one file, the same in every pass."""
+    place = "_metadata.file_path", "_metadata.row_index"
     try:
         own_files = "_metadata" not in docs.columns
         if own_files:
-            docs.select("_metadata.file_path")
+            docs.select(*place)
     except AnalysisException:
         own_files = False
-    if not own_files:  # not the rows of files, or a column hides where they come from: make them so
+    if not own_files:  # not the rows of Parquet files, or a column hides where they come from: make them so
         docs = materialize(docs.select(id_col, text_col), "lm_docs")
-    split = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    unit = F.xxhash64(F.col(place[0]), F.floor(F.col(place[1]) / UNIT_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                       (crc_mod(F.col(id_col), 10) == 0).alias("held"), split.alias("part"))
+                       (crc_mod(F.col(id_col), 10) == 0).alias("held"), unit.alias("unit"))
 
 
-def _counts(own: DataFrame) -> DataFrame:
-    """``(part, w, c0, ...)``: distinct tokens of each split with training counts by context."""
-    schema = pa.schema([("part", pa.int64()), ("w", pa.int64())] + [(c, pa.int64()) for c in BY_CLASS])
-    ddl = "part long, w long, " + ", ".join(f"{c} long" for c in BY_CLASS)
+BLOBS = "unit long, bucket long, words binary, runs binary, contexts binary, n binary"
+BLOB_SCHEMA = pa.schema([("unit", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()), ("runs", pa.binary()),
+                         ("contexts", pa.binary()), ("n", pa.binary())])
 
-    def run(batches):
-        words = Words()
-        part, held = None, []
-
-        def table():
-            key = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, n).astype(np.int64)
-
-        def out():
-            key, n = table()
-            w, first = np.unique(key >> U64(4), return_index=True)
-            full = np.zeros((len(w), CLASSES), np.int64)
-            row = np.repeat(np.arange(len(w)), np.diff(np.append(first, len(key))))
-            full[row, (key & U64(15)).astype(np.int64)] = n
-            for k in range(0, len(w), 50_000):
-                cols = {c: full[k:k + 50_000, j] for j, c in enumerate(BY_CLASS)}
-                size = len(w[k:k + 50_000])
-                yield as_batch({"part": np.full(size, part), "w": w[k:k + 50_000].view(np.int64), **cols}, schema)
 
+def _packed(own: DataFrame, buckets: int) -> DataFrame:
+    """``BLOBS``: the distinct pairs of units by bucket, and (no contexts) the words of a unit."""
+
+    def blobs(unit: int, held: list):
+        context, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (mix(word) % U64(buckets) + (mix(context) & U64(SPREAD)) * U64(0x9E3779B1)) % U64(buckets)
+        by = np.lexsort((context, word, bucket))
+        context, word, bucket, n = context[by], word[by], bucket[by], n[by]
+        at = runs([bucket, word, context])[:-1]
+        n = np.add.reduceat(n, at)
+        context, word, bucket = context[at], word[at], bucket[at]
+        rows = {c: [] for c in BLOB_SCHEMA.names}
+
+        def row(bucket_, words_, runs_, contexts_, n_):
+            for c, x in zip(BLOB_SCHEMA.names, (unit, bucket_, words_, runs_, contexts_, n_), strict=True):
+                rows[c].append(x)
+
+        ends = runs([bucket])
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            first = runs([word[lo:hi]])
+            row(int(bucket[lo]), pack(word[lo:hi][first[:-1]]), np.diff(first).astype(np.int32).tobytes(),
+                pack(context[lo:hi]), n[lo:hi].astype(np.int32).tobytes())
+        row(abs(unit) % buckets, pack(np.unique(word)), b"", b"", b"")
+        for k in range(0, len(rows["unit"]), 64):
+            yield as_batch({c: x[k:k + 64] for c, x in rows.items()}, BLOB_SCHEMA)
+
+    def run(batches):
+        words, unit, held, size = Words(), None, [], 0
         for b in batches:
-            parts = b.column(3).to_numpy()
+            units = b.column(3).to_numpy()
             texts, train = fold(b.column(1)), ~np.array(b.column(2).to_pylist(), bool)
-            edges = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
-            for lo, hi in zip(edges, np.append(edges[1:], len(parts)), strict=True):
-                if part is not None and parts[lo] != part and held:
-                    yield from out()
-                    held = []
-                part = int(parts[lo])
-                for a in range(lo, hi, 1000):
-                    z = min(a + 1000, hi)
-                    h, context, n = tokens(texts[a:z], words)
-                    key, at = np.unique(h << U64(4) | context.astype(U64), return_inverse=True)
-                    held.append((key, np.bincount(at, np.repeat(train[a:z], n)).astype(np.int64)))
-                if sum(len(k) for k, _ in held) > 3_000_000:
-                    held = [table()]
+            edges = np.flatnonzero(np.append(True, units[1:] != units[:-1])) if len(units) else []
+            for lo, hi in zip(edges, np.append(edges[1:], len(units)), strict=True):
+                if held and units[lo] != unit:
+                    yield from blobs(unit, held)
+                    held, size = [], 0
+                unit = int(units[lo])
+                for a in range(lo, hi, 500):
+                    z = min(a + 500, hi)
+                    h, before, n = tokens(texts[a:z], words)
+                    held.append((before, h, np.repeat(train[a:z], n).astype(np.int64)))
+                    size += len(h)
+                    if size > FLUSH:
+                        yield from blobs(unit, held)
+                        held, size = [], 0
         if held:
-            yield from out()
+            yield from blobs(unit, held)
 
-    return own.mapInArrow(run, ddl)
+    return own.mapInArrow(run, BLOBS)
 
 
-def seat(n: np.ndarray, base: np.ndarray, discount: float, strength: np.ndarray, sweeps: int,
-         rng: np.random.Generator) -> np.ndarray:
-    """Average number of tables of dishes with n customers over the Gibbs sweeps.
+PAIR_SCHEMA = pa.schema([("kind", pa.int8()), ("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64()),
+                         ("units", pa.list_(pa.int64()))])
 
-    ``base``: the parent's probability of the dish; ``strength``: theta + d * tables of the restaurant. For one
-    dish, a customer opens a table with weight strength * base and joins one with weight customers - d * tables.
-    A sweep takes away a customer of each dish (it closes its table with the chance that it sits alone there) and
-    seats it again, ``min(n, 16)`` times; all dishes move at once.
-    """
-    n = n.astype(np.float64)
-    t = np.minimum(n, 1.0)
-    new = strength * base
-    # first seating: customers join one after another, in strides that double where dishes are large
-    done, stride = t.copy(), 1.0
-    while True:
-        more = np.flatnonzero(done < n)
-        if not len(more):
-            break
-        step = np.minimum(stride, n[more] - done[more])
-        p = new[more] / (new[more] + done[more] - discount * t[more])
-        t[more] += rng.binomial(step.astype(np.int64), np.clip(p, 0, 1))
-        done[more] += step
-        if done.max() > 64:
-            stride *= 1.5
-    t = np.minimum(t, n)
-    total = np.zeros(len(n))
-    some = np.flatnonzero(n > 1)
-    for _ in range(sweeps):
-        for k in range(int(min(16, n.max(initial=0)))):
-            live = some[n[some] > k]
-            if not len(live):
-                break
-            x, tables = n[live], t[live]
-            gone = (rng.random(len(live)) < alone(x, tables, discount)).astype(float)
-            left = tables - gone
-            p = new[live] / (new[live] + x - 1 - discount * left)
-            t[live] = np.clip(left + (rng.random(len(live)) < p), 1, x)
-        total += t
-    return np.where(n > 1, total / max(1, sweeps), t)
-
-
-_ALONE: dict[float, np.ndarray] = {}
-EXACT = 256
-
-
-def alone(n: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
-    """Chance that a customer of a dish sits alone, given n customers at t tables.
-
-    Exactly S(n - 1, t - 1) / S(n, t) with generalised Stirling numbers, from
-    S(n, t) = S(n - 1, t - 1) + (n - 1 - d t) S(n - 1, t); from ``EXACT``
-    customers on, the value for t tables of the mean size of EXACT customers.
+
+def _added_up(blobs: DataFrame, buckets: int) -> DataFrame:
+    """``(kind, u, w, n, units)``: pairs that need an answer and who asks, words with counts, words that units ask for.
+
+    A pair with one customer is answered only to units that saw it in held-out rows.
     """
-    table = _ALONE.get(discount)
-    if table is None:
+
+    def run(batches):
+        rows = [(x["unit"], x["words"], x["runs"], x["contexts"], x["n"]) for b in batches for x in b.to_pylist()]
+        parts = []
+        for unit, words, size, contexts, n in rows:
+            word = unpack(words)
+            if not contexts:
+                for k in range(0, len(word), 100_000):
+                    w = word[k:k + 100_000].view(np.int64)
+                    yield as_batch({"kind": np.full(len(w), ASK), "u": np.full(len(w), unit), "w": w,
+                                    "n": np.zeros(len(w), np.int64), "units": [None] * len(w)}, PAIR_SCHEMA)
+                continue
+            context = unpack(contexts)
+            parts.append((np.repeat(word, np.frombuffer(size, np.int32)), context,
+                          np.frombuffer(n, np.int32).astype(np.int64), np.full(len(context), unit)))
+        if not parts:
+            return
+        word, context, n, unit = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del rows, parts
+        by = np.lexsort((unit, context, word))
+        word, context, n, unit = word[by], context[by], n[by], unit[by]
+        at = runs([word, context])
+        total = np.add.reduceat(n, at[:-1])
+        asks = np.repeat(total > 1, np.diff(at)) | (np.repeat(total, np.diff(at)) == 1) & (n == 0)
+        again = np.zeros(len(asks), bool)
+        again[1:] = (word[1:] == word[:-1]) & (context[1:] == context[:-1]) & (unit[1:] == unit[:-1]) & asks[:-1]
+        asks &= ~again
+        some = np.add.reduceat(asks, at[:-1])
+        kept = np.flatnonzero(some)
+        units, ends = unit[asks], np.append(0, np.cumsum(some[kept]))
+        for k in range(0, len(kept), 50_000):
+            z = min(k + 50_000, len(kept))
+            first = at[kept[k:z]]
+            lists = pa.ListArray.from_arrays(pa.array(ends[k:z + 1] - ends[k], pa.int32()), pa.array(units[ends[k]:ends[z]]))
+            yield as_batch({"kind": np.full(z - k, PAIR), "u": context[first].view(np.int64),
+                            "w": word[first].view(np.int64), "n": total[kept[k:z]], "units": lists}, PAIR_SCHEMA)
+        at = runs([word])
+        n, word = np.add.reduceat(n, at[:-1]), word[at[:-1]].view(np.int64)
+        for k in range(0, len(word), 100_000):
+            w = word[k:k + 100_000]
+            yield as_batch({"kind": np.full(len(w), WORD), "u": np.zeros(len(w), np.int64), "w": w,
+                            "n": n[k:k + 100_000], "units": [None] * len(w)}, PAIR_SCHEMA)
+
+    return blobs.repartition(buckets, "bucket").mapInArrow(run, "kind byte, u long, w long, n long, units array<long>")
+
+
+# ------------------------------------------------------------------ seating
+
+EXACT = 512
+_STIRLING: dict[float, np.ndarray] = {}
+
+
+def stirling(discount: float) -> np.ndarray:
+    """log S(n, t), generalised Stirling numbers: S(n, t) = S(n - 1, t - 1) + (n - 1 - d t) S(n - 1, t)."""
+    log = _STIRLING.get(discount)
+    if log is None:
         log = np.full((EXACT + 1, EXACT + 1), -np.inf)
         log[0, 0] = 0.0
         k = np.arange(1, EXACT + 1)
-        table = np.zeros((EXACT + 1, EXACT + 1))
         with np.errstate(divide="ignore", invalid="ignore"):
             for i in range(1, EXACT + 1):
-                stay = np.log(np.maximum(i - 1 - discount * k, 0)) + log[i - 1, 1:]
-                log[i, 1:] = np.logaddexp(log[i - 1, :-1], stay)
-                table[i, 1:] = np.nan_to_num(np.exp(log[i - 1, :-1] - log[i, 1:]))
-        _ALONE[discount] = table
-    small = np.minimum(n, EXACT)
-    tables = np.where(n > EXACT, np.maximum(1, np.rint(t * small / n)), t)
-    return table[small.astype(np.int64), np.minimum(tables, small).astype(np.int64)]
-
-
-def _seating(table: DataFrame, totals: dict, sweeps: int, seed: int) -> DataFrame:
-    """``(w, n, t0.., p, q)``: a token's customers, tables per context, and customers and tables in the parent."""
-    names = ["w", "n", *[f"n{k}" for k in range(CLASSES)], "p", "q"]
-    schema = pa.schema([("w", pa.int64()), ("n", pa.int64())] + [(c, pa.float64()) for c in names[2:]])
-    ddl = "w long, n long, " + ", ".join(f"{c} double" for c in names[2:])
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = np.column_stack([b.column(k + 1).to_numpy() for k in range(CLASSES)])
-        n = c.sum(1)
-        w = b.column(0).to_numpy()
-        rng = np.random.default_rng([seed, int(w[0]) & 0xFFFFFFFF])
-        customers = (c > 0).sum(1)
-        parent = parent_chance(customers.astype(float), np.minimum(customers, 1).astype(float), totals)
-        row, k = np.nonzero(c)
-        strength = STRENGTH + DISCOUNT * np.asarray(totals["tables"])[k]
-        tables = np.zeros(c.shape)
-        tables[row, k] = seat(c[row, k], parent[row], DISCOUNT, strength, sweeps, rng)
-        below = tables.sum(1)
-        q = seat(np.rint(below), np.full(len(w), 1.0 / (totals["vocabulary"] + 1)), PARENT_DISCOUNT,
-                 np.full(len(w), PARENT_STRENGTH + PARENT_DISCOUNT * totals["parent_tables"]), sweeps, rng)
-        return as_batch({"w": w, "n": n, "p": below, "q": np.minimum(q, below),
-                         **{f"n{j}": c[:, j] - DISCOUNT * tables[:, j] for j in range(CLASSES)}}, schema)
-
-    return map_batches(table, run, ddl)
-
-
-def parent_chance(p: np.ndarray, q: np.ndarray, totals: dict) -> np.ndarray:
-    """Predictive probability in the unigram restaurant of a token with p customers at q tables."""
-    base = 1.0 / (totals["vocabulary"] + 1)
-    rest = PARENT_STRENGTH + PARENT_DISCOUNT * totals["parent_tables"]
-    return (np.maximum(p - PARENT_DISCOUNT * q, 0) + rest * base) / (PARENT_STRENGTH + totals["parent_customers"])
-
-
-def fit(table: DataFrame, rounds: int = ROUNDS, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
-    """The seated table and the totals of all restaurants (a few numbers each)."""
-    first = table.agg(*[F.sum(c).alias(c) for c in BY_CLASS], *[F.count_if(F.col(c) > 0).alias(f"d_{c}")
-                                                                for c in BY_CLASS],
-                      F.count_if(F.col("n") > 0).alias("v")).first()
-    totals = {"customers": [float(first[c] or 0) for c in BY_CLASS],
-              "tables": [float(first[f"d_{c}"] or 0) for c in BY_CLASS], "vocabulary": int(first["v"] or 0)}
-    totals |= {"parent_customers": sum(totals["tables"]), "parent_tables": float(totals["vocabulary"])}
-    seated = None
-    for k in range(rounds):
-        if seated is not None:
-            drop_materialized(seated)
-        seated = materialize(_seating(table.select("w", *BY_CLASS).where("n > 0"), totals, sweeps, SEED + k), "lm_seat")
-        got = seated.agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(CLASSES)], F.sum("p").alias("p"),
-                         F.sum("q").alias("q")).first()
-        # numerators are customers - d * tables
-        totals["tables"] = [(totals["customers"][j] - (got[f"n{j}"] or 0.0)) / DISCOUNT for j in range(CLASSES)]
-        totals |= {"parent_customers": got["p"] or 0.0, "parent_tables": got["q"] or 0.0}
-    return seated, totals
+                log[i, 1:] = np.logaddexp(log[i - 1, :-1], np.log(np.maximum(i - 1 - discount * k, 0)) + log[i - 1, 1:])
+        _STIRLING[discount] = log
+    return log
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of numbers above 50 or so."""
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x ** 3)
+
+
+def uniform(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for every row of keys, the same wherever the row lies."""
+    with np.errstate(over="ignore"):
+        h = mix(np.full(len(keys[0]), seed, U64))
+        for k in keys:
+            h = mix(h ^ k.astype(np.int64).view(U64))
+    return ((h >> U64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def draw_tables(n: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, seed: int,
+                keys: tuple[np.ndarray, ...], draws: int = 1) -> np.ndarray:
+    """Mean over ``draws`` draws of the number of tables of dishes with n customers, given all other dishes.
+
+    ``base``: the parent's probability of the dish; ``strength``: theta + d * tables of the restaurant without this
+    dish. A seating of the dish's customers at t tables has weight prod_{j<t} base (strength + d j) times the weights
+    of the customers that join tables; over all seatings with t tables the latter add up to S(n, t). So t is drawn
+    from S(n, t) prod_{j<t} base (strength + d j), exactly up to ``EXACT`` customers. Of more, the first ``EXACT``
+    are drawn so, weighted by what the later ones find (Gamma quotients, as if they all joined), and the tables that
+    the later ones open are a Poisson number with the rates of that path.
+    """
+    n = np.rint(n).astype(np.int64)
+    out = n.astype(np.float64)
+    log = stirling(discount)
+    some = np.flatnonzero(n > 1)
+    some = some[np.argsort(n[some], kind="stable")]
+    lo = 0
+    while lo < len(some):
+        width = min(int(n[some[lo]]), EXACT)
+        hi = min(len(some), lo + max(1, 400_000 // max(16, 2 * width)))
+        rows = some[lo:hi]
+        rows = rows[:max(1, np.searchsorted(n[rows], max(16, 2 * width), "right"))]
+        lo += len(rows)
+        width = min(int(n[rows].max()), EXACT)
+        t = np.arange(1, width + 1)
+        rise = np.log(strength[rows, None] + discount * (t - 1)) + np.log(base[rows])[:, None]
+        weight = log[np.minimum(n[rows], EXACT)][:, 1:width + 1] + np.cumsum(rise, 1)
+        large = np.flatnonzero(n[rows] > EXACT)
+        if len(large):
+            a = (base[rows[large]] * strength[rows[large]])[:, None]
+            seen, end = a + EXACT - discount * t, a + n[rows[large], None] - discount * t
+            weight[large] += _log_gamma(end) - _log_gamma(seen)
+        weight = np.exp(weight - weight.max(1, keepdims=True))
+        chance = np.cumsum(weight, 1)
+        chance /= chance[:, -1:]
+        total = np.zeros(len(rows))
+        for k in range(draws):
+            x = uniform(seed * 1000 + k, *(key[rows] for key in keys))
+            got = 1 + (x[:, None] > chance).sum(1)
+            got = np.minimum(got, width).astype(np.float64)
+            for i in large:
+                m, b, s = int(n[rows[i]]), float(base[rows[i]]), float(strength[rows[i]])
+                rate = b * (s + discount * got[i])
+                late = 1 - ((rate + EXACT - discount * got[i]) / (rate + m - discount * got[i])) ** discount
+                rng = np.random.default_rng(int(uniform(seed * 1000 + k + 500, *(key[rows[i:i + 1]] for key in keys))[0] * 2 ** 53))
+                got[i] = min(m, got[i] + rng.poisson(rate / discount * late))
+            total += got
+        out[rows] = total / draws
+    return out
+
+
+def parent_chance(p, q, totals: dict):
+    """Predictive probability in the unigram restaurant of a word with p customers at q tables (arrays or columns)."""
+    rest = PARENT_STRENGTH + PARENT_DISCOUNT * totals["tables"]
+    return (p - q * PARENT_DISCOUNT + rest / (totals["vocabulary"] + 1)) / (PARENT_STRENGTH + totals["customers"])
+
+
+def _parents(words: DataFrame, pairs: DataFrame, totals: dict, seed: int) -> DataFrame:
+    """``(w, n, p, q)``: customers in training, in the parent, and its tables, of every training word."""
+    below = pairs.groupBy("w").agg(F.sum(F.col("t") - F.col("n")).alias("fewer"))
+    own = words.join(below, "w", "left").select("w", "n", (F.col("n") + F.coalesce("fewer", F.lit(0.0))).alias("p"))
+    schema = pa.schema([("w", pa.int64()), ("n", pa.int64()), ("p", pa.float64()), ("q", pa.float64())])
+
+    def seat(b: pa.RecordBatch) -> pa.RecordBatch:
+        w, n, p = (b.column(k).to_numpy() for k in range(3))
+        base = np.full(len(w), 1.0 / (totals["vocabulary"] + 1))
+        rest = np.full(len(w), PARENT_STRENGTH + PARENT_DISCOUNT * max(0.0, totals["tables"] - 1))
+        q = draw_tables(p, base, rest, PARENT_DISCOUNT, seed, (w,), DRAWS)
+        return as_batch({"w": w, "n": n, "p": p, "q": np.minimum(q, p)}, schema)
+
+    return map_batches(own, seat, "w long, n long, p double, q double")
+
+
+def _contexts(words: DataFrame, pairs: DataFrame, ends: int) -> DataFrame:
+    """``(u, tables)`` of every restaurant: a table for each customer but for those saved by shared ones."""
+    spark = words.sparkSession
+    # each training word but the end is followed by one token, and each training text starts once
+    own = words.where(F.col("w") != int(END_HASH)).select(F.col("w").alias("u"), "n").unionByName(
+        spark.range(1).select(F.lit(START).cast("long").alias("u"), F.lit(ends).cast("long").alias("n")))
+    below = pairs.groupBy("u").agg(F.sum(F.col("t") - F.col("n")).alias("fewer"))
+    return own.join(below, "u", "left").select("u", (F.col("n") + F.coalesce("fewer", F.lit(0.0))).alias("tables"))
+
+
+def _reseated(pairs: DataFrame, contexts: DataFrame, parents: DataFrame, totals: dict, seed: int, draws: int) -> DataFrame:
+    """The pairs ``(u, w, n, units, t)`` with new tables."""
+    chance = parents.select("w", parent_chance(F.col("p"), F.col("q"), totals).alias("base"))
+    asked = pairs.join(contexts, "u").join(chance, "w").select("u", "w", "n", "t", "tables", "base", "units")
+    schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("t", pa.float64()),
+                        ("units", pa.list_(pa.int64()))])
+
+    def seat(b: pa.RecordBatch) -> pa.RecordBatch:
+        u, w, n, t, tables, base = (b.column(k).to_numpy() for k in range(6))
+        strength = STRENGTH + DISCOUNT * np.maximum(tables - t, 0)
+        return as_batch({"u": u, "w": w, "n": n, "t": draw_tables(n, base, strength, DISCOUNT, seed, (u, w), draws),
+                         "units": b.column(6)}, schema)
+
+    return map_batches(asked, seat, "u long, w long, n long, t double, units array<long>")
+
+
+def fit(stored: DataFrame, rounds: int = ROUNDS, draws: int = DRAWS) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """Seated pairs, words in the parent, restaurants, and the totals (a few numbers) of :func:`_added_up` rows."""
+    words = materialize(stored.where(F.col("kind") == WORD).groupBy("w").agg(F.sum("n").alias("n")).where("n > 0"),
+                        "lm_words")
+    first = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"),
+                      F.sum(F.when(F.col("w") == int(END_HASH), F.col("n"))).alias("ends")).first()
+    totals = {"train": int(first["n"] or 0), "vocabulary": int(first["v"]), "ends": int(first["ends"] or 0)}
+    totals |= {"tables": float(totals["vocabulary"])}
+    # rounds start from the power law of the process, not from one table, so that few of them are needed
+    pairs = stored.where(F.col("kind") == PAIR).select("u", "w", "n", F.rint(F.pow("n", F.lit(DISCOUNT))).alias("t"),
+                                                       "units")
+    parents, last = None, None
+    for k in range(rounds + 1):
+        old = parents
+        parents = materialize(_parents(words, pairs, totals, SEED + k), "lm_parents")
+        got = parents.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+        totals |= {"customers": got["p"] or 0.0, "tables": got["q"] or 0.0}
+        contexts = _contexts(words, pairs, totals["ends"])
+        if old is not None:
+            drop_materialized(old)
+        if k == rounds:
+            break
+        pairs = materialize(_reseated(pairs, contexts, parents, totals, SEED + k, draws if k == rounds - 1 else 1),
+                            "lm_pairs")
+        if last is not None:
+            drop_materialized(last)
+        last = pairs
+    return pairs, parents, contexts, totals
+
+
+# ------------------------------------------------------------------ scores
+
+def _answers(stored: DataFrame, pairs: DataFrame, parents: DataFrame, contexts: DataFrame, totals: dict) -> DataFrame:
+    """``(unit, u, w, n, base, mass)``: words (u -1; mass: tables as a context) and pairs (mass: the numerator)."""
+    base = parent_chance(F.col("p"), F.col("q"), totals).cast("float")
+    known = parents.join(contexts.withColumnRenamed("u", "w"), "w", "left").select(
+        "w", "n", base.alias("base"), F.coalesce("tables", F.lit(0.0)).cast("float").alias("mass"))
+    asked = stored.where(F.col("kind") == ASK).select(F.col("u").alias("unit"), "w").distinct()
+    words = asked.join(known, "w").select("unit", F.lit(-1).cast("long").alias("u"), "w", "n", "base", "mass")
+    seated = pairs.select(F.explode("units").alias("unit"), "u", "w", F.lit(0).cast("long").alias("n"),
+                          F.lit(0.0).cast("float").alias("base"),
+                          (F.col("n") - F.lit(DISCOUNT) * F.col("t")).cast("float").alias("mass"))
+    return words.unionByName(seated)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` per row of a file table."""
     own = _prepared(docs, id_col, text_col)
-    asked = materialize(_counts(own), "lm_counts")
-    total = F.lit(0)
-    for c in BY_CLASS:
-        total = total + F.col(c)
-    table = materialize(asked.groupBy("w").agg(*[F.sum(c).alias(c) for c in BY_CLASS]).withColumn("n", total),
-                        "lm_table")
-    seated, totals = fit(table)
-    drop_materialized(table)
-    n_train, vocabulary = int(sum(totals["customers"])), totals["vocabulary"]
-    known = asked.select("part", "w").join(
-        seated.select("w", "n", "p", "q", *[F.col(f"n{j}").cast("float").alias(f"n{j}") for j in range(CLASSES)]), "w")
-    tables, customers = np.array(totals["tables"]), np.array(totals["customers"])
+    size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    buckets = 8 + int(size // BUCKET_BYTES)
+    stored = materialize(_added_up(_packed(own, buckets), buckets), "lm_counts")
+    pairs, parents, contexts, totals = fit(stored)
+    start = contexts.where(F.col("u") == START).first()["tables"]
+    answers = _answers(stored, pairs, parents, contexts, totals)
+    n_train, vocabulary, ends = totals["train"], totals["vocabulary"], totals["ends"]
+    unknown = float(parent_chance(0.0, 0.0, totals))
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def read(docs_: pa.Table, known: pa.Table) -> pa.Table:
-        words = Words()
-        w = known.column("w").to_numpy().view(U64)
-        by = np.argsort(w)
-        w = w[by]
-        n = known.column("n").to_numpy()[by]
-        parent = np.append(parent_chance(known.column("p").to_numpy()[by], known.column("q").to_numpy()[by], totals),
-                           parent_chance(np.zeros(1), np.zeros(1), totals))
-        own_mass = np.zeros((len(w) + 1, CLASSES), np.float32)
-        for j in range(CLASSES):
-            own_mass[:-1, j] = known.column(f"n{j}").to_numpy()[by]
-        count = np.append(n, 0)
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        context = right.column("u").to_numpy()
+        is_word = context < 0
+        right_w = right.column("w").to_numpy().view(U64)
+        mass = right.column("mass").to_numpy().astype(np.float64)
+        by = np.argsort(right_w[is_word])
+        w = np.append(right_w[is_word][by], U64(0xFFFFFFFFFFFFFFFF))  # the last stands for words without an answer
+        count = np.append(right.column("n").to_numpy()[is_word][by].astype(np.float64), 0.0)
+        parent = np.append(right.column("base").to_numpy()[is_word][by].astype(np.float64), unknown)
+        tables = np.append(mass[is_word][by], 0.0)
+        key = pair_key(context[~is_word].view(U64), right_w[~is_word])
+        by = np.argsort(key)
+        key, pair_mass = key[by], mass[~is_word][by]
         base = np.log10((count + 0.1) / (n_train + 0.1 * (vocabulary + 1)))
-        rest = STRENGTH + DISCOUNT * tables
-        out = {c: [] for c in schema.names}
-        texts = fold(docs_.column("text").combine_chunks())
-        for a in range(0, len(texts), 500):
-            h, context, size = tokens(texts[a:a + 500], words)
-            at = np.searchsorted(w, h)
-            if len(w):
-                at = np.where(w[np.minimum(at, len(w) - 1)] == h, np.minimum(at, len(w) - 1), len(w))
-            chance = (own_mass[at, context] + rest[context] * parent[at]) / (STRENGTH + customers[context])
-            first = np.cumsum(size) - size
-            out["n_tokens"].append(size)
+        texts, train = fold(left.column("text").combine_chunks()), ~np.array(left.column("held").to_pylist(), bool)
+        words = Words()
+        trained, spans = [], []
+        for a in range(0, len(texts), 500):  # the unit's own training pairs
+            h, before, size_ = tokens(texts[a:a + 500], words)
+            k = pair_key(before, h)
+            spans.append((h, before, size_, k))
+            trained.append(k[np.repeat(train[a:a + 500], size_)])
+        trained = np.unique(np.concatenate(trained))
+
+        def place(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(sorted_, x), max(0, len(sorted_) - 1))
+            return at, (sorted_[at] == x) if len(sorted_) else np.zeros(len(x), bool)
+
+        out = {c: [] for c in schema.names[2:]}
+        for h, before, size_, k in spans:
+            at, hit = place(w, h)
+            at = np.where(hit, at, len(w) - 1)
+            # contexts are words of the same text, or the start
+            up, hit = place(w, before)
+            up = np.where(hit, up, len(w) - 1)
+            opening = before == START
+            customers = np.where(opening, ends, np.where(before == U64(END_HASH), 0, count[up]))
+            seated = np.where(opening, start, tables[up])
+            own_mass = np.where(place(trained, k)[1], 1 - DISCOUNT, 0.0)
+            got, hit = place(key, k)
+            if len(key):
+                own_mass = np.where(hit, pair_mass[got], own_mass)
+            chance = (own_mass + (STRENGTH + DISCOUNT * seated) * parent[at]) / (STRENGTH + customers)
+            first = np.cumsum(size_) - size_
+            out["n_tokens"].append(size_)
             out["n_known"].append(np.add.reduceat((count[at] > 0).astype(np.int64), first))
             out["base_score"].append(np.add.reduceat(base[at], first))
             out["score"].append(np.add.reduceat(np.log10(chance), first))
-        cols = {c: np.concatenate(v) for c, v in out.items() if v}
-        out = pa.table({"id": docs_.column("id"), "held_out": docs_.column("held"), **cols})
-        return out.select(schema.names).cast(schema)
+        cols = {c: np.concatenate(v) for c, v in out.items()}
+        return pa.table({"id": left.column("id"), "held_out": left.column("held"), **cols}).select(schema.names).cast(schema)
 
     def cogroup(left: pa.Table, right: pa.Table) -> pa.Table:
         return read(left, right) if left.num_rows else schema.empty_table()
 
-    scored = own.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(
+    scored = own.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
         cogroup, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return (scored.withColumn("train_tokens", F.lit(n_train).cast("long"))
             .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -111,41 +111,168 @@ def test_language_model_base_and_gain(spark, texts):
     assert ours > base
 
 
-def test_language_model_probabilities_sum_to_one(spark):
+def small_corpus():
     random.seed(2)
-    rows = [(i, " ".join(random.choice("the of cat dog sat ran far".split()) for _ in range(30))) for i in range(60)]
+    return [(i, " ".join(random.choice("the of cat dog sat ran far".split()) for _ in range(30))) for i in range(60)]
+
+
+def stored_pairs(spark, rows):
     own = language_model._prepared(spark.createDataFrame(rows, DOCS), "doc_id", "text")
-    table = language_model._counts(own).groupBy("w").sum().drop("sum(part)", "sum(w)")
-    table = table.toDF("w", *language_model.BY_CLASS)
-    table = table.withColumn("n", sum(table[c] for c in language_model.BY_CLASS))
-    seated, totals = language_model.fit(table)
-    rows = seated.collect()
-    parent = language_model.parent_chance(np.array([r["p"] for r in rows] + [0.0]),
-                                          np.array([r["q"] for r in rows] + [0.0]), totals)
-    assert abs(parent.sum() - 1) < 1e-9
-    for j in range(language_model.CLASSES):
-        mass = np.array([r[f"n{j}"] for r in rows] + [0.0])
-        rest = language_model.STRENGTH + language_model.DISCOUNT * totals["tables"][j]
-        assert abs(((mass + rest * parent) / (language_model.STRENGTH + totals["customers"][j])).sum() - 1) < 1e-9
-
-
-def test_seating_alone_chance():
-    """S(n-1, t-1) / S(n, t) by counting all seatings of four customers."""
-    d, weights = 0.7, defaultdict(float)
+    return language_model.materialize(language_model._added_up(language_model._packed(own, 5), 5), "lm_test")
+
+
+def training_pairs(rows):
+    """(context, word) -> count, by hash."""
+    words, out = language_model.Words(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            h = [words[w] for w in [*(t or "").lower().encode().split(), b"\n"]]
+            out.update(zip([language_model.START, *h], h, strict=False))
+    return out
+
+
+def test_language_model_probabilities_sum_to_one(spark):
+    rows = small_corpus()
+    pairs, parents, contexts, totals = language_model.fit(stored_pairs(spark, rows))
+    want = training_pairs(rows)
+    got = {(r["u"], r["w"]): r for r in pairs.collect()}
+    assert {k: r["n"] for k, r in got.items() if r["n"] > 1} == {k: n for k, n in want.items() if n > 1}
+    parents = {r["w"]: r for r in parents.collect()}
+    parent = {w: language_model.parent_chance(r["p"], r["q"], totals) for w, r in parents.items()}
+    assert abs(sum(parent.values()) + language_model.parent_chance(0.0, 0.0, totals) - 1) < 1e-9
+    tables = {k: got[k]["t"] if k in got else 1.0 for k in want}
+    for r in contexts.collect():
+        own = {w: n for (u, w), n in want.items() if u == r["u"]}
+        assert abs(sum(tables[r["u"], w] for w in own) - r["tables"]) < 1e-9
+        mass = sum(n - language_model.DISCOUNT * tables[r["u"], w] for w, n in own.items())
+        rest = language_model.STRENGTH + language_model.DISCOUNT * r["tables"]
+        assert abs((mass + rest) / (language_model.STRENGTH + sum(own.values())) - 1) < 1e-9
+
+
+def test_language_model_units_know_pairs_seen_once(spark):
+    """Scores by the definition, from the fitted tables, for texts whose pairs occur never, once and often."""
+    rows = [*small_corpus(), (900, "rare words here"), (901, "rare words here"), (902, "once upon a time"),
+            (903, "The cat"), (904, None), (905, ""), (906, "upon never"), (907, "once upon a cat")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in language_model.score_documents(df).collect()}
+    again = {r["doc_id"]: r for r in language_model.score_documents(df.repartition(3)).collect()}
+    pairs, parents, contexts, totals = language_model.fit(stored_pairs(spark, rows))
+    want, words = training_pairs(rows), language_model.Words()
+    seated = {(r["u"], r["w"]): r["n"] - language_model.DISCOUNT * r["t"] for r in pairs.collect()}
+    seated = {k: seated.get(k, 1 - language_model.DISCOUNT) for k in want}
+    parent = {r["w"]: language_model.parent_chance(r["p"], r["q"], totals) for r in parents.collect()}
+    tables = {r["u"]: r["tables"] for r in contexts.collect()}
+    customers = Counter()
+    for (u, _), n in want.items():
+        customers[u] += n
+    for i, t in rows:
+        h = [words[w] for w in [*(t or "").lower().encode().split(), b"\n"]]
+        score = 0.0
+        for u, w in zip([language_model.START, *h], h, strict=False):
+            rest = language_model.STRENGTH + language_model.DISCOUNT * tables.get(u, 0.0)
+            score += math.log10((seated.get((u, w), 0.0) + rest * parent.get(w, language_model.parent_chance(0.0, 0.0, totals)))
+                                / (language_model.STRENGTH + customers[u]))
+        assert abs(got[i]["score"] - score) < 1e-5 * abs(score), i
+        assert got[i]["score"] == again[i]["score"], i  # no partition or batch plays a part
+
+
+def test_language_model_agrees_with_customers_seated_one_by_one(spark):
+    """An exact sampler: each customer leaves and sits down again, the parent's customers follow its tables."""
+    rows = small_corpus()
+    want = training_pairs(rows)
+    d, theta = language_model.DISCOUNT, language_model.STRENGTH
+    pd, ptheta = language_model.PARENT_DISCOUNT, language_model.PARENT_STRENGTH
+    rng = random.Random(5)
+    vocabulary = len({w for _, w in want})
+    rooms, parent = defaultdict(lambda: defaultdict(list)), defaultdict(list)
+
+    def sit(dishes, dish, base, dis, strength):
+        """True where a table is opened."""
+        open_ = sum(map(len, dishes.values()))
+        weights = [c - dis for c in dishes[dish]] + [(strength + dis * open_) * base]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(dishes[dish]):
+            dishes[dish].append(1)
+            return True
+        dishes[dish][k] += 1
+        return False
+
+    def leave(dishes, dish):
+        k = rng.choices(range(len(dishes[dish])), dishes[dish])[0]
+        dishes[dish][k] -= 1
+        if not dishes[dish][k]:
+            del dishes[dish][k]
+            return True
+        return False
+
+    def base(w):
+        n, t = sum(map(sum, parent.values())), sum(map(len, parent.values()))
+        return (sum(parent[w]) - pd * len(parent[w]) + (ptheta + pd * t) / (vocabulary + 1)) / (ptheta + n)
+
+    def add(u, w):
+        if sit(rooms[u], w, base(w), d, theta):
+            sit(parent, w, 1 / (vocabulary + 1), pd, ptheta)
+
+    customers = [k for k, n in want.items() for _ in range(n)]
+    for u, w in customers:
+        add(u, w)
+    mean, chance, sweeps = Counter(), Counter(), 24
+    total = Counter(u for u, _ in customers)
+    for s in range(sweeps + 4):
+        for u, w in customers:
+            if leave(rooms[u], w):
+                leave(parent, w)
+            add(u, w)
+        if s >= 4:
+            for u, w in want:
+                mean[u, w] += len(rooms[u][w]) / sweeps
+                open_ = sum(map(len, rooms[u].values()))
+                chance[u, w] += (want[u, w] - d * len(rooms[u][w]) + (theta + d * open_) * base(w)) / (theta + total[u]) / sweeps
+    pairs, parents, contexts, totals = language_model.fit(stored_pairs(spark, rows), rounds=8, draws=30)
+    got = {(r["u"], r["w"]): r["t"] for r in pairs.collect()}
+    assert abs(sum(got.get(k, 1.0) for k in want) / sum(mean.values()) - 1) < 0.1  # both chains wander by some 4 %
+    parent = {r["w"]: language_model.parent_chance(r["p"], r["q"], totals) for r in parents.collect()}
+    tables = {r["u"]: r["tables"] for r in contexts.collect()}
+    for (u, w), n in want.items():  # predictive probabilities
+        ours = (n - d * got.get((u, w), 1.0) + (theta + d * tables[u]) * parent[w]) / (theta + total[u])
+        assert abs(ours - chance[u, w]) < 0.1 * chance[u, w] + 0.01
+
+
+def test_table_counts_by_all_seatings():
+    """The distribution of the tables of four customers, by counting all seatings."""
+    d, s, base, weights = 0.7, 3.0, 0.2, defaultdict(float)
 
     def go(tables, k, weight):
         if k == 4:
             weights[len(tables)] += weight
             return
-        go([*tables, 1], k + 1, weight)
-        for i, s in enumerate(tables):
-            go([*tables[:i], s + 1, *tables[i + 1:]], k + 1, weight * (s - d))
+        go([*tables, 1], k + 1, weight * base * (s + d * len(tables)))
+        for i, c in enumerate(tables):
+            go([*tables[:i], c + 1, *tables[i + 1:]], k + 1, weight * (c - d))
 
     go([], 0, 1.0)
-    three = {1: (1 - d) * (2 - d), 2: 3 * (1 - d), 3: 1.0}  # weights of three customers
-    for t in (2, 3, 4):
-        got = language_model.alone(np.array([4.0]), np.array([float(t)]), d)[0]
-        assert abs(got - three[t - 1] / weights[t]) < 1e-12
+    many = 40_000
+    t = language_model.draw_tables(np.full(many, 4), np.full(many, base), np.full(many, s), d, 1, (np.arange(many),))
+    for k in range(1, 5):
+        assert abs((t == k).mean() - weights[k] / sum(weights.values())) < 0.01
+
+
+@pytest.mark.parametrize(("base", "strength"), [(1e-4, 50.0), (0.01, 500.0), (0.02, 5000.0)])
+def test_table_counts_of_large_dishes(base, strength):
+    """Beyond the exact table: means against the whole recurrence of 3,000 customers."""
+    n, d = 3000, language_model.DISCOUNT
+    log, k = np.full(n + 1, -np.inf), np.arange(1, n + 1)
+    log[0] = 0.0
+    with np.errstate(divide="ignore"):
+        for i in range(1, n + 1):
+            log[1:], log[0] = np.logaddexp(log[:-1], np.log(np.maximum(i - 1 - d * k, 0)) + log[1:]), -np.inf
+    weight = log[1:] + np.cumsum(np.log(base * (strength + d * (k - 1))))
+    p = np.exp(weight - weight.max())
+    want = (p * k).sum() / p.sum()
+    rows = 400
+    got = language_model.draw_tables(np.full(rows, n), np.full(rows, base), np.full(rows, strength), d, 3,
+                                     (np.arange(rows),)).mean()
+    assert abs(got - want) < 0.05 * want + 0.1
 
 
 def repeats(w, least):
