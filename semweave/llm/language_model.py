@@ -51,7 +51,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 100.0
 ROUNDS, DRAWS = 3, 4
 SEED = 7
 #: Rows of a unit, tokens after which a task packs what it holds, text bytes of a bucket, context bits that spread a dish.
-UNIT_ROWS, FLUSH, BUCKET_BYTES, SPREAD = 4000, 2_000_000, 6 << 20, 15
+UNIT_ROWS, FLUSH, BUCKET_BYTES, SPREAD = 4000, 500_000, 3 << 20, 15
 END = b"\n"  # no word has white space, so this names the end token
 START = 0    # the context of a text's first token; no word has this hash
 PAIR, WORD, ASK = 0, 1, 2
@@ -342,19 +342,18 @@ def _contexts(words: DataFrame, pairs: DataFrame, ends: int) -> DataFrame:
 
 
 def _reseated(pairs: DataFrame, contexts: DataFrame, parents: DataFrame, totals: dict, seed: int, draws: int) -> DataFrame:
-    """The pairs ``(u, w, n, units, t)`` with new tables."""
+    """The pairs ``(u, w, n, t)`` with new tables."""
     chance = parents.select("w", parent_chance(F.col("p"), F.col("q"), totals).alias("base"))
-    asked = pairs.join(contexts, "u").join(chance, "w").select("u", "w", "n", "t", "tables", "base", "units")
-    schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("t", pa.float64()),
-                        ("units", pa.list_(pa.int64()))])
+    asked = pairs.join(contexts, "u").join(chance, "w").select("u", "w", "n", "t", "tables", "base")
+    schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("t", pa.float64())])
 
     def seat(b: pa.RecordBatch) -> pa.RecordBatch:
         u, w, n, t, tables, base = (b.column(k).to_numpy() for k in range(6))
         strength = STRENGTH + DISCOUNT * np.maximum(tables - t, 0)
-        return as_batch({"u": u, "w": w, "n": n, "t": draw_tables(n, base, strength, DISCOUNT, seed, (u, w), draws),
-                         "units": b.column(6)}, schema)
+        return as_batch({"u": u, "w": w, "n": n, "t": draw_tables(n, base, strength, DISCOUNT, seed, (u, w), draws)},
+                        schema)
 
-    return map_batches(asked, seat, "u long, w long, n long, t double, units array<long>")
+    return map_batches(asked, seat, "u long, w long, n long, t double")
 
 
 def fit(stored: DataFrame, rounds: int = ROUNDS, draws: int = DRAWS) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
@@ -366,8 +365,7 @@ def fit(stored: DataFrame, rounds: int = ROUNDS, draws: int = DRAWS) -> tuple[Da
     totals = {"train": int(first["n"] or 0), "vocabulary": int(first["v"]), "ends": int(first["ends"] or 0)}
     totals |= {"tables": float(totals["vocabulary"])}
     # rounds start from the power law of the process, not from one table, so that few of them are needed
-    pairs = stored.where(F.col("kind") == PAIR).select("u", "w", "n", F.rint(F.pow("n", F.lit(DISCOUNT))).alias("t"),
-                                                       "units")
+    pairs = stored.where(F.col("kind") == PAIR).select("u", "w", "n", F.rint(F.pow("n", F.lit(DISCOUNT))).alias("t"))
     parents, last = None, None
     for k in range(rounds + 1):
         old = parents
@@ -396,9 +394,10 @@ def _answers(stored: DataFrame, pairs: DataFrame, parents: DataFrame, contexts:
         "w", "n", base.alias("base"), F.coalesce("tables", F.lit(0.0)).cast("float").alias("mass"))
     asked = stored.where(F.col("kind") == ASK).select(F.col("u").alias("unit"), "w").distinct()
     words = asked.join(known, "w").select("unit", F.lit(-1).cast("long").alias("u"), "w", "n", "base", "mass")
-    seated = pairs.select(F.explode("units").alias("unit"), "u", "w", F.lit(0).cast("long").alias("n"),
-                          F.lit(0.0).cast("float").alias("base"),
-                          (F.col("n") - F.lit(DISCOUNT) * F.col("t")).cast("float").alias("mass"))
+    mass = pairs.select("u", "w", (F.col("n") - F.lit(DISCOUNT) * F.col("t")).cast("float").alias("mass"))
+    asked = stored.where(F.col("kind") == PAIR).select("u", "w", "units").join(mass, ["u", "w"])
+    seated = asked.select(F.explode("units").alias("unit"), "u", "w", F.lit(0).cast("long").alias("n"),
+                          F.lit(0.0).cast("float").alias("base"), "mass")
     return words.unionByName(seated)
 
 
