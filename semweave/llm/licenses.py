@@ -1,32 +1,40 @@
 """Licence scans: a trained paragraph classifier, an unknown class, confirmation by templates.
 
-A paragraph is a run of lines with words. It is judged in pieces: its lines,
-and where it has several lines or is long, the overlapping windows of its
-words (``WINDOWS``), so that a notice is seen whole however it is wrapped. Of
-pieces that overlap, the one that its template confirms best tells the family.
-A paragraph without a family is "unknown" if one of its pieces is.
-
-A piece is described by its one- to three-word n-grams, hashed to
-2^14 cells, with values 1 / sqrt(number of n-grams). A softmax regression
-tells the licence families and "none" apart. It is trained here:
+A paragraph is a run of lines with words. It is judged in pieces: its lines (of
+up to ``LINE_WORDS`` words), and where it has several lines or is long, the
+overlapping windows of its words (``WINDOWS``), so that a notice is seen whole
+however it is wrapped. Every piece of every paragraph goes through the
+classifier; no word list stands before it. Of pieces that overlap, the one
+that its template confirms best tells the family. A paragraph without a family
+is "unknown" if one of its pieces is.
+
+A piece is described by its one- to three-word n-grams, hashed to 2^14 cells,
+with values 1 / sqrt(number of n-grams); sums over windows come from running
+sums over the words. A softmax regression tells the licence families, "unknown"
+and "none" apart. It is trained here:
 
 * licence rows are the notices in ``TEMPLATES`` and variants of them (words
   left out, cut short, joined with a sentence of the corpus);
-* "none" rows are lines of the documents: a bounded sample, at most
+* "unknown" rows are the same notices with the words that name their family
+  replaced by words of the corpus: notices of licences that are not listed;
+* "none" rows are the sentences in ``OTHER``, which do not depend on the corpus
+  (an argument), and lines of the documents: a bounded sample, at most
   ``NEGATIVES`` lines, the first ``LINES`` longer ones (their first ``WORDS``
   words) of the ``NEGATIVES / LINES`` documents with the smallest hashes of their
   ids, without a line that names a licence (the classifier may be fitted on a
-  bounded sample; the scan covers every paragraph). The hashes are cut to
+  bounded sample; the scan covers every paragraph). Windows of their joined
+  lines are rows as well, as the scan judges windows, and phrases of one to
+  three of their words said again and again. The hashes are cut to
   that number first, then the lines of those documents are fetched, so
   the driver gets as many bytes at any size of the input.
 
 A quarter of the rows is set aside; on it the softmax temperature is chosen
-by likelihood and the least confidence that keeps wrong families below 1 %.
-A paragraph that is likely a licence but under that confidence is "unknown".
+by likelihood, the least confidence that keeps wrong families below 1 %, and
+the least chance of not being "none" that no "none" row reaches.
 Template comparison then confirms a family: the share of the template's
 distinct words that stand in the paragraph must reach ``CONFIRM``; what a
-template does not confirm is "unknown" as well if it names a licence by the
-words in ``MARKS``, else it is none.
+template does not confirm is "unknown" as well if its chance of not being "none"
+reaches that bound, by its n-grams and by its distinct n-grams, else it is none.
 
 Null or empty texts have no licence. Every row is scanned alone: ties,
 repeated rows and further columns play no part. Families are listed in
@@ -39,26 +47,30 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semweave.llm.common import as_batch, map_batches
+from semweave.llm.common import WordHash, as_batch, map_batches, raw
 
 BITS = 14
 #: Bounds of the "none" rows: lines in all, lines of a document, words of a line.
 NEGATIVES, LINES, WORDS = 2000, 4, 200
 CONFIRM = 0.7
+#: Words of a line that is a piece of its own, and of the stretch of a long paragraph that is judged at a time.
+LINE_WORDS, STRETCH = 64, 32_768
 #: Words of a window and between windows: the shorter templates and all of them stand whole in one.
 WINDOWS = ((20, 8), (48, 16))
 WRONG = 0.01
+#: Least chance of not being "none" of an unknown piece, whatever the rows set aside say.
+SURE = 0.99
 WORD = re.compile(rb"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 MARKS = frozenset((b"license", b"licensed", b"licence", b"licenced", b"copyright", b"copyrighted", b"copyleft"))
-#: Short notices of common licences, as their texts ask for.
+#: Short notices of common licences, as their texts ask for; the identifiers of the public list follow.
 TEMPLATES = {
     "AGPL": ["This work is licensed under the GNU Affero General Public License, version 3.",
              "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-             "Affero General Public License as published by the Free Software Foundation"],
+             "Affero General Public License as published by the Free Software Foundation",
+             "Licensed under the AGPLv3."],
     "Apache": ["Licensed under the Apache License, Version 2.0.",
                "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                "compliance with the License."],
@@ -76,50 +88,74 @@ TEMPLATES = {
     "GPL": ["This work is licensed under the GNU General Public License, version 3.",
             "This work is licensed under the GNU General Public License, version 2.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-            "General Public License as published by the Free Software Foundation"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
+            "General Public License as published by the Free Software Foundation",
+            "GNU General Public License Version 3", "Licensed under the GPLv3 license."],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any "
+            "purpose with or without fee is hereby granted"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.",
+             "This file is covered by the LGPLv3 license.", "GNU Lesser General Public License Version 3"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "MIT License",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced "
                     "without permission."],
 }
-FAMILIES = ["none", *sorted(TEMPLATES)]
+IDENTIFIERS = {"AGPL": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "Apache": ["Apache-2.0"],
+               "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "CC-BY": ["CC-BY-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"],
+               "CC-BY-SA": ["CC-BY-SA-4.0"], "CC0": ["CC0-1.0"],
+               "GPL": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"], "ISC": ["ISC"],
+               "LGPL": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"], "MIT": ["MIT"],
+               "MPL": ["MPL-2.0"], "Unlicense": ["Unlicense"]}
+TEMPLATES = {f: t + [f"SPDX-License-Identifier: {x}" for x in IDENTIFIERS.get(f, ())] for f, t in TEMPLATES.items()}
+#: "None" sentences that do not depend on the corpus: words of notices in other use.
+OTHER = ("The driver must renew his license every five years at the office.",
+         "She lost her fishing licence and paid a fine to the county.",
+         "The city granted the restaurant a liquor license after a long hearing.",
+         "Copyright law protects authors and their heirs for many years.",
+         "The court found that the copyright of the song had run out.",
+         "Permission to enter the building is given by the guard.",
+         "The public may use the garden free of charge on Sundays.",
+         "The general asked the public for patience and the foundation for money.",
+         "The software was released last week and people can copy it from the site.",
+         "All seats are reserved for the guests and no part of the hall may be used.",
+         "The source of the river lies in the hills and the code of the lock is new.",
+         "The terms of the contract are subject to the approval of the board.",
+         "The university, a common place of work, published a version of the study.",
+         "He has the rights to the farm and a license to practise medicine.")
+FAMILIES = ["none", *sorted(TEMPLATES), "unknown"]
+UNKNOWN = len(FAMILIES) - 1
 
 
 def words_of(line: bytes) -> list[bytes]:
     return WORD.findall(line.lower())
 
 
-def grams(words: list[bytes], remembered: dict | None = None) -> np.ndarray:
+TWO, THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def grams(words: list[bytes]) -> np.ndarray:
     """Hash cells of the one- to three-word n-grams."""
-    if remembered is None:
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    else:
-        h = np.empty(len(words), np.uint64)
-        for k, w in enumerate(words):
-            x = remembered.get(w)
-            if x is None:
-                if len(remembered) >= 300_000:
-                    remembered.clear()
-                x = remembered[w] = xxhash.xxh64_intdigest(w)
-            h[k] = x
+    h = WordHash().of(words)
     out = [h]
     if len(h) > 1:
-        two = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+        two = h[:-1] * TWO + h[1:]
         out.append(two)
         if len(h) > 2:
-            out.append(two[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:])
-    g = np.concatenate(out) * np.uint64(0xD6E8FEB86659FD93)
-    return (g >> np.uint64(64 - BITS)).astype(np.int64)
+            out.append(two[:-1] * THREE + h[2:])
+    return _cell(np.concatenate(out))
+
+
+def _cell(g: np.ndarray) -> np.ndarray:
+    return (g * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Model:
     """Weights (cells x families), temperature and least confidence."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, heat: float = 1.0, least: float = 0.5):
-        self.weights, self.bias, self.heat, self.least = weights, bias, heat, least
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, heat: float = 1.0, least: float = 0.5, odd: float = 0.5):
+        self.weights, self.bias, self.heat, self.least, self.odd = weights, bias, heat, least, odd
 
     def logits(self, cells: list[np.ndarray]) -> np.ndarray:
         size = np.array([len(c) for c in cells])
@@ -132,10 +168,31 @@ class Model:
         return out
 
     def chances(self, cells: list[np.ndarray]) -> np.ndarray:
-        z = self.logits(cells) / self.heat
-        z = np.exp(z - z.max(1, keepdims=True))
+        return self._softmax(self.logits(cells))
+
+    def _softmax(self, z: np.ndarray) -> np.ndarray:
+        z = np.exp((z - z.max(1, keepdims=True)) / self.heat)
         return z / z.sum(1, keepdims=True)
 
+    def window_chances(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Chances of the pieces ``h[lo:hi]`` (one word and more each) of a row of word hashes, by running sums."""
+        n, k = len(h), len(self.bias)
+        one, two, three = (np.zeros((n + 1, k)) for _ in range(3))
+        pairs = h[:-1] * TWO + h[1:]
+        for total, g in ((one, h), (two, pairs), (three, pairs[:-1] * THREE + h[2:])):
+            np.cumsum(self.weights[_cell(g)], axis=0, dtype=np.float64, out=total[1:len(g) + 1])
+            total[len(g) + 1:] = total[len(g)]
+        start = one + two + three
+        end = one
+        end[1:] += two[:-1]
+        end[2:] += three[:-2]
+        z = end[hi] - start[lo]
+        single = np.flatnonzero(hi - lo == 1)
+        z[single] += three[lo[single]] - np.where((lo[single] > 0)[:, None], three[lo[single] - 1], 0.0)
+        size = hi - lo
+        size = size + np.maximum(size - 1, 0) + np.maximum(size - 2, 0)
+        return self._softmax(z / np.sqrt(size)[:, None] + self.bias)
+
 
 def _variants(rng: np.random.Generator, fillers: list[list[bytes]]) -> list[tuple[list[bytes], str]]:
     rows = []
@@ -149,9 +206,31 @@ def _variants(rng: np.random.Generator, fillers: list[list[bytes]]) -> list[tupl
                     filler = fillers[int(rng.integers(len(fillers)))][:12]
                     kept = filler + kept if rng.random() < 0.5 else kept + filler
                 rows.append((kept, family))
+            if not fillers:
+                continue
+            for _ in range(12):  # a licence of another name
+                other = [x if x not in _NAMES[family] else _some(rng, fillers) for x in w]
+                if other != w and len(other) > 2:
+                    rows.append((other, "unknown"))
+    for lead in UNNAMED:
+        for _ in range(24 * bool(fillers)):
+            name = [_some(rng, fillers) for _ in range(int(rng.integers(1, 4)))]
+            rows.append(([y for x in words_of(lead.encode()) for y in (name if x == b"x" else [x])], "unknown"))
     return rows
 
 
+def _some(rng: np.random.Generator, fillers: list[list[bytes]]) -> bytes:
+    line = fillers[int(rng.integers(len(fillers)))]
+    return line[int(rng.integers(len(line)))]
+
+
+#: Notices that name any licence X.
+UNNAMED = ("Licensed under the X License.", "Licensed under the X Licence", "Released under the X License, version 2.",
+           "This work is licensed under the terms of the X license.", "SPDX-License-Identifier: X",
+           "Distributed under the X public license", "Distributed under the terms of the X License",
+           "Available under the X Software License, see the file LICENSE.", "This file is covered by the X license")
+
+
 def train(rows: list[tuple[list[bytes], str]], steps: int = 300) -> Model:
     """Softmax regression by gradient steps (weights decay); then temperature and confidence on rows set aside."""
     number = {f: k for k, f in enumerate(FAMILIES)}
@@ -161,15 +240,15 @@ def train(rows: list[tuple[list[bytes], str]], steps: int = 300) -> Model:
     fit_rows = np.flatnonzero(~aside)
     p = np.repeat(np.arange(len(fit_rows)), [len(cells[k]) for k in fit_rows])
     c = np.concatenate([cells[k] for k in fit_rows])
-    v = (1 / np.sqrt(np.maximum(1, np.bincount(p, minlength=len(fit_rows)))))[p][:, None]
+    v = (1 / np.sqrt(np.maximum(1, np.bincount(p, minlength=len(fit_rows)))))[p][:, None].astype(np.float32)
     used, c = np.unique(c, return_inverse=True)
     first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
     by = np.argsort(c, kind="stable")
     start = np.flatnonzero(np.append(True, np.diff(c[by]) > 0))
     k = len(FAMILIES)
-    w, b = np.zeros((len(used), k)), np.zeros(k)
-    hot = np.eye(k)[y[fit_rows]]
-    weight = (len(fit_rows) / (k * np.maximum(1, hot.sum(0))))[y[fit_rows]][:, None]
+    w, b = np.zeros((len(used), k), np.float32), np.zeros(k, np.float32)
+    hot = np.eye(k, dtype=np.float32)[y[fit_rows]]
+    weight = (len(fit_rows) / (k * np.maximum(1, hot.sum(0)))).astype(np.float32)[y[fit_rows]][:, None]
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
         z = np.tile(b, (len(fit_rows), 1))
@@ -194,9 +273,11 @@ def train(rows: list[tuple[list[bytes], str]], steps: int = 300) -> Model:
         model.heat = min(heats, key=loss)
         chance = model.chances(own)
         guess, top = chance.argmax(1), chance.max(1)
+        odd = np.minimum(1 - chance[:, 0], 1 - model.chances([np.unique(c) for c in own])[:, 0])[truth == 0]
+        model.odd = float(np.clip(np.nextafter(odd.max(initial=0.0), 2), SURE, 0.9999))
         for least in np.linspace(0.5, 0.95, 10):
             model.least = float(least)
-            sure = (top >= least) & (guess > 0)
+            sure = (top >= least) & (guess > 0) & (guess < UNKNOWN)
             if not sure.any() or (guess != truth)[sure].mean() <= WRONG:
                 break
     return model
@@ -209,9 +290,12 @@ def confirmed(words: list[bytes], family: str) -> float:
 
 
 _TEMPLATE_WORDS = {f: [frozenset(words_of(t.encode())) for t in ts] for f, ts in TEMPLATES.items()}
+#: Words of a family's templates that stand in few other families': its names.
+_NAMES = {f: {w for t in ts for w in t if sum(any(w in x for x in other) for other in _TEMPLATE_WORDS.values()) < 3}
+          for f, ts in _TEMPLATE_WORDS.items()}
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, other: tuple[str, ...] = OTHER) -> Model:
     """The classifier; "none" rows come from the ``docs(id, text)`` with the smallest hashes of their ids."""
     keyed = docs.where("text is not null").select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "text")
     keys = keyed.select("h", "t").orderBy("h", "t").limit(NEGATIVES // 4).collect()  # hashes alone, no texts
@@ -222,37 +306,35 @@ def fit(docs: DataFrame) -> Model:
     picked = keyed.join(F.broadcast(named), ["h", "t"]).groupBy("h", "t").agg(F.min(first).alias("p")).orderBy("h", "t")
     lines = [words_of(p.encode())[:WORDS] for r in picked.collect() for p in r["p"]]
     lines = [w for w in lines if w and not MARKS & set(w)][:NEGATIVES]
+    joined = [x for w in lines for x in w]
+    windows = [joined[k:k + size] for size, stride in WINDOWS for k in range(0, min(len(joined), 40 * NEGATIVES), 10 * stride)]
     rng = np.random.default_rng(9)
-    rows = _variants(rng, lines) + [(w, "none") for w in lines] + [([], "none")] * 4
+    rows = _variants(rng, lines) + [(w, "none") for w in lines + windows if w] + [([], "none")] * 4
+    for sentence in other:
+        rows += [(words_of(sentence.encode()), "none")] * 8
+    for _ in range(400 * bool(lines)):  # a few words, once or again and again: no notice either
+        phrase = [_some(rng, lines) for _ in range(int(rng.integers(1, 4)))]
+        rows.append((phrase, "none"))
+        rows.append(((phrase * 48)[:int(rng.integers(6, 49))], "none"))
     order = rng.permutation(len(rows))
     return train([rows[k] for k in order])
 
 
-def judge(model: Model, lines: list[list[bytes]], remembered: dict | None = None) -> list[tuple[str, float]]:
-    """Family and confidence of each paragraph ("none", "unknown" or a family)."""
-    chance = model.chances([grams(w, remembered) for w in lines])
-    guess, top = chance.argmax(1), chance.max(1)
-    out = []
-    for w, k, p, none in zip(lines, guess.tolist(), top.tolist(), chance[:, 0].tolist(), strict=True):
-        named = not MARKS.isdisjoint(w)
-        if k and p >= model.least and confirmed(w, FAMILIES[k]) >= CONFIRM:
-            out.append((FAMILIES[k], p))
-        elif named and (k or none < 0.5):
-            out.append(("unknown", 1 - none))
-        else:
-            out.append(("none", none))
-    return out
-
-
-_KNOWN = frozenset().union(*(t for ts in _TEMPLATE_WORDS.values() for t in ts))
+def verdict_of(model: Model, words: list[bytes], chance: np.ndarray) -> tuple[str, float]:
+    """Family and confidence of a piece ("none", "unknown" or a family)."""
+    k = 1 + int(chance[1:UNKNOWN].argmax())
+    if chance[k] == chance.max() and chance[k] >= model.least and confirmed(words, FAMILIES[k]) >= CONFIRM:
+        return FAMILIES[k], float(chance[k])
+    if 1 - chance[0] >= model.odd:  # and not for a few n-grams said often: by distinct ones as well
+        odd = 1 - max(float(chance[0]), float(model.chances([np.unique(grams(words))])[0, 0]))
+        if odd >= model.odd:
+            return "unknown", odd
+    return "none", float(chance[0])
 
 
-def possible(words: set[bytes]) -> bool:
-    """Whether a piece of these words can be anything but "none": a mark, or enough of a template."""
-    if not MARKS.isdisjoint(words):
-        return True
-    own = words & _KNOWN
-    return any(len(own & t) >= CONFIRM * len(t) for ts in _TEMPLATE_WORDS.values() for t in ts)
+def judge(model: Model, pieces: list[list[bytes]]) -> list[tuple[str, float]]:
+    """Family and confidence of each piece of words."""
+    return [verdict_of(model, w, c) for w, c in zip(pieces, model.chances([grams(w) for w in pieces]), strict=True)]
 
 
 def paragraphs(text: bytes) -> list[list[list[bytes]]]:
@@ -267,33 +349,68 @@ def paragraphs(text: bytes) -> list[list[list[bytes]]]:
     return out if out[-1] else out[:-1]
 
 
-def pieces(lines: list[list[bytes]]) -> list[tuple[int, int, list[bytes]]]:
-    """``(start, end, words)`` of the lines and windows of a paragraph that can be anything but "none"."""
-    words = [w for line in lines for w in line]
-    if not possible(set(words)):
-        return []
-    out, at = [], 0
-    for line in lines:
-        out.append((at, at + len(line), line))
-        at += len(line)
+def pieces(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the lines and windows of a paragraph with lines of these lengths."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1])
+    short = np.asarray(lengths) <= LINE_WORDS
+    lo, hi = [(ends - lengths)[short]], [ends[short]]
     for size, stride in WINDOWS:
-        if len(lines) > 1 or len(words) > size:
-            out += [(k, min(k + size, len(words)), words[k:k + size])
-                    for k in range(0, max(1, len(words) - size + stride), stride)]
-    return [x for x in out if possible(set(x[2]))]
+        if len(lengths) > 1 or total > size:
+            k = np.arange(0, max(1, total - size + stride), stride)
+            lo.append(k)
+            hi.append(np.minimum(k + size, total))
+    return np.concatenate(lo), np.concatenate(hi)
 
 
-def verdict(parts: list[tuple[int, int, list[bytes]]], said: list[tuple[str, float]]) -> tuple[dict[str, float], bool]:
-    """Families of a paragraph with their confidences, and whether it is unknown."""
-    found = sorted((-confirmed(w, f), k, lo, hi, f, p) for k, ((lo, hi, w), (f, p)) in
-                   enumerate(zip(parts, said, strict=True)) if f not in ("none", "unknown"))
+def verdict(found: list[tuple[int, int, list[bytes], str, float]]) -> tuple[dict[str, float], bool]:
+    """Families of a paragraph with their confidences, and whether it is unknown, from its pieces that are not none."""
+    best = sorted((-confirmed(w, f), k, lo, hi, f, p) for k, (lo, hi, w, f, p) in enumerate(found) if f != "unknown")
     taken: list[tuple[int, int, str]] = []
     families: dict[str, float] = {}
-    for _, _, lo, hi, f, p in found:
+    for _, _, lo, hi, f, p in best:
         if all(f == g or hi <= a or b <= lo for a, b, g in taken):
             taken.append((lo, hi, f))
             families[f] = max(p, families.get(f, 0.0))
-    return families, not families and any(f == "unknown" for f, _ in said)
+    return families, not families and bool(found)
+
+
+def judge_paragraphs(model: Model, held: list[list[list[bytes]]], hashes: WordHash) -> list[tuple[dict[str, float], bool]]:
+    """:func:`verdict` of each paragraph; all their pieces are judged, a stretch of words at a time."""
+    flat = [[w for line in x for w in line] for x in held]
+    found: list[list] = [[] for _ in held]
+    stretch: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+    def look():
+        if not stretch:
+            return
+        runs_ = [flat[i][at:at + STRETCH + LINE_WORDS] for i, at, _, _ in stretch]
+        base = np.cumsum([0, *map(len, runs_)])
+        h = hashes.of([w for r in runs_ for w in r])
+        lo = np.concatenate([x - at + b for (_, at, x, _), b in zip(stretch, base, strict=False)])
+        hi = np.concatenate([x - at + b for (_, at, _, x), b in zip(stretch, base, strict=False)])
+        who = np.repeat(np.arange(len(stretch)), [len(x) for _, _, x, _ in stretch])
+        chance = model.window_chances(h, lo, hi)
+        for k in np.flatnonzero((chance.argmax(1) > 0) | (1 - chance[:, 0] >= model.odd)).tolist():
+            i, at, _, _ = stretch[who[k]]
+            a, z = (int(x) - int(base[who[k]]) + at for x in (lo[k], hi[k]))
+            f, p = verdict_of(model, flat[i][a:z], chance[k])
+            if f != "none":
+                found[i].append((a, z, flat[i][a:z], f, p))
+        stretch.clear()
+
+    size = 0
+    for i, lines in enumerate(held):
+        lo, hi = pieces([len(x) for x in lines])
+        for at in range(0, len(flat[i]), STRETCH):
+            own = (lo >= at) & (lo < at + STRETCH) if len(flat[i]) > STRETCH else slice(None)
+            stretch.append((i, at, lo[own], hi[own]))
+            size += min(STRETCH, len(flat[i]) - at)
+            if size >= STRETCH:
+                look()
+                size = 0
+    look()
+    return [verdict(x) for x in found]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,22 +419,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(fit(own))
     schema = pa.schema([("id", pa.int64()), ("families", pa.list_(pa.string())), ("n_paragraphs", pa.int64()),
                         ("n_unknown", pa.int64()), ("confidence", pa.float64())])
-    remembered: dict[bytes, int] = {}
 
     def read(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in b.column(1).to_pylist()]
+        texts = [t or b"" for t in raw(b.column(1))]
         families, n, unknown, sure = [], [], [], []
+        hashes = WordHash(limit=300_000)
         for at in range(0, len(texts), 64):
-            part = [[pieces(x) for x in paragraphs(t.encode())] for t in texts[at:at + 64]]
-            asked = [w for doc in part for x in doc for _, _, w in x]
-            said = judge(shared.value, asked, remembered) if asked else []
-            k = 0
+            part = [paragraphs(t) for t in texts[at:at + 64]]
+            said = iter(judge_paragraphs(shared.value, [x for doc in part for x in doc], hashes))
             for doc in part:
                 own_families: dict[str, float] = {}
                 own_unknown = 0
-                for x in doc:
-                    got, odd = verdict(x, said[k:k + len(x)])
-                    k += len(x)
+                for _ in doc:
+                    got, odd = next(said)
                     own_unknown += odd
                     for f, p in got.items():
                         own_families[f] = max(p, own_families.get(f, 0.0))

@@ -5,7 +5,7 @@ import time
 from functools import lru_cache
 
 from semweave.llm import licenses, wrapper
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 
 PAGES = "page_id long, url string, html string"
 
@@ -93,3 +93,48 @@ def test_license_training_sends_a_bounded_sample(spark):
     model, again = licenses.fit(df), licenses.fit(df.repartition(3))
     assert (model.weights == again.weights).all() if hasattr(model, "weights") else True
     assert licenses.scan(df.withColumnRenamed("id", "doc_id")).where("size(families) > 0").count() == 0
+
+
+def test_license_identifiers_headings_and_unlisted_licences(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    want = {"SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: Apache-2.0": ["Apache"],
+            "MIT License": ["MIT"], "GNU GENERAL PUBLIC LICENSE Version 3": ["GPL"],
+            "This file is covered by the LGPLv3 license": ["LGPL"],
+            "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is "
+            "hereby granted, provided that the above copyright notice": ["ISC"],
+            "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+            "Licensed under the Zebra Public License, version 4": "unknown",
+            "Distributed under the terms of the Boost Software License": "unknown",
+            "He got a driving license in May and went home": [], "MIT students love pizza": [],
+            "The copyright page of the book is torn": [], "for " * 900: [], "and so on " * 40: []}
+    own = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(want)], "doc_id long, text string")
+    got = {r["doc_id"] - 10**9: r for r in licenses.scan(docs.select("doc_id", "text").unionByName(own))
+           .where(f"doc_id >= {10**9}").collect()}
+    said = {t: "unknown" if got[k]["n_unknown"] else got[k]["families"] for k, t in enumerate(want)}
+    assert said == want
+
+
+def test_license_windows_equal_all_pieces_one_by_one(spark, monkeypatch):
+    """Brute force: every line and window as rows of their own, whatever stretches a paragraph is read in."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = licenses.fit(docs.selectExpr("doc_id AS id", "text"))
+    monkeypatch.setattr(licenses, "STRETCH", 160)
+    texts = [r["text"] or "" for r in docs.collect()] + ["one", "Released under\nthe MIT License.", "a b"]
+    for t in texts:
+        held = licenses.paragraphs(t.encode())
+        want = []
+        for lines in held:
+            flat = [w for x in lines for w in x]
+            cut, at = [], 0
+            for x in lines:
+                if len(x) <= licenses.LINE_WORDS:
+                    cut.append((at, at + len(x)))
+                at += len(x)
+            for size, stride in licenses.WINDOWS:
+                if len(lines) > 1 or len(flat) > size:
+                    cut += [(k, min(k + size, len(flat))) for k in range(0, max(1, len(flat) - size + stride), stride)]
+            said = licenses.judge(model, [flat[a:z] for a, z in cut])
+            want.append(licenses.verdict([(a, z, flat[a:z], f, p) for (a, z), (f, p) in zip(cut, said, strict=True)
+                                          if f != "none"]))
+        got = licenses.judge_paragraphs(model, held, licenses.WordHash())
+        assert [(sorted(f), odd) for f, odd in got] == [(sorted(f), odd) for f, odd in want]
