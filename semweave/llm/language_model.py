@@ -387,18 +387,53 @@ def fit(stored: DataFrame, rounds: int = ROUNDS, draws: int = DRAWS) -> tuple[Da
 
 # ------------------------------------------------------------------ scores
 
+NO_PAIR = -1
+ANSWER = np.dtype([("u", "<i8"), ("w", "<i8"), ("n", "<i8"), ("base", "<f4"), ("mass", "<f4")])
+
 def _answers(stored: DataFrame, pairs: DataFrame, parents: DataFrame, contexts: DataFrame, totals: dict) -> DataFrame:
-    """``(unit, u, w, n, base, mass)``: words (u -1; mass: tables as a context) and pairs (mass: the numerator)."""
+    """``(unit, rows)``: packed words (u ``NO_PAIR``; mass: tables as a context) and pairs (mass: the numerator).
+
+    A word may come twice, with the same values.
+    """
     base = parent_chance(F.col("p"), F.col("q"), totals).cast("float")
     known = parents.join(contexts.withColumnRenamed("u", "w"), "w", "left").select(
         "w", "n", base.alias("base"), F.coalesce("tables", F.lit(0.0)).cast("float").alias("mass"))
-    asked = stored.where(F.col("kind") == ASK).select(F.col("u").alias("unit"), "w").distinct()
-    words = asked.join(known, "w").select("unit", F.lit(-1).cast("long").alias("u"), "w", "n", "base", "mass")
+    asked = stored.where(F.col("kind") == ASK).select(F.col("u").alias("unit"), "w")
+    words = asked.join(known, "w").select("unit", F.lit(NO_PAIR).cast("long").alias("u"), "w", "n", "base", "mass")
     mass = pairs.select("u", "w", (F.col("n") - F.lit(DISCOUNT) * F.col("t")).cast("float").alias("mass"))
     asked = stored.where(F.col("kind") == PAIR).select("u", "w", "units").join(mass, ["u", "w"])
     seated = asked.select(F.explode("units").alias("unit"), "u", "w", F.lit(0).cast("long").alias("n"),
                           F.lit(0.0).cast("float").alias("base"), "mass")
-    return words.unionByName(seated)
+    schema = pa.schema([("unit", pa.int64()), ("rows", pa.binary())])
+
+    def packed(held: list[pa.RecordBatch]):
+        tbl = pa.Table.from_batches(held)
+        cols = [tbl.column(k).to_numpy() for k in range(6)]
+        by = np.argsort(cols[0], kind="stable")
+        unit = cols[0][by]
+        own = np.zeros(len(by), ANSWER)
+        for c, x in zip(ANSWER.names, cols[1:], strict=True):
+            own[c] = x[by]
+        ends = runs([unit])
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(unit[lo:lo + 1]), pa.array([own[lo:hi].tobytes()], pa.binary())],
+                                             schema=schema)
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size > FLUSH:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    columns = "unit", "u", "w", "n", "base", "mass"
+    both = [x.select(*columns).mapInArrow(run, "unit long, rows binary") for x in (words, seated)]
+    return both[0].unionByName(both[1])
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,14 +451,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        context = right.column("u").to_numpy()
-        is_word = context < 0
-        right_w = right.column("w").to_numpy().view(U64)
-        mass = right.column("mass").to_numpy().astype(np.float64)
+        got = np.frombuffer(b"".join(right.column("rows").to_pylist()), ANSWER)
+        context, right_w = got["u"].copy(), got["w"].copy().view(U64)
+        is_word, mass = context == NO_PAIR, got["mass"].astype(np.float64)
         by = np.argsort(right_w[is_word])
         w = np.append(right_w[is_word][by], U64(0xFFFFFFFFFFFFFFFF))  # the last stands for words without an answer
-        count = np.append(right.column("n").to_numpy()[is_word][by].astype(np.float64), 0.0)
-        parent = np.append(right.column("base").to_numpy()[is_word][by].astype(np.float64), unknown)
+        count = np.append(got["n"][is_word][by].astype(np.float64), 0.0)
+        parent = np.append(got["base"][is_word][by].astype(np.float64), unknown)
         tables = np.append(mass[is_word][by], 0.0)
         key = pair_key(context[~is_word].view(U64), right_w[~is_word])
         by = np.argsort(key)
