@@ -224,11 +224,6 @@ def _added_up(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartition(buckets, "bucket").mapInArrow(run, "kind byte, u long, w long, n long, units array<long>")
 
 
-def _free_shuffles(spark) -> None:
-    """Spark deletes the shuffle files of plans that the driver has let go of, but only once its heap is collected."""
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 # ------------------------------------------------------------------ seating
 
 EXACT = 512
@@ -387,7 +382,6 @@ def fit(stored: DataFrame, rounds: int = ROUNDS, draws: int = DRAWS) -> tuple[Da
         if last is not None:
             drop_materialized(last)
         last = pairs
-        _free_shuffles(words.sparkSession)
     return pairs, parents, contexts, totals
 
 
@@ -448,9 +442,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = 8 + int(size // BUCKET_BYTES)
     stored = materialize(_added_up(_packed(own, buckets), buckets), "lm_counts")
-    _free_shuffles(docs.sparkSession)
     pairs, parents, contexts, totals = fit(stored)
-    _free_shuffles(docs.sparkSession)
     start = contexts.where(F.col("u") == START).first()["tables"]
     answers = _answers(stored, pairs, parents, contexts, totals)
     n_train, vocabulary, ends = totals["train"], totals["vocabulary"], totals["ends"]
