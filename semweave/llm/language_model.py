@@ -51,7 +51,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 100.0
 ROUNDS, DRAWS = 3, 4
 SEED = 7
 #: Rows of a unit, tokens after which a task packs what it holds, text bytes of a bucket, context bits that spread a dish.
-UNIT_ROWS, FLUSH, BUCKET_BYTES, SPREAD = 4000, 500_000, 3 << 20, 15
+UNIT_ROWS, FLUSH, BUCKET_BYTES, SPREAD = 4000, 1_000_000, 3 << 20, 15
 END = b"\n"  # no word has white space, so this names the end token
 START = 0    # the context of a text's first token; no word has this hash
 PAIR, WORD, ASK = 0, 1, 2
