@@ -828,9 +828,10 @@ def q_knn_blocks(spark, sf):
 
 @register("knn_lsh_check", """
 SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(0 AS BIGINT) AS self_pairs, CAST(0 AS BIGINT) AS repeated_pairs,
-       CAST(0 AS BIGINT) AS wrong_distances FROM embeddings""")
+       CAST(0 AS BIGINT) AS wrong_distances, true AS most_have_neighbours FROM embeddings""")
 def q_knn_lsh_check(spark, sf):
-    """Faults of the LSH neighbours: pairs with oneself, pairs that come twice, distances that are not the pair's."""
+    """Faults of the LSH neighbours: pairs with oneself, pairs that come twice, distances that are not the pair's;
+    and whether more than half of the vectors have a neighbour at all."""
     from semweave.functions.vector import cosine_distance
 
     v = _vectors(spark, sf)
@@ -842,10 +843,12 @@ def q_knn_lsh_check(spark, sf):
                                         F.max(F.abs(F.col("dist") - F.col("true"))).alias("off"))
     found = pairs.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_pairs"),
                       F.count_if(F.col("n") > 1).alias("repeated_pairs"),
-                      F.count_if(F.col("off") > 1e-5).alias("wrong_distances")).first()
+                      F.count_if(F.col("off") > 1e-5).alias("wrong_distances"),
+                      F.countDistinct("src").alias("sources")).first()
     return v.agg(F.count(F.lit(1)).alias("vectors")).select(
         "vectors", *[F.lit(found[c]).cast("long").alias(c)
-                     for c in ("self_pairs", "repeated_pairs", "wrong_distances")])
+                     for c in ("self_pairs", "repeated_pairs", "wrong_distances")],
+        (F.col("vectors") < 2 * F.lit(found["sources"])).alias("most_have_neighbours"))
 
 
 @register("knn_recall")
