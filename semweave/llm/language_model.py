@@ -82,6 +82,18 @@ def tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np
     return h, before, n
 
 
+def stretches(texts: list[bytes], size: int = 1 << 20):
+    """Starts and ends of runs of texts of about ``size`` bytes, so that many long ones are never split into words at once."""
+    lo, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield lo, k + 1
+            lo, held = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Seven bytes a hash."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
@@ -145,7 +157,7 @@ def _packed(own: DataFrame, buckets: int) -> DataFrame:
             yield as_batch({c: x[k:k + 64] for c, x in rows.items()}, BLOB_SCHEMA)
 
     def run(batches):
-        words, unit, held, size = Words(), None, [], 0
+        words, unit, held, size = Words(limit=200_000), None, [], 0
         for b in batches:
             units = b.column(3).to_numpy()
             texts, train = fold(b.column(1)), ~np.array(b.column(2).to_pylist(), bool)
@@ -155,8 +167,8 @@ def _packed(own: DataFrame, buckets: int) -> DataFrame:
                     yield from blobs(unit, held)
                     held, size = [], 0
                 unit = int(units[lo])
-                for a in range(lo, hi, 500):
-                    z = min(a + 500, hi)
+                for a, z in stretches(texts[lo:hi]):
+                    a, z = a + lo, z + lo
                     h, before, n = tokens(texts[a:z], words)
                     held.append((before, h, np.repeat(train[a:z], n).astype(np.int64)))
                     size += len(h)
@@ -277,7 +289,7 @@ def draw_tables(n: np.ndarray, base: np.ndarray, strength: np.ndarray, discount:
     lo = 0
     while lo < len(some):
         width = min(int(n[some[lo]]), EXACT)
-        hi = min(len(some), lo + max(1, 400_000 // max(16, 2 * width)))
+        hi = min(len(some), lo + max(1, 100_000 // max(16, 2 * width)))
         rows = some[lo:hi]
         rows = rows[:max(1, np.searchsorted(n[rows], max(16, 2 * width), "right"))]
         lo += len(rows)
@@ -466,11 +478,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts, train = fold(left.column("text").combine_chunks()), ~np.array(left.column("held").to_pylist(), bool)
         words = Words()
         trained, spans = [], []
-        for a in range(0, len(texts), 500):  # the unit's own training pairs
-            h, before, size_ = tokens(texts[a:a + 500], words)
+        for a, z in stretches(texts):  # the unit's own training pairs
+            h, before, size_ = tokens(texts[a:z], words)
             k = pair_key(before, h)
             spans.append((h, before, size_, k))
-            trained.append(k[np.repeat(train[a:a + 500], size_)])
+            trained.append(k[np.repeat(train[a:z], size_)])
         trained = np.unique(np.concatenate(trained))
 
         def place(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
