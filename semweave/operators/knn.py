@@ -6,15 +6,15 @@ Output of every mode is the long-form table
 ordered by ``(dist, dst)``; ``rank`` starts at 1.
 
 ``mode="exact"``
-    Vectors are hashed by their id into ``B`` blocks of at most about
-    ``block_rows`` rows, and enough of them to occupy the cluster.
-    Every unordered block pair ``(p, q)`` becomes one group of at most
-    ``2 * block_rows`` vectors (ids are unique, so hashing cannot skew a
-    block); a vectorised kernel computes the pair's distance matrix and a
-    local top-k in both directions. A final ``row_number() <= k`` window,
-    which Spark turns into a partial + final ``WindowGroupLimit``, merges
-    the ``B * k`` candidates of each source. Work is quadratic by nature;
-    it is the reference and the default for small and medium corpora.
+    Vectors are hashed by their id into sets of queries, as many as the
+    cluster has cores (more where a set would exceed ``SET_ROWS``; ids are
+    unique, so hashing cannot skew a set). A task holds one set and its
+    lists so far and reads all vectors as a stream, in tiles whose size
+    does not depend on the corpus; a source's list is complete where it is
+    made, so no candidates are shuffled and merged. Every vector is sent
+    once per set: bytes shuffled grow with the corpus times the cores. Work
+    (distances computed) is quadratic by nature; it is the reference and
+    the default for small and medium corpora.
 
 ``mode="ivf"``
     Inverted-file search: cosine k-means cells (MLlib), every vector is
@@ -22,7 +22,9 @@ ordered by ``(dist, dst)``; ``rank`` starts at 1.
     Candidates are generated by an equi-join on the cell id; a cell's stored
     rows and its probing rows are both split into salted sub-blocks, and each
     pair of sub-blocks is a group, so a hot cell (one third of the corpus,
-    say) becomes many bounded groups. Centroids (``n_cells x D``) are the only
+    say) becomes many bounded groups. Where a vector would be sent to more
+    cells than the exact mode has sets, cells are streamed past sets of
+    queries instead (:func:`stream_nearest`). Centroids (``n_cells x D``) are the only
     thing that reaches the driver; ``n_cells`` stays below the broadcast bound.
 
 ``mode="descent"``
@@ -45,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semweave.functions.arrow import list_array, pack, unit, unit_matrix, unpack
+from semweave.functions.arrow import list_array, pack, runs, unit, unit_matrix, unpack
 from semweave.session import materialize, ship_package
 
 KNN_SCHEMA = "src long, dst long, rank int, dist double"
@@ -53,7 +55,10 @@ _CAND_SCHEMA = "src long, dst long, dist double"
 # the largest matrix a worker broadcast may hold (bytes)
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_CHUNK = 1024
-_LOOKUP_BLOCK = 4096
+SET_ROWS = 65_536  # queries that a task of the streamed join holds with their lists
+_SET_FLAGS = 128 * 1024 * 1024  # entries of a set's (query, cell) table
+_STREAM_CHUNK = 2048  # stored rows of a tile
+_EQUAL, _SLACK = 1e-9, 2e-12  # distances below count as zero; distances are rounded to 12 places
 
 
 # --------------------------------------------------------------------------
@@ -120,23 +125,152 @@ def _part(tbl: pa.Table, column: str, value: int) -> pa.Table:
     return tbl.filter(pc.equal(tbl.column(column), value))
 
 
-def _pair_kernel(k: int):
-    """Group = rows of block p and block q; local top-k both ways."""
+def _distance(cosine: np.ndarray) -> np.ndarray:
+    d = np.round(1.0 - cosine, 12)
+    d[np.abs(d) < _EQUAL] = 0.0
+    return d
 
-    def run(tbl: pa.Table) -> pa.Table:
-        p, q = tbl.column("p")[0].as_py(), tbl.column("q")[0].as_py()
-        if p == q:
-            ids, mat = _sorted_side(tbl)
-            return _batch(_topk_rows(ids, mat, ids, mat, k, True))
-        a_ids, a_mat = _sorted_side(_part(tbl, "blk", p))
-        b_ids, b_mat = _sorted_side(_part(tbl, "blk", q))
-        s1, d1, x1 = _topk_rows(a_ids, a_mat, b_ids, b_mat, k, False)
-        s2, d2, x2 = _topk_rows(b_ids, b_mat, a_ids, a_mat, k, False)
-        return _batch((s1 + s2, d1 + d2, x1 + x2))
+
+class _Lists:
+    """The ``k`` nearest stored rows of a set of queries, fed with stored rows chunk by chunk.
+
+    Lists are kept in the order ``(dist, dst)``. A tile of cosines is compared
+    with the last distance of each list; only entries that may enter it are
+    rounded and sorted in.
+    """
+
+    def __init__(self, k: int, ids: np.ndarray, mat: np.ndarray):
+        self.k, self.ids, self.mat = k, ids, mat
+        self.dist = np.full((len(ids), k), np.inf)
+        self.dst = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, mat: np.ndarray, first: np.ndarray) -> None:
+        """``rows`` of the set against stored rows; ``first`` marks the first row of an id, which the query's own row skips."""
+        for start in range(0, len(rows), _ROW_CHUNK):
+            r = rows[start:start + _ROW_CHUNK]
+            cos = self.mat[r] @ mat.T
+            hit = cos >= self._least(self.dist[r, -1])[:, None]
+            if len(ids) > self.k + 1 and np.count_nonzero(hit) > 4 * self.k * len(r):
+                # one more than k: the nearest may be the query itself
+                kth = np.partition(cos, len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1]
+                hit &= cos >= self._least(1.0 - kth)[:, None]
+            i, j = np.divmod(np.flatnonzero(hit), len(ids))
+            d, at, c = _distance(cos[i, j]), r[i], ids[j]
+            last = self.dist[at, -1]
+            keep = (d < last) | ((d == last) & (c < self.dst[at, -1]))
+            keep &= ~((c == self.ids[at]) & first[j])
+            self._enter(at[keep], c[keep], d[keep])
+
+    @staticmethod
+    def _least(dist: np.ndarray) -> np.ndarray:
+        """The smallest cosine whose distance may be at most ``dist``."""
+        return 1.0 - np.maximum(dist, _EQUAL) - _SLACK
+
+    def _enter(self, at: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> None:
+        if not len(at):
+            return
+        rows = np.unique(at)
+        row, c, d = (np.concatenate([x, y]) for x, y in (
+            (np.repeat(rows, self.k), at), (self.dst[rows].ravel(), dst), (self.dist[rows].ravel(), dist)))
+        order = np.lexsort((c, d, row))
+        row, c, d = row[order], c[order], d[order]
+        place = _place_in_run(row)
+        best = place < self.k
+        self.dist[row[best], place[best]] = d[best]
+        self.dst[row[best], place[best]] = c[best]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """``(src, dst, rank, dist)``; rows of one id (they lie in one set) share a list."""
+        order = np.argsort(self.ids, kind="stable")
+        ids = self.ids[order]
+        if len(ids) and (ids[1:] == ids[:-1]).any():
+            src, dst, dist = np.repeat(ids, self.k), self.dst[order].ravel(), self.dist[order].ravel()
+            by = np.lexsort((dst, dist, src))
+            src, dst, dist = src[by], dst[by], dist[by]
+            rank = _place_in_run(src) + 1
+            keep = (rank <= self.k) & np.isfinite(dist)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(src[keep], pa.int64()), pa.array(dst[keep], pa.int64()), pa.array(rank[keep].astype(np.int32)),
+                 pa.array(dist[keep])], ["src", "dst", "rank", "dist"])
+            return
+        for start in range(0, len(ids), _ROW_CHUNK):
+            o = order[start:start + _ROW_CHUNK]
+            keep = np.isfinite(self.dist[o])
+            i, j = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(self.ids[o][i], pa.int64()), pa.array(self.dst[o][keep], pa.int64()),
+                 pa.array((j + 1).astype(np.int32)), pa.array(self.dist[o][keep])], ["src", "dst", "rank", "dist"])
+
+
+def _place_in_run(keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside every run of equal keys."""
+    at = runs(keys)
+    return np.arange(len(keys)) - np.repeat(at[:-1], np.diff(at))
+
+
+def _stream_kernel(k: int):
+    """Rows in order of set and role: the queries of a set (role 0), then the stored rows (role 1) by cell and id.
+
+    Queries with a null ``probes`` meet all stored rows, others those of the cells they list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asked, lists, flags, last = None, [], None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = runs(b.column("set").to_numpy() * 2 + b.column("role").to_numpy())
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                part = b.slice(s, e - s)
+                if part.column("set")[0].as_py() != key:
+                    if lists is not None:
+                        yield from lists.rows()
+                    key, asked, lists, flags, last = part.column("set")[0].as_py(), [], None, None, None
+                ids, mat = part.column("id").to_numpy(zero_copy_only=False), unpack(part.column("vec"))
+                fine = np.isfinite(mat).all(1)  # the distances of other rows are no numbers
+                if not part.column("role")[0].as_py():
+                    asked.append((ids[fine], mat[fine], part.column("probes").filter(pa.array(fine))))
+                    continue
+                if not asked:
+                    continue  # no query of the set
+                if lists is None:
+                    lists = _Lists(k, np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked]))
+                    flags = _flags([a[2] for a in asked])
+                    asked = [None]
+                cells = part.column("cell").to_numpy()
+                before = (None, None) if last is None else last
+                first = np.concatenate([[(cells[0], ids[0]) != before], (cells[1:] != cells[:-1]) | (ids[1:] != ids[:-1])])
+                last = (cells[-1], ids[-1])
+                ids, mat, cells, first = ids[fine], mat[fine], cells[fine], first[fine]
+                cuts = [0, len(ids)] if flags is None else runs(cells)
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    if flags is None:
+                        rows = np.arange(len(lists.ids))
+                    elif y > x and 0 <= cells[x] + 1 < flags.shape[1]:
+                        rows = np.flatnonzero(flags[:, cells[x] + 1])
+                    else:
+                        continue
+                    for c in range(x, y, _STREAM_CHUNK):
+                        to = slice(c, min(y, c + _STREAM_CHUNK))
+                        lists.meet(rows, ids[to], mat[to], first[to])
+        if lists is not None:
+            yield from lists.rows()
 
     return run
 
 
+def _flags(probes: list[pa.Array]) -> np.ndarray | None:
+    """Query x (cell + 1): whether the query probes the cell (cell -1 holds zero vectors); None: all probe all."""
+    col = pa.concat_arrays(probes)
+    if len(col) == 0 or col.null_count == len(col):
+        return None
+    cells = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(len(col)), col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    out = np.zeros((len(col), (int(cells.max()) if len(cells) else -1) + 2), bool)
+    out[rows, cells + 1] = True
+    return out
+
+
 def _probe_kernel(k: int):
     """Group = (cell, sub-block): queries probing the cell x stored rows."""
 
@@ -205,7 +339,7 @@ def knn_join(vectors: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "
         raise ValueError("k must be >= 1")
     v = _prep(vectors, id_col, vec_col)
     if mode == "exact":
-        return _knn_exact(v, k, block_rows, num_blocks)
+        return _knn_exact(v, k, num_blocks)
     if mode == "ivf":
         return _knn_ivf(v, k, n_cells, nprobe, seed, block_rows)
     if mode == "lsh":
@@ -217,22 +351,49 @@ def knn_join(vectors: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _knn_exact(v: DataFrame, k: int, block_rows: int, num_blocks: int | None) -> DataFrame:
-    if num_blocks is None:
-        n = v.count()  # row-group metadata only for Parquet
-        spread = math.ceil(math.sqrt(2 * v.sparkSession.sparkContext.defaultParallelism))
-        num_blocks = max(1, math.ceil(n / block_rows), min(spread, math.ceil(n / 64)))
-    b = int(num_blocks)
-    v = _unit(v).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
-    if b == 1:
-        pairs = v.withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
-    else:
-        other = F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-        pairs = (v.select("id", "vec", "blk", other.alias("j"))
-                 .select("id", "vec", "blk",
-                         F.least("blk", "j").alias("p"), F.greatest("blk", "j").alias("q")))
-    cand = pairs.groupBy("p", "q").applyInArrow(_pair_kernel(k), _CAND_SCHEMA)
-    return final_topk(cand, k)
+def _sets(v: DataFrame, n: int, num_sets: int | None = None, cells: int = 0) -> int:
+    """Sets of queries: one for every core, and enough of them that a set fits a task."""
+    most = SET_ROWS if not cells else max(1, min(SET_ROWS, _SET_FLAGS // cells))
+    if num_sets is None:
+        num_sets = max(1, min(v.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 64)))
+    return num_sets * max(1, math.ceil(n / num_sets / most))
+
+
+def _own_set(sets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(sets)).cast("int")
+
+
+def _run_stream(placed: DataFrame, sets: int, k: int) -> DataFrame:
+    """``placed(set, role, cell, id, vec, probes)``: every set is one partition, read in order by one task."""
+    rows = placed.repartitionById(sets, F.col("set")).sortWithinPartitions("set", "role", "cell", "id")
+    return rows.mapInArrow(_stream_kernel(k), KNN_SCHEMA)
+
+
+def stream_nearest(stored: DataFrame, queries: DataFrame, k: int, sets: int) -> DataFrame:
+    """``knn(src, dst, rank, dist)`` of ``queries(id, vec[, probes])`` among ``stored(id, vec[, cell])``.
+
+    Unit vectors as packed by :func:`_unit`. A query meets all stored rows, or
+    those of the cells in ``probes``. It is sent once and a stored row once
+    per set, however many cells are probed.
+    """
+    cell = F.col("cell") if "cell" in stored.columns else F.lit(0)
+    probes = F.col("probes") if "probes" in queries.columns else F.lit(None)
+    every = F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))
+    ask = queries.select(_own_set(sets).alias("set"), F.lit(0).alias("role"), F.lit(0).alias("cell"), "id", "vec",
+                         probes.cast("array<int>").alias("probes"))
+    meet = stored.select(every.alias("set"), F.lit(1).alias("role"), cell.cast("int").alias("cell"), "id", "vec",
+                         F.lit(None).cast("array<int>").alias("probes"))
+    return _run_stream(ask.unionByName(meet), sets, k)
+
+
+def _knn_exact(v: DataFrame, k: int, num_blocks: int | None) -> DataFrame:
+    sets = _sets(v, v.count(), num_blocks)  # row-group metadata only for Parquet
+    # each row once as a query and once per set as a stored row, from one pass
+    stored = F.transform(F.sequence(F.lit(0), F.lit(sets - 1)), lambda s: F.struct(s.alias("set"), F.lit(1).alias("role")))
+    asks = F.array(F.struct(_own_set(sets).alias("set"), F.lit(0).alias("role")))
+    placed = _unit(v).select("id", "vec", F.explode(F.concat(asks, stored)).alias("p")).select(
+        "p.set", "p.role", F.lit(0).alias("cell"), "id", "vec", F.lit(None).cast("array<int>").alias("probes"))
+    return _run_stream(placed, sets, k)
 
 
 def _nearest_cells(centroids: np.ndarray, nprobe: int):
@@ -361,8 +522,8 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
     The query vectors are collected and broadcast (their count is checked
     against ``max_queries`` and the broadcast byte bound); each partition of
     the corpus is scanned once, keeps a local top-k per query, and a final
-    window merges the partial lists. Beyond the bound, blocks of queries meet
-    blocks of the corpus as groups, with the same result.
+    window merges the partial lists. Beyond the bound, the corpus is streamed
+    past sets of queries, with the same result.
     """
     v = _prep(vectors, id_col, vec_col)
     q = query_ids.select(F.col(query_id_col).cast("long").alias("qid")).distinct()
@@ -372,8 +533,7 @@ def knn_lookup(vectors: DataFrame, query_ids: DataFrame, k: int, *, id_col: str
         return v.sparkSession.createDataFrame([], KNN_SCHEMA)
     dim = len(qv.select("vec").first()["vec"])
     if n_q > max_queries or n_q * dim * 8 > MAX_BROADCAST_BYTES:
-        return _bucketed_candidates(_unit(v).withColumn("bucket", F.lit(0)), _unit(qv).withColumn("bucket", F.lit(0)), k,
-                                    _LOOKUP_BLOCK, dedup=False)
+        return stream_nearest(_unit(v), _unit(qv), k, _sets(v, n_q))
     rows = qv.collect()  # bounded by max_queries x dim, checked above
     q_ids = np.array([r["id"] for r in rows], dtype=np.int64)
     order = np.argsort(q_ids)
@@ -427,7 +587,7 @@ def knn_append(knn: DataFrame, old: DataFrame, new: DataFrame, k: int, *, id_col
 
     pairs = side(a, "p", na, "q", nb, 0).unionByName(side(b, "q", nb, "p", na, 1))
     across = pairs.groupBy("p", "q").applyInArrow(_cross_kernel(k), _CAND_SCHEMA)
-    inside = _knn_exact(b, k, block_rows, None).select("src", "dst", "dist")
+    inside = _knn_exact(b, k, None).select("src", "dst", "dist")
     kept = knn.where(F.col("rank") <= k).select("src", "dst", "dist")
     return final_topk(kept.unionByName(across).unionByName(inside), k)
 
