@@ -477,7 +477,15 @@ def _place(v: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
 
 def _knn_ivf(v: DataFrame, k: int, n_cells: int | None, nprobe: int, seed: int,
              block_rows: int) -> DataFrame:
-    cells = _place(v, _fit_cells(v, n_cells, seed), nprobe)
+    centroids = _fit_cells(v, n_cells, seed)
+    n = v.count()
+    if nprobe >= len(centroids):  # all cells: they need not be listed
+        cells = _place(v, centroids, 1)
+        return stream_nearest(cells.withColumnRenamed("home", "cell"), cells.select("id", "vec"), k, _sets(v, n))
+    cells = _place(v, centroids, nprobe)
+    sets = _sets(v, n, cells=len(centroids))
+    if nprobe > sets:  # a row goes to fewer sets than cells
+        return stream_nearest(cells.withColumnRenamed("home", "cell"), cells, k, sets)
     home = cells.select("id", "vec", F.col("home").alias("bucket"))
     probe = cells.select("id", "vec", F.explode("probes").alias("bucket"))
     # each row is stored in exactly one cell and probes distinct cells, so a

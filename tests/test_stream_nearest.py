@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from semweave.operators import knn as K
 
@@ -71,3 +72,20 @@ def test_odd_rows(spark):
     assert {r[0] for r in want} == {i for i, _ in rows} - {201}
     assert [r[2] for r in want if r[0] == 130] == list(range(100, 107))
     assert [r[2:] for r in want if r[0] == 5][0] == (5, 0.0)  # the other row of the id
+
+
+@pytest.mark.parametrize("nprobe", [6, 9, 1_000_000])
+def test_many_probes_send_a_query_once(spark, monkeypatch, nprobe):
+    """More cells than sets: the rows of the old way, without a copy of a query for every cell it probes."""
+    v = _vectors(spark, 300)
+    monkeypatch.setattr(K, "_sets", lambda *a, **kw: 2)
+    calls = []
+    bucketed = K._bucketed_candidates
+    monkeypatch.setattr(K, "_bucketed_candidates", lambda *a, **kw: calls.append(1) or bucketed(*a, **kw))
+    got = _rows(K.knn_join(v, 5, mode="ivf", n_cells=9, nprobe=nprobe))
+    assert not calls
+    monkeypatch.setattr(K, "_sets", lambda *a, **kw: 100)
+    if nprobe < 9:
+        assert got == _rows(K.knn_join(v, 5, mode="ivf", n_cells=9, nprobe=nprobe)) and calls
+    else:
+        assert got == _rows(K.knn_join(v, 5))
