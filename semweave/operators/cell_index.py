@@ -13,10 +13,13 @@ the triangle inequality, so no member of a cell is nearer to a query than
 first; the k-th distance found there bounds the answer, and of the other
 cells only those whose bound is not beyond it are read. Both reads join the
 partition column with the table of wanted cells, which Spark turns into
-dynamic partition pruning: files of other cells are not opened. Cells and
-queries meet in bounded sub-blocks (``knn._bucketed_candidates``), so a cell
-that holds a third of the vectors is many groups, and any number of queries
-goes the same way.
+dynamic partition pruning: files of other cells are not opened. In the first
+read, of a few cells a query, cells and queries meet in bounded sub-blocks
+(``knn._bucketed_candidates``), so a cell that holds a third of the vectors is
+many groups. In the second a query may want many cells, all of them where
+cells overlap: it is sent once with their list, and the cells stream past
+bounded sets of queries (``knn.stream_nearest``). Any number of queries goes
+the same way.
 
 The vectors of query ids are taken from the index as well, by the cells in
 which the ids lie. Zero vectors have distance 1 to all and no angle: they are kept in a cell
@@ -33,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semweave.functions.arrow import pack, unpack
+from semweave.functions.arrow import list_array, pack, unpack
 from semweave.operators import knn as K
 from semweave.session import drop_materialized, materialize, ship_package
 
 SLACK = 1e-7  # angles: rounding of the arc cosine
 EQUAL = 1e-9  # distances below count as zero (knn), so they tie
 ZERO_CELL = -1
+_ROWS = 1024  # queries whose cells are found at a time
 
 
 def _angle(cosine: np.ndarray) -> np.ndarray:
@@ -111,7 +115,7 @@ def _read_cells(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _wanted(queries: DataFrame, cells: DataFrame, nearest: int | None) -> DataFrame:
-    """``(id, vec, cell)``: the ``nearest`` cells of each query, or those within ``reach`` (not yet read)."""
+    """``(id, vec, probes)``: the ``nearest`` cells of each query, or those within ``reach`` (not yet read)."""
     rows = sorted(cells.collect(), key=lambda r: r["cell"])  # a row a cell, below the broadcast bound when built
     real = [r for r in rows if r["centre"] is not None]
     number = np.array([r["cell"] for r in real], np.int32)
@@ -121,37 +125,45 @@ def _wanted(queries: DataFrame, cells: DataFrame, nearest: int | None) -> DataFr
     zero = any(r["cell"] == ZERO_CELL for r in rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q = unpack(b.column(1))
-            angle = _angle(q @ centre.T) if len(number) else np.zeros((len(q), 0))
-            if nearest is not None:
-                order = np.argsort(angle, axis=1, kind="stable")
-                # enough cells for so many vectors
-                some = np.cumsum(held[order], 1) - held[order] < nearest
-                hit = np.zeros_like(some)
-                np.put_along_axis(hit, order, some, 1)
-            else:
-                reach = b.column(2).to_numpy(zero_copy_only=False)
-                hit = angle - radius <= reach[:, None] + SLACK
-                hit |= ~q.any(1)[:, None]  # a zero query is as far from all
-                done = b.column(3).to_pylist()
-                for i, cs in enumerate(done):
-                    hit[i, np.isin(number, cs)] = False
-            i, j = np.nonzero(hit)
-            cell = number[j]
-            if nearest is not None and zero:
-                i, cell = np.concatenate([i, np.arange(len(q))]), np.concatenate([cell, np.full(len(q), ZERO_CELL, np.int32)])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pack(q[i]), pa.array(cell, pa.int32())],
-                                             ["id", "vec", "cell"])
-
-    return queries.mapInArrow(run, "id long, vec binary, cell int")
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(start, _ROWS)
+                q = unpack(b.column(1))
+                angle = _angle(q @ centre.T) if len(number) else np.zeros((len(q), 0))
+                if nearest is not None:
+                    order = np.argsort(angle, axis=1, kind="stable")
+                    # enough cells for so many vectors
+                    some = np.cumsum(held[order], 1) - held[order] < nearest
+                    hit = np.zeros_like(some)
+                    np.put_along_axis(hit, order, some, 1)
+                else:
+                    reach = b.column(2).to_numpy(zero_copy_only=False)
+                    hit = angle - radius <= reach[:, None] + SLACK
+                    hit |= ~q.any(1)[:, None]  # a zero query is as far from all
+                    done = b.column(3).to_pylist()
+                    for i, cs in enumerate(done):
+                        hit[i, np.isin(number, cs)] = False
+                names = number
+                if nearest is not None and zero:
+                    names = np.concatenate([[ZERO_CELL], number]).astype(np.int32)
+                    hit = np.concatenate([np.ones((len(q), 1), bool), hit], 1)
+                some = hit.any(1)
+                ends = np.concatenate([[0], np.cumsum(hit[some].sum(1))])
+                probes = list_array(names[np.nonzero(hit[some])[1]], ends, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), pack(q[some]), probes],
+                                                 ["id", "vec", "probes"])
+
+    return queries.mapInArrow(run, "id long, vec binary, probes array<int>")
+
+
+def _cells_of(wanted: DataFrame) -> DataFrame:
+    return wanted.select(F.explode("probes").alias("cell"))
 
 
 def _nearest_in(vectors: DataFrame, wanted: DataFrame, k: int, block_rows: int) -> DataFrame:
-    home = _read_cells(vectors, wanted).select("id", "vec", F.col("cell").alias("bucket"))
-    return K._bucketed_candidates(home, wanted.select("id", "vec", F.col("cell").alias("bucket")), k, block_rows,
+    """Few cells a query: every (query, cell) is a row."""
+    home = _read_cells(vectors, _cells_of(wanted)).select("id", "vec", F.col("cell").alias("bucket"))
+    return K._bucketed_candidates(home, wanted.select("id", "vec", F.explode("probes").alias("bucket")), k, block_rows,
                                   dedup=False)
 
 
@@ -177,14 +189,15 @@ def index_lookup(spark: SparkSession, path: str, query_ids: DataFrame, k: int, *
     near = materialize(_wanted(queries, cells, first or 4 * k + 1), "near_cells")
     found = materialize(_nearest_in(vectors, near, k, block_rows), "near")
     last = found.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
-    read = near.groupBy(F.col("id").alias("rid")).agg(F.collect_list("cell").alias("done"))
+    read = near.select(F.col("id").alias("rid"), F.explode("probes").alias("cell")).groupBy("rid").agg(
+        F.collect_list("cell").alias("done"))
     # distances are rounded to 12 places
     far = F.greatest(F.lit(-1.0), 1 - 2e-12 - F.greatest(F.col("far"), F.lit(EQUAL)))
     reach = F.when(F.col("n") >= k, F.acos(far)).otherwise(F.lit(math.pi))
     bounded = queries.join(last, F.col("id") == F.col("src"), "left").join(read, F.col("id") == F.col("rid"), "left").select(
         "id", "vec", F.coalesce(reach, F.lit(math.pi)).alias("reach"), F.coalesce("done", F.array()).alias("done"))
     rest = materialize(_wanted(bounded, cells, None), "far_cells")
-    more = _nearest_in(vectors, rest, k, block_rows)
+    more = K.stream_nearest(_read_cells(vectors, _cells_of(rest)), rest, k, K._sets(rest, rest.count(), cells=cells.count()))
     cand = found.select("src", "dst", "dist").unionByName(more.select("src", "dst", "dist"))
     return K.final_topk(cand, k)
 

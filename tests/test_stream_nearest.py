@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from semweave.operators import cell_index as CI
 from semweave.operators import knn as K
 
 VECS = "id long, embedding array<double>"
@@ -89,3 +91,17 @@ def test_many_probes_send_a_query_once(spark, monkeypatch, nprobe):
         assert got == _rows(K.knn_join(v, 5, mode="ivf", n_cells=9, nprobe=nprobe)) and calls
     else:
         assert got == _rows(K.knn_join(v, 5))
+
+
+def test_index_names_the_cells_of_a_query_in_one_row(spark, tmp_path):
+    """A query that wants many cells was a row with its vector for each of them, made by one batch."""
+    v = _vectors(spark, 300)
+    path = str(tmp_path / "index")
+    CI.build_index(v, path, n_cells=20)
+    vectors, cells = CI.open_index(spark, path)
+    q = CI.query_vectors(vectors, spark.range(50)).select("id", "vec", F.lit(math.pi).alias("reach"),
+                                                          F.array().cast("array<int>").alias("done"))
+    wanted = CI._wanted(q, cells, None)
+    assert wanted.count() == 50
+    assert wanted.select(F.size("probes").alias("n")).distinct().collect()[0]["n"] == cells.count()
+    assert _rows(CI.index_lookup(spark, path, spark.range(50), 5)) == _rows(K.knn_lookup(v, spark.range(50), 5))
