@@ -101,6 +101,15 @@ def _drop_views(spark, *names: str) -> None:
         spark.catalog.dropTempView(n)
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the graph: a merge, so that neither passes through the driver as a broadcast.
+
+    Every round joins anew; tables just below the broadcast limit would reach
+    the driver in each of them.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _hub_round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improved: list,
                level: int, sweep: int, parity: int, seed: int) -> DataFrame:
     """One local-moving round for the eligible half of the hubs (``blk < 0``) of the active graphs.
@@ -130,7 +139,7 @@ def _hub_round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improve
     out = spark.sql(f"""
         WITH st AS (SELECT g, node, comm, prev, best, k, blk FROM {st} WHERE g IN {act}),
         w_uc AS (
-          SELECT a.g, a.u, n.comm AS cv, a.w, a.k, false AS own, CAST(NULL AS BIGINT) AS prev,
+          SELECT /*+ MERGE(n) */ a.g, a.u, n.comm AS cv, a.w, a.k, false AS own, CAST(NULL AS BIGINT) AS prev,
                  CAST(NULL AS BIGINT) AS best
           FROM {ar} a JOIN st n ON n.g = a.g AND n.node = a.v
           WHERE a.g IN {act} AND {looked_at('a.g', 'a.u')}
@@ -141,7 +150,7 @@ def _hub_round(state: DataFrame, arcs: DataFrame, m: dict, active: list, improve
                  FROM w_uc GROUP BY g, u, cv),
         tot AS (SELECT g, comm, sum(k) AS tot, count(1) AS size FROM st GROUP BY g, comm),
         scored AS (
-          SELECT c.*, t.tot, t.size,
+          SELECT /*+ MERGE(t) */ c.*, t.tot, t.size,
                  c.wuc / element_at({mmap}, c.g)
                    - c.ku * (t.tot - CASE WHEN c.own THEN c.ku ELSE 0.0 END)
                      / (2.0 * element_at({mmap}, c.g) * element_at({mmap}, c.g)) AS gain
@@ -179,10 +188,10 @@ def _block_round(state: DataFrame, arcs: DataFrame, copies: DataFrame | None, m:
     """
     st = state.where(F.col("g").isin(active))
     tot = st.groupBy("g", "comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
-    st = st.join(tot, ["g", "comm"]).select("blk", "g", "node", "comm", "prev", "best", "k", "tot", "size")
+    st = _join(st, tot, ["g", "comm"]).select("blk", "g", "node", "comm", "prev", "best", "k", "tot", "size")
     nodes = st.where("blk >= 0").withColumn("own", F.lit(True))
     if copies is not None:
-        seen = st.drop("blk").join(copies, ["g", "node"]).select(nodes.columns[:-1]).withColumn("own", F.lit(False))
+        seen = _join(st.drop("blk"), copies, ["g", "node"]).select(nodes.columns[:-1]).withColumn("own", F.lit(False))
         nodes = nodes.unionByName(seen)
     salt = (seed * 1_000_003 + level) * 1_000_003 + sweep
     kernel = move_kernel(m, improved, parity, salt, copies is None)
@@ -270,15 +279,15 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
             k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("prev"), F.col("node").alias("best"),
                      "k", blk.cast("long").alias("blk")), "state", observe={"hubs": F.count_if(F.col("blk") < 0)})
         hubs = int(seen.get("hubs") or 0)
-        placed = level_edges.filter(F.col("a") != F.col("b")).select("g", F.inline(both), "w").join(
-            state.select("g", F.col("node").alias("u"), "k", "blk"), ["g", "u"])
-        arcs = materialize_bucketed(placed.select("blk", "g", "u", "v", "w", "k"), "blk", "arcs")
+        placed = _join(level_edges.filter(F.col("a") != F.col("b")).select("g", F.inline(both), "w"),
+                       state.select("g", F.col("node").alias("u"), "k", "blk"), ["g", "u"])
+        arcs = materialize_bucketed(placed.select("blk", "g", "u", "v", "w", "k"), "blk", "arcs", blocks + 1)
         small = arcs.where("blk >= 0") if hubs else arcs
         copies = None
         if blocks > 1 or hubs:
             touched = small.select("blk", "g", F.col("v").alias("node")).distinct()
             home = state.select("g", "node", F.col("blk").alias("home"))
-            copies = materialize(touched.join(home, ["g", "node"]).where("blk <> home").select("blk", "g", "node"), "copies")
+            copies = materialize(_join(touched, home, ["g", "node"]).where("blk <> home").select("blk", "g", "node"), "copies")
         if assign is None:  # identity map, read from the level-0 edge table
             assign = k.select("g", "node", F.col("node").alias("comm"))
         best_q = dict(final_q)  # contraction preserves modularity: a level starts where the last ended
@@ -355,12 +364,12 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
         mapping = (state.filter(F.col("g").isin(running))
                    .select("g", F.col("node").alias("comm"), F.col("best").alias("new_comm")))
         old_assign, old_edges = assign, level_edges
-        assign = materialize(assign.join(mapping, ["g", "comm"], "left")
+        assign = materialize(_join(assign, mapping, ["g", "comm"], "left")
                              .select("g", "node", F.coalesce("new_comm", "comm").alias("comm")), "assign")
         c1 = state.select("g", F.col("node").alias("a"), F.col("best").alias("ca"))
         c2 = state.select("g", F.col("node").alias("b"), F.col("best").alias("cb"))
         level_edges = materialize(
-            level_edges.filter(F.col("g").isin(running)).join(c1, ["g", "a"]).join(c2, ["g", "b"])
+            _join(_join(level_edges.filter(F.col("g").isin(running)), c1, ["g", "a"]), c2, ["g", "b"])
             .groupBy("g", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
             .agg(F.sum("w").alias("w")), "edges")
         # superseded level tables (the level-0 identity map reads the old edges)
@@ -374,10 +383,10 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
                                                           T.StructField("node", T.LongType()),
                                                           T.StructField("comm", T.LongType())]))
     with_edges = all_nodes.filter(F.col("g").isin(list(m))) if m else all_nodes.limit(0)
-    full = (with_edges.join(assign, ["g", "node"], "left")
+    full = (_join(with_edges, assign, ["g", "node"], "left")
             .select("g", "node", F.coalesce("comm", -F.col("node") - F.lit(1)).alias("comm")))
     labels = full.groupBy("g", "comm").agg(F.min("node").alias("community"), F.count(F.lit(1)).alias("size"))
-    partition = materialize(full.join(labels, ["g", "comm"]).select("g", "node", "community"), "partition")
+    partition = materialize(_join(full, labels, ["g", "comm"]).select("g", "node", "community"), "partition")
     sizes = {r["g"]: r for r in labels.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") >= 2).alias("nt")).collect()}
     node_counts = {r["g"]: int(r["count"]) for r in all_nodes.groupBy("g").count().collect()}

@@ -123,15 +123,18 @@ def materialize(df: DataFrame, tag: str = "t", observe: dict | None = None, drop
     return spark.read.schema(schema).parquet(path)
 
 
-def materialize_bucketed(df: DataFrame, column: str, tag: str = "b") -> DataFrame:
+def materialize_bucketed(df: DataFrame, column: str, tag: str = "b", keys: int | None = None) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder, bucketed by ``column``, and read it back.
 
     As many buckets as shuffle partitions, one file each: later jobs that
     group or join by ``column`` read the rows where they lie instead of
-    shuffling them.
+    shuffling them. With the number of ``keys`` given, no more than four
+    buckets a key: the others would be empty tasks of every later job.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if keys is not None:
+        n = max(1, min(n, 4 * keys))
     number = next(_COUNTER)
     path = scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{number:05d}")
     name = f"semweave_{_RUN_ID}_{tag}_{number}"

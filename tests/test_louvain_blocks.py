@@ -77,3 +77,32 @@ def test_kernel_moves_one_after_another():
     got = dict(zip(out.column("node").to_pylist(), out.column("comm").to_pylist(), strict=True))
     assert len({got[0], got[1], got[2]}) == 1 and len({got[3], got[4], got[5]}) == 1 and got[0] != got[5]
     assert sum(out.column("own_w").to_pylist()) == 0 and sum(out.column("own_t").to_pylist()) == float((k * k).sum())
+
+
+def test_few_blocks_are_few_tasks_and_no_table_is_broadcast(spark, monkeypatch):
+    """A round of one block was a task for every shuffle partition, and tables of the graph's size went through the driver."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        made, plans = [], []
+        bucketed, block_round = L.materialize_bucketed, L._block_round
+
+        def kept(*args):
+            made.append(bucketed(*args))
+            return made[-1]
+
+        def planned(*args):
+            out = block_round(*args)
+            plans.append((made[-1].rdd.getNumPartitions(), out._jdf.queryExecution().executedPlan().toString()))
+            return out
+
+        monkeypatch.setattr(L, "materialize_bucketed", kept)
+        monkeypatch.setattr(L, "_block_round", planned)
+        ring = spark.range(60).select(F.col("id").alias("src"), ((F.col("id") + 1) % 60).alias("dst"), F.lit(1.0).alias("weight"))
+        one = L.louvain(ring, seed=1)[1].first()
+        assert max(n for n, _ in plans) <= 8
+        assert not any("Broadcast" in p for _, p in plans)
+        several = L.louvain(ring, seed=1, block_arcs=30)[1].first()
+        assert not any("Broadcast" in p for _, p in plans)
+        assert one["modularity"] > 0.7 and several["modularity"] > 0.7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
