@@ -65,7 +65,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semweave.operators.local_moves import move_kernel
-from semweave.session import drop_materialized, ensure_checkpoint_dir, materialize, materialize_bucketed, ship_package
+from semweave.session import (bucket_labels, drop_materialized, ensure_checkpoint_dir, materialize, materialize_bucketed,
+                              ship_package)
 
 _EPS = 1e-12
 BLOCK_ARCS = 200_000  # arcs that a block of nodes holds
@@ -201,6 +202,18 @@ def _block_round(state: DataFrame, arcs: DataFrame, copies: DataFrame | None, m:
                 "own_w double, own_t double")
 
 
+def _written(out: DataFrame, active: list) -> tuple[DataFrame, dict]:
+    """The written state of a round, and moves, ``own_w`` and ``own_t`` added up for every active graph.
+
+    The sums are read from the written rows: observed during the write, every
+    task would send the driver the aggregates' expressions for all graphs.
+    """
+    state = materialize(out, "state")
+    rows = (state.where(F.col("g").isin(active)).groupBy("g")
+            .agg(F.count_if("moved"), F.sum("own_w"), F.sum("own_t")).collect())
+    return state.drop("moved", "own_w", "own_t"), {r[0]: (int(r[1]), r[2] or 0.0, r[3] or 0.0) for r in rows}
+
+
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str | None = None,
             graph_ids: list | None = None, seed: int = 42, max_rounds: int | None = None, max_levels: int | None = None,
             threshold: float = 1e-7, tol: float = 1e-6,
@@ -273,8 +286,11 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
         k = (level_edges.select("g", F.explode(F.array("a", "b")).alias("node"), "w", other)
              .groupBy("g", "node").agg(F.sum("w").alias("k"), F.sum("arc").alias("arcs")))
         blocks = max(1, math.ceil(2 * sum(loops[g][1] for g in running) / block_arcs))
-        blk = F.when(F.col("arcs") > hub_arcs, F.lit(-1)).otherwise(F.pmod(F.xxhash64("g", "node", F.lit(level)),
-                                                                            F.lit(blocks)))
+        blk = F.pmod(F.xxhash64("g", "node", F.lit(level)), F.lit(blocks))
+        labels = bucket_labels(spark, blocks + 1)
+        if labels[-1] != blocks - 1:  # numbers that each have a bucket of the arcs for themselves
+            blk = F.element_at(F.array(*[F.lit(x).cast("long") for x in labels]), (blk + 1).cast("int"))
+        blk = F.when(F.col("arcs") > hub_arcs, F.lit(-1)).otherwise(blk)
         state, seen = materialize(
             k.select("g", "node", F.col("node").alias("comm"), F.col("node").alias("prev"), F.col("node").alias("best"),
                      "k", blk.cast("long").alias("blk")), "state", observe={"hubs": F.count_if(F.col("blk") < 0)})
@@ -300,12 +316,6 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
                 cut |= set(active)
                 break
             prev = state
-            # per-graph sums are observed during the write itself
-            counters = {}
-            for i, g in enumerate(active):
-                mine = F.col("g") == F.lit(g)
-                counters |= {f"m{i}": F.count_if(F.col("moved") & mine), f"w{i}": F.sum(F.when(mine, F.col("own_w"))),
-                             f"t{i}": F.sum(F.when(mine, F.col("own_t")))}
             if copies is None and r % 2 == 1:  # the one block has moved all its nodes in the first half already
                 seen = {}
             else:
@@ -319,14 +329,14 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, *, graph_col: str
                 if len(active) < len(running):
                     out = out.unionByName(idle.select("*", F.lit(False).alias("moved"), F.lit(0.0).alias("own_w"),
                                                       F.lit(0.0).alias("own_t")))
-                state, seen = materialize(out, "state", observe=counters, drop=("moved", "own_w", "own_t"))
+                state, seen = _written(out, active)
                 drop_materialized(prev)
-            moved = {g: int(seen.get(f"m{i}") or 0) for i, g in enumerate(active)}
+            moved = {g: seen[g][0] if g in seen else 0 for g in active}
             for g in active:
                 rounds[g] += not over
             if r % 2 == 0:
-                q = {g: ((seen.get(f"w{i}") or 0.0) / 2 + loops[g][0]) / m[g] - (seen.get(f"t{i}") or 0.0) / (4 * m[g] ** 2)
-                     for i, g in enumerate(active)}
+                sums = {g: seen[g][1:] if g in seen else (0.0, 0.0) for g in active}
+                q = {g: (sums[g][0] / 2 + loops[g][0]) / m[g] - sums[g][1] / (4 * m[g] ** 2) for g in active}
                 if r == 0:
                     if level == 0:
                         best_q, final_q = dict(q), dict(q)

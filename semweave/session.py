@@ -7,11 +7,13 @@ tests call :func:`get_session` once and pass DataFrames around.
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -128,13 +130,13 @@ def materialize_bucketed(df: DataFrame, column: str, tag: str = "b", keys: int |
 
     As many buckets as shuffle partitions, one file each: later jobs that
     group or join by ``column`` read the rows where they lie instead of
-    shuffling them. With the number of ``keys`` given, no more than four
-    buckets a key: the others would be empty tasks of every later job.
+    shuffling them. With the number of ``keys`` given, no more than a bucket
+    a key (see :func:`bucket_labels`): the others would be empty tasks of every later job.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if keys is not None:
-        n = max(1, min(n, 4 * keys))
+        n = max(1, min(n, keys))
     number = next(_COUNTER)
     path = scratch_path(spark, f"semweave-{_RUN_ID}/{tag}-{number:05d}")
     name = f"semweave_{_RUN_ID}_{tag}_{number}"
@@ -144,6 +146,20 @@ def materialize_bucketed(df: DataFrame, column: str, tag: str = "b", keys: int |
     return spark.table(name)
 
 
+def bucket_labels(spark: SparkSession, keys: int) -> list[int]:
+    """``keys - 1`` numbers that lie, like -1, each in a bucket of its own of ``materialize_bucketed(keys=keys)``.
+
+    Beyond the number of shuffle partitions buckets hold several keys anyway: 0, 1, ...
+    """
+    if 2 < keys <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        some = spark.range(-1, math.ceil(keys * (math.log(keys) + 20)), 1, 1)
+        first = some.groupBy(F.pmod(F.hash("id"), F.lit(keys)).alias("bucket")).agg(F.min("id").alias("id")).collect()
+        labels = sorted(r["id"] for r in first if r["id"] >= 0)
+        if len(labels) == keys - 1:
+            return labels
+    return list(range(keys - 1))
+
+
 _TABLES: dict[str, str] = {}  # folder -> catalog name of a bucketed table
 
 

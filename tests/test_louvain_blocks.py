@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from semweave.operators import community as C
 from semweave.operators import louvain as L
 from semweave.operators.local_moves import move_kernel
-from semweave.session import materialize_bucketed
+from semweave.session import bucket_labels, materialize_bucketed
 
 
 def _planted(groups=12, size=25, inside=5, outside=1, seed=3):
@@ -106,3 +106,36 @@ def test_few_blocks_are_few_tasks_and_no_table_is_broadcast(spark, monkeypatch):
         assert one["modularity"] > 0.7 and several["modularity"] > 0.7
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rounds_send_the_driver_no_aggregates_for_every_graph(spark, monkeypatch):
+    """Sums observed during a write came back from every task with their expressions, three for every graph."""
+    observed, write = [], L.materialize
+
+    def counted(df, tag="t", observe=None, drop=()):
+        observed.append(len(observe or {}))
+        return write(df, tag, observe=observe, drop=drop)
+
+    monkeypatch.setattr(L, "materialize", counted)
+    rows = [(f"g{i}", *e) for i in range(5) for e in _planted(groups=2 + i, size=8, inside=3)]
+    e = spark.createDataFrame(rows, "graph string, " + EDGES)
+    p, s = L.louvain(e, graph_col="graph", max_rounds=2, max_levels=1)
+    assert max(observed) <= 1
+    want = {r["graph"]: r["modularity"] for r in C.modularity_by_graph(e, p, "graph").collect()}
+    got = {r["graph"]: r["modularity"] for r in s.collect()}
+    assert len(got) == 5 and got == pytest.approx(want, abs=1e-9)
+
+
+def test_every_block_has_a_bucket_of_its_own(spark):
+    """Four buckets were made for a block, and each was a task of every round."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for keys in (3, 12, 40):
+            labels = bucket_labels(spark, keys)
+            assert len(set(labels)) == keys - 1 and min(labels) >= 0
+            rows = spark.createDataFrame([(x,) for x in [-1, *labels]], "blk long")
+            t = materialize_bucketed(rows, "blk", "labels", keys)
+            assert t.select(F.input_file_name()).distinct().count() == keys  # a file a bucket
+        assert bucket_labels(spark, 65) == list(range(64)) and bucket_labels(spark, 2) == [0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
