@@ -38,13 +38,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semweave.llm.common import U64, WordHash, as_batch, crc_mod, fold, map_batches, mix, runs
-from semweave.session import drop_materialized, materialize
+from semweave.session import drop_materialized, materialize, shuffles_released
 
 DISCOUNT, STRENGTH = 0.8, 5.0  # of the context restaurants
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 100.0
@@ -55,31 +56,63 @@ UNIT_ROWS, FLUSH, BUCKET_BYTES, SPREAD = 4000, 1_000_000, 3 << 20, 15
 END = b"\n"  # no word has white space, so this names the end token
 START = 0    # the context of a text's first token; no word has this hash
 PAIR, WORD, ASK = 0, 1, 2
+HASHED = "shuffle_hash"  # pairs meet the words of their partition without being sorted
 BYTES = 7
 
 
+def word_hash(word: bytes, seed: int = 0) -> int:
+    """A word's 56-bit hash, never ``START``."""
+    return (xxhash.xxh64_intdigest(word, seed) >> 8) or 1
+
+
 class Words(WordHash):
-    """word -> 56-bit hash, never ``START``."""
+    """word -> its hash, remembered."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = self[word] = (xxhash.xxh64_intdigest(word, self.seed) >> 8) or 1
+        h = self[word] = word_hash(word, self.seed)
         return h
 
 
-END_HASH = Words()[END]
+END_HASH = word_hash(END)
 
 
-def tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of texts end to end, the words before them, and the number of tokens of each text."""
-    lists = [t.split() for t in texts]
-    n = np.array([len(x) + 1 for x in lists], np.int64)
-    h = np.fromiter((words[w] for x in lists for w in [*x, END]), U64, int(n.sum()))
-    before = np.zeros(len(h), U64)
-    before[1:] = h[:-1]
-    before[(np.cumsum(n) - n)] = START
-    return h, before, n
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct token hashes of texts, each token's place among them, and the number of tokens of each text.
+
+    Texts are split and words numbered by Arrow; each distinct word of the texts is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False))
+    coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
+    code, ends = coded.indices.to_numpy(), np.cumsum(split.value_lengths().to_numpy())
+    _, at, data = coded.dictionary.buffers()
+    at, data = np.frombuffer(at, np.int64)[:len(coded.dictionary) + 1], data.to_pybytes() if data else b""
+    cuts = at.tolist()
+    found = np.fromiter((word_hash(data[a:z]) for a, z in zip(cuts, cuts[1:])), U64, len(coded.dictionary))
+    full = (np.diff(at) > 0)[code]  # white space at an end of a text leaves an empty string, which is no word
+    n = np.diff(np.append(0, np.append(0, np.cumsum(full))[ends])) + 1
+    last = np.cumsum(n) - 1
+    own = np.full(int(n.sum()), len(found))
+    inner = np.ones(len(own), bool)
+    inner[last] = False
+    own[inner] = code[full]
+    return np.append(found, U64(END_HASH)), own, n
+
+
+def numbered(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of :func:`tokens` of several texts: sorted hashes, each token's ``word << 32 | word before + 1``, tokens of texts.
+
+    The word before the first token of a text is the start, 0.
+    """
+    known, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    at = np.cumsum([0, *(len(p[0]) for p in parts)])
+    code = np.concatenate([place[k:z][p[1]] for p, k, z in zip(parts, at[:-1], at[1:], strict=True)])
+    n = np.concatenate([p[2] for p in parts])
+    pair = np.append(0, code[:-1] + 1)
+    pair[np.cumsum(n) - n] = 0
+    pair += code << 32
+    return known, pair, n
 
 
 def stretches(texts: list[bytes], size: int = 1 << 20):
@@ -131,16 +164,19 @@ BLOB_SCHEMA = pa.schema([("unit", pa.int64()), ("bucket", pa.int64()), ("words",
 
 
 def _packed(own: DataFrame, buckets: int) -> DataFrame:
-    """``BLOBS``: the distinct pairs of units by bucket, and (no contexts) the words of a unit."""
+    """``BLOBS``: the distinct pairs of units by bucket, and (no contexts) the words of units by bucket of the word."""
 
     def blobs(unit: int, held: list):
-        context, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        known, pair, size = numbered([x[:3] for x in held])
+        n = np.repeat(np.concatenate([x[3] for x in held]).astype(np.int64), size)
+        by = np.argsort(pair)
+        pair, n = pair[by], n[by]
+        at = runs([pair])[:-1]
+        n = np.add.reduceat(n, at)
+        word, context = known[pair[at] >> 32], np.append(U64(START), known)[pair[at] & 0xFFFFFFFF]
         bucket = (mix(word) % U64(buckets) + (mix(context) & U64(SPREAD)) * U64(0x9E3779B1)) % U64(buckets)
-        by = np.lexsort((context, word, bucket))
+        by = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else U64), kind="stable")
         context, word, bucket, n = context[by], word[by], bucket[by], n[by]
-        at = runs([bucket, word, context])[:-1]
-        n = np.add.reduceat(n, at)
-        context, word, bucket = context[at], word[at], bucket[at]
         rows = {c: [] for c in BLOB_SCHEMA.names}
 
         def row(bucket_, words_, runs_, contexts_, n_):
@@ -152,12 +188,17 @@ def _packed(own: DataFrame, buckets: int) -> DataFrame:
             first = runs([word[lo:hi]])
             row(int(bucket[lo]), pack(word[lo:hi][first[:-1]]), np.diff(first).astype(np.int32).tobytes(),
                 pack(context[lo:hi]), n[lo:hi].astype(np.int32).tobytes())
-        row(abs(unit) % buckets, pack(np.unique(word)), b"", b"", b"")
+        bucket = known % U64(buckets)
+        by = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else U64), kind="stable")
+        known, bucket = known[by], bucket[by]
+        ends = runs([bucket])
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            row(int(bucket[lo]), pack(known[lo:hi]), b"", b"", b"")
         for k in range(0, len(rows["unit"]), 64):
             yield as_batch({c: x[k:k + 64] for c, x in rows.items()}, BLOB_SCHEMA)
 
     def run(batches):
-        words, unit, held, size = Words(limit=200_000), None, [], 0
+        unit, held, size = None, [], 0
         for b in batches:
             units = b.column(3).to_numpy()
             texts, train = fold(b.column(1)), ~np.array(b.column(2).to_pylist(), bool)
@@ -169,9 +210,8 @@ def _packed(own: DataFrame, buckets: int) -> DataFrame:
                 unit = int(units[lo])
                 for a, z in stretches(texts[lo:hi]):
                     a, z = a + lo, z + lo
-                    h, before, n = tokens(texts[a:z], words)
-                    held.append((before, h, np.repeat(train[a:z], n).astype(np.int64)))
-                    size += len(h)
+                    held.append((*tokens(texts[a:z]), train[a:z]))
+                    size += len(held[-1][1])
                     if size > FLUSH:
                         yield from blobs(unit, held)
                         held, size = [], 0
@@ -182,33 +222,35 @@ def _packed(own: DataFrame, buckets: int) -> DataFrame:
 
 
 PAIR_SCHEMA = pa.schema([("kind", pa.int8()), ("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64()),
-                         ("units", pa.list_(pa.int64()))])
+                         ("units", pa.list_(pa.int64())), ("words", pa.binary())])
 
 
 def _added_up(blobs: DataFrame, buckets: int) -> DataFrame:
-    """``(kind, u, w, n, units)``: pairs that need an answer and who asks, words with counts, words that units ask for.
+    """``(kind, u, w, n, units, words)``: pairs that need an answer and who asks, words with counts, and, still packed,
+    the words of a bucket (``w``) that a unit (``u``) asks for.
 
     A pair with one customer is answered only to units that saw it in held-out rows.
     """
 
     def run(batches):
-        rows = [(x["unit"], x["words"], x["runs"], x["contexts"], x["n"]) for b in batches for x in b.to_pylist()]
+        rows = [tuple(x[c] for c in BLOB_SCHEMA.names) for b in batches for x in b.to_pylist()]
         parts = []
-        for unit, words, size, contexts, n in rows:
-            word = unpack(words)
+        asked = [(unit, bucket, words) for unit, bucket, words, _, contexts, _ in rows if not contexts]
+        for k in range(0, len(asked), 64):
+            unit, bucket, words = zip(*asked[k:k + 64], strict=True)
+            no = [None] * len(unit)
+            yield as_batch({"kind": [ASK] * len(unit), "u": unit, "w": bucket, "n": [0] * len(unit), "units": no,
+                            "words": words}, PAIR_SCHEMA)
+        for unit, _, words, size, contexts, n in rows:
             if not contexts:
-                for k in range(0, len(word), 100_000):
-                    w = word[k:k + 100_000].view(np.int64)
-                    yield as_batch({"kind": np.full(len(w), ASK), "u": np.full(len(w), unit), "w": w,
-                                    "n": np.zeros(len(w), np.int64), "units": [None] * len(w)}, PAIR_SCHEMA)
                 continue
-            context = unpack(contexts)
+            word, context = unpack(words), unpack(contexts)
             parts.append((np.repeat(word, np.frombuffer(size, np.int32)), context,
                           np.frombuffer(n, np.int32).astype(np.int64), np.full(len(context), unit)))
         if not parts:
             return
         word, context, n, unit = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del rows, parts
+        del rows, parts, asked
         by = np.lexsort((unit, context, word))
         word, context, n, unit = word[by], context[by], n[by], unit[by]
         at = runs([word, context])
@@ -225,15 +267,17 @@ def _added_up(blobs: DataFrame, buckets: int) -> DataFrame:
             first = at[kept[k:z]]
             lists = pa.ListArray.from_arrays(pa.array(ends[k:z + 1] - ends[k], pa.int32()), pa.array(units[ends[k]:ends[z]]))
             yield as_batch({"kind": np.full(z - k, PAIR), "u": context[first].view(np.int64),
-                            "w": word[first].view(np.int64), "n": total[kept[k:z]], "units": lists}, PAIR_SCHEMA)
+                            "w": word[first].view(np.int64), "n": total[kept[k:z]], "units": lists,
+                            "words": [None] * (z - k)}, PAIR_SCHEMA)
         at = runs([word])
         n, word = np.add.reduceat(n, at[:-1]), word[at[:-1]].view(np.int64)
         for k in range(0, len(word), 100_000):
             w = word[k:k + 100_000]
             yield as_batch({"kind": np.full(len(w), WORD), "u": np.zeros(len(w), np.int64), "w": w,
-                            "n": n[k:k + 100_000], "units": [None] * len(w)}, PAIR_SCHEMA)
+                            "n": n[k:k + 100_000], "units": [None] * len(w), "words": [None] * len(w)}, PAIR_SCHEMA)
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "kind byte, u long, w long, n long, units array<long>")
+    return blobs.repartition(buckets, "bucket").mapInArrow(
+        run, "kind byte, u long, w long, n long, units array<long>, words binary")
 
 
 # ------------------------------------------------------------------ seating
@@ -330,7 +374,7 @@ def parent_chance(p, q, totals: dict):
 def _parents(words: DataFrame, pairs: DataFrame, totals: dict, seed: int) -> DataFrame:
     """``(w, n, p, q)``: customers in training, in the parent, and its tables, of every training word."""
     below = pairs.groupBy("w").agg(F.sum(F.col("t") - F.col("n")).alias("fewer"))
-    own = words.join(below, "w", "left").select("w", "n", (F.col("n") + F.coalesce("fewer", F.lit(0.0))).alias("p"))
+    own = words.join(below.hint(HASHED), "w", "left").select("w", "n", (F.col("n") + F.coalesce("fewer", F.lit(0.0))).alias("p"))
     schema = pa.schema([("w", pa.int64()), ("n", pa.int64()), ("p", pa.float64()), ("q", pa.float64())])
 
     def seat(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -350,13 +394,13 @@ def _contexts(words: DataFrame, pairs: DataFrame, ends: int) -> DataFrame:
     own = words.where(F.col("w") != int(END_HASH)).select(F.col("w").alias("u"), "n").unionByName(
         spark.range(1).select(F.lit(START).cast("long").alias("u"), F.lit(ends).cast("long").alias("n")))
     below = pairs.groupBy("u").agg(F.sum(F.col("t") - F.col("n")).alias("fewer"))
-    return own.join(below, "u", "left").select("u", (F.col("n") + F.coalesce("fewer", F.lit(0.0))).alias("tables"))
+    return own.join(below.hint(HASHED), "u", "left").select("u", (F.col("n") + F.coalesce("fewer", F.lit(0.0))).alias("tables"))
 
 
 def _reseated(pairs: DataFrame, contexts: DataFrame, parents: DataFrame, totals: dict, seed: int, draws: int) -> DataFrame:
     """The pairs ``(u, w, n, t)`` with new tables."""
     chance = parents.select("w", parent_chance(F.col("p"), F.col("q"), totals).alias("base"))
-    asked = pairs.join(contexts, "u").join(chance, "w").select("u", "w", "n", "t", "tables", "base")
+    asked = pairs.join(contexts.hint(HASHED), "u").join(chance.hint(HASHED), "w").select("u", "w", "n", "t", "tables", "base")
     schema = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("t", pa.float64())])
 
     def seat(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -399,117 +443,162 @@ def fit(stored: DataFrame, rounds: int = ROUNDS, draws: int = DRAWS) -> tuple[Da
 
 # ------------------------------------------------------------------ scores
 
-NO_PAIR = -1
-ANSWER = np.dtype([("u", "<i8"), ("w", "<i8"), ("n", "<i8"), ("base", "<f4"), ("mass", "<f4")])
+#: Columns of an answer, one after the other in its bytes (so that they pack well): words, and pairs by their key.
+WORD_ANSWER = ("<u8", "<i8", "<f4", "<f4")  # word, customers in training, chance in the parent, tables as a context
+PAIR_ANSWER = ("<u8", "<f4")                # key, numerator
 
-def _answers(stored: DataFrame, pairs: DataFrame, parents: DataFrame, contexts: DataFrame, totals: dict) -> DataFrame:
-    """``(unit, rows)``: packed words (u ``NO_PAIR``; mass: tables as a context) and pairs (mass: the numerator).
 
-    A word may come twice, with the same values.
-    """
-    base = parent_chance(F.col("p"), F.col("q"), totals).cast("float")
-    known = parents.join(contexts.withColumnRenamed("u", "w"), "w", "left").select(
-        "w", "n", base.alias("base"), F.coalesce("tables", F.lit(0.0)).cast("float").alias("mass"))
-    asked = stored.where(F.col("kind") == ASK).select(F.col("u").alias("unit"), "w")
-    words = asked.join(known, "w").select("unit", F.lit(NO_PAIR).cast("long").alias("u"), "w", "n", "base", "mass")
-    mass = pairs.select("u", "w", (F.col("n") - F.lit(DISCOUNT) * F.col("t")).cast("float").alias("mass"))
-    asked = stored.where(F.col("kind") == PAIR).select("u", "w", "units").join(mass, ["u", "w"])
-    seated = asked.select(F.explode("units").alias("unit"), "u", "w", F.lit(0).cast("long").alias("n"),
-                          F.lit(0.0).cast("float").alias("base"), "mass")
-    schema = pa.schema([("unit", pa.int64()), ("rows", pa.binary())])
+def to_bytes(columns: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
+    return b"".join(x.astype(kind).tobytes() for x, kind in zip(columns, kinds, strict=True))
+
+
+def from_bytes(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of answers, end to end."""
+    sizes = [np.dtype(kind).itemsize for kind in kinds]
+    parts = [[np.zeros(0, kind)] for kind in kinds]
+    for blob in blobs:
+        n, at = len(blob) // sum(sizes), 0
+        for part, kind, size in zip(parts, kinds, sizes, strict=True):
+            part.append(np.frombuffer(blob, kind, n, at))
+            at += n * size
+    return [np.concatenate(x) for x in parts]
+
+
+ANSWER_SCHEMA = pa.schema([("unit", pa.int64()), ("pairs", pa.bool_()), ("rows", pa.binary())])
+ANSWERS = "unit long, pairs boolean, rows binary"
+
+
+def _word_answers(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Packed answers to ``(unit, bucket, words)`` from the words ``(bucket, w, n, base, mass)`` of the bucket."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        w, *values = (right.column(c).to_numpy() for c in ("w", "n", "base", "mass"))
+        if not len(w) or not left.num_rows:
+            return ANSWER_SCHEMA.empty_table()
+        by = np.lexsort((values[2], values[0]))  # answers with equal values side by side pack well
+        w, values, place = w[by].view(U64), [x[by] for x in values], np.argsort(w[by])
+        order = w[place]
+        unit, rows = [], []
+        for u, words in zip(left.column("unit").to_pylist(), left.column("words").to_pylist(), strict=True):
+            words = unpack(words)
+            at = np.minimum(np.searchsorted(order, words), len(order) - 1)
+            at = np.sort(place[at[order[at] == words]])
+            if len(at):
+                unit.append(u)
+                rows.append(to_bytes([w[at], *(x[at] for x in values)], WORD_ANSWER))
+        return pa.table({"unit": pa.array(unit, pa.int64()), "pairs": pa.array([False] * len(unit), pa.bool_()),
+                         "rows": pa.array(rows, pa.binary())}, ANSWER_SCHEMA)
+
+    return asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, ANSWERS)
+
+
+def _pair_answers(seated: DataFrame) -> DataFrame:
+    """Packed answers about the pairs ``(u, w, mass, units)`` to all units that ask for them."""
 
     def packed(held: list[pa.RecordBatch]):
-        tbl = pa.Table.from_batches(held)
-        cols = [tbl.column(k).to_numpy() for k in range(6)]
-        by = np.argsort(cols[0], kind="stable")
-        unit = cols[0][by]
-        own = np.zeros(len(by), ANSWER)
-        for c, x in zip(ANSWER.names, cols[1:], strict=True):
-            own[c] = x[by]
-        ends = runs([unit])
+        tbl = pa.Table.from_batches(held).combine_chunks()
+        units = tbl.column("units").combine_chunks()
+        times, unit = units.value_lengths().to_numpy(), units.flatten().to_numpy()
+        u, w, mass = (tbl.column(c).to_numpy() for c in ("u", "w", "mass"))
+        row = np.repeat(np.argsort(np.argsort(mass, kind="stable")), times)  # equal numerators side by side pack well
+        names, code = np.unique(unit, return_inverse=True)
+        by = np.argsort((code << 32) + row)
+        ends, row = runs([code[by]]), row[by]
+        order = np.argsort(mass, kind="stable")
+        key, mass = pair_key(u.view(U64), w.view(U64))[order], mass[order]
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(unit[lo:lo + 1]), pa.array([own[lo:hi].tobytes()], pa.binary())],
-                                             schema=schema)
+            at = row[lo:hi]
+            yield as_batch({"unit": [names[code[by[lo]]]], "pairs": [True],
+                            "rows": [to_bytes([key[at], mass[at]], PAIR_ANSWER)]}, ANSWER_SCHEMA)
 
     def run(batches):
         held, size = [], 0
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                size += b.num_rows
+                size += len(b.column(3).flatten())
             if size > FLUSH:
                 yield from packed(held)
                 held, size = [], 0
         if held:
             yield from packed(held)
 
-    columns = "unit", "u", "w", "n", "base", "mass"
-    both = [x.select(*columns).mapInArrow(run, "unit long, rows binary") for x in (words, seated)]
-    return both[0].unionByName(both[1])
+    return seated.mapInArrow(run, ANSWERS)
+
+
+def _answers(stored: DataFrame, pairs: DataFrame, parents: DataFrame, contexts: DataFrame, totals: dict,
+             buckets: int) -> DataFrame:
+    """``(unit, pairs, rows)``, written: what units are told of their words and pairs.
+
+    A word may come twice, with the same values.
+    """
+    base = parent_chance(F.col("p"), F.col("q"), totals).cast("float")
+    known = parents.join(contexts.withColumnRenamed("u", "w").hint(HASHED), "w", "left").select(
+        F.pmod("w", F.lit(buckets)).cast("long").alias("bucket"), "w", "n", base.alias("base"),
+        F.coalesce("tables", F.lit(0.0)).cast("float").alias("mass"))
+    asked = stored.where(F.col("kind") == ASK).select(F.col("u").alias("unit"), F.col("w").alias("bucket"), "words")
+    words = materialize(_word_answers(asked, known), "lm_answers")
+    mass = pairs.select("u", "w", (F.col("n") - F.lit(DISCOUNT) * F.col("t")).cast("float").alias("mass"))
+    asked = stored.where(F.col("kind") == PAIR).select("u", "w", "units").join(mass.hint(HASHED), ["u", "w"])
+    return words.unionByName(materialize(_pair_answers(asked.select("u", "w", "mass", "units")), "lm_answers"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` per row of a file table."""
     own = _prepared(docs, id_col, text_col)
-    size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    buckets = 8 + int(size // BUCKET_BYTES)
-    stored = materialize(_added_up(_packed(own, buckets), buckets), "lm_counts")
-    pairs, parents, contexts, totals = fit(stored)
-    start = contexts.where(F.col("u") == START).first()["tables"]
-    answers = _answers(stored, pairs, parents, contexts, totals)
-    n_train, vocabulary, ends = totals["train"], totals["vocabulary"], totals["ends"]
+    with shuffles_released(docs.sparkSession):
+        size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+        buckets = 8 + int(size // BUCKET_BYTES)
+        stored = materialize(_added_up(_packed(own, buckets), buckets), "lm_counts")
+        pairs, parents, contexts, totals = fit(stored)
+        start = contexts.where(F.col("u") == START).first()["tables"]
+        answers = _answers(stored, pairs, parents, contexts, totals, buckets)
+    for t in (stored, pairs, parents):
+        drop_materialized(t)
+    n_train, vocabulary, ends_ = totals["train"], totals["vocabulary"], totals["ends"]
     unknown = float(parent_chance(0.0, 0.0, totals))
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = np.frombuffer(b"".join(right.column("rows").to_pylist()), ANSWER)
-        context, right_w = got["u"].copy(), got["w"].copy().view(U64)
-        is_word, mass = context == NO_PAIR, got["mass"].astype(np.float64)
-        by = np.argsort(right_w[is_word])
-        w = np.append(right_w[is_word][by], U64(0xFFFFFFFFFFFFFFFF))  # the last stands for words without an answer
-        count = np.append(got["n"][is_word][by].astype(np.float64), 0.0)
-        parent = np.append(got["base"][is_word][by].astype(np.float64), unknown)
-        tables = np.append(mass[is_word][by], 0.0)
-        key = pair_key(context[~is_word].view(U64), right_w[~is_word])
+        blobs, is_pair = right.column("rows").to_pylist(), right.column("pairs").to_pylist()
+        told = from_bytes([x for x, p in zip(blobs, is_pair, strict=True) if not p], WORD_ANSWER)
+        key, mass = from_bytes([x for x, p in zip(blobs, is_pair, strict=True) if p], PAIR_ANSWER)
+        by = np.argsort(told[0])
+        # the last stands for words without an answer
+        w, count, parent, tables = (np.append(x[by].astype(kind), last) for x, kind, last in zip(
+            told, (U64, float, float, float), (U64(0xFFFFFFFFFFFFFFFF), 0.0, unknown, 0.0), strict=True))
         by = np.argsort(key)
-        key, pair_mass = key[by], mass[~is_word][by]
+        key, mass = key[by], mass[by].astype(float)
         base = np.log10((count + 0.1) / (n_train + 0.1 * (vocabulary + 1)))
-        texts, train = fold(left.column("text").combine_chunks()), ~np.array(left.column("held").to_pylist(), bool)
-        words = Words()
-        trained, spans = [], []
-        for a, z in stretches(texts):  # the unit's own training pairs
-            h, before, size_ = tokens(texts[a:z], words)
-            k = pair_key(before, h)
-            spans.append((h, before, size_, k))
-            trained.append(k[np.repeat(train[a:z], size_)])
-        trained = np.unique(np.concatenate(trained))
 
         def place(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.minimum(np.searchsorted(sorted_, x), max(0, len(sorted_) - 1))
             return at, (sorted_[at] == x) if len(sorted_) else np.zeros(len(x), bool)
 
-        out = {c: [] for c in schema.names[2:]}
-        for h, before, size_, k in spans:
-            at, hit = place(w, h)
-            at = np.where(hit, at, len(w) - 1)
-            # contexts are words of the same text, or the start
-            up, hit = place(w, before)
-            up = np.where(hit, up, len(w) - 1)
-            opening = before == START
-            customers = np.where(opening, ends, np.where(before == U64(END_HASH), 0, count[up]))
-            seated = np.where(opening, start, tables[up])
-            own_mass = np.where(place(trained, k)[1], 1 - DISCOUNT, 0.0)
-            got, hit = place(key, k)
-            if len(key):
-                own_mass = np.where(hit, pair_mass[got], own_mass)
-            chance = (own_mass + (STRENGTH + DISCOUNT * seated) * parent[at]) / (STRENGTH + customers)
-            first = np.cumsum(size_) - size_
-            out["n_tokens"].append(size_)
-            out["n_known"].append(np.add.reduceat((count[at] > 0).astype(np.int64), first))
-            out["base_score"].append(np.add.reduceat(base[at], first))
-            out["score"].append(np.add.reduceat(np.log10(chance), first))
-        cols = {c: np.concatenate(v) for c, v in out.items()}
+        texts, train = fold(left.column("text").combine_chunks()), ~np.array(left.column("held").to_pylist(), bool)
+        words, pair, size = numbered([tokens(texts[a:z]) for a, z in stretches(texts)])
+        code, first = pair >> 32, np.cumsum(size) - size
+        at, hit = place(w, words)
+        at = np.where(hit, at, len(w) - 1)  # of the unit's words
+        by = np.argsort(pair)
+        pair, own = pair[by], np.repeat(train, size)[by]
+        ends = runs([pair])
+        word, up = pair[ends[:-1]] >> 32, pair[ends[:-1]] & 0xFFFFFFFF
+        seen = np.logical_or.reduceat(own, ends[:-1])  # the unit's own training pairs
+        # contexts are words of the same text, or the start
+        context = np.append(U64(START), words)[up]
+        customers = np.where(context == U64(END_HASH), 0, np.append(float(ends_), count[at])[up])
+        seated = np.append(start, tables[at])[up]
+        own_mass = np.where(seen, 1 - DISCOUNT, 0.0)
+        got, hit = place(key, pair_key(context, words[word]))
+        if len(key):
+            own_mass = np.where(hit, mass[got], own_mass)
+        chance = np.log10((own_mass + (STRENGTH + DISCOUNT * seated) * parent[at][word]) / (STRENGTH + customers))
+        score = np.empty(len(code))
+        score[by] = np.repeat(chance, np.diff(ends))
+        cols = {"n_tokens": size, "n_known": np.add.reduceat((count[at] > 0).astype(np.int64)[code], first),
+                "base_score": np.add.reduceat(base[at][code], first), "score": np.add.reduceat(score, first)}
         return pa.table({"id": left.column("id"), "held_out": left.column("held"), **cols}).select(schema.names).cast(schema)
 
     def cogroup(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -11,6 +11,7 @@ import math
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,6 +184,22 @@ def drop_materialized(df: DataFrame) -> None:
     fs.delete(folder, True)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """Plans that run inside delete their shuffle files as they end.
+
+    For plans that run once, such as those written by :func:`materialize`: left to itself Spark deletes the
+    files only when the driver's heap happens to be collected.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_materialized(spark: SparkSession) -> None:
     """Delete every table this run has materialised; results that still read them become invalid."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, f"semweave-{_RUN_ID}"))

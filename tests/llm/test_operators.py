@@ -149,6 +149,38 @@ def test_language_model_probabilities_sum_to_one(spark):
         assert abs((mass + rest) / (language_model.STRENGTH + sum(own.values())) - 1) < 1e-9
 
 
+def test_language_model_tokens_are_the_words_between_white_space():
+    texts = [b"", b" ", b" a b ", b"a", b"\x1ca\x1d b\x85", b"\n\n", b"\xff\xfe x\x0b\x0cy\r", b"\x00 z", b"a b a b"]
+    words = language_model.Words()
+    known, pair, n = language_model.numbered([language_model.tokens(texts[:4]), language_model.tokens(texts[4:])])
+    want = [[words[w] for w in [*t.split(), language_model.END]] for t in texts]
+    assert n.tolist() == [len(h) for h in want]
+    assert known[pair >> 32].tolist() == sum(want, [])
+    before = np.append(np.uint64(language_model.START), known)[pair & 0xFFFFFFFF]
+    assert before.tolist() == sum([[language_model.START, *h[:-1]] for h in want], [])
+
+
+def test_language_model_lets_go_of_what_it_has_read(spark, tmp_path):
+    from pathlib import Path
+
+    from semweave.session import fresh_path, shuffles_released
+
+    def tables():
+        return {x.name for x in Path(fresh_path(spark, "x").removeprefix("file:")).parent.glob("lm_*")}
+
+    old = tables()
+    spark.createDataFrame([(i, f"a b c{i % 7} a b") for i in range(50)], DOCS).write.parquet(str(tmp_path / "docs"))
+    got = language_model.score_documents(spark.read.parquet(str(tmp_path / "docs")))
+    left = {name.rsplit("-", 1)[0] for name in tables() - old}
+    assert left <= {"lm_words", "lm_answers"}, left  # counts, seats and parents are not kept on disk
+    assert got.count() == 50
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with shuffles_released(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
+
+
 def test_language_model_units_know_pairs_seen_once(spark):
     """Scores by the definition, from the fitted tables, for texts whose pairs occur never, once and often."""
     rows = [*small_corpus(), (900, "rare words here"), (901, "rare words here"), (902, "once upon a time"),
