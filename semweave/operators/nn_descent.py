@@ -55,7 +55,7 @@ POOL, REVERSE, BUDGET = 64, 64, 60
 TABLES, BLOCK = 6, 32
 BLOCK_ROWS = 8192  # vectors of a block, whose pools and lists are made together
 SET_ROWS = 131_072  # vectors whose lists a local join holds
-CHUNK, CHUNK_ROWS = 2_000_000, 65_536  # list entries (about) and neighbours of a chunk at most: what it holds of the other lists
+CHUNK, CHUNK_ROWS = 8_000_000, 65_536  # list entries (about) and neighbours of a chunk at most: what it holds of the other lists
 PACK = 32_768  # entries of a packed row
 HELD = 4_000_000  # entries that are held before they are cut to the nearest
 TERMS = 1 << 18  # terms of scores that are summed at once
@@ -445,7 +445,7 @@ class _Join:
 
     def meet(self, j: int, lists: list[tuple[int, pa.Buffer]], known: list[np.ndarray]) -> None:
         lay = self.lay
-        first, length = np.zeros(lay.blocks * lay.rows, np.int64), np.zeros(lay.blocks * lay.rows, np.int64)
+        first, length = (np.zeros(lay.blocks * lay.rows, x) for x in (np.int64, lay.count))
         nb, sim, size = [], [], 0
         for block, d in lists:
             counts, numbers, cosines = _cut_row(lay, d, np.uint16)
@@ -458,11 +458,13 @@ class _Join:
         if not size:
             return
         nb, sim = np.concatenate(nb), np.concatenate(sim)
+        if size < 2**31:
+            first = first.astype(np.int32)  # it is looked up at random
         mine = np.flatnonzero(self.x % lay.chunks == j)  # no vector meets itself
         met = np.sort(np.concatenate([(mine << lay.bits) | self.x[mine] // lay.chunks]
                                      + [(k["p"].astype(np.int64) << lay.bits) | k["y"] for k in known]))
         met_at = np.searchsorted(met, np.arange(len(self.x) + 1) << lay.bits)
-        terms = np.concatenate([[0], np.cumsum(length[self.nb])])[self.at]  # of the vectors before
+        terms = np.concatenate([[0], np.cumsum(length[self.nb], dtype=np.int64)])[self.at]  # of the vectors before
         p = 0
         while p < len(self.x):
             q = max(p + 1, int(np.searchsorted(terms, terms[p] + TERMS, side="right")) - 1)
@@ -470,7 +472,7 @@ class _Join:
                 self._score(j, p, q, terms, first, length, nb, sim, met[met_at[p]:met_at[q]])
             p = q
         self.chunk += 1
-        if self.best.size > CHUNK or not self.chunk & (self.chunk - 1):
+        if self.best.size > HELD // 2 or not self.chunk & (self.chunk - 1):
             self.best.merge()
 
     def _score(self, j: int, p: int, q: int, at: np.ndarray, first: np.ndarray, length: np.ndarray, nb: np.ndarray,
@@ -480,16 +482,15 @@ class _Join:
         some = 1 << (16 - bits)
         s, e = self.at[p], self.at[q]
         over = self.nb[s:e]
-        lengths = length[over]
+        lengths = length[over].astype(np.int64)
         take = _expand(first[over], lengths)
         terms = sim[take] * np.repeat(self.sim[s:e], lengths)
         row = np.repeat((np.arange(q - p) % some << bits).astype(np.uint16), self.counts[p:q])
         key = nb[take] | np.repeat(row, lengths)
         cuts = np.append(at[p:q:some], at[q]) - at[p]
         order = np.empty(len(key), np.int64)
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            order[x:y] = np.argsort(key[x:y], kind="stable")
-            order[x:y] += x
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            np.add(key[x:y].argsort(kind="stable"), x, out=order[x:y])
         pairs = np.repeat(np.arange(len(cuts) - 1) << 16, np.diff(cuts)) | key[order]  # the row, and the number in the chunk
         starts = runs(pairs)[:-1]
         score = np.add.reduceat(terms[order].astype(np.float64), starts)
