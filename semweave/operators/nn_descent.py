@@ -55,7 +55,7 @@ POOL, REVERSE, BUDGET = 64, 64, 60
 TABLES, BLOCK = 6, 32
 BLOCK_ROWS = 8192  # vectors of a block, whose pools and lists are made together
 SET_ROWS = 131_072  # vectors whose lists a local join holds
-CHUNK, CHUNK_ROWS = 8_000_000, 65_536  # list entries (about) and neighbours of a chunk at most: what it holds of the other lists
+CHUNK, CHUNK_ROWS = 4_000_000, 65_536  # list entries (about) and neighbours of a chunk at most: what it holds of the other lists
 PACK = 32_768  # entries of a packed row
 HELD = 4_000_000  # entries that are held before they are cut to the nearest
 TERMS = 1 << 18  # terms of scores that are summed at once
@@ -461,18 +461,22 @@ class _Join:
         if size < 2**31:
             first = first.astype(np.int32)  # it is looked up at random
         mine = np.flatnonzero(self.x % lay.chunks == j)  # no vector meets itself
-        met = np.sort(np.concatenate([(mine << lay.bits) | self.x[mine] // lay.chunks]
-                                     + [(k["p"].astype(np.int64) << lay.bits) | k["y"] for k in known]))
+        met = np.concatenate([(mine << lay.bits) | self.x[mine] // lay.chunks]
+                             + [(k["p"].astype(np.int64) << lay.bits) | k["y"] for k in known])
+        met.sort()
         met_at = np.searchsorted(met, np.arange(len(self.x) + 1) << lay.bits)
-        terms = np.concatenate([[0], np.cumsum(length[self.nb], dtype=np.int64)])[self.at]  # of the vectors before
+        terms = np.cumsum(length[self.nb], dtype=np.int64)
+        terms = np.where(self.at > 0, terms[self.at - 1], 0) if len(terms) else np.zeros(len(self.at), np.int64)  # of the vectors before
         p = 0
         while p < len(self.x):
             q = max(p + 1, int(np.searchsorted(terms, terms[p] + TERMS, side="right")) - 1)
             if terms[q] > terms[p]:
                 self._score(j, p, q, terms, first, length, nb, sim, met[met_at[p]:met_at[q]])
+            if self.best.size > HELD // 2:
+                self.best.merge()
             p = q
         self.chunk += 1
-        if self.best.size > HELD // 2 or not self.chunk & (self.chunk - 1):
+        if not self.chunk & (self.chunk - 1):
             self.best.merge()
 
     def _score(self, j: int, p: int, q: int, at: np.ndarray, first: np.ndarray, length: np.ndarray, nb: np.ndarray,
